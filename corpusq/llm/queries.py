@@ -10,12 +10,14 @@ from corpusq.llm.mixing import op10_mixing
 from corpusq.llm.paragraphs import op2_paragraphs
 from corpusq.llm.quality import op6_quality
 from corpusq.llm.simhash import op7_simhash
+from corpusq.llm.suffixes import op3_suffixes
 from corpusq.llm.token_records import op4_token_records
 from corpusq.llm.url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_paragraphs": op2_paragraphs,
+    "op3_suffixes": op3_suffixes,
     "op4_token_records": op4_token_records,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
