@@ -8,49 +8,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusq.llm.decontaminate import contamination
-from corpusq.llm.mixing import mix
+from corpusq.llm.mixing import WORD, mix
 from corpusq.llm.quality import fit_quality, held_out, score_quality
 from corpusq.llm.shared import shared_dir, written
 from corpusq.llm.simhash import simhash_groups
 from corpusq.llm.token_records import read_records, write_records
 
 
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list]:
+    """docs with every column but the ``used`` ones under a name no operator uses; these names; and the columns named back."""
+    names = {c: c if c in used else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return renamed, list(names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects (score under 0.7) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.where(~held_out()))
-    return score_quality(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    rows, names, back = _apart(docs, "doc_id", "text")
+    return score_quality(rows, model, keep=tuple(names)).where("predicted = 1").select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document of smallest doc_id stays; documents without id are kept."""
+    """Of each SimHash group the document of smallest doc_id stays, once if rows repeat its id; rows without id are kept."""
     groups = simhash_groups(docs)
+    groups = written(groups.select("doc_id", "component_id"), "pipeline-groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return first
+    rows, names, back = _apart(docs, "doc_id", "text")
+    first = rows.join(gone, "doc_id", "left_anti")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        first = first.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_place = 1 or doc_id is null").drop("_place")
+    return first.select(*back)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, benchmark, keep=tuple(c for c in docs.columns if c != "doc_id")).where("not contaminated").select(*docs.columns)
+    rows, names, back = _apart(docs, "doc_id", "text")
+    return contamination(rows, benchmark, keep=tuple(n for n in names if n != "doc_id")).where("not contaminated").select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole, and once more cut to the words taken beyond that."""
-    mixed = mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source_size", "size", "target", "taken")))
+    rows, names, back = _apart(docs, "doc_id", "source", "text", "n_chars")
+    mixed = mix(rows, keep=tuple(n for n in names if n != "doc_id"))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0).cast("long"))
     rest = F.col("taken") - whole * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = mixed.withColumn("_words", F.explode(copies))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
-    out = out.withColumn("text", text)
+    out = mixed.withColumn("_taken", F.explode(copies))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int"))
+    out = out.withColumn("text", F.when(F.col("_taken") == 0, F.col("text")).otherwise(F.array_join(words, " ")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("_taken") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*back)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
