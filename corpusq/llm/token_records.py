@@ -36,10 +36,11 @@ def masked(data: bytes) -> int:
 class WordTokenizer:
     """The tokenizers library, with the ids of words seen before remembered.
 
-    Works where the tokenizer's pieces are encoded independently of each other; ``most`` bounds the memory.
+    Works where the tokenizer's pieces are encoded independently of each other and a word's end shows in its
+    last id; ``most`` bounds the memory.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,31 +48,53 @@ class WordTokenizer:
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word = os.path.basename(path) == "word_bpe_49k.json"
-        self.known: dict[str, bytes] = {}
+        self.last = np.zeros(self.tool.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in self.tool.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.most = most
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: their new pieces are encoded many at a time and told apart by the ids that end a word."""
+        split = [PIECES.findall(w) for w in words]
+        new = list({p for ps in split for p in ps if p not in self.pieces})
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.tool.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                cuts = [0, *(ends * width).tolist()]
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                self.pieces.update(zip(part, self._whole(part)))
+        get = self.pieces.__getitem__
+        self.words.update(zip(words, [b"".join(map(get, ps)) for ps in split]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned integers."""
         if not self.by_word:
             return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
-        pieces: list[tuple[int, list[str]]] = []
+        found: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
-            if not PLAIN.fullmatch(t) or ("<|" in t and any(s in t for s in self.special)):
+            plain = not any(c in t for c in "\x1c\x1d\x1e\x1f") if t.isascii() else PLAIN.fullmatch(t)
+            if not plain or ("<|" in t and any(s in t for s in self.special)):
                 out[i] = self._whole([t])[0]
             elif t:
-                pieces.append((i, PIECES.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())))
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = list({w for _, ws in pieces for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000])))
-        for i, ws in pieces:
-            out[i] = b"".join([known[w] for w in ws])
+                found.append((i, (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split()))
+        if len(self.words) > self.most or len(self.pieces) > self.most:
+            self.words.clear()
+            self.pieces.clear()
+        new = {w for _, ws in found for w in ws}.difference(self.words)
+        if new:
+            self._learn(list(new))
+        get = self.words.__getitem__
+        for i, ws in found:
+            out[i] = b"".join(map(get, ws))
         return out
 
 
