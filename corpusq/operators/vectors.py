@@ -138,7 +138,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "vec_id", "distance", (1 - F.col("distance")).alias("similarity"), "rank")
 
 
-def knn_approx(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6, sample: int = 20_000, most: int = 4096, seed: int = 7) -> DataFrame:
+def knn_approx(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 12, sample: int = 20_000, most: int = 4096, seed: int = 7) -> DataFrame:
     """Approximate cosine neighbours by an inverted file: every vector is in the list of its nearest centre.
 
     The centres are fitted on at most ``sample`` vectors; all vectors are indexed. A query looks into its
