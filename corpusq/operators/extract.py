@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusq.functions.text import LINK_KEYWORDS, categorize, clean_text, detect_language, detect_language_binary, extract_date, markdown_title_backfill, markdown_title_ingest
+from corpusq.operators.identity import title_backfill
 from corpusq.registry import query, table
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -302,6 +303,15 @@ def markdown_title_backfill_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", markdown_title_backfill(F.col("text"), " the ").alias("title"))
 
 
+@query(_TITLE_LINES + """, t AS (SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN coalesce(min_by(c.t, c.i) FILTER (WHERE c.e AND c.t <> ''), 'Untitled') ELSE 'Untitled' END AS title, coalesce(min_by(c.t, c.i) FILTER (WHERE c.e AND c.t <> ''), 'Untitled') AS new_title
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id) SELECT t.doc_id, t.title, t.new_title, len(string_split(d.text, chr(10))) AS chunk_updates FROM t JOIN documents d ON d.doc_id = t.doc_id WHERE t.title <> t.new_title""")
+def title_backfill_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    stored = d.withColumn("title", F.when(F.col("doc_id") % 2 == 0, markdown_title_backfill(F.col("text"), " the ")).otherwise("Untitled"))
+    chunks = d.select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
+    return title_backfill(stored, chunks, " the ")
+
+
 @query("SELECT DISTINCT regexp_extract(url, 'page=([^&]*)', 1) AS value FROM pages WHERE contains(url, 'page=')")
 def link_param_values_pages(spark, sf_dir):
     return link_param_values(table(spark, sf_dir, "pages").select(F.col("url").alias("link")), "page")

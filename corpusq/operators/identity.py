@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusq.functions.text import markdown_title_backfill
+from corpusq.functions.text import TITLE_SUFFIX, markdown_title_backfill
 from corpusq.registry import query, table
 
 
@@ -45,9 +45,9 @@ def exact_duplicate_groups(df: DataFrame, text: str = "text", key: str = "doc_id
     return g.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
 
 
-def title_backfill(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+def title_backfill(docs: DataFrame, chunks: DataFrame, suffix: str = TITLE_SUFFIX) -> DataFrame:
     """Documents whose recomputed title differs, with the number of their chunks whose metadata change along."""
-    new = docs.withColumn("new_title", markdown_title_backfill(F.col("text"))).where(~F.col("new_title").eqNullSafe(F.col("title")))
+    new = docs.withColumn("new_title", markdown_title_backfill(F.col("text"), suffix)).where(~F.col("new_title").eqNullSafe(F.col("title")))
     n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_updates"))
     return new.join(n, "doc_id", "left").select("doc_id", "title", "new_title", F.coalesce("chunk_updates", F.lit(0)).alias("chunk_updates"))
 
