@@ -38,11 +38,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     letter, script = _tables()
     lowered = [t.lower() for t in texts]
-    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letter[c]
-    c = np.where(is_letter, c, 0)
+    c = c * is_letter
     at = np.flatnonzero(is_letter)
-    bucket = ((c[at - 1] * 0x9E3779B1 + c[at] * 0x85EBCA6B + c[at + 1] * 0xC2B2AE35) >> 9) % BUCKETS
+    mixed = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
+    bucket = (mixed >> np.uint32(17))[at - 1].astype(np.int64)
     starts = np.flatnonzero(~is_letter[at - 1])
     ends = np.cumsum([len(t) + 1 for t in lowered])  # of each text in c
     return bucket, script[c[at]], starts, np.searchsorted(ends, at[starts] - 1, side="right")
@@ -69,29 +70,29 @@ class LanguageModel:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word: the sum of scores less ``penalty`` for each switch is greatest.
 
-    One language throughout is best if no stretch of words gains more than the penalty elsewhere; only where
-    that bound fails are the steps taken.
+    One language throughout is best if no stretch of words gains more than the penalty in any one other
+    language: a detour of r stretches costs r switches at least. Only where that fails are the steps taken.
     """
     n, k = scores.shape
     main = int(scores.sum(axis=0, dtype=np.float64).argmax())
-    gain = np.cumsum(scores.max(axis=1).astype(np.float64) - scores[:, main])
-    if (gain - np.minimum.accumulate(np.r_[0.0, gain[:-1]])).max() <= penalty:
+    gain = np.zeros((n + 1, k))
+    np.cumsum(scores - scores[:, main : main + 1], axis=0, dtype=np.float64, out=gain[1:])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, main, np.int32)
-    best = np.empty(n, np.int32)
-    stays = np.empty((n, k), bool)
-    v = scores[0].astype(np.float64)
-    for t in range(1, n):
-        b = int(v.argmax())
-        floor = v[b] - penalty
-        best[t] = b
-        np.greater_equal(v, floor, out=stays[t])
-        v = np.maximum(v, floor) + scores[t]
+    rows = scores.tolist()
+    v, seen = rows[0], []
+    for row in rows[1:]:
+        floor = max(v) - penalty
+        seen.append(v)
+        v = [(x if x >= floor else floor) + s for x, s in zip(v, row)]
     path = np.empty(n, np.int32)
-    at = int(v.argmax())
+    at = v.index(max(v))
     for t in range(n - 1, 0, -1):
         path[t] = at
-        if not stays[t, at]:
-            at = int(best[t])
+        v = seen[t - 1]
+        best = max(v)
+        if v[at] < best - penalty:
+            at = v.index(best)
     path[0] = at
     return path
 
