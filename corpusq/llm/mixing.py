@@ -50,7 +50,7 @@ def sainte_lague(df: DataFrame, group: list[str], key: str, votes: str, seats: s
     return d.join(won, [*group, key], "left").select(*df.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_docs: int = 20_000, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_docs: int = 2_000, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
     """Words that a mix by source weights takes of every document.
 
     ``docs(doc_id, source, text)`` -> (doc_id, size, source_size, target, taken, *keep), a row for each row.
