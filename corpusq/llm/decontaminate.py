@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,8 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         blocks = [Items(b.value, window) for b in sent]
         for batch in batches:
             found, words, used = [], [], 0
-            counts = np.zeros(len(batch), np.int64)
-            for i, text in enumerate(batch["text"]):
+            counts = np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 words.append(words_of(text))
                 counts[i] = len(words[-1])
                 used += len(text or "")
@@ -155,13 +155,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     words, used = [], 0
             found += _scan(words, blocks) if words else []
             hits = np.array([h for h, _ in found], np.int64)
-            out = batch[["doc_id", *keep]].assign(n_words=counts, n_hit=hits, n_items=np.array([len(x) for _, x in found], np.int64))
-            yield out.assign(items_sha256=[hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for _, x in found], contaminated=hits > 0)
+            names = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for _, x in found]
+            new = [pa.array(counts), pa.array(hits), pa.array([len(x) for _, x in found], pa.int64()), pa.array(names, pa.string()), pa.array(hits > 0)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), *new], names=["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = ["doc_id", *keep, "text"] if "text" not in keep else ["doc_id", *keep]
     extra = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select(*columns).mapInPandas(run, f"doc_id {kinds['doc_id']}{extra}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.select(*columns).mapInArrow(run, f"doc_id {kinds['doc_id']}{extra}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

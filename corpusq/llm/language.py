@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     letter, script = _tables()
     lowered = [t.lower() for t in texts]
-    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = letter[c]
-    c = c * is_letter
+    c = np.where(is_letter, c, 0)
     at = np.flatnonzero(is_letter)
-    mixed = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
-    bucket = (mixed >> np.uint32(17))[at - 1].astype(np.int64)
+    bucket = ((c[at - 1] * 0x9E3779B1 + c[at] * 0x85EBCA6B + c[at + 1] * 0xC2B2AE35) >> 9) % BUCKETS
     starts = np.flatnonzero(~is_letter[at - 1])
     ends = np.cumsum([len(t) + 1 for t in lowered])  # of each text in c
     return bucket, script[c[at]], starts, np.searchsorted(ends, at[starts] - 1, side="right")
@@ -70,29 +70,29 @@ class LanguageModel:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word: the sum of scores less ``penalty`` for each switch is greatest.
 
-    One language throughout is best if no stretch of words gains more than the penalty in any one other
-    language: a detour of r stretches costs r switches at least. Only where that fails are the steps taken.
+    One language throughout is best if no stretch of words gains more than the penalty elsewhere; only where
+    that bound fails are the steps taken.
     """
     n, k = scores.shape
     main = int(scores.sum(axis=0, dtype=np.float64).argmax())
-    gain = np.zeros((n + 1, k))
-    np.cumsum(scores - scores[:, main : main + 1], axis=0, dtype=np.float64, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    gain = np.cumsum(scores.max(axis=1).astype(np.float64) - scores[:, main])
+    if (gain - np.minimum.accumulate(np.r_[0.0, gain[:-1]])).max() <= penalty:
         return np.full(n, main, np.int32)
-    rows = scores.tolist()
-    v, seen = rows[0], []
-    for row in rows[1:]:
-        floor = max(v) - penalty
-        seen.append(v)
-        v = [(x if x >= floor else floor) + s for x, s in zip(v, row)]
+    best = np.empty(n, np.int32)
+    stays = np.empty((n, k), bool)
+    v = scores[0].astype(np.float64)
+    for t in range(1, n):
+        b = int(v.argmax())
+        floor = v[b] - penalty
+        best[t] = b
+        np.greater_equal(v, floor, out=stays[t])
+        v = np.maximum(v, floor) + scores[t]
     path = np.empty(n, np.int32)
-    at = v.index(max(v))
+    at = int(v.argmax())
     for t in range(n - 1, 0, -1):
         path[t] = at
-        v = seen[t - 1]
-        best = max(v)
-        if v[at] < best - penalty:
-            at = v.index(best)
+        if not stays[t, at]:
+            at = int(best[t])
     path[0] = at
     return path
 
@@ -168,7 +168,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0
     def run(batches):
         size = max(1 << 16, (4 << 20) // max(1, len(sent.value.langs)))
         for b in batches:
-            texts, found = [t or "" for t in b["_text"]], []
+            texts, found = [t or "" for t in b.column("_text").to_pylist()], []
             at = 0
             while at < len(texts):
                 k, used = at, 0
@@ -178,10 +178,12 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0
                 found += label(texts[at:k])
                 at = k
             lang, score, spans = zip(*found) if found else ((), (), ())
-            yield b.drop(columns="_text").assign(lang_pred=list(lang), score=np.array(score, float), spans=list(spans))
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, "lang_pred", "score", "spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema.fields if f.name == c)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, f"{kinds}, lang_pred string, score double, spans {SPANS}")
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, spans {SPANS}")
 
 
 def held_out() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,11 +107,11 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7,
     def run(batches):
         score = sent.value.scorer()
         for b in batches:
-            s = score(b["_text"].tolist())
-            yield b.drop(columns="_text").assign(score=s, predicted=(s >= threshold).astype(np.int32))
+            s = score(b.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema.fields if f.name == c)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, f"{kinds}, score double, predicted int")
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def held_out(of: str = "doc_id") -> Column:
