@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from corpusq.llm.shared import shared_dir, written
+from corpusq.llm.shared import put_in_place, shared_dir, written
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("offset", "<u8"), ("stored", "<u4"), ("media", "<u4"), ("n_bytes", "<u8"), ("crc", "<u4")])
 UNIT, RATE = 192, 8000
@@ -70,7 +70,7 @@ def write_archives(docs: DataFrame, path: str, level: int = 3) -> DataFrame:
                 index.write(entries.tobytes())
                 n += len(b)
         for kind in ("arc", "dir"):
-            fs.move(f"{temp}.{kind}", f"{base}/archive-{part:06d}.{kind}")
+            put_in_place(fs, f"{temp}.{kind}", f"{base}/archive-{part:06d}.{kind}")
         yield pd.DataFrame({"part": [part], "members": [n]})
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("null_id"), F.col("text").cast("string").alias("text"))

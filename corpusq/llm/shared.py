@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def put_in_place(fs, temp: str, final: str) -> None:
+    """Rename a finished file; one that an earlier attempt of the same task has left there gives way."""
+    if fs.get_file_info(final).is_file:
+        fs.delete_file(final)
+    fs.move(temp, final)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusq.llm.shared import shared_dir, written
+from corpusq.llm.shared import put_in_place, shared_dir, written
 
 INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 HEAD, CRC = "<Q", "<I"
@@ -151,7 +151,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
             data.close()
             index.close()
             for kind in ("rec", "idx"):
-                fs.move(f"{temp}.{kind}", f"{base}/part-{part:06d}.{kind}")
+                put_in_place(fs, f"{temp}.{kind}", f"{base}/part-{part:06d}.{kind}")
             yield pd.DataFrame({"part": [part], "docs": [docs_done], "tokens": [tokens], "bytes": [offset]})
 
     order = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("null_id"), F.col("text").cast("string").alias("text"))
