@@ -14,6 +14,7 @@ from corpusq.llm.shared import near_pairs, split_hot, whole_groups, written
 
 #: Seven bands of two rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 7 = 0.9992.
 BANDS, ROWS = 7, 2
+LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -77,25 +78,25 @@ def _slices(texts: list, most: int = 2 << 20):
 
 
 def paragraph_table(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    """(rid, at, key, b0..b6) for every paragraph of ``least_words`` or more words; ``key`` names its lower-cased words."""
+    """(doc, rid, at, key, b0..b6) for every paragraph of ``least_words`` or more words; ``key`` names its lower-cased words."""
 
     def run(batches):
         for b in batches:
-            rid, texts = b["rid"].to_numpy(np.int64), b["text"].tolist()
+            doc, rid, texts = b["doc"].tolist(), b["rid"].tolist(), b["text"].tolist()
             for low, high in _slices(texts):
                 rows, found = [], []
-                for r, t in zip(rid[low:high].tolist(), texts[low:high]):
+                for d, r, t in zip(doc[low:high], rid[low:high], texts[low:high]):
                     for at, line in enumerate(split_text(t)):
                         w = line.lower().split()
                         if len(w) >= least_words:
-                            rows.append((r, at, hashlib.md5(b" ".join(w)).hexdigest()))
+                            rows.append((d, r, at, hashlib.md5(b" ".join(w)).hexdigest()))
                             found.append(w)
                 if rows:
                     bands = band_hashes(*shingle_hashes(found, words))
-                    x = pd.DataFrame(rows, columns=["rid", "at", "key"])
+                    x = pd.DataFrame(rows, columns=["doc", "rid", "at", "key"])
                     yield x.assign(**{f"b{i}": bands[:, i] for i in range(BANDS)})
 
-    return docs.select("rid", "text").mapInPandas(run, "rid long, at int, key string, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, key string, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
 def _jaccard_links(values: list[np.ndarray], similarity: float):
@@ -146,15 +147,13 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     Equal paragraphs are one class from the start, so copies form no pairs. Colliding classes of a band are
     verified exactly, in blocks of ``2 * most`` at most; only links between parts not yet connected are kept.
     Null texts are empty; a null doc_id comes after the others; rows that repeat a doc_id stay separate rows
-    (the first in the order of id, then text, keeps); an empty table gives an empty one; other columns are ignored.
+    (told apart by a hash of their texts, whose order decides among them; rows equal in both are one); an empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # one row a doc_id in the usual case; rows that share an id are told apart by their text
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    table = written(paragraph_table(rows, words, least_words), "paragraphs")
-    order = rows.select("rid", "doc_id")
-    placed = table.join(order.distinct(), "rid")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
+    # rows that share an id are told apart by their text
+    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("rid"), "text")
+    placed = written(paragraph_table(rows, words, least_words), "paragraphs")
+    place = F.struct("doc", "rid", "at")
     classes = placed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     classes = written(classes, "paragraph-classes")
 
@@ -179,8 +178,8 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     met = bands.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(collide, "bucket long, key string")
     met = written(met.distinct(), "paragraph-buckets")
 
-    wanted = met.select("key").distinct().join(classes.select("key", "first.rid", "first.at"), "key")
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "key")).alias("asked"))  # at most the paragraphs of one document
+    wanted = met.select("key").distinct().join(classes.select("key", "first.doc", "first.rid", "first.at"), "key")
+    asked = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("at", "key")).alias("asked"))  # at most the paragraphs of one document
 
     def fetch(batches):
         for b in batches:
@@ -195,7 +194,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
                 h, first = shingle_hashes(found, words)
                 yield pd.DataFrame({"key": names, "shingles": [np.unique(s).view(np.int64) for s in np.split(h, first[1:])]})
 
-    shingles = rows.dropDuplicates(["rid"]).join(asked, "rid").select("text", "asked").mapInPandas(fetch, "key string, shingles array<long>")
+    shingles = rows.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("text", "asked").mapInPandas(fetch, "key string, shingles array<long>")
     shingles = written(shingles, "paragraph-shingles")
 
     def verify(batches):
@@ -209,11 +208,11 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     named = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("class"))
     groups = named.groupBy("class").agg(F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
     named = named.select("key", "class").join(groups, "class").select("key", "class", "keeper")
-    hits = placed.select("key", "doc_id", "rid", "at").join(named, "key")
-    gone = (F.col("rid") != F.col("keeper.rid")) | (F.col("at") != F.col("keeper.at"))
-    hits = hits.groupBy("rid").agg(
+    hits = placed.select("key", "doc", "rid", "at").join(named, "key")
+    gone = (F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")) | (F.col("at") != F.col("keeper.at"))
+    hits = hits.groupBy("doc", "rid").agg(
         F.sort_array(F.collect_set(F.when(gone, F.col("at")))).alias("gone"), F.sort_array(F.collect_set("class")).alias("classes"),
-        F.sort_array(F.collect_set(F.when(gone, F.col("keeper.doc_id")))).alias("kept_in"),
+        F.sort_array(F.collect_set(F.when(gone, F.nullif("keeper.doc", F.lit(LAST))))).alias("kept_in"),
     )
 
     def cut(batches):
@@ -226,11 +225,12 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
                 total = len((text or "").encode("utf-8"))
                 out.append((total, total - len(kept), len(drop), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
             x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs"])
-            yield pd.concat([b[["doc_id", "classes", "kept_in"]].reset_index(drop=True).astype({"doc_id": "Int64"}), x], axis=1)
+            yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
 
-    full = rows.join(hits, "rid", "left").select("doc_id", "text", "gone", "classes", "kept_in")
-    kinds = "doc_id long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"
-    return full.mapInPandas(cut, kinds)
+    full = rows.join(hits, ["doc", "rid"], "left").select("doc", "text", "gone", "classes", "kept_in")
+    kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"
+    out = full.mapInPandas(cut, kinds)
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs", "classes", "kept_in")
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
