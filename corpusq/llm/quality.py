@@ -63,7 +63,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, longest: int = 50_000, dict_bytes: int = 48 << 10, seed: str = "q1") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, longest: int = 20_000, dict_bytes: int = 48 << 10, seed: str = "q1") -> QualityModel:
     """Fit on a bounded sample of labelled rows.
 
     At most ``rows`` documents of each label, of up to ``longest`` characters, chosen by a seeded hash of the
