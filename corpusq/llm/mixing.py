@@ -92,3 +92,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of all documents by the mix of sources weighing 5, 2, 1 in turn."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+n AS (SELECT greatest(8, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS shards FROM d),
+r AS (SELECT d.*, CAST(('0x' || o[1:8]) AS BIGINT) % shards AS shard FROM d, n),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM r GROUP BY source),
+s1 AS (SELECT *, CAST([5, 2, 1][CAST(sid % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s0),
+s2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM s1 WINDOW w AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM s2),
+t AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS blocks FROM s3),
+q AS (SELECT sid, count(*) AS quota FROM (SELECT sid, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, sid, j) AS k, blocks FROM s3, t, LATERAL (SELECT unnest(range(0, CAST(ceil(3 * target / 64) AS BIGINT) + 2)) AS j) WHERE target > 0) WHERE k <= blocks GROUP BY sid),
+u AS (SELECT r.source, s3.sid, r.shard, CAST(sum(r.size) AS BIGINT) AS unit FROM r JOIN s3 ON s3.source IS NOT DISTINCT FROM r.source GROUP BY ALL),
+b AS (SELECT sid, shard, count(*) AS quota FROM (SELECT u.sid, u.shard, q.quota, row_number() OVER (PARTITION BY u.sid ORDER BY CAST(unit AS DOUBLE) / (2 * j + 1) DESC, u.shard, j) AS k
+FROM u JOIN q ON q.sid = u.sid, LATERAL (SELECT unnest(range(0, CAST(ceil(6 * unit / 64) AS BIGINT) + 3)) AS j) WHERE unit > 0) WHERE k <= quota GROUP BY sid, shard),
+x AS (SELECT r.doc_id, r.size, s3.source_size, s3.target, u.unit, least(coalesce(b.quota, 0) * 64, 3 * u.unit) AS words, coalesce(sum(r.size) OVER (PARTITION BY s3.sid, r.shard ORDER BY r.o, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM r JOIN s3 ON s3.source IS NOT DISTINCT FROM r.source JOIN u ON u.sid = s3.sid AND u.shard = r.shard LEFT JOIN b ON b.sid = s3.sid AND b.shard = r.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit > 0 THEN words // unit ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit > 0 THEN words // unit ELSE 0 END * unit - before)) AS BIGINT) AS taken FROM x
+"""

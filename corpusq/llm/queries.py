@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusq.llm import decontaminate, url_filter
+from corpusq.llm import decontaminate, mixing, url_filter
 from corpusq.llm.decontaminate import op5_decontaminate
 from corpusq.llm.language import op9_language
 from corpusq.llm.media import op8_media
@@ -30,4 +30,5 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
