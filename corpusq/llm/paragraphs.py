@@ -1,8 +1,12 @@
-"""Substring de-duplication of paragraphs: MinHash banding, exact verification, removal by components."""
+"""Substring de-duplication of paragraphs: MinHash banding, exact verification, removal by components.
+
+Passages that stand inside otherwise different paragraphs are found beside that, by equal runs of words.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -99,6 +103,79 @@ def paragraph_table(docs: DataFrame, words: int, least_words: int) -> DataFrame:
     return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, key string, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
+#: A repeated passage of SPAN + REACH - 1 words (49) has at least one of its SPAN-word runs chosen wherever it stands.
+SPAN, REACH = 20, 30
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def chosen_runs(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The run of SPAN words of least hash among any REACH following ones: paragraph number, first word, hash.
+
+    Paragraphs need SPAN + REACH - 1 words or more.
+    """
+    h, first = shingle_hashes(paragraphs, SPAN)
+    n = len(h) - REACH + 1
+    low = (h & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
+    k = 1
+    while 2 * k <= REACH:
+        low = np.minimum(low[:-k], low[k:])
+        k *= 2
+    if k < REACH:
+        low = np.minimum(low[: len(low) - (REACH - k)], low[REACH - k :])
+    owner = np.searchsorted(first, np.arange(n), side="right") - 1
+    end = np.r_[first[1:], len(h)]
+    at = np.unique((low[:n][np.arange(n) + REACH <= end[owner]] & np.uint64(0xFFFFFF)).astype(np.int64))
+    owner = np.searchsorted(first, at, side="right") - 1
+    return owner, at - first[owner], h[at]
+
+
+def run_table(docs: DataFrame) -> DataFrame:
+    """(doc, rid, at, word, h): chosen runs of the paragraphs that are long enough to hold a passage."""
+
+    def run(batches):
+        for b in batches:
+            doc, rid, texts = b["doc"].to_numpy(np.int64), b["rid"].to_numpy(np.int64), b["text"].tolist()
+            for low, high in _slices(texts):
+                place, found = [], []
+                for i in range(low, high):
+                    for at, line in enumerate(split_text(texts[i])):
+                        w = line.lower().split()
+                        for part in range(0, max(1, len(w) - REACH), 1 << 20):  # far fewer than the bits of a position
+                            if len(w) - part >= SPAN + REACH - 1:
+                                place.append((i, at, part))
+                                found.append(w[part : part + (1 << 20) + SPAN + REACH])
+                if found:
+                    owner, word, h = chosen_runs(found)
+                    p = np.array(place, np.int64)[owner]
+                    yield pd.DataFrame({"doc": doc[p[:, 0]], "rid": rid[p[:, 0]], "at": p[:, 1].astype(np.int32), "word": (word + p[:, 2]).astype(np.int32), "h": h.view(np.int64)})
+
+    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, word int, h long")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc, rid, passages): runs (at, word, keeper) that an earlier document holds too. Only counts of equal runs are combined first."""
+    runs = run_table(docs)
+    kept = runs.groupBy("h").agg(F.min(F.struct("doc", "rid")).alias("keeper"), F.max(F.struct("doc", "rid")).alias("last")).where("keeper <> last").select("h", "keeper")
+    again = runs.join(kept, "h").where((F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")))
+    return again.groupBy("doc", "rid").agg(F.collect_list(F.struct("at", "word", F.col("keeper.doc").alias("keeper"))).alias("passages"))  # of one document
+
+
+def without_passages(line: bytes, runs: list[int]) -> tuple[bytes, int]:
+    """The line without the words that the repeated runs cover, runs less than REACH words apart joined; and the number of spans."""
+    start = [m.start() for m in _WORD.finditer(line)] + [len(line)]
+    spans: list[list[int]] = []
+    for w in sorted(runs):
+        if spans and w - spans[-1][1] < REACH:
+            spans[-1][1] = max(spans[-1][1], w + SPAN)
+        else:
+            spans.append([w, w + SPAN])
+    out, at = [], 0
+    for a, b in spans:
+        out.append(line[at : start[a]])
+        at = start[min(b, len(start) - 1)]
+    return b"".join([*out, line[at:]]), len(spans)
+
+
 def _jaccard_links(values: list[np.ndarray], similarity: float):
     """Exact test of pairs by their shingle sets, after the size and bitmap bounds have ruled out what they can."""
     size = np.array([len(v) for v in values], np.int64)
@@ -134,7 +211,7 @@ def _jaccard_links(values: list[np.ndarray], similarity: float):
     return linked
 
 
-def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, most: int = 4096) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, most: int = 4096, passages: bool = True) -> DataFrame:
     """Remove paragraphs that nearly repeat an earlier one, in the same or another document.
 
     ``docs(doc_id, text)`` -> a row for each row of docs: (doc_id, n_bytes, n_removed bytes, n_spans paragraphs
@@ -144,6 +221,9 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     are the components this document has a paragraph in that another paragraph shares, ``kept_in`` the
     doc_ids where the paragraphs removed here are kept.
 
+    With ``passages``, a passage of 49 words or more that an earlier document holds too is found inside other paragraphs as well:
+    there its repeated runs of 20 words, and what lies between them, go (n_spans counts each such stretch).
+
     Equal paragraphs are one class from the start, so copies form no pairs. Colliding classes of a band are
     verified exactly, in blocks of ``2 * most`` at most; only links between parts not yet connected are kept.
     Null texts are empty; a null doc_id comes after the others; rows that repeat a doc_id stay separate rows
@@ -218,16 +298,28 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     def cut(batches):
         for b in batches:
             out = []
-            for text, gone in zip(b["text"], b["gone"]):
+            for text, gone, passages in zip(b["text"], b["gone"], b["passages"]):
                 lines = split_text(text)
                 drop = set() if gone is None else set(gone.tolist())
+                inside: dict[int, list[int]] = {}
+                for p in () if passages is None else passages:
+                    if p["at"] not in drop:
+                        inside.setdefault(p["at"], []).append(p["word"])
+                spans = len(drop)
+                for at, runs in inside.items():
+                    lines[at], n = without_passages(lines[at], runs)
+                    spans += n
                 kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
                 total = len((text or "").encode("utf-8"))
-                out.append((total, total - len(kept), len(drop), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
+                out.append((total, total - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
             x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs"])
             yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
 
-    full = rows.join(hits, ["doc", "rid"], "left").select("doc", "text", "gone", "classes", "kept_in")
+    inner = repeated_passages(rows) if passages else repeated_passages(rows.limit(0))
+    found = hits.join(inner, ["doc", "rid"], "full")
+    held = F.transform(F.coalesce("passages", F.array().cast("array<struct<at:int,word:int,keeper:bigint>>")), lambda x: F.nullif(x["keeper"], F.lit(LAST)))
+    found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
+    full = rows.join(found, ["doc", "rid"], "left").select("doc", "text", "gone", "passages", "classes", "kept_in")
     kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"
     out = full.mapInPandas(cut, kinds)
     return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs", "classes", "kept_in")

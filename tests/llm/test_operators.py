@@ -113,7 +113,7 @@ def test_paragraphs_brute_force(spark, documents):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     removed = _paragraph_brute(rows)
     for most in (4096, 3):  # whole groups; groups split to blocks
-        got = {r["doc_id"]: r for r in dedup_paragraphs(df, most=most).collect()}
+        got = {r["doc_id"]: r for r in dedup_paragraphs(df, most=most, passages=False).collect()}
         assert len(got) == len(rows)
         for doc, text in rows:
             lines = text.encode().split(b"\n")
@@ -123,6 +123,26 @@ def test_paragraphs_brute_force(spark, documents):
             assert got[doc]["n_removed"] == len(text.encode()) - len(kept)
 
 
+def test_passages_inside_paragraphs(spark):
+    """A passage of over 50 words inside otherwise different paragraphs is found wherever it stands."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(40):
+        passage = text(51)
+        rows += [(2 * i, f"{text(int(rng.integers(0, 90)))} {passage}  {text(int(rng.integers(0, 90)))}"), (2 * i + 1, f"{text(3)}\n{text(int(rng.integers(0, 90)))}\t{passage} {text(70)}")]
+    clean = [(1000 + i, text(200)) for i in range(20)]
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    for i in range(40):
+        late, early = got[2 * i + 1], got[2 * i]
+        assert early["n_removed"] == 0 and late["n_spans"] == 1 and late["kept_in"] == [2 * i]
+        assert 20 * 7 - 1 <= late["n_removed"] <= 52 * 7
+    assert all(got[d]["n_removed"] == 0 and not got[d]["kept_in"] for d, _ in clean)
+
+
 def test_paragraphs_hostile(spark, hostile):
     from corpusq.llm.paragraphs import dedup_paragraphs
 
