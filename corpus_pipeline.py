@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = written(groups.select("doc_id", "component_id"), "pipeline-groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     rows, names, back = _apart(docs, "doc_id", "text")
-    first = rows.join(gone, "doc_id", "left_anti")
+    first = rows.join(gone.hint("merge"), "doc_id", "left_anti")  # the ids grow with the input, so they are never broadcast
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     if repeated:
         first = first.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_place = 1 or doc_id is null").drop("_place")
