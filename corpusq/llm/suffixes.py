@@ -30,6 +30,7 @@ from corpusq.llm.shared import written
 
 Q = 32  # bytes of an initial bucket
 BLOCK = 9  # starts in a block of the second step
+LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -234,41 +235,45 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
                 yield _first_members(pd.concat(rows, ignore_index=True), length)
 
     def asked_texts(runs: DataFrame) -> DataFrame:
-        asked = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked"))  # the runs of one document
+        asked = runs.groupBy("doc", "tie").agg(F.flatten(F.collect_list(F.array("at", "first", "last"))).alias("asked"))  # the runs of one document
         return texts.select("doc", "tie", packed(F.col("text")).alias("packed")).join(asked, ["doc", "tie"])
 
+    def asked_runs(batch):
+        """Of the documents of each slice: identifiers of all positions, and its runs with their documents, in the slice's positions."""
+        for part, data in _batches(batch):
+            size = np.array([len(x) for x in data], np.int64)
+            runs = [np.asarray(x, np.int64).reshape(-1, 3) for x in part["asked"]]
+            which = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+            base = (np.cumsum(size) - size)[which]
+            at, first, last = (np.concatenate(runs) + base[:, None]).T
+            yield gram_ids(b"".join(data)), part["doc"].to_numpy(np.int64)[which], part["tie"].to_numpy(np.int32)[which], base, at, first, last
+
     def cores(batches):
         for b in batches:
-            rows = []
-            for part, data in _batches(b):
-                for doc, tie, raw, asked in zip(part["doc"].tolist(), part["tie"].tolist(), data, part["asked"]):
-                    at, first, last = (np.array([x[k] for x in asked], np.int64) for k in ("at", "first", "last"))
-                    low, high = (at - last) // BLOCK, (at - first) // BLOCK
-                    n = high - low + 1
-                    i = np.repeat(np.arange(len(at)), n)
-                    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[i]
-                    near, far = block * BLOCK, np.minimum(block * BLOCK + BLOCK - 1, length - Q)
-                    ids = gram_ids(raw)
-                    core = length - (far - near)
-                    start = at[i] - near
-                    g = _combined(ids, start, [0, Q], 2)
-                    g = _mixed(g * np.uint64(ODD) + ids[start + core - Q] + block.astype(np.uint64))
-                    rows.append(pd.DataFrame({"kind": np.int8(0), "h": _mixed(ids[at[i]] + block.astype(np.uint64)).view(np.int64), "g": g.view(np.int64), "doc": doc, "tie": np.int32(tie), "at": at[i], "first": np.maximum(first[i], at[i] - far), "last": np.minimum(last[i], start)}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
+            for ids, doc, tie, base, at, first, last in asked_runs(b):
+                low, high = (at - last) // BLOCK, (at - first) // BLOCK
+                n = high - low + 1
+                i = np.repeat(np.arange(len(at)), n)
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[i]
+                near, far = block * BLOCK, np.minimum(block * BLOCK + BLOCK - 1, length - Q)
+                core = length - (far - near)
+                start = at[i] - near
+                g = _combined(ids, start, [0, Q], 2)
+                g = _mixed(g * np.uint64(ODD) + ids[start + core - Q] + block.astype(np.uint64))
+                h = _mixed(ids[at[i]] + block.astype(np.uint64))
+                back = base[i]
+                yield pd.DataFrame({"kind": np.int8(0), "h": h.view(np.int64), "g": g.view(np.int64), "doc": doc[i], "tie": tie[i], "at": at[i] - back, "first": np.maximum(first[i], at[i] - far) - back, "last": np.minimum(last[i], start) - back})
 
     def starts(batches):
+        offsets = [*range(0, length - Q, Q), length - Q]
         for b in batches:
-            rows = []
-            for part, data in _batches(b):
-                for doc, tie, raw, asked in zip(part["doc"].tolist(), part["tie"].tolist(), data, part["asked"]):
-                    first, last = (np.array([x[k] for x in asked], np.int64) for k in ("first", "last"))
-                    n = last - first + 1
-                    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                    ids, offsets = gram_ids(raw), [*range(0, length - Q, Q), length - Q]
-                    rows.append(pd.DataFrame({"kind": np.int8(0), "h": _combined(ids, s, offsets, 3).view(np.int64), "g": _combined(ids, s, offsets[::-1], 5).view(np.int64), "doc": doc, "tie": np.int32(tie), "at": s, "first": s, "last": s}))
-            if rows:
-                yield _first_members(pd.concat(rows, ignore_index=True), length)
+            for ids, doc, tie, base, _, first, last in asked_runs(b):
+                n = last - first + 1
+                i = np.repeat(np.arange(len(first)), n)
+                s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
+                h, g, own = _combined(ids, s, offsets, 3), _combined(ids, s, offsets[::-1], 5), s - base[i]
+                x = pd.DataFrame({"kind": np.int8(0), "h": h.view(np.int64), "g": g.view(np.int64), "doc": doc[i], "tie": tie[i], "at": own, "first": own, "last": own})
+                yield _first_members(x, length)
 
     step1 = written(_meet(texts.mapInPandas(anchors, MEMBERS), length, True), "suffix-grams")
     step2 = written(_meet(asked_texts(step1.where("kind = 0")).mapInPandas(cores, MEMBERS), length, False), "suffix-cores")
@@ -295,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    doc = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
     heads = written(rows.select(doc, "sha").groupBy("doc", "sha").count(), "suffix-heads")
     heads = heads.withColumn("tie", (F.row_number().over(W.partitionBy("doc").orderBy("sha")) - 1).cast("int"))
     twice = heads.where("tie > 0 or count > 1").select("doc", "sha", "tie", "count")  # doc_ids that several rows share
@@ -331,16 +336,17 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                     kept = b"".join(keep)
                     out.append((n, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield pd.concat([b[["doc_id"]].astype({"doc_id": "Int64"}).reset_index(drop=True), x], axis=1)
+            yield x.assign(doc=b["doc"].to_numpy())
 
-    full = rows.select("doc_id", doc, "sha", packed(F.col("text")).alias("packed"))
+    full = rows.select(doc, "sha", packed(F.col("text")).alias("packed"))
     if doubled:
         order = F.row_number().over(W.partitionBy("doc", "sha").orderBy(F.lit(0)))
         full = full.join(heads.select("doc", "sha", "tie"), ["doc", "sha"]).withColumn("again", order > 1)
     else:
         full = full.withColumn("tie", F.lit(0)).withColumn("again", F.lit(False))
-    full = full.join(runs, ["doc", "tie"], "left").select("doc_id", "packed", "runs", "again")
-    return full.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    full = full.join(runs, ["doc", "tie"], "left").select("doc", "packed", "runs", "again")
+    out = full.mapInPandas(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
