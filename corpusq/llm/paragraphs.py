@@ -1,11 +1,12 @@
 """Substring de-duplication of paragraphs: MinHash banding, exact verification, removal by components.
 
-Passages that stand inside otherwise different paragraphs are found beside that, by equal runs of words.
+Passages that stand inside otherwise different paragraphs, or run over line ends, are found beside that, by equal runs of words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -130,50 +131,65 @@ def chosen_runs(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray,
 
 
 def run_table(docs: DataFrame) -> DataFrame:
-    """(doc, rid, at, word, h): chosen runs of the paragraphs that are long enough to hold a passage."""
+    """(doc, rid, word, h): chosen runs of the texts that are long enough to hold a passage; line ends are white space like any other."""
 
     def run(batches):
         for b in batches:
             doc, rid, texts = b["doc"].to_numpy(np.int64), b["rid"].to_numpy(np.int64), b["text"].tolist()
             for low, high in _slices(texts):
-                place, found = [], []
-                for i in range(low, high):
-                    for at, line in enumerate(split_text(texts[i])):
-                        w = line.lower().split()
-                        for part in range(0, max(1, len(w) - REACH), 1 << 20):  # far fewer than the bits of a position
-                            if len(w) - part >= SPAN + REACH - 1:
-                                place.append((i, at, part))
-                                found.append(w[part : part + (1 << 20) + SPAN + REACH])
-                if found:
-                    owner, word, h = chosen_runs(found)
-                    p = np.array(place, np.int64)[owner]
-                    yield pd.DataFrame({"doc": doc[p[:, 0]], "rid": rid[p[:, 0]], "at": p[:, 1].astype(np.int32), "word": (word + p[:, 2]).astype(np.int32), "h": h.view(np.int64)})
+                parts = ((i, part, w) for i in range(low, high) for part, w in _long_parts(texts[i]))
+                large = any(len(t or "") > 1 << 22 for t in texts[low:high])
+                while group := list(itertools.islice(parts, 1 if large else None)):  # of a large text, a part at a time
+                    owner, word, h = chosen_runs([w for _, _, w in group])
+                    p = np.array([x[:2] for x in group], np.int64)[owner]
+                    yield pd.DataFrame({"doc": doc[p[:, 0]], "rid": rid[p[:, 0]], "word": (word + p[:, 1]).astype(np.int32), "h": h.view(np.int64)})
+
+    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, word int, h long")
+
 
-    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, word int, h long")
+def _long_parts(text: str | None):
+    """(first word, words) of pieces of a text that overlap by a passage; their positions need far fewer bits than chosen_runs has."""
+    w = (text or "").encode("utf-8").lower().split()
+    for part in range(0, max(1, len(w) - REACH), 1 << 20):
+        if len(w) - part >= SPAN + REACH - 1:
+            yield part, w[part : part + (1 << 20) + SPAN + REACH]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc, rid, passages): runs (at, word, keeper) that an earlier document holds too. Only counts of equal runs are combined first."""
+    """(doc, rid, passages): runs (low, high, keeper) that an earlier document holds too. Only counts of equal runs are combined first."""
     runs = run_table(docs)
     kept = runs.groupBy("h").agg(F.min(F.struct("doc", "rid")).alias("keeper"), F.max(F.struct("doc", "rid")).alias("last")).where("keeper <> last").select("h", "keeper")
     again = runs.join(kept, "h").where((F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")))
-    return again.groupBy("doc", "rid").agg(F.collect_list(F.struct("at", "word", F.col("keeper.doc").alias("keeper"))).alias("passages"))  # of one document
+    passage = F.struct(F.col("word").alias("low"), (F.col("word") + SPAN).alias("high"), F.col("keeper.doc").alias("keeper"))
+    return again.groupBy("doc", "rid").agg(F.collect_list(passage).alias("passages"))  # of one document
 
 
-def without_passages(line: bytes, runs: list[int]) -> tuple[bytes, int]:
-    """The line without the words that the repeated runs cover, runs less than REACH words apart joined; and the number of spans."""
-    start = [m.start() for m in _WORD.finditer(line)] + [len(line)]
-    spans: list[list[int]] = []
-    for w in sorted(runs):
-        if spans and w - spans[-1][1] < REACH:
-            spans[-1][1] = max(spans[-1][1], w + SPAN)
-        else:
-            spans.append([w, w + SPAN])
-    out, at = [], 0
-    for a, b in spans:
-        out.append(line[at : start[a]])
-        at = start[min(b, len(start) - 1)]
-    return b"".join([*out, line[at:]]), len(spans)
+def without_passages(lines: list[bytes], drop: set[int], passages: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The lines but those of ``drop``, without the words of the passages (first word, end, counted over all lines); and the stretches cut.
+
+    A word goes with the white space after it in its line; a line whose words all go goes too.
+    """
+    count = np.array([len(x.split()) for x in lines], np.int64)
+    first = np.cumsum(count) - count
+    cut = np.zeros(int(count.sum()) + 1, bool)
+    end = -REACH
+    for a, b in sorted(passages):
+        cut[a if a - end >= REACH else end : b] = True
+        end = max(end, b)
+    for i in drop:
+        cut[first[i] : first[i] + count[i]] = False
+    out = []
+    for i, line in enumerate(lines):
+        if i in drop:
+            continue
+        own = cut[first[i] : first[i] + count[i]]
+        if len(own) and own.all():
+            continue
+        if own.any():
+            start = [m.start() for m in _WORD.finditer(line)] + [len(line)]
+            line = line[: start[0]] + b"".join(line[start[k] : start[k + 1]] for k in np.flatnonzero(~own))
+        out.append(line)
+    return b"\n".join(out), int((cut[1:] & ~cut[:-1]).sum()) + int(cut[0])
 
 
 def _jaccard_links(values: list[np.ndarray], similarity: float):
@@ -221,8 +237,8 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     are the components this document has a paragraph in that another paragraph shares, ``kept_in`` the
     doc_ids where the paragraphs removed here are kept.
 
-    With ``passages``, a passage of 49 words or more that an earlier document holds too is found inside other paragraphs as well:
-    there its repeated runs of 20 words, and what lies between them, go (n_spans counts each such stretch).
+    With ``passages``, a passage of 49 words or more that an earlier document holds too is found inside other paragraphs and across
+    line ends as well: there its repeated runs of 20 words, and what lies between them, go (n_spans counts each such stretch).
 
     Equal paragraphs are one class from the start, so copies form no pairs. Colliding classes of a band are
     verified exactly, in blocks of ``2 * most`` at most; only links between parts not yet connected are kept.
@@ -301,23 +317,17 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
             for text, gone, passages in zip(b["text"], b["gone"], b["passages"]):
                 lines = split_text(text)
                 drop = set() if gone is None else set(gone.tolist())
-                inside: dict[int, list[int]] = {}
-                for p in () if passages is None else passages:
-                    if p["at"] not in drop:
-                        inside.setdefault(p["at"], []).append(p["word"])
-                spans = len(drop)
-                for at, runs in inside.items():
-                    lines[at], n = without_passages(lines[at], runs)
-                    spans += n
-                kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
+                kept, spans = b"\n".join(x for i, x in enumerate(lines) if i not in drop), 0
+                if passages is not None and len(passages):
+                    kept, spans = without_passages(lines, drop, [(p["low"], p["high"]) for p in passages])
                 total = len((text or "").encode("utf-8"))
-                out.append((total, total - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
+                out.append((total, total - len(kept), len(drop) + spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
             x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs"])
             yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
 
     inner = repeated_passages(rows) if passages else repeated_passages(rows.limit(0))
     found = hits.join(inner, ["doc", "rid"], "full")
-    held = F.transform(F.coalesce("passages", F.array().cast("array<struct<at:int,word:int,keeper:bigint>>")), lambda x: F.nullif(x["keeper"], F.lit(LAST)))
+    held = F.transform(F.coalesce("passages", F.array().cast("array<struct<low:int,high:int,keeper:bigint>>")), lambda x: F.nullif(x["keeper"], F.lit(LAST)))
     found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
     full = rows.join(found, ["doc", "rid"], "left").select("doc", "text", "gone", "passages", "classes", "kept_in")
     kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"

@@ -143,6 +143,21 @@ def test_passages_inside_paragraphs(spark):
     assert all(got[d]["n_removed"] == 0 and not got[d]["kept_in"] for d, _ in clean)
 
 
+def test_passages_over_line_ends(spark):
+    """Hard-wrapped texts, 12 words a line, lose a passage of an earlier text that is wrapped otherwise."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    rng = np.random.default_rng(12)
+    text = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    passage = text(150)
+    rows = [(1, wrap(text(30) + passage, 12)), (2, wrap(text(7) + passage + text(40), 11)), (3, wrap(text(200), 12))]
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == got[3]["n_removed"] == 0
+    assert got[2]["n_spans"] == 1 and got[2]["kept_in"] == [1] and got[2]["n_removed"] >= 90 * 7
+    assert set(rows[1][1].split()) - set(passage) <= set(got[2]["kept_text"].split())
+
+
 def test_paragraphs_hostile(spark, hostile):
     from corpusq.llm.paragraphs import dedup_paragraphs
 
