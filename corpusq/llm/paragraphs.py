@@ -104,7 +104,7 @@ def paragraph_table(docs: DataFrame, words: int, least_words: int) -> DataFrame:
     return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, key string, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
-#: A repeated passage of SPAN + REACH - 1 words (49) has at least one of its SPAN-word runs chosen wherever it stands.
+#: A repeated passage of SPAN + REACH - 1 words (49) or more has at least one of its SPAN-word runs chosen wherever it stands.
 SPAN, REACH = 20, 30
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -155,13 +155,74 @@ def _long_parts(text: str | None):
             yield part, w[part : part + (1 << 20) + SPAN + REACH]
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc, rid, passages): runs (low, high, keeper) that an earlier document holds too. Only counts of equal runs are combined first."""
+def repeated_seeds(docs: DataFrame) -> DataFrame:
+    """(doc, rid, seeds): chosen runs (word, h) that stand at two places or more, of one document or several. Only counts of equal runs are combined first."""
     runs = run_table(docs)
-    kept = runs.groupBy("h").agg(F.min(F.struct("doc", "rid")).alias("keeper"), F.max(F.struct("doc", "rid")).alias("last")).where("keeper <> last").select("h", "keeper")
-    again = runs.join(kept, "h").where((F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")))
-    passage = F.struct(F.col("word").alias("low"), (F.col("word") + SPAN).alias("high"), F.col("keeper.doc").alias("keeper"))
-    return again.groupBy("doc", "rid").agg(F.collect_list(passage).alias("passages"))  # of one document
+    place = F.struct("doc", "rid", "word")
+    kept = runs.groupBy("h").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper <> last").select("h")
+    return runs.join(kept, "h").groupBy("doc", "rid").agg(F.collect_list(F.struct("word", "h")).alias("seeds"))  # of one document
+
+
+#: A repeated passage has a chosen run in its first and last REACH places and in any REACH between, so this many words on both sides of each reach its ends.
+SIDE = REACH - 1
+
+
+def seed_sides(text: str | None, seeds) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, SIDE) identifiers of the words before (nearest first) and after each run; 0 beyond the ends of the text."""
+    known: dict[bytes, int] = {}
+    w = (text or "").encode("utf-8").lower().split()
+    ids = np.array([known.setdefault(x, len(known)) for x in w], np.int64)
+    table = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") or 1 for x in known], np.uint32)
+    h = np.concatenate([np.zeros(SIDE, np.uint32), table[ids] if len(ids) else np.zeros(0, np.uint32), np.zeros(SIDE, np.uint32)])
+    at = np.array([x["word"] for x in seeds], np.int64)[:, None] + SIDE
+    step = np.arange(SIDE)
+    return h[at - 1 - step], h[at + SPAN + step]
+
+
+def longest_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many columns of ``side`` each row shares with a row of its group and lower rank, and the lowest rank that shares them."""
+    n = len(group)
+    length, keeper = np.full(n, -1, np.int64), rank.copy()
+    at, own = np.arange(n), np.unique(group, return_inverse=True)[1].astype(np.int64)
+    for k in range(side.shape[1] + 1):
+        least = np.full(int(own.max()) + 1 if len(own) else 0, n, np.int64)
+        np.minimum.at(least, own, rank[at])
+        found = least[own] < rank[at]
+        length[at[found]], keeper[at[found]] = k, least[own][found]
+        if k == side.shape[1]:
+            break
+        stay = (np.bincount(own)[own] > 1) & (side[at, k] > 0)
+        at, own = at[stay], own[stay]
+        if not len(at):
+            break
+        own = np.unique(own << 32 | side[at, k].astype(np.int64), return_inverse=True)[1].astype(np.int64)
+    return length, keeper
+
+
+def grown_passages(sides: DataFrame, most: int) -> DataFrame:
+    """(doc, rid, passages) of ``sides(doc, rid, word, h, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
+
+    To each side a seed grows to the end of the longest passage through it that some earlier place holds, so it does not
+    matter which of the earlier places that is. Hot seeds are dealt to blocks in which any two places meet.
+    """
+
+    def run(batches):
+        for b in whole_groups(batches, ["h", "block"]):
+            doc, rid, word = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word"))
+            group = _mixed(b["h"].to_numpy(np.int64).view(np.uint64) + _mixed(b["block"].to_numpy(np.int64).view(np.uint64)))
+            order = np.lexsort((word, rid, doc))
+            fresh = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(rid[order]) != 0) | (np.diff(word[order]) != 0)][: len(b)]
+            rank = np.empty(len(b), np.int64)
+            rank[order] = np.cumsum(fresh) - 1  # equal rows have one rank
+            of_rank = doc[order][fresh]
+            left, right = (longest_earlier(group, rank, np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), SIDE)) for c in ("left", "right"))
+            yes = left[0] >= 0
+            yield pd.DataFrame({"doc": doc, "rid": rid, "low": word - np.maximum(left[0], 0), "high": word + SPAN + np.maximum(right[0], 0), "before": of_rank[left[1]], "after": of_rank[right[1]]})[yes]
+
+    dealt = split_hot(sides.withColumn("place", F.xxhash64("doc", "rid", "word")), ["h"], "place", most).drop("place")
+    grown = dealt.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(run, "doc long, rid long, low int, high int, before long, after long")
+    keepers = F.array_distinct(F.array("before", "after"))
+    return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", keepers.alias("keepers"))).alias("passages"))  # of one document
 
 
 def without_passages(lines: list[bytes], drop: set[int], passages: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -172,10 +233,8 @@ def without_passages(lines: list[bytes], drop: set[int], passages: list[tuple[in
     count = np.array([len(x.split()) for x in lines], np.int64)
     first = np.cumsum(count) - count
     cut = np.zeros(int(count.sum()) + 1, bool)
-    end = -REACH
-    for a, b in sorted(passages):
-        cut[a if a - end >= REACH else end : b] = True
-        end = max(end, b)
+    for a, b in passages:
+        cut[a:b] = True
     for i in drop:
         cut[first[i] : first[i] + count[i]] = False
     out = []
@@ -237,8 +296,9 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     are the components this document has a paragraph in that another paragraph shares, ``kept_in`` the
     doc_ids where the paragraphs removed here are kept.
 
-    With ``passages``, a passage of 49 words or more that an earlier document holds too is found inside other paragraphs and across
-    line ends as well: there its repeated runs of 20 words, and what lies between them, go (n_spans counts each such stretch).
+    With ``passages``, a passage of 49 words or more that an earlier place of this or another document holds too goes from
+    its first to its last word, wherever it stands, inside paragraphs and across line ends (n_spans counts each stretch);
+    of shorter ones those of 20 words or more in which a run is chosen go, also from end to end. No other word goes.
 
     Equal paragraphs are one class from the start, so copies form no pairs. Colliding classes of a band are
     verified exactly, in blocks of ``2 * most`` at most; only links between parts not yet connected are kept.
@@ -276,22 +336,36 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
 
     wanted = met.select("key").distinct().join(classes.select("key", "first.doc", "first.rid", "first.at"), "key")
     asked = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("at", "key")).alias("asked"))  # at most the paragraphs of one document
+    seeds = repeated_seeds(rows if passages else rows.limit(0))
+    asked = asked.join(seeds, ["doc", "rid"], "full")  # the texts are joined once for both
 
     def fetch(batches):
         for b in batches:
-            texts, asked = b["text"].tolist(), b["asked"].tolist()
+            doc, rid, texts, asked, seeds = (b[c].tolist() for c in ("doc", "rid", "text", "asked", "seeds"))
             for low, high in _slices(texts):
                 names, found = [], []
                 for t, a in zip(texts[low:high], asked[low:high]):
-                    lines = split_text(t)
-                    for x in a:
+                    lines = split_text(t) if a is not None else []
+                    for x in a if a is not None else ():
                         names.append(x["key"])
                         found.append(lines[x["at"]].lower().split())
-                h, first = shingle_hashes(found, words)
-                yield pd.DataFrame({"key": names, "shingles": [np.unique(s).view(np.int64) for s in np.split(h, first[1:])]})
-
-    shingles = rows.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("text", "asked").mapInPandas(fetch, "key string, shingles array<long>")
-    shingles = written(shingles, "paragraph-shingles")
+                if found:
+                    h, first = shingle_hashes(found, words)
+                    yield pd.DataFrame({"key": names, "shingles": [np.unique(s).view(np.int64) for s in np.split(h, first[1:])], "doc": None, "rid": None, "word": None, "h": None, "left": None, "right": None})
+                own, sides = [], []
+                for i in range(low, high):
+                    if seeds[i] is not None:
+                        own += [(doc[i], rid[i], x["word"], x["h"]) for x in seeds[i]]
+                        sides += [(x.tobytes(), y.tobytes()) for x, y in zip(*seed_sides(texts[i], seeds[i]))]
+                for k in range(0, len(own), 1 << 16):
+                    x = pd.DataFrame(own[k : k + (1 << 16)], columns=["doc", "rid", "word", "h"])
+                    left, right = zip(*sides[k : k + (1 << 16)])
+                    yield x.assign(key=None, shingles=None, left=left, right=right)
+
+    kinds = "key string, shingles array<long>, doc long, rid long, word int, h long, left binary, right binary"
+    fetched = rows.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "asked", "seeds").mapInPandas(fetch, kinds)
+    fetched = written(fetched, "paragraph-shingles")
+    shingles = fetched.where("key is not null").select("key", "shingles")
 
     def verify(batches):
         for b in whole_groups(batches, ["bucket"]):
@@ -325,9 +399,10 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
             x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs"])
             yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
 
-    inner = repeated_passages(rows) if passages else repeated_passages(rows.limit(0))
+    inner = grown_passages(fetched.where("h is not null").select("doc", "rid", "word", "h", "left", "right"), 16 * most)
     found = hits.join(inner, ["doc", "rid"], "full")
-    held = F.transform(F.coalesce("passages", F.array().cast("array<struct<low:int,high:int,keeper:bigint>>")), lambda x: F.nullif(x["keeper"], F.lit(LAST)))
+    held = F.flatten(F.coalesce("passages.keepers", F.array().cast("array<array<bigint>>")))
+    held = F.transform(held, lambda x: F.nullif(x, F.lit(LAST)))
     found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
     full = rows.join(found, ["doc", "rid"], "left").select("doc", "text", "gone", "passages", "classes", "kept_in")
     kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"

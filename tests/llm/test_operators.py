@@ -158,6 +158,41 @@ def test_passages_over_line_ends(spark):
     assert set(rows[1][1].split()) - set(passage) <= set(got[2]["kept_text"].split())
 
 
+def test_passages_go_from_end_to_end(spark):
+    """All 51 words and no others go, beside other copies of the seeds, between two quotations and within one document."""
+    from corpusq.llm.paragraphs import dedup_paragraphs, longest_earlier
+
+    rng = np.random.default_rng(13)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(0, 400, 10):
+        p, q = text(51), text(51)
+        part = " ".join(p.split()[10:41])  # an earlier document holds only the middle
+        head, gap, end = text(int(rng.integers(1, 60))), text(12), text(int(rng.integers(1, 60)))
+        rows += [(i, f"{text(9)} {part} {text(9)}"), (i + 1, f"{text(20)} {p} {text(5)}"), (i + 2, f"{text(20)}\n{q} {text(5)}")]
+        rows += [(i + 3, f"{head} {p} {gap} {q} {end}"), (i + 4, f"{end} {text(15)}")]
+        want[i + 3] = f"{head} {gap} {end}"
+        own, mid = text(51), text(33)
+        rows.append((i + 5, f"{own}\n{mid} {own} last"))
+        want[i + 5] = f"{own}\n{mid} last"
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), most=4096).collect()}
+    few = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), most=1).collect()}
+    for d, kept in want.items():
+        assert got[d]["kept_text"] == few[d]["kept_text"] == kept, d
+    group, side = rng.integers(0, 3, 200), rng.integers(0, 3, (200, 6)).astype(np.uint32)
+    rank = rng.permutation(200)
+    length, _ = longest_earlier(group, rank, side)
+
+    def shared(i, j):
+        k = 0
+        while k < 6 and side[i, k] and side[i, k] == side[j, k]:
+            k += 1
+        return k
+
+    for i in range(200):
+        assert length[i] == max((shared(i, j) for j in range(200) if group[j] == group[i] and rank[j] < rank[i]), default=-1)
+
+
 def test_paragraphs_hostile(spark, hostile):
     from corpusq.llm.paragraphs import dedup_paragraphs
 
