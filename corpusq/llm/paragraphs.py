@@ -411,5 +411,5 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraph de-duplication of all documents."""
-    return dedup_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    """Paragraph de-duplication of all documents, of every paragraph that has a word."""
+    return dedup_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1).drop("kept_text")

@@ -193,6 +193,22 @@ def test_passages_go_from_end_to_end(spark):
         assert length[i] == max((shared(i, j) for j in range(200) if group[j] == group[i] and rank[j] < rank[i]), default=-1)
 
 
+def test_op2_compares_short_paragraphs(spark, tmp_path):
+    """The query leaves no paragraph out: short lines go as well, the first copy stays, as all pairs have it."""
+    from corpusq.llm.paragraphs import op2_paragraphs
+
+    short = "licensed to you as is"
+    near = "the menu has a home link and a search field and one more link"
+    rows = [(i, "\n".join([f"own line {i}", short, "x", "", near + (" now" if i % 2 else ""), f"end {i} a b c d e"])) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    removed = _paragraph_brute(rows, least=1)
+    for r in op2_paragraphs(spark, str(tmp_path)).collect():
+        d, text = rows[r["doc_id"]]
+        kept = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in removed[(False, d)])
+        assert len(removed[(False, d)]) == (3 if d else 0)
+        assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_paragraphs_hostile(spark, hostile):
     from corpusq.llm.paragraphs import dedup_paragraphs
 
