@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     Documents are dealt by a seeded hash to shards of about ``shard_docs`` rows, whatever their source; blocks
     of ``block_words`` words are apportioned to sources by target and within a source to shards by size
     (Sainte-Lague both times). A shard repeats its words as often as its quota needs, up to ``most`` times, and
-    fills the rest with the first blocks of a seeded order of its documents. Null texts have size 0 and take
+    fills the rest with the first blocks of a seeded order of its documents; words of a quota above that go to the
+    source's other shards, so that short of ``most`` times its size a source gets its blocks in full. Null texts have size 0 and take
     nothing; null sources are a source of their own; null ids and repeated rows are kept; an empty table gives
     an empty one. A hot source is cut by its shards; only counts a source and shard are gathered.
     """
@@ -77,7 +78,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     targets = sainte_lague(targets, [], "sid", "target", "blocks").select(F.col("source").alias("_s"), "sid", "source_size", "target", F.col("quota").alias("_blocks"))
     dealt = units.join(targets, units["source"].eqNullSafe(targets["_s"]))
     dealt = sainte_lague(dealt, ["sid"], "_shard", "_unit", "_blocks")
-    dealt = dealt.select("_s", F.col("_shard").alias("_sh"), "source_size", "target", "_unit", F.least(F.col("quota") * block_words, F.col("_unit") * most).alias("_words"))
+    dealt = dealt.withColumn("_room", F.col("_unit") * most).withColumn("_words", F.least(F.col("quota") * block_words, F.col("_room")))
+    dealt = dealt.withColumn("_room", F.col("_room") - F.col("_words")).withColumn("_over", F.col("quota") * block_words - F.col("_words"))
+    # words above a shard's capacity go to the source's other shards in proportion to their room, whole words by the differences of the floors
+    own = W.partitionBy("sid")
+    upto = own.orderBy("_shard").rowsBetween(W.unboundedPreceding, W.currentRow)
+    dealt = dealt.withColumn("_all", F.sum("_room").over(own)).withColumn("_more", F.least(F.sum("_over").over(own), F.col("_all"))).withColumn("_upto", F.sum("_room").over(upto))
+    share = lambda c: F.when(F.col("_all") > 0, F.expr(f"cast(_more as decimal(19, 0)) * cast({c} as decimal(19, 0)) div cast(_all as decimal(19, 0))")).otherwise(F.lit(0).cast("long"))
+    dealt = dealt.select("_s", F.col("_shard").alias("_sh"), "source_size", "target", "_unit", (F.col("_words") + share("_upto") - share("(_upto - _room)")).alias("_words"))
     dealt = written(dealt, "mix-quotas")
 
     before = W.partitionBy("source", "_shard").orderBy("_o", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)

@@ -529,6 +529,19 @@ def test_mixing(spark, documents, hostile):
     assert mix(empty(spark)).count() == 0
 
 
+def test_mixing_fills_rare_sources(spark):
+    """A rare source of short texts over many shards of a few words each gets its target all the same."""
+    from corpusq.llm.mixing import mix
+
+    rows = [(i, "a", "w " * 10) for i in range(200)] + [(1000 + i, "b", "w " * 40) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for weights in ((1, 9), (1, 29), (1, 35), (1, 60)):
+        got = mix(df, weights=weights, shard_docs=2, keep=("source",)).toPandas()
+        assert (got["taken"] <= 3 * got["size"]).all()
+        for _, g in got.groupby("source"):
+            assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 64, weights
+
+
 def test_components(spark):
     from corpusq.llm.components import connected_components
 
