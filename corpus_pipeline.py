@@ -14,7 +14,7 @@ from corpusq.llm.decontaminate import contamination
 from corpusq.llm.mixing import WORD, mix
 from corpusq.llm.quality import fit_quality, held_out, score_quality
 from corpusq.llm.shared import shared_dir, written
-from corpusq.llm.simhash import simhash_groups
+from corpusq.llm.simhash import grouped_prints
 from corpusq.llm.token_records import read_records, write_records
 
 
@@ -34,16 +34,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document of smallest doc_id stays, once if rows repeat its id; rows without id are kept."""
-    groups = simhash_groups(docs)
-    groups = written(groups.select("doc_id", "component_id"), "pipeline-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each SimHash group one row stays, the first by doc_id (null last) and text, whatever ids other groups have."""
     rows, names, back = _apart(docs, "doc_id", "text")
-    first = rows.join(gone.hint("merge"), "doc_id", "left_anti")  # the ids grow with the input, so they are never broadcast
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        first = first.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_place = 1 or doc_id is null").drop("_place")
-    return first.select(*back)
+    rows = rows.withColumn("_row", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    groups = written(grouped_prints(rows, keep=("_row",)).select("doc_id", "_row", "root"), "pipeline-groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._row").alias("_kept_row"))
+    # the ids grow with the input, so they are never broadcast; rows of one id and text are of one group
+    kept = rows.join(first.hint("merge"), (F.col("_row") == F.col("_kept_row")) & F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    if groups.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count() > 0:
+        kept = kept.withColumn("_place", F.row_number().over(W.partitionBy("_id", "_row").orderBy("text"))).where("_place = 1").drop("_place")
+    return kept.select(*back)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,17 @@ def near_links(prints: DataFrame, distance: int = 4, most: int = 8192) -> DataFr
     return rows.mapInPandas(probe, "src long, dst long")
 
 
+def grouped_prints(docs: DataFrame, distance: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp, root, component_id, *keep)``: as simhash_groups, with ``root``, a fingerprint that names the group."""
+    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash_udf(F.col("text").cast("string")).alias("fp"), *keep), "simhash-prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected_components(near_links(nodes, distance))
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = joined.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep)
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
 
@@ -178,13 +189,7 @@ def simhash_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     blank texts have fingerprint zero and link like any other; rows with a null doc_id are kept (their
     component_id is null if no member has an id); an empty table gives an empty one; other columns are ignored.
     """
-    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash_udf(F.col("text").cast("string")).alias("fp")), "simhash-prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(near_links(nodes, distance))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped_prints(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -595,3 +595,15 @@ def test_pipeline(spark, tmp_path, hostile):
             now = stage(spark, now, SF)
             assert name.startswith("token") or now.columns == odd.columns
             now.collect()
+
+
+def test_near_duplicate_stage_keeps_one_row_a_group(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "en"), (2, a, "en"), (2, b, "en"), (2, c, "de"), (2, c, "de"), (None, d, "en"), (None, d, "fr"), (None, a, "en"), (3, b, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicate_stage(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (2, c), (None, d)], key=str)
