@@ -1,8 +1,9 @@
-"""Suffix-array style removal of repeated byte strings by bucket-pointer refinement.
+"""Suffix-array style removal of repeated byte strings by buckets refined with fingerprints at later offsets.
 
-All starts of ``length``-byte strings are put to buckets, and buckets are refined by the identifiers of the
-buckets at later offsets until each holds equal strings, as in Schuermann and Stoye's bucket-pointer
-refinement; buckets of one member need no refinement and are dropped at once:
+All starts of ``length``-byte strings are put to buckets, and buckets are refined by the identifiers at later
+offsets until each holds equal strings, after Schuermann and Stoye's bucket-pointer refinement, but without its
+recursive update: identifiers are fixed 64-bit fingerprints of q-grams, computed from the text in each step, and
+no refined bucket's identifier replaces them. Buckets of one member need no refinement and are dropped at once:
 
 1. Initial buckets are q-grams. Of the q-grams inside a string, the one of least identifier stands for it, so
    neighbouring starts share a bucket member (a run of starts around one q-gram) and only one row in about 35
