@@ -160,7 +160,7 @@ def test_passages_over_line_ends(spark):
 
 def test_passages_go_from_end_to_end(spark):
     """All 51 words and no others go, beside other copies of the seeds, between two quotations and within one document."""
-    from corpusq.llm.paragraphs import dedup_paragraphs, longest_earlier
+    from corpusq.llm.paragraphs import dedup_paragraphs
 
     rng = np.random.default_rng(13)
     text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
@@ -179,6 +179,8 @@ def test_passages_go_from_end_to_end(spark):
     few = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), most=1).collect()}
     for d, kept in want.items():
         assert got[d]["kept_text"] == few[d]["kept_text"] == kept, d
+    from corpusq.llm.paragraphs import longest_earlier
+
     group, side = rng.integers(0, 3, 200), rng.integers(0, 3, (200, 6)).astype(np.uint32)
     rank = rng.permutation(200)
     length, _ = longest_earlier(group, rank, side)
