@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.llm.shared import written
+
 #: Code point ranges of scripts (fixed values); letters outside them are script 0.
 SCRIPTS = [
     (0x0041, 0x024F, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0530, 0x058F, "Armenian"), (0x0590, 0x05FF, "Hebrew"), (0x0600, 0x077F, "Arabic"),
     (0x0900, 0x097F, "Devanagari"), (0x0E00, 0x0E7F, "Thai"), (0x10A0, 0x10FF, "Georgian"), (0x1E00, 0x1EFF, "Latin"), (0x3040, 0x30FF, "Kana"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"),
 ]
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -39,11 +42,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     letter, script = _tables()
     lowered = [t.lower() for t in texts]
-    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letter[c]
-    c = np.where(is_letter, c, 0)
+    c = c * is_letter
     at = np.flatnonzero(is_letter)
-    bucket = ((c[at - 1] * 0x9E3779B1 + c[at] * 0x85EBCA6B + c[at + 1] * 0xC2B2AE35) >> 9) % BUCKETS
+    mixed = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
+    bucket = (mixed >> np.uint32(32 - BUCKET_BITS))[at - 1].astype(np.int64)
     starts = np.flatnonzero(~is_letter[at - 1])
     ends = np.cumsum([len(t) + 1 for t in lowered])  # of each text in c
     return bucket, script[c[at]], starts, np.searchsorted(ends, at[starts] - 1, side="right")
@@ -51,56 +55,74 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 @dataclass
 class LanguageModel:
-    """log P(trigram | language) by bucket, and which languages are written in which script."""
+    """log P(trigram | language) by bucket, and which languages are written in which script; buckets are halved ``fold`` times."""
 
     langs: list[str]
     logp: np.ndarray
     allowed: np.ndarray
+    fold: int = 0
 
     def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of scores for each word, and the words' text numbers."""
         bucket, script, starts, text = trigrams(texts)
         if not len(starts):
             return np.zeros((0, len(self.langs)), np.float32), text
-        scores = np.add.reduceat(self.logp[bucket], starts, axis=0)
+        scores = np.add.reduceat(self.logp[bucket >> self.fold], starts, axis=0)
         allowed = self.allowed[script[starts]]
         return np.where(allowed, scores, scores.min(axis=1, keepdims=True) - 50), text
 
 
+def one_language(scores: np.ndarray, penalty: float) -> int | None:
+    """The single best language if no path with a switch can beat it, else None.
+
+    A path of k switches has a first and a last stretch and k - 1 between. Over the single best language they gain the
+    best prefix, the best suffix and k - 1 times the best stretch at most, so that the penalties outweigh all gains
+    where the best stretch, and the best prefix and suffix together, gain no more than one penalty.
+    """
+    total = scores.sum(axis=0, dtype=np.float64)
+    main = int(total.argmax())
+    gain = np.cumsum(scores - scores[:, main : main + 1], axis=0, dtype=np.float64)
+    low = np.minimum.accumulate(gain, axis=0)
+    stretch = max(float((gain[1:] - low[:-1]).max(initial=0.0)), float(gain.max()))
+    if stretch > penalty:
+        return None
+    suffix = float((gain[-1] - np.minimum(low[-1], 0.0)).max())
+    return main if max(0.0, float(gain.max())) + max(0.0, suffix) <= penalty else None
+
+
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word: the sum of scores less ``penalty`` for each switch is greatest.
 
-    One language throughout is best if no stretch of words gains more than the penalty elsewhere; only where
-    that bound fails are the steps taken.
+    The steps are taken only where a bound does not show that one language throughout is best.
     """
-    n, k = scores.shape
-    main = int(scores.sum(axis=0, dtype=np.float64).argmax())
-    gain = np.cumsum(scores.max(axis=1).astype(np.float64) - scores[:, main])
-    if (gain - np.minimum.accumulate(np.r_[0.0, gain[:-1]])).max() <= penalty:
+    n = len(scores)
+    main = one_language(scores, penalty)
+    if main is not None:
         return np.full(n, main, np.int32)
-    best = np.empty(n, np.int32)
-    stays = np.empty((n, k), bool)
-    v = scores[0].astype(np.float64)
-    for t in range(1, n):
-        b = int(v.argmax())
-        floor = v[b] - penalty
-        best[t] = b
-        np.greater_equal(v, floor, out=stays[t])
-        v = np.maximum(v, floor) + scores[t]
+    rows = scores.tolist()
+    v, seen = rows[0], []
+    for row in rows[1:]:
+        floor = max(v) - penalty
+        seen.append(v)
+        v = [(x if x >= floor else floor) + s for x, s in zip(v, row)]
     path = np.empty(n, np.int32)
-    at = int(v.argmax())
+    at = v.index(max(v))
     for t in range(n - 1, 0, -1):
         path[t] = at
-        if not stays[t, at]:
-            at = int(best[t])
+        v = seen[t - 1]
+        best = max(v)
+        if v[at] < best - penalty:
+            at = v.index(best)
     path[0] = at
     return path
 
 
-def fit_languages(docs: DataFrame, most_langs: int = 200, least_share: float = 0.02) -> LanguageModel:
+def fit_languages(docs: DataFrame, least_share: float = 0.02, model_bytes: int = 128 << 20) -> LanguageModel:
     """Trigram counts of all given rows with a lang, added up by Spark; the driver gets one number a bucket and language.
 
-    The ``most_langs`` languages with most letters are learned. Null and empty texts and null langs add nothing.
+    Every language is learned. With so many that a table of all buckets would have over ``model_bytes`` (1,024 languages),
+    neighbouring buckets are joined until it has not, so that the model stays of bounded size. Null and empty texts and
+    null langs add nothing; an empty table gives a model without languages; other columns are ignored.
     """
 
     def count(batches):
@@ -123,17 +145,21 @@ def fit_languages(docs: DataFrame, most_langs: int = 200, least_share: float = 0
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": table[at]})
 
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("bucket") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(most_langs).select("lang")
-    table = counts.join(F.broadcast(top), "lang").toPandas()  # most_langs * (BUCKETS + 256) numbers at most
+    counts = written(rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    many, fold = counts.select("lang").distinct().count(), 0
+    while many * (BUCKETS >> fold) * 4 > model_bytes and fold < BUCKET_BITS:
+        fold += 1
+    size = BUCKETS >> fold
+    place = F.when(F.col("bucket") < BUCKETS, F.shiftright("bucket", fold)).otherwise(F.col("bucket") - BUCKETS + size)
+    table = counts.groupBy("lang", place.alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # a number a language and bucket, bounded by model_bytes
     langs = sorted(table["lang"].unique())
-    full = np.zeros((BUCKETS + 256, max(1, len(langs))))
+    full = np.zeros((size + 256, max(1, len(langs))))
     full[table["bucket"].to_numpy(np.int64), pd.Index(langs).get_indexer(table["lang"])] = table["n"]
-    grams, scripts = full[:BUCKETS], full[BUCKETS:]
-    logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * BUCKETS)).astype(np.float32)
+    grams, scripts = full[:size], full[size:]
+    logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * size)).astype(np.float32)
     allowed = scripts >= least_share * np.maximum(scripts.sum(axis=0), 1)
     allowed[~allowed.any(axis=1)] = True  # a script not seen says nothing
-    return LanguageModel(langs, logp, allowed)
+    return LanguageModel(langs, logp, allowed, fold)
 
 
 SPANS = "array<struct<lang:string,first_word:int,last_word:int>>"
@@ -144,9 +170,10 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0
 
     Adds ``lang_pred`` (language of most words; ``und`` for a null text, one without a letter, or a model
     without languages), ``score`` (its share of the words, 0 for und) and ``spans`` (runs of words of one
-    language). Ties go to the language first in order. Rows are kept one to one; other columns are ignored.
+    language). Ties go to the language first in order. Rows are kept one to one, also those that repeat one or have a null
+    id; an empty table gives an empty one; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * buckets
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_languages
 
     def label(texts: list[str]) -> list[tuple[str, float, list]]:
         m = sent.value
