@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import struct
 import unicodedata
@@ -9,6 +11,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -21,10 +25,18 @@ from corpusq.llm.shared import put_in_place, shared_dir, written
 INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 HEAD, CRC = "<Q", "<I"
 
-#: The word pattern and lower-casing that the tokenizer file word_bpe_49k.json declares.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+")
-#: Characters for which Python and the tokenizer agree on case and classes; other texts are encoded whole.
+#: What a tokenizer file has to declare for its words to be encoded one by one (word_bpe_49k.json does).
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The declared pieces of many words at a time, one word a line.
+PIECES = regex.compile(r"\n|" + SPLIT["pattern"]["Regex"].replace(r"\s", r"\x09-\x0D\x20\x85\xA0"))
+#: Characters for which Python and the tokenizer agree on case, classes and white space; other texts are encoded whole.
 PLAIN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧‰-⁞€]*")
+#: Byte-level alphabet: bytes that print stand for themselves, the others are numbered from 256.
+_PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = {b: b if b in _PRINT else 256 + sum(x not in _PRINT for x in range(b)) for b in range(256)}
+_TOOLS: dict[tuple[str, int], "WordTokenizer"] = {}
 
 
 def masked(data: bytes) -> int:
@@ -33,11 +45,41 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+class Spans:
+    """Token ids of numbered strings, end to end in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.number: dict[str, int] = {}
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 14, dtype), 0
+
+    def add(self, names: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        n = len(self.number)
+        while n + len(names) > len(self.start):
+            self.start, self.count = np.r_[self.start, self.start], np.r_[self.count, self.count]
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.r_[self.flat, self.flat]
+        self.start[n : n + len(names)] = self.used + np.cumsum(count) - count
+        self.count[n : n + len(names)] = count
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(names, range(n, n + len(names))))
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, names, itertools.repeat(-1)), np.int64, len(names))
+
+    def ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these strings in order, and how many each has."""
+        count = self.count[which]
+        step = np.repeat(self.start[which] - np.cumsum(count) + count, count)
+        return self.flat[step + np.arange(len(step))], count
+
+
 class WordTokenizer:
     """The tokenizers library, with the ids of words seen before remembered.
 
-    Works where the tokenizer's pieces are encoded independently of each other and a word's end shows in its
-    last id; ``most`` bounds the memory.
+    Words are encoded one by one only where the file declares pieces that end at white space and are encoded
+    independently of each other; with any other file each text goes through the library whole. ``most`` bounds the memory.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -47,69 +89,89 @@ class WordTokenizer:
         self.tool = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_word = os.path.basename(path) == "word_bpe_49k.json"
-        self.last = np.zeros(self.tool.get_vocab_size() + 1, bool)
-        self.last[[i for t, i in self.tool.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        told = json.loads(self.tool.to_str())
+        told = [(told[k] or {}).get(of) for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))] + [told["post_processor"]]
+        self.by_word = told == [NORMALIZER, [SPLIT, BYTES], None]
         self.most = most
+        self.words, self.pieces = Spans(self.dtype), Spans(self.dtype)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        tokenize = self.tool.model.tokenize
+        found = [[x.id for x in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS))] for p in pieces]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        self.pieces.add(pieces, np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(count.sum())), count)
+
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words: their new pieces are encoded many at a time and told apart by the ids that end a word."""
-        split = [PIECES.findall(w) for w in words]
-        new = list({p for ps in split for p in ps if p not in self.pieces})
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = np.array(self.tool.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                cuts = [0, *(ends * width).tolist()]
-                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-            else:
-                self.pieces.update(zip(part, self._whole(part)))
-        get = self.pieces.__getitem__
-        self.words.update(zip(words, [b"".join(map(get, ps)) for ps in split]))
+        """Ids of new words, from those of their pieces."""
+        coded = pa.array([*PIECES.findall("\n".join(words)), "\n"]).dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if "\n" not in self.pieces.number:
+            self.pieces.add(["\n"], np.zeros(0, self.dtype), np.zeros(1, np.int64))
+        number = self.pieces.numbers(names)
+        new = np.flatnonzero(number < 0)
+        self._learn_pieces([names[i] for i in new])
+        number[new] = np.arange(len(self.pieces.number) - len(new), len(self.pieces.number))
+        flat, count = self.pieces.ids(number[which])
+        total = np.cumsum(count)[which == names.index("\n")]
+        self.words.add(words, flat, np.diff(total, prepend=0))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned integers."""
         if not self.by_word:
             return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
-        found: list[tuple[int, list[str]]] = []
+        found, lowered = [], []
         for i, t in enumerate(texts):
             plain = not any(c in t for c in "\x1c\x1d\x1e\x1f") if t.isascii() else PLAIN.fullmatch(t)
             if not plain or ("<|" in t and any(s in t for s in self.special)):
                 out[i] = self._whole([t])[0]
             elif t:
-                found.append((i, (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split()))
-        if len(self.words) > self.most or len(self.pieces) > self.most:
-            self.words.clear()
-            self.pieces.clear()
-        new = {w for _, ws in found for w in ws}.difference(self.words)
-        if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        for i, ws in found:
-            out[i] = b"".join(map(get, ws))
+                found.append(i)
+                lowered.append((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
+        if not found:
+            return out
+        if len(self.words.number) > self.most or len(self.pieces.number) > self.most:
+            self.words, self.pieces = Spans(self.dtype), Spans(self.dtype)
+        split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        number = self.words.numbers(names)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self._learn([names[i] for i in new])
+            number[new] = np.arange(len(self.words.number) - len(new), len(self.words.number))
+        flat, count = self.words.ids(number[coded.indices.to_numpy()])
+        end = np.r_[0, np.cumsum(count)][split.offsets.to_numpy()] * self.dtype.itemsize
+        raw = flat.tobytes()
+        for i, a, b in zip(found, end[:-1].tolist(), end[1:].tolist()):
+            out[i] = raw[a:b]
         return out
 
 
+def _tool(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, which serves several tasks in turn."""
+    key = (path, os.getpid())
+    if key not in _TOOLS:
+        _TOOLS[key] = WordTokenizer(path)
+    return _TOOLS[key]
+
+
 def _open(uri: str):
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     return fs, path
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, batch_bytes: int = 1 << 20) -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write records in ascending doc_id order under ``path``.
 
     Each range of ids becomes one data file of records (length, its masked checksum, a payload of id width,
     doc_id and token ids, the payload's masked checksum) and one index file of fixed-width entries. Files are
     written under a name of the attempt and then renamed, so a repeated task leaves whole files. Null texts are
-    empty, so they hold the end id alone; null ids come first; equal ids are ordered by text.
+    empty, so they hold the end id alone; null ids come first; equal ids are ordered by text, repeated rows are kept.
+    An empty table writes no file and gives an empty manifest; other columns are ignored.
     Returns the manifest (part, docs, tokens, bytes), one row a file.
     """
 
@@ -124,7 +186,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
         data = index = None
         for b in batches:
             if tool is None:
-                tool = WordTokenizer(tokenizer)
+                tool = _tool(tokenizer)
                 tail = np.array([end_id], tool.dtype).tobytes()
                 data, index = fs.open_output_stream(temp + ".rec"), fs.open_output_stream(temp + ".idx")
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()
@@ -159,11 +221,40 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
     return written(order.mapInPandas(run, "part int, docs long, tokens long, bytes long"), "token-manifest")
 
 
+def _records(fs, file: str, entries: np.ndarray, most: int = 4 << 20):
+    """(entry, ids) of index entries in any order, each read by its offset; neighbours in the file come in one read.
+
+    Lengths and checksums are tested, and ids are returned as little-endian unsigned 32-bit integers.
+    """
+    offset, size = entries["offset"].astype(np.int64), entries["bytes"].astype(np.int64) + 16
+    with fs.open_input_file(file) as data:
+        at = 0
+        while at < len(entries):
+            k, used = at + 1, int(size[at])
+            while k < len(entries) and offset[k] == offset[k - 1] + size[k - 1] and used + size[k] <= most:
+                used += int(size[k])
+                k += 1
+            block, low = data.read_at(used, int(offset[at])), 0
+            for e in entries[at:k].tolist():
+                raw = block[low : low + e[3] + 16]
+                low += e[3] + 16
+                head, payload = raw[:8], raw[12:-4]
+                if len(raw) != e[3] + 16 or struct.unpack(HEAD, head)[0] != e[3] or struct.unpack(CRC, raw[8:12])[0] != masked(head) or struct.unpack(CRC, raw[-4:])[0] != masked(payload):
+                    raise OSError(f"damaged record of document {e[0]} in {file}")
+                yield e, np.frombuffer(payload, np.dtype(f"<u{payload[0]}"), offset=10).astype("<u4").tobytes()
+            at = k
+
+
+def _rows(out: list[tuple], columns: list[str]) -> pd.DataFrame:
+    x = pd.DataFrame(out, columns=columns)
+    return x.assign(doc_id=x["doc_id"].astype("Int64"))
+
+
 def read_records(manifest: DataFrame, path: str, rows: int = 2000) -> DataFrame:
     """Read the record files back through their index, checking every length and checksum.
 
     Returns (doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before it in the corpus;
-    ``ids`` are little-endian unsigned 32-bit integers.
+    ``ids`` are little-endian unsigned 32-bit integers. An empty manifest gives an empty table.
     """
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a file
     n = max(1, manifest.count())
@@ -172,23 +263,54 @@ def read_records(manifest: DataFrame, path: str, rows: int = 2000) -> DataFrame:
         fs, base = _open(path)
         for b in batches:
             for part, start in zip(b["part"].tolist(), b["base"].tolist()):
-                with fs.open_input_stream(f"{base}/part-{part:06d}.rec") as data, fs.open_input_stream(f"{base}/part-{part:06d}.idx") as index:
+                with fs.open_input_stream(f"{base}/part-{part:06d}.idx") as index:
                     while chunk := index.read(INDEX.itemsize * rows):
                         out = []
-                        for doc, null, _, size, tokens in np.frombuffer(chunk, INDEX).tolist():
-                            raw = data.read(size + 16)
-                            head, payload = raw[:8], raw[12:-4]
-                            if struct.unpack(HEAD, head)[0] != size or struct.unpack(CRC, raw[8:12])[0] != masked(head) or struct.unpack(CRC, raw[-4:])[0] != masked(payload):
-                                raise OSError(f"damaged record of document {doc} in part {part}")
-                            ids = np.frombuffer(payload, np.dtype(f"<u{payload[0]}"), offset=10).astype("<u4").tobytes()
-                            out.append((None if null else doc, start, tokens, ids))
-                            start += tokens
-                        x = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids"])
-                        yield x.assign(doc_id=x["doc_id"].astype("Int64"))
+                        for e, ids in _records(fs, f"{base}/part-{part:06d}.rec", np.frombuffer(chunk, INDEX)):
+                            out.append((None if e[1] else e[0], start, e[4], ids))
+                            start += e[4]
+                        yield _rows(out, ["doc_id", "start", "n_tokens", "ids"])
 
     return files.select("part", "base").repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_shuffled(manifest: DataFrame, path: str, seed: str = "epoch-1", partitions: int | None = None) -> DataFrame:
+    """All records in a seeded random order, each read by the offset that the index gives.
+
+    Only index entries are shuffled: every entry gets a draw of the seed and its place, partitions take ranges of
+    draws by hash, and a task reads its records' ranges. Returns (doc_id, n_tokens, ids) in the drawn order within
+    each of ``partitions`` (one for each file by default) partitions; the same seed gives the same order.
+    """
+    n = partitions or max(1, manifest.count())
+
+    def entries(batches):
+        fs, base = _open(path)
+        for b in batches:
+            for part in b["part"].tolist():
+                with fs.open_input_stream(f"{base}/part-{part:06d}.idx") as index:
+                    while chunk := index.read(INDEX.itemsize * 10_000):
+                        yield pd.DataFrame(np.frombuffer(chunk, INDEX)).astype("int64").assign(part=part)
+
+    def fetch(batches):
+        fs, base = _open(path)
+        for b in batches:
+            for low in range(0, len(b), 500):
+                some = b.iloc[low : low + 500].reset_index(drop=True)
+                got: dict[int, tuple] = {}
+                for part, g in some.sort_values(["part", "offset"]).groupby("part"):
+                    wanted = np.zeros(len(g), INDEX)
+                    for c in INDEX.names:
+                        wanted[c] = g[c].to_numpy()
+                    for i, (e, ids) in zip(g.index, _records(fs, f"{base}/part-{part:06d}.rec", wanted)):
+                        got[i] = (None if e[1] else e[0], e[4], ids)
+                yield _rows([got[i] for i in range(len(some))], ["doc_id", "n_tokens", "ids"])
+
+    kinds = "doc_id long, null_id long, offset long, bytes long, tokens long, part int"
+    index = manifest.select("part").repartition(max(1, manifest.count())).mapInPandas(entries, kinds)
+    drawn = index.withColumn("draw", F.md5(F.concat_ws("/", F.lit(seed), "part", "offset")))
+    return drawn.repartition(n, "draw").sortWithinPartitions("draw").drop("draw").mapInPandas(fetch, "doc_id long, n_tokens long, ids binary")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token records of all documents, written and read back."""
     import public_tokenizers

@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage against brute force, on hostile rows and on the smallest tables."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -281,6 +282,30 @@ def test_token_records(spark, hostile, documents):
         assert known == sorted(known)
 
 
+def test_token_records_shuffled_and_other_tokenizers(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusq.llm.shared import shared_dir
+    from corpusq.llm.token_records import WordTokenizer, read_records, read_shuffled, write_records
+
+    folder = shared_dir(spark, "test-shuffled")
+    manifest = write_records(documents, folder, public_tokenizers.path("word_bpe_49k.json"))
+    plain = {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in read_records(manifest, folder).collect()}
+    one, again, other = (read_shuffled(manifest, folder, seed, 3).collect() for seed in ("a", "a", "b"))
+    assert {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in one} == plain and len(one) == len(plain)
+    order = [r["doc_id"] for r in one]
+    assert order == [r["doc_id"] for r in again] != [r["doc_id"] for r in other] and order != sorted(order)
+    texts = [r["text"] for r in documents.limit(30).collect()] + ["", " a  b ", "don't 'S x\u0085y\u00a0z é É ÇA 123,45%%%", "a\nb\tc"]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        tool, own = Tokenizer.from_file(path), WordTokenizer(path, most=50)
+        assert own.by_word is by_word
+        for _ in range(2):
+            for t, raw in zip(texts, own.encode(texts)):
+                assert np.frombuffer(raw, own.dtype).tolist() == tool.encode(t, add_special_tokens=False).ids
+
+
 def test_token_records_damage(spark, documents):
     import public_tokenizers
 
@@ -482,6 +507,70 @@ def test_language(spark, hostile):
     assert label_languages(empty(spark), model).count() == 0
 
 
+def test_language_bound_and_many_languages(spark):
+    from corpusq.llm.language import fit_languages, label_languages, one_language, viterbi
+
+    assert viterbi(np.array([[6, -7, 0], [-7, 6, 0]], np.float32), 8.0).tolist() == [0, 1]  # the best path never uses the best single language
+    rng, used = np.random.default_rng(5), 0
+    for _ in range(3000):
+        n, k, p = int(rng.integers(1, 6)), int(rng.integers(1, 4)), float(rng.uniform(0, 12))
+        s = (rng.normal(size=(n, k)) * 3).astype(np.float32)
+        main = one_language(s, p)
+        if main is not None:
+            used += 1
+            best = max(sum(float(s[t, x]) for t, x in enumerate(q)) - p * sum(a != b for a, b in zip(q, q[1:])) for q in np.ndindex(*[k] * n))
+            assert float(s[:, main].sum()) >= best - 1e-4
+    assert used > 500
+    words = {"a": "alpha beta gamma", "b": "uno dos tres", "c": "eins zwei drei", "d": "moja mbili tatu"}
+    train = spark.createDataFrame([(k, v) for k, v in words.items()], "lang string, text string")
+    small = fit_languages(train, model_bytes=4 * 4 * 2048)
+    assert small.langs == list(words) and small.logp.shape == (2048, 4) and small.fold == 4
+    got = label_languages(spark.createDataFrame([(i, t) for i, t in enumerate(words.values())], "doc_id long, text string"), small).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == dict(enumerate(words))
+
+
+def test_language_brute_force(spark):
+    """Label, score and spans of whole texts against words, scores and steps written out one by one."""
+    from corpusq.llm.language import SCRIPTS, fit_languages, held_out, label_languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, penalty = fit_languages(docs.where(~held_out()).select("text", "lang")), 12.0
+    names = list(dict.fromkeys(n for _, _, n in SCRIPTS))
+    rows = [(r["doc_id"], r["text"][:3000]) for r in docs.orderBy("doc_id").limit(60).collect()]
+    rows += [(10_000 + i, a[1][:200] + " " + b[1][:200]) for i, (a, b) in enumerate(zip(rows, rows[7:]))]
+    got = {r["doc_id"]: r for r in label_languages(spark.createDataFrame(rows, "doc_id long, text string"), model, penalty).collect()}
+    switched = 0
+    for doc, text in rows:
+        scores = []
+        for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in text.lower())):
+            c = [0, *map(ord, word), 0]
+            total = np.zeros(len(model.langs), np.float32)
+            for x, y, z in zip(c, c[1:], c[2:]):
+                total = total + model.logp[((x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % 2**32) >> 17]
+            script = next((names.index(n) + 1 for low, high, n in SCRIPTS[::-1] if low <= c[1] <= high), 0)
+            scores.append([float(s) if ok else float(min(total)) - 50 for s, ok in zip(total, model.allowed[script])])
+        if not scores:
+            assert got[doc]["lang_pred"] == "und"
+            continue
+        best, back = scores[0], []
+        for row in scores[1:]:
+            come = [max(range(len(best)), key=lambda j: (best[j] - penalty * (j != i), j == i)) for i in range(len(best))]  # noqa: B023
+            back.append(come)
+            best = [best[j] - penalty * (j != i) + s for i, (j, s) in enumerate(zip(come, row))]
+        path = [best.index(max(best))]
+        for come in reversed(back):
+            path.append(come[path[-1]])
+        path.reverse()
+        spans = [x for x in got[doc]["spans"]]
+        own = [model.langs.index(x["lang"]) for x in spans for _ in range(x["first_word"], x["last_word"] + 1)]
+        value = lambda q: sum(s[x] for s, x in zip(scores, q)) - penalty * sum(a != b for a, b in zip(q, q[1:]))  # noqa: B023, E731
+        assert len(own) == len(path) and value(own) == pytest.approx(value(path), abs=0.05)
+        switched += len(spans) > 1
+        count = [own.count(i) for i in range(len(model.langs))]
+        assert got[doc]["lang_pred"] == model.langs[count.index(max(count))] and got[doc]["score"] == max(count) / len(own)
+    assert switched > 3
+
+
 def _seats(votes, n):
     won = [0] * len(votes)
     for _ in range(n):
