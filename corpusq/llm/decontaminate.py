@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.llm.shared import put_in_place, shared_dir, written
+
 #: Bytes that belong to words: digits, letters and everything outside ASCII; A-Z are lower-cased, others are gaps.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 32 for b in range(256))
 TABLE_BITS = 20  # of the shift tables, which are indexed by a hash of a block
@@ -36,13 +42,13 @@ class WuManber:
         self.width = w = 8 if m >= 16 else 3
         rows = self.blocks(b"".join(p[:m] for p in patterns))
         base = np.arange(len(patterns)) * m
-        self.shift = np.full(1 << TABLE_BITS, m - w + 1, np.int64)
+        self.shift = np.full(1 << TABLE_BITS, m - w + 1, np.int32)
         for end in range(w - 1, m):  # ever smaller shifts
             self.shift[self.hashed(rows[base + end - w + 1])] = m - 1 - end
         suffix = self.hashed(rows[base + m - w])
         self.order = np.argsort(suffix, kind="stable")
-        count = np.bincount(suffix, minlength=1 << TABLE_BITS)
-        self.first, self.count = np.cumsum(count) - count, count
+        self.count = np.bincount(suffix, minlength=1 << TABLE_BITS).astype(np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
 
     @staticmethod
     def blocks(buffer: bytes) -> np.ndarray:
@@ -77,7 +83,7 @@ class WuManber:
         starts, which = [], []
         for low in range(0, len(end), 1 << 16):
             e, s = end[low : low + (1 << 16)], suffix[low : low + (1 << 16)]
-            many = self.count[s]
+            many = self.count[s].astype(np.int64)
             at = np.repeat(e - m + 1, many)
             p = self.order[np.repeat(self.first[s] - np.cumsum(many) + many, many) + np.arange(many.sum())]
             ok = [i for i, (x, y) in enumerate(zip(at.tolist(), p.tolist())) if buffer.startswith(self.patterns[y], x)]
@@ -100,64 +106,112 @@ class Items:
         self.groups = [(WuManber([w for w, _ in g]), np.array([n for _, n in g]), [owners[w] for w in g]) for g in groups.values()]
 
 
-def _scan(docs: list[list[bytes]], blocks: list[Items]) -> list[tuple[int, set[str]]]:
-    """Words hit and items found, for each of a few documents."""
-    parts = [b" " + b" ".join(w) + b" \n" for w in docs]
-    buffer = b"".join(parts)
-    gaps = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
-    first = np.cumsum([0] + [max(len(w), 1) + 1 for w in docs])  # each document's first gap; an empty one has two
-    cover = np.zeros(len(gaps) + 1, np.int32)
-    items: list[set[str]] = [set() for _ in docs]
-    for block in blocks:
+class Chunk:
+    """A few documents in one buffer: their words hit and the items found, as block after block is looked for."""
+
+    def __init__(self, texts: list[str | None]):
+        words = [words_of(t) for t in texts]
+        self.counts = [len(w) for w in words]
+        self.buffer = b"".join(b" " + b" ".join(w) + b" \n" for w in words)
+        self.gaps = np.flatnonzero(np.frombuffer(self.buffer, np.uint8) == 32)
+        self.first = np.cumsum([0] + [max(n, 1) + 1 for n in self.counts])  # each document's first gap; an empty one has two
+        self.cover = np.zeros(len(self.gaps) + 1, np.int32)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def look_for(self, block: Items) -> None:
         for tables, width, owners in block.groups:
-            start, which = tables.scan(buffer)
-            gap = np.searchsorted(gaps, start)
-            np.add.at(cover, gap, 1)
-            np.add.at(cover, gap + width[which], -1)
-            doc = np.searchsorted(first, gap, side="right") - 1
+            start, which = tables.scan(self.buffer)
+            gap = np.searchsorted(self.gaps, start)
+            np.add.at(self.cover, gap, 1)
+            np.add.at(self.cover, gap + width[which], -1)
+            doc = np.searchsorted(self.first, gap, side="right") - 1
             for d, p in set(zip(doc.tolist(), which.tolist())):
-                items[d] |= owners[p]
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
-    return [(int(hit[first[i + 1]] - hit[first[i]]), items[i]) for i in range(len(docs))]
+                self.items[d] |= owners[p]
+
+    def hits(self) -> list[int]:
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.cover) > 0)])
+        return (hit[self.first[1:]] - hit[self.first[:-1]]).tolist()
+
+
+def write_blocks(benchmark: DataFrame, window: int, block_bytes: int, path: str) -> list[int]:
+    """Deal the items of a benchmark to blocks of about ``block_bytes`` of text and write each one's tables; their numbers.
+
+    Spark deals the items by hash and builds a block a task; the driver sees the sum of sizes and the numbers alone.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+
+    def build(key, rows):
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(base)
+        final = f"{base}/block-{int(key[0]):06d}.bin"
+        temp = f"{final}.try-{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(temp) as out:
+            out.write(pickle.dumps(Items(list(zip(rows["item"].where(rows["item"].notna(), None), rows["text"])), window)))
+        put_in_place(fs, temp, final)
+        return pd.DataFrame({"block": [key[0]]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks).cast("long")))
+    return sorted(r["block"] for r in written(dealt.groupBy("block").applyInPandas(build, "block long"), "benchmark-blocks").collect())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 2 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of benchmark windows in every whole document.
 
     ``docs(doc_id, text)`` -> (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, *keep), a row for
     each row. A window is ``window`` consecutive words of an item, or all of a shorter item's; a document word
-    inside any occurrence is hit. The benchmark is the stated query set: it is read in blocks of
-    ``block_bytes`` of text, each broadcast by itself, so no broadcast grows beyond that; the documents are
-    read once and not shuffled. Null and empty texts have no words; items without words find nothing; an item
-    without id marks words but is not counted; repeated ids count once; an empty benchmark finds nothing.
+    inside any occurrence is hit. The benchmark is the stated query set: Spark deals it to blocks of about
+    ``block_bytes`` of text whose tables are written to the shared folder, and a task holds the tables of one block
+    at a time, so memory does not grow with the benchmark; the documents are read once and not shuffled.
+    Null and empty texts have no words; items without words find nothing; an item without id marks words but is not
+    counted; repeated ids count once; repeated rows and null doc_ids are kept; an empty benchmark finds nothing, an
+    empty table gives an empty one; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sent, block, used = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        used += len(r[1])
-        if used >= block_bytes:
-            sent.append(spark.sparkContext.broadcast(block))
-            block, used = [], 0
-    sent.append(spark.sparkContext.broadcast(block))
+    path = shared_dir(docs.sparkSession, "benchmark-tables")
+    blocks = write_blocks(benchmark, window, block_bytes, path)
 
     def run(batches):
-        blocks = [Items(b.value, window) for b in sent]
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        loaded: dict[int, Items] = {}
+
+        def block(i: int) -> Items:
+            if i not in loaded:
+                loaded.clear()
+                with fs.open_input_stream(f"{base}/block-{i:06d}.bin") as data:
+                    loaded[i] = pickle.loads(data.read())
+            return loaded[i]
+
+        def scanned(held):
+            order = blocks if not blocks or blocks[0] in loaded else blocks[::-1]  # begin with the block at hand
+            for i in order:
+                tables = block(i)
+                for _, chunks in held:
+                    for c in chunks:
+                        c.look_for(tables)
+            for batch, chunks in held:
+                counts, hits, items = ([x for c in chunks for x in part(c)] for part in (lambda c: c.counts, Chunk.hits, lambda c: c.items))
+                names = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+                new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(names, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), *new], names=["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+        held, size = [], 0
         for batch in batches:
-            found, words, used = [], [], 0
-            counts = np.zeros(batch.num_rows, np.int64)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words.append(words_of(text))
-                counts[i] = len(words[-1])
+            chunks, texts, used = [], [], 0
+            for text in batch.column("text").to_pylist():
+                texts.append(text)
                 used += len(text or "")
                 if used > 4 << 20:
-                    found += _scan(words, blocks)
-                    words, used = [], 0
-            found += _scan(words, blocks) if words else []
-            hits = np.array([h for h, _ in found], np.int64)
-            names = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for _, x in found]
-            new = [pa.array(counts), pa.array(hits), pa.array([len(x) for _, x in found], pa.int64()), pa.array(names, pa.string()), pa.array(hits > 0)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), *new], names=["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                    chunks.append(Chunk(texts))
+                    size += used
+                    texts, used = [], 0
+            chunks.append(Chunk(texts))
+            held.append((batch, chunks))
+            size += used
+            if size > 32 << 20:  # enough to scan for the loading of a block
+                yield from scanned(held)
+                held, size = [], 0
+        yield from scanned(held)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = ["doc_id", *keep, "text"] if "text" not in keep else ["doc_id", *keep]
