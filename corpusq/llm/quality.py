@@ -37,17 +37,15 @@ def _load(data: bytes, level: int) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def features(text: str | None, good, bad) -> tuple[float, float, float]:
-    """Constant, normalised difference of the two compressed sizes over the whole text, and the better size a byte."""
+def features(text: str | None, good, bad) -> tuple[float, float]:
+    """Constant, and the normalised difference of the two compressed sizes over the whole text (0 for an empty one)."""
     raw = (text or "").encode("utf-8")
     g = b = 0
     for at in range(0, len(raw), PIECE):
         piece = raw[at : at + PIECE]
         g += len(good.compress(piece))
         b += len(bad.compress(piece))
-    if not raw:
-        return 1.0, 0.0, 0.5
-    return 1.0, 10 * (b - g) / max(b + g, 1), min(g, b) / len(raw)
+    return 1.0, 10 * (b - g) / max(b + g, 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -89,7 +87,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, longest: i
         except zstandard.ZstdError:  # too little to train on: the content itself serves
             dicts[q] = b"".join(pieces)[-dict_bytes:].ljust(16, b" ")
         rest[q] = [t.decode("utf-8") for t in texts[cut:]]
-    model = QualityModel(dicts[1], dicts[0], (0.0, 0.0, 0.0))
+    model = QualityModel(dicts[1], dicts[0], (0.0, 0.0))
     tools = [zstandard.ZstdCompressor(level=model.level, dict_data=_load(d, model.level), write_content_size=False, write_dict_id=False) for d in (dicts[1], dicts[0])]
     x = np.array([features(t, *tools) for q in (0, 1) for t in rest[q]])
     y = np.array([float(q) for q in (0, 1) for _ in rest[q]])
@@ -100,7 +98,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, longest: i
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` to the ``keep`` columns of every row.
 
-    Whole texts count; null and empty texts get the calibrated score of a zero difference. No shuffle.
+    Whole texts count; null and empty texts get the calibrated score of a zero difference. No shuffle. Repeated rows and
+    null ids are kept, an empty table gives an empty one, and columns that are not in ``keep`` are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
