@@ -50,49 +50,65 @@ def sainte_lague(df: DataFrame, group: list[str], key: str, votes: str, seats: s
     return d.join(won, [*group, key], "left").select(*df.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_docs: int = 2_000, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
+GROUP = 1024  # shards of a source that are ranked together
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_docs: int = 2_000, shard_words: int = 2_048, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
     """Words that a mix by source weights takes of every document.
 
     ``docs(doc_id, source, text)`` -> (doc_id, size, source_size, target, taken, *keep), a row for each row.
-    Documents are dealt by a seeded hash to shards of about ``shard_docs`` rows, whatever their source; blocks
-    of ``block_words`` words are apportioned to sources by target and within a source to shards by size
-    (Sainte-Lague both times). A shard repeats its words as often as its quota needs, up to ``most`` times, and
-    fills the rest with the first blocks of a seeded order of its documents; words of a quota above that go to the
-    source's other shards, so that short of ``most`` times its size a source gets its blocks in full. Null texts have size 0 and take
-    nothing; null sources are a source of their own; null ids and repeated rows are kept; an empty table gives
-    an empty one. A hot source is cut by its shards; only counts a source and shard are gathered.
+    Documents are dealt by a seeded hash to shards of their source, of ``shard_docs`` rows or ``shard_words`` words
+    or more (a source of less is one shard). Blocks of ``block_words`` words are apportioned to sources by target,
+    and within a source by size to groups of 1,024 shards and to the shards of a group (Sainte-Lague each time).
+    A shard repeats its words as often as its quota needs, up to ``most`` times, and fills the rest with the first
+    blocks of a seeded order of its documents; words of a quota above that go to the other shards of its group, so
+    a source misses its target by about a block, and one whose target is ``most`` times its size by a block a group.
+    Null texts have size 0 and take nothing; null sources are a source of their own; null ids are drawn by their
+    text; repeated rows are kept, ordered by id, size and text; an empty table gives an empty one.
+    A hot source is cut by its shards; only counts a source and shard are gathered.
     """
-    sized = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], word_count().alias("size"))
+    whole = F.xxhash64(F.col("text").cast("string"))
+    sized = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], word_count().alias("size"), whole.alias("_t"))
     sized = written(sized, "mix-sizes")
     n = sized.count()
-    shards = max(8, -(-n // shard_docs))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    fine = 1 << max(3, (-(-n // shard_docs) - 1).bit_length())  # a power of two, so that fewer shards are unions of these
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.col("_t").cast("string")))
     draw = F.md5(F.concat(F.lit(seed), ident))
-    rows = sized.withColumn("_o", draw).withColumn("_shard", (F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") % shards).cast("int"))
+    rows = sized.withColumn("_o", draw).withColumn("_fine", (F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") % fine).cast("int"))
 
-    units = rows.groupBy("source", "_shard").agg(F.sum("size").alias("_unit"), F.count(F.lit(1)).alias("_rows"))
+    units = rows.groupBy("source", "_fine").agg(F.sum("size").alias("_unit"), F.count(F.lit(1)).alias("_rows"))
     units = written(units, "mix-units")
     targets = source_targets(units.select("source", F.col("_unit").alias("size")), list(weights), most)
     total = F.sum("target").over(W.partitionBy(F.lit(0)))
     targets = targets.withColumn("blocks", F.round(total / block_words).cast("long"))
     targets = sainte_lague(targets, [], "sid", "target", "blocks").select(F.col("source").alias("_s"), "sid", "source_size", "target", F.col("quota").alias("_blocks"))
-    dealt = units.join(targets, units["source"].eqNullSafe(targets["_s"]))
-    dealt = sainte_lague(dealt, ["sid"], "_shard", "_unit", "_blocks")
+    counts = units.groupBy("source").agg(F.sum("_rows").alias("_rows"))
+    targets = targets.join(counts, targets["_s"].eqNullSafe(counts["source"])).drop("source")
+    wanted = F.greatest(F.lit(1).cast("long"), F.expr(f"source_size div {shard_words}"), F.expr(f"_rows div {shard_docs}"))
+    targets = targets.withColumn("_shards", wanted)
+    targets = targets.withColumn("_shards", F.least(F.lit(fine).cast("long"), F.expr("shiftleft(1L, length(bin(_shards)) - 1)")))
+    placed = units.join(targets.drop("_rows"), units["source"].eqNullSafe(targets["_s"])).withColumn("_shard", F.col("_fine") % F.col("_shards"))
+
+    shards = placed.groupBy("sid", "_shard").agg(F.sum("_unit").alias("_unit"), F.first("_blocks").alias("_blocks")).withColumn("_group", F.expr(f"_shard div {GROUP}"))
+    groups = shards.groupBy("sid", "_group").agg(F.sum("_unit").alias("_unit"), F.first("_blocks").alias("_blocks"))
+    groups = sainte_lague(groups, ["sid"], "_group", "_unit", "_blocks").select("sid", "_group", F.col("quota").alias("_seats"))
+    dealt = sainte_lague(shards.join(groups, ["sid", "_group"]), ["sid", "_group"], "_shard", "_unit", "_seats")
     dealt = dealt.withColumn("_room", F.col("_unit") * most).withColumn("_words", F.least(F.col("quota") * block_words, F.col("_room")))
     dealt = dealt.withColumn("_room", F.col("_room") - F.col("_words")).withColumn("_over", F.col("quota") * block_words - F.col("_words"))
-    # words above a shard's capacity go to the source's other shards in proportion to their room, whole words by the differences of the floors
-    own = W.partitionBy("sid")
+    # words above a shard's capacity go to the group's other shards in proportion to their room, whole words by the differences of the floors
+    own = W.partitionBy("sid", "_group")
     upto = own.orderBy("_shard").rowsBetween(W.unboundedPreceding, W.currentRow)
     dealt = dealt.withColumn("_all", F.sum("_room").over(own)).withColumn("_more", F.least(F.sum("_over").over(own), F.col("_all"))).withColumn("_upto", F.sum("_room").over(upto))
     share = lambda c: F.when(F.col("_all") > 0, F.expr(f"cast(_more as decimal(19, 0)) * cast({c} as decimal(19, 0)) div cast(_all as decimal(19, 0))")).otherwise(F.lit(0).cast("long"))
-    dealt = dealt.select("_s", F.col("_shard").alias("_sh"), "source_size", "target", "_unit", (F.col("_words") + share("_upto") - share("(_upto - _room)")).alias("_words"))
+    dealt = dealt.select("sid", "_shard", F.col("_unit").alias("_size"), (F.col("_words") + share("_upto") - share("(_upto - _room)")).alias("_words"))
+    dealt = placed.join(dealt, ["sid", "_shard"]).select("_s", F.col("_fine").alias("_f"), "sid", "_shard", "source_size", "target", "_size", "_words")
     dealt = written(dealt, "mix-quotas")
 
-    before = W.partitionBy("source", "_shard").orderBy("_o", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    joined = rows.join(dealt, rows["source"].eqNullSafe(dealt["_s"]) & (rows["_shard"] == dealt["_sh"]))
-    times = F.when(F.col("_unit") > 0, F.expr("_words div _unit")).otherwise(F.lit(0).cast("long"))
-    rest = F.col("_words") - times * F.col("_unit")
+    joined = rows.join(dealt, rows["source"].eqNullSafe(dealt["_s"]) & (rows["_fine"] == dealt["_f"]))
+    before = W.partitionBy("sid", "_shard").orderBy("_o", "doc_id", "size", "_t").rowsBetween(W.unboundedPreceding, -1)
+    joined = joined.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    times = F.when(F.col("_size") > 0, F.expr("_words div _size")).otherwise(F.lit(0).cast("long"))
+    rest = F.col("_words") - times * F.col("_size")
     taken = times * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before")))
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
 
@@ -104,18 +120,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
-n AS (SELECT greatest(8, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS shards FROM d),
-r AS (SELECT d.*, CAST(('0x' || o[1:8]) AS BIGINT) % shards AS shard FROM d, n),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM r GROUP BY source),
-s1 AS (SELECT *, CAST([5, 2, 1][CAST(sid % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s0),
+n AS (SELECT CAST(1 AS BIGINT) << greatest(3, CAST(ceil(log2(greatest(1, ceil(count(*) / 2000.0)))) AS BIGINT)) AS fine FROM d),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+s1 AS (SELECT s0.*, CAST([5, 2, 1][CAST(sid % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap, least(fine, CAST(1 AS BIGINT) << (length(bin(greatest(1, source_size // 2048, docs // 2000))) - 1)) AS shards FROM s0, n),
 s2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM s1 WINDOW w AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM s2),
+r AS (SELECT d.*, s3.sid, CAST(('0x' || o[1:8]) AS BIGINT) % shards AS shard FROM d JOIN s3 ON s3.source IS NOT DISTINCT FROM d.source),
 t AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS blocks FROM s3),
 q AS (SELECT sid, count(*) AS quota FROM (SELECT sid, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, sid, j) AS k, blocks FROM s3, t, LATERAL (SELECT unnest(range(0, CAST(ceil(3 * target / 64) AS BIGINT) + 2)) AS j) WHERE target > 0) WHERE k <= blocks GROUP BY sid),
-u AS (SELECT r.source, s3.sid, r.shard, CAST(sum(r.size) AS BIGINT) AS unit FROM r JOIN s3 ON s3.source IS NOT DISTINCT FROM r.source GROUP BY ALL),
-b AS (SELECT sid, shard, count(*) AS quota FROM (SELECT u.sid, u.shard, q.quota, row_number() OVER (PARTITION BY u.sid ORDER BY CAST(unit AS DOUBLE) / (2 * j + 1) DESC, u.shard, j) AS k
-FROM u JOIN q ON q.sid = u.sid, LATERAL (SELECT unnest(range(0, CAST(ceil(6 * unit / 64) AS BIGINT) + 3)) AS j) WHERE unit > 0) WHERE k <= quota GROUP BY sid, shard),
-x AS (SELECT r.doc_id, r.size, s3.source_size, s3.target, u.unit, least(coalesce(b.quota, 0) * 64, 3 * u.unit) AS words, coalesce(sum(r.size) OVER (PARTITION BY s3.sid, r.shard ORDER BY r.o, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-FROM r JOIN s3 ON s3.source IS NOT DISTINCT FROM r.source JOIN u ON u.sid = s3.sid AND u.shard = r.shard LEFT JOIN b ON b.sid = s3.sid AND b.shard = r.shard)
+u AS (SELECT sid, shard, shard // 1024 AS grp, CAST(sum(size) AS BIGINT) AS unit FROM r GROUP BY ALL),
+v AS (SELECT sid, grp, CAST(sum(unit) AS BIGINT) AS unit FROM u GROUP BY ALL),
+w AS (SELECT sid, grp, count(*) AS quota FROM (SELECT v.sid, v.grp, q.quota, row_number() OVER (PARTITION BY v.sid ORDER BY CAST(unit AS DOUBLE) / (2 * j + 1) DESC, v.grp, j) AS k
+FROM v JOIN q ON q.sid = v.sid, LATERAL (SELECT unnest(range(0, CAST(ceil(6 * unit / 64) AS BIGINT) + 3)) AS j) WHERE unit > 0) WHERE k <= quota GROUP BY sid, grp),
+b AS (SELECT sid, shard, count(*) AS quota FROM (SELECT u.sid, u.shard, w.quota, row_number() OVER (PARTITION BY u.sid, u.grp ORDER BY CAST(unit AS DOUBLE) / (2 * j + 1) DESC, u.shard, j) AS k
+FROM u JOIN w ON w.sid = u.sid AND w.grp = u.grp, LATERAL (SELECT unnest(range(0, CAST(ceil(6 * unit / 64) AS BIGINT) + 3)) AS j) WHERE unit > 0) WHERE k <= quota GROUP BY sid, shard),
+c0 AS (SELECT u.*, least(coalesce(b.quota, 0) * 64, 3 * unit) AS words, coalesce(b.quota, 0) * 64 AS dealt FROM u LEFT JOIN b ON b.sid = u.sid AND b.shard = u.shard),
+c1 AS (SELECT *, sum(3 * unit - words) OVER g AS allroom, least(sum(dealt - words) OVER g, sum(3 * unit - words) OVER g) AS more, 3 * unit - words AS room, sum(3 * unit - words) OVER (PARTITION BY sid, grp ORDER BY shard) AS upto FROM c0 WINDOW g AS (PARTITION BY sid, grp)),
+c AS (SELECT sid, shard, unit, words + CASE WHEN allroom > 0 THEN more * upto // allroom - more * (upto - room) // allroom ELSE 0 END AS words FROM c1),
+x AS (SELECT r.doc_id, r.size, s3.source_size, s3.target, c.unit, c.words, coalesce(sum(r.size) OVER (PARTITION BY r.sid, r.shard ORDER BY r.o, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM r JOIN s3 ON s3.sid = r.sid JOIN c ON c.sid = r.sid AND c.shard = r.shard)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit > 0 THEN words // unit ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit > 0 THEN words // unit ELSE 0 END * unit - before)) AS BIGINT) AS taken FROM x
 """

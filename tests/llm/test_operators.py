@@ -375,6 +375,24 @@ def test_quality(spark, documents, hostile):
     assert score_quality(empty(spark), fit_quality(empty(spark), own)).count() == 0
 
 
+def test_quality_score_is_the_calibrated_difference(spark, documents):
+    """Scores recomputed from the dictionaries: only the normalised size difference of whole texts counts, in its order."""
+    import zstandard
+
+    from corpusq.llm.quality import fit_quality, held_out, score_quality
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_quality(documents, labels.where(~held_out()))
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r["doc_id"]: r["score"] for r in score_quality(documents, model).collect()}
+    for r in documents.limit(40).collect():
+        raw = r["text"].encode()
+        good, bad = (sum(len(z.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)) for z in sides)
+        z = model.weights[0] + model.weights[1] * 10 * (bad - good) / (bad + good)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    assert len(model.weights) == 2 and model.weights[1] > 0
+
+
 def test_quality_does_not_see_held_out_labels(spark):
     from corpusq.llm.quality import fit_quality, held_out
 
@@ -633,6 +651,20 @@ def test_mixing_fills_rare_sources(spark):
             assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 64, weights
 
 
+def test_mixing_loses_no_quota(spark):
+    """100 tiny documents among 40,000, null ids and ties: every source within a block of its target, rerun alike."""
+    from corpusq.llm.mixing import mix
+
+    rows = [(i, "a", "w " * 50) for i in range(40_000)] + [(100_000 + i, "rare", "w w w") for i in range(100)] + [(200_000 + i, "void", "") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix(df, keep=("source",)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).toPandas()
+    assert (got["taken"] - got["target"]).abs().max() <= 64 and got["n"].sum() == len(rows)
+    assert got.set_index("source")["target"].to_dict() == {"a": 2000300 - 900.0, "rare": 900.0, "void": 0.0}
+    ties = spark.createDataFrame([(None if i % 2 else 7, "s", f"one two {i % 50}") for i in range(2000)] + [(i, "t", "x " * 900) for i in range(20)], "doc_id long, source string, text string")
+    one = mix(ties, keep=("text",)).groupBy("text").agg(F.sum("taken").alias("n")).orderBy("text").collect()
+    assert one == mix(ties.repartition(5), keep=("text",)).groupBy("text").agg(F.sum("taken").alias("n")).orderBy("text").collect()
+
+
 def test_components(spark):
     from corpusq.llm.components import connected_components
 
