@@ -1,26 +1,35 @@
 """Substring de-duplication of paragraphs: MinHash banding, exact verification, removal by components.
 
-Passages that stand inside otherwise different paragraphs, or run over line ends, are found beside that, by equal runs of words.
+Units of comparison are lines and, so that passages inside otherwise different lines or over line ends are met too,
+overlapping stretches of 49 words of the whole text: their shingles are runs of 20 words, their one band the least hash.
+Colliding lines are verified by exact Jaccard similarity, colliding stretches by comparing words (edit distance zero).
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusq.llm.components import connected_components
-from corpusq.llm.shared import near_pairs, split_hot, whole_groups, written
+from corpusq.llm.shared import near_pairs, whole_groups, written
 
-#: Seven bands of two rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 7 = 0.9992.
-BANDS, ROWS = 7, 2
+#: Six bands of two rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.9978.
+BANDS, ROWS = 6, 2
 LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
-_MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+_DRAWS = np.random.default_rng(20240607)
+_FLIP = _DRAWS.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _DRAWS.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _DRAWS.integers(1, 2**63, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -29,39 +38,102 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_hashes(paragraphs: list[list[bytes]], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all word shingles of the paragraphs, and each paragraph's first one.
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(max(n, 1 << 20), b, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _POWERS[base] = (out[0], out[1])
+    return _POWERS[base]
 
-    A paragraph of fewer words than a shingle is one shingle.
-    """
-    sizes = np.array([len(p) for p in paragraphs], np.int64)
-    flat = [w for p in paragraphs for w in p]
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in flat], np.int64)
-    table = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in known], np.uint64)
-    h = table[ids] if len(ids) else np.zeros(0, np.uint64)
-    start = np.cumsum(sizes) - sizes
-    count = np.maximum(sizes - words + 1, 1)
-    first = np.cumsum(count) - count
-    at = np.arange(count.sum()) - np.repeat(first, count) + np.repeat(start, count)
-    end = np.repeat(start + sizes, count)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(words):
-        inside = at + k < end
-        out = np.where(inside, _mixed(out * np.uint64(31) + h[np.minimum(at + k, len(h) - 1)] + np.uint64(1)), out)
-    return out, first
+
+def stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of values[start:end] for each stretch, whatever its place."""
+    power, back = _powers(base, len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(values * power[: len(values)])])
+    return _mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+#: A repeated passage of SPAN + REACH - 1 words (49) or more has at least one of its SPAN-word runs chosen wherever it stands.
+SPAN, REACH = 20, 30
+#: It has one in its first and last REACH places and in any REACH between, so this many words on both sides of each reach its ends.
+SIDE = REACH - 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class Words:
+    """The words of several texts, A-Z lower-cased: a hash of each, and where lines and texts begin among them."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8") for t in texts]
+        a = np.frombuffer((b"\n".join(raw) + b"\n").lower(), np.uint8)
+        edge = np.diff((~_SPACE[a]).view(np.int8), prepend=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.hashes = np.zeros(len(start), np.uint64)
+        low = 0
+        while low < len(start):  # some bytes at a time
+            high = max(low + 1, int(np.searchsorted(start, start[low] + (1 << 20))))
+            base = start[low]
+            self.hashes[low:high] = stretch_hashes(_BYTE[a[base : end[high - 1]]], start[low:high] - base, end[low:high] - base, 0x9E3779B97F4A7C15)
+            low = high
+        lines = np.array([r.count(b"\n") + 1 for r in raw], np.int64)
+        self.first_line = np.cumsum(lines) - lines  # of each text
+        line = np.searchsorted(np.flatnonzero(a == 10), start)
+        self.size = np.bincount(line, minlength=int(lines.sum()))  # words of each line
+        self.start = np.cumsum(self.size) - self.size
+        self.text = np.repeat(np.arange(len(texts)), lines)  # of each line
+        self.first_word = np.r_[self.start, len(start)][np.r_[self.first_line, lines.sum()].astype(np.int64)]  # of each text, and the end
+
+    def keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that name the words of each line."""
+        start, end = self.start[lines], self.start[lines] + self.size[lines]
+        return stretch_hashes(self.hashes, start, end, 0xD6E8FEB86659FD93), stretch_hashes(_mixed(self.hashes + np.uint64(1)), start, end, 0xA0761D6478BD642F)
+
+    def shingles(self, lines: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all shingles of these lines, and each line's first one; a line of fewer words than a shingle is one."""
+        size = self.size[lines]
+        count = np.maximum(size - words + 1, 1)
+        first = np.cumsum(count) - count
+        at = np.arange(count.sum()) - np.repeat(first - self.start[lines], count)
+        end = np.minimum(at + words, np.repeat(self.start[lines] + size, count))
+        return stretch_hashes(self.hashes, at, end, 0xE7037ED1A0B428DB), first
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The run of SPAN words of least hash among any REACH following ones of a text: text, first word in it, hash."""
+        found, step = [np.zeros(0, np.int64)], 1 << 22
+        stop = len(self.hashes) - SPAN + 1
+        h = stretch_hashes(self.hashes, np.arange(max(0, stop)), np.arange(max(0, stop)) + SPAN, 0x8EBC6AF09C88C6E3) if stop > 0 else np.zeros(0, np.uint64)
+        for base in range(0, len(h), step):
+            part = h[base : base + step + REACH]
+            low = (part & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(part), dtype=np.uint64)  # ties: the leftmost
+            n = len(part) - REACH + 1
+            if n <= 0:
+                continue
+            k = 1
+            while 2 * k <= REACH:
+                low = np.minimum(low[:-k], low[k:])
+                k *= 2
+            if k < REACH:
+                low = np.minimum(low[: len(low) - (REACH - k)], low[REACH - k :])
+            begin = np.arange(base, base + n)
+            own = np.searchsorted(self.first_word, begin, side="right") - 1
+            whole = begin + SPAN + REACH - 1 <= self.first_word[own + 1]
+            found.append((low[:n][whole] & np.uint64(0xFFFFFF)).astype(np.int64) + base)
+        at = np.unique(np.concatenate(found))
+        own = np.searchsorted(self.first_word, at, side="right") - 1
+        return own, at - self.first_word[own], h[at]
 
 
 def band_hashes(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) band values: pairs of minima under seeded permutations of the shingle hashes."""
-    low = np.empty((BANDS * ROWS, len(first)), np.uint64)
-    for i in range(BANDS * ROWS):
-        low[i] = np.minimum.reduceat(_mixed(shingles * _MIX[0, i] + _MIX[1, i]), first)
+    """(lines, BANDS) band values: pairs of minima under seeded permutations of the shingle hashes."""
     out = np.empty((len(first), BANDS), np.uint64)
     for b in range(BANDS):
         h = np.full(len(first), b + 1, np.uint64)
-        for r in range(ROWS):
-            h = _mixed(h * np.uint64(31) + low[b * ROWS + r])
+        for i in range(b * ROWS, (b + 1) * ROWS):
+            h = _mixed(h * np.uint64(31) + np.minimum.reduceat((shingles ^ _FLIP[i]) * _TIMES[i], first))
         out[:, b] = h
     return out.view(np.int64)
 
@@ -82,101 +154,56 @@ def _slices(texts: list, most: int = 2 << 20):
         at = k
 
 
-def paragraph_table(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    """(doc, rid, at, key, b0..b6) for every paragraph of ``least_words`` or more words; ``key`` names its lower-cased words."""
-
-    def run(batches):
-        for b in batches:
-            doc, rid, texts = b["doc"].tolist(), b["rid"].tolist(), b["text"].tolist()
-            for low, high in _slices(texts):
-                rows, found = [], []
-                for d, r, t in zip(doc[low:high], rid[low:high], texts[low:high]):
-                    for at, line in enumerate(split_text(t)):
-                        w = line.lower().split()
-                        if len(w) >= least_words:
-                            rows.append((d, r, at, hashlib.md5(b" ".join(w)).hexdigest()))
-                            found.append(w)
-                if rows:
-                    bands = band_hashes(*shingle_hashes(found, words))
-                    x = pd.DataFrame(rows, columns=["doc", "rid", "at", "key"])
-                    yield x.assign(**{f"b{i}": bands[:, i] for i in range(BANDS)})
+def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int, passages: bool) -> DataFrame:
+    """Rows for every line of ``least_words`` words or more and for every chosen run of the texts ``docs(doc, rid, text)``.
 
-    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, at int, key string, " + ", ".join(f"b{i} long" for i in range(BANDS)))
-
-
-#: A repeated passage of SPAN + REACH - 1 words (49) or more has at least one of its SPAN-word runs chosen wherever it stands.
-SPAN, REACH = 20, 30
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def chosen_runs(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The run of SPAN words of least hash among any REACH following ones: paragraph number, first word, hash.
-
-    Paragraphs need SPAN + REACH - 1 words or more.
+    Lines have their number ``at``, their key (k1, k2), the number of shingles and band values; where so few shingles
+    are linked only to equal sets, one band serves. Runs (``run`` is true) have their first word ``at`` and hash k1.
     """
-    h, first = shingle_hashes(paragraphs, SPAN)
-    n = len(h) - REACH + 1
-    low = (h & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
-    k = 1
-    while 2 * k <= REACH:
-        low = np.minimum(low[:-k], low[k:])
-        k *= 2
-    if k < REACH:
-        low = np.minimum(low[: len(low) - (REACH - k)], low[REACH - k :])
-    owner = np.searchsorted(first, np.arange(n), side="right") - 1
-    end = np.r_[first[1:], len(h)]
-    at = np.unique((low[:n][np.arange(n) + REACH <= end[owner]] & np.uint64(0xFFFFFF)).astype(np.int64))
-    owner = np.searchsorted(first, at, side="right") - 1
-    return owner, at - first[owner], h[at]
-
-
-def run_table(docs: DataFrame) -> DataFrame:
-    """(doc, rid, word, h): chosen runs of the texts that are long enough to hold a passage; line ends are white space like any other."""
+    few = similarity / max(1 - similarity, 1e-9) - 1e-9
 
     def run(batches):
-        for b in batches:
-            doc, rid, texts = b["doc"].to_numpy(np.int64), b["rid"].to_numpy(np.int64), b["text"].tolist()
+        for batch in batches:
+            doc, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rid"))
+            texts = batch.column("text").to_pylist()
             for low, high in _slices(texts):
-                parts = ((i, part, w) for i in range(low, high) for part, w in _long_parts(texts[i]))
-                large = any(len(t or "") > 1 << 22 for t in texts[low:high])
-                while group := list(itertools.islice(parts, 1 if large else None)):  # of a large text, a part at a time
-                    owner, word, h = chosen_runs([w for _, _, w in group])
-                    p = np.array([x[:2] for x in group], np.int64)[owner]
-                    yield pd.DataFrame({"doc": doc[p[:, 0]], "rid": rid[p[:, 0]], "word": (word + p[:, 1]).astype(np.int32), "h": h.view(np.int64)})
-
-    return docs.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, word int, h long")
+                w = Words(texts[low:high])
+                lines = np.flatnonzero(w.size >= max(1, least_words))
+                if len(lines):
+                    own, (k1, k2), (shingles, first) = w.text[lines], w.keys(lines), w.shingles(lines, words)
+                    bands, count = band_hashes(shingles, first), np.diff(np.r_[first, len(shingles)])
+                    small = count < few
+                    of_band = [pa.array(bands[:, i], mask=small if i else None) for i in range(BANDS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), bool)), pa.array(doc[low + own]), pa.array(rid[low + own]), pa.array((lines - w.first_line[own]).astype(np.int32)),
+                        pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count.astype(np.int32)), *of_band], names=names)
+                own, word, h = w.runs() if passages else (np.zeros(0, np.int64),) * 3
+                if len(own):
+                    none = pa.nulls(len(own), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.array(doc[low + own]), pa.array(rid[low + own]), pa.array(word.astype(np.int32)),
+                        pa.array(h.view(np.int64)), none, pa.nulls(len(own), pa.int32()), *[none] * BANDS], names=names)
 
+    names = ["run", "doc", "rid", "at", "k1", "k2", "shingles", *(f"b{i}" for i in range(BANDS))]
+    return docs.select("doc", "rid", "text").mapInArrow(run, "run boolean, doc long, rid long, at int, k1 long, k2 long, shingles int, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
-def _long_parts(text: str | None):
-    """(first word, words) of pieces of a text that overlap by a passage; their positions need far fewer bits than chosen_runs has."""
-    w = (text or "").encode("utf-8").lower().split()
-    for part in range(0, max(1, len(w) - REACH), 1 << 20):
-        if len(w) - part >= SPAN + REACH - 1:
-            yield part, w[part : part + (1 << 20) + SPAN + REACH]
 
+def dealt_blocks(df: DataFrame, chunks: Column, draw: Column) -> DataFrame:
+    """Adds ``block``: rows of a group in ``chunks`` chunks are dealt so that any two of them meet in a block of two chunks."""
+    c, own = F.col("_c"), F.col("_own")
+    df = df.withColumn("_c", chunks.cast("long")).withColumn("_own", F.pmod(draw, c))
+    blocks = F.when(c <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda j: F.least(own, j) * c + F.greatest(own, j)))
+    return df.withColumn("block", F.explode(blocks)).drop("_c", "_own")
 
-def repeated_seeds(docs: DataFrame) -> DataFrame:
-    """(doc, rid, seeds): chosen runs (word, h) that stand at two places or more, of one document or several. Only counts of equal runs are combined first."""
-    runs = run_table(docs)
-    place = F.struct("doc", "rid", "word")
-    kept = runs.groupBy("h").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper <> last").select("h")
-    return runs.join(kept, "h").groupBy("doc", "rid").agg(F.collect_list(F.struct("word", "h")).alias("seeds"))  # of one document
 
-
-#: A repeated passage has a chosen run in its first and last REACH places and in any REACH between, so this many words on both sides of each reach its ends.
-SIDE = REACH - 1
+@F.pandas_udf(T.BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts compressed, so that a shuffle of them is half as large."""
+    tool = zstandard.ZstdCompressor(level=1)
+    return pd.Series([tool.compress((t or "").encode("utf-8")) for t in texts], dtype=object)
 
 
-def seed_sides(text: str | None, seeds) -> tuple[np.ndarray, np.ndarray]:
-    """(seeds, SIDE) identifiers of the words before (nearest first) and after each run; 0 beyond the ends of the text."""
-    known: dict[bytes, int] = {}
-    w = (text or "").encode("utf-8").lower().split()
-    ids = np.array([known.setdefault(x, len(known)) for x in w], np.int64)
-    table = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") or 1 for x in known], np.uint32)
-    h = np.concatenate([np.zeros(SIDE, np.uint32), table[ids] if len(ids) else np.zeros(0, np.uint32), np.zeros(SIDE, np.uint32)])
-    at = np.array([x["word"] for x in seeds], np.int64)[:, None] + SIDE
-    step = np.arange(SIDE)
-    return h[at - 1 - step], h[at + SPAN + step]
+def unpacked(data: pd.Series) -> list[str]:
+    tool = zstandard.ZstdDecompressor()
+    return [tool.decompress(x).decode("utf-8") for x in data]
 
 
 def longest_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,27 +226,39 @@ def longest_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray) -> tu
     return length, keeper
 
 
+def _numbers(rows: list[bytes], most: int) -> np.ndarray:
+    """(rows, most) numbers from 1 on of the words of each row, equal for equal words only; 0 beyond a row's end."""
+    split = [r.split() for r in rows]
+    count = np.fromiter(map(len, split), np.int64, len(split))
+    coded = pa.array([w for x in split for w in x], pa.binary()).dictionary_encode()
+    out = np.zeros((len(rows), most), np.uint32)
+    out[np.arange(most) < count[:, None]] = coded.indices.to_numpy(zero_copy_only=False) + 1 if count.sum() else 0
+    return out
+
+
 def grown_passages(sides: DataFrame, most: int) -> DataFrame:
-    """(doc, rid, passages) of ``sides(doc, rid, word, h, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
+    """(doc, rid, passages) of ``sides(doc, rid, word, h, n, run, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
 
-    To each side a seed grows to the end of the longest passage through it that some earlier place holds, so it does not
-    matter which of the earlier places that is. Hot seeds are dealt to blocks in which any two places meet.
+    Seeds of equal hash ``h``, ``n`` at most, are told apart by the words of their runs. To each side a seed grows, word by
+    word, to the end of the longest passage through it that some earlier place holds, so it does not matter which of the
+    earlier places that is. Hot seeds are dealt to blocks in which any two places meet.
     """
 
     def run(batches):
         for b in whole_groups(batches, ["h", "block"]):
-            doc, rid, word = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word"))
-            group = _mixed(b["h"].to_numpy(np.int64).view(np.uint64) + _mixed(b["block"].to_numpy(np.int64).view(np.uint64)))
+            doc, rid, word, h, block = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word", "h", "block"))
+            known: dict[tuple, int] = {}
+            group = np.array([known.setdefault(x, len(known)) for x in zip(block.tolist(), b["run"])], np.int64)
             order = np.lexsort((word, rid, doc))
             fresh = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(rid[order]) != 0) | (np.diff(word[order]) != 0)][: len(b)]
             rank = np.empty(len(b), np.int64)
             rank[order] = np.cumsum(fresh) - 1  # equal rows have one rank
             of_rank = doc[order][fresh]
-            left, right = (longest_earlier(group, rank, np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), SIDE)) for c in ("left", "right"))
+            left, right = (longest_earlier(group, rank, _numbers(b[c].tolist(), SIDE)) for c in ("left", "right"))
             yes = left[0] >= 0
             yield pd.DataFrame({"doc": doc, "rid": rid, "low": word - np.maximum(left[0], 0), "high": word + SPAN + np.maximum(right[0], 0), "before": of_rank[left[1]], "after": of_rank[right[1]]})[yes]
 
-    dealt = split_hot(sides.withColumn("place", F.xxhash64("doc", "rid", "word")), ["h"], "place", most).drop("place")
+    dealt = dealt_blocks(sides, F.ceil(F.col("n") / most), F.xxhash64("doc", "rid", "word")).drop("n")
     grown = dealt.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(run, "doc long, rid long, low int, high int, before long, after long")
     keepers = F.array_distinct(F.array("before", "after"))
     return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", keepers.alias("keepers"))).alias("passages"))  # of one document
@@ -286,86 +325,104 @@ def _jaccard_links(values: list[np.ndarray], similarity: float):
     return linked
 
 
-def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, most: int = 4096, passages: bool = True) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, most: int = 4096, passages: bool = True, texts: bool = True) -> DataFrame:
     """Remove paragraphs that nearly repeat an earlier one, in the same or another document.
 
     ``docs(doc_id, text)`` -> a row for each row of docs: (doc_id, n_bytes, n_removed bytes, n_spans paragraphs
-    removed, kept_sha256 and kept_text of what stays, n_paragraphs, classes, kept_in). Paragraphs (lines) of
-    ``least_words`` or more words link at a Jaccard similarity of ``similarity`` or more of their sets of
+    removed, kept_sha256 and, with ``texts``, kept_text of what stays, n_paragraphs, classes, kept_in). Paragraphs (lines)
+    of ``least_words`` or more words link at a Jaccard similarity of ``similarity`` or more of their sets of
     ``words``-word shingles; of every component the first paragraph, by document and place, stays. ``classes``
     are the components this document has a paragraph in that another paragraph shares, ``kept_in`` the
     doc_ids where the paragraphs removed here are kept.
 
     With ``passages``, a passage of 49 words or more that an earlier place of this or another document holds too goes from
     its first to its last word, wherever it stands, inside paragraphs and across line ends (n_spans counts each stretch);
-    of shorter ones those of 20 words or more in which a run is chosen go, also from end to end. No other word goes.
+    of shorter ones those of 20 words or more in which a run is chosen go, also from end to end. Words are compared one by
+    one; no other word goes.
 
-    Equal paragraphs are one class from the start, so copies form no pairs. Colliding classes of a band are
-    verified exactly, in blocks of ``2 * most`` at most; only links between parts not yet connected are kept.
+    Equal paragraphs are one class from the start, so copies form no pairs. Band values that only one class has are
+    dropped by counts; colliding classes are verified exactly, in blocks of about ``2 * most`` classes and a million
+    shingles at most; only links between parts not yet connected are kept.
     Null texts are empty; a null doc_id comes after the others; rows that repeat a doc_id stay separate rows
     (told apart by a hash of their texts, whose order decides among them; rows equal in both are one); an empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows that share an id are told apart by their text
     rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("rid"), "text")
-    placed = written(paragraph_table(rows, words, least_words), "paragraphs")
-    place = F.struct("doc", "rid", "at")
-    classes = placed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
+    units = written(unit_table(rows, words, similarity, least_words, passages), "paragraph-units")
+    placed = units.where("not run")
+    classes = placed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "rid", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("shingles").alias("shingles"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     classes = written(classes, "paragraph-classes")
 
-    bands = classes.select("key", F.posexplode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band", "value"))
-    bands = split_hot(bands, ["band", "value"], "key", most)
+    bands = classes.select("k1", "k2", "shingles", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("value")).where("value is not null")
+    shared = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight")).where("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / most, F.col("weight") / (1 << 20)))
+    colliding = dealt_blocks(bands.join(shared, "value"), chunks, F.xxhash64("k1", "k2")).select("value", "block", "k1", "k2")
 
     def collide(batches):
-        for b in whole_groups(batches, ["band", "value", "block"]):
-            value, block, band = b["value"].to_numpy(np.int64), b["block"].to_numpy(np.int64), b["band"].to_numpy()
-            start = np.r_[0, np.flatnonzero((np.diff(value) != 0) | (np.diff(block) != 0) | (np.diff(band) != 0)) + 1]
-            size = np.diff(np.r_[start, len(b)])
-            keep = np.repeat(size > 1, size)
-            if not keep.any():
-                continue
-            keys = b["key"].to_numpy()[keep]
-            h = np.array([int(k[:16], 16) for k in keys], np.uint64)
-            n = size[size > 1]
-            same = np.add.reduceat(_mixed(h), np.cumsum(n) - n).view(np.int64)  # one name for equal groups of any band
-            yield pd.DataFrame({"bucket": np.repeat(same, n), "key": keys})
-
-    keys = ["band", "value", "block"]
-    met = bands.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(collide, "bucket long, key string")
+        for b in whole_groups(batches, ["value", "block"]):
+            value, block, k1, k2 = (b[c].to_numpy(np.int64) for c in ("value", "block", "k1", "k2"))
+            start = np.r_[0, np.flatnonzero((np.diff(value) != 0) | (np.diff(block) != 0)) + 1]
+            n = np.diff(np.r_[start, len(b)])
+            same = np.add.reduceat(_mixed(k1.view(np.uint64) + _mixed(k2.view(np.uint64))), start).view(np.int64)  # one name for equal groups of any band
+            keep = np.repeat(n > 1, n)
+            yield pd.DataFrame({"bucket": np.repeat(same, n)[keep], "k1": k1[keep], "k2": k2[keep]})
+
+    met = colliding.repartition("value", "block").sortWithinPartitions("value", "block").mapInPandas(collide, "bucket long, k1 long, k2 long")
     met = written(met.distinct(), "paragraph-buckets")
 
-    wanted = met.select("key").distinct().join(classes.select("key", "first.doc", "first.rid", "first.at"), "key")
-    asked = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("at", "key")).alias("asked"))  # at most the paragraphs of one document
-    seeds = repeated_seeds(rows if passages else rows.limit(0))
-    asked = asked.join(seeds, ["doc", "rid"], "full")  # the texts are joined once for both
+    wanted = met.select("k1", "k2", F.lit(True).alias("met")).distinct()
+    known = classes.select("k1", "k2", "first", "n").join(wanted, ["k1", "k2"], "left").where("n > 1 or met")
+    known = written(known, "paragraph-known")  # classes of several lines, or that may link to others
+    members = written(placed.select("k1", "k2", "doc", "rid", "at").join(known.select("k1", "k2", "first"), ["k1", "k2"]), "paragraph-members")
+    away = (F.col("doc") != F.col("first.doc")) | (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at"))
+    copies = members.where(away).groupBy("doc", "rid").agg(F.collect_list("at").alias("copies"))  # lines of one document, here and below
+    asked = known.where("met").select("first.doc", "first.rid", F.struct("first.at", "k1", "k2").alias("x")).groupBy("doc", "rid").agg(F.collect_list("x").alias("x"))
+    asked = asked.select("doc", "rid", F.col("x.at").alias("asked"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
+    runs = units.where("run").select("doc", "rid", F.col("at").alias("word"), F.col("k1").alias("h"))
+    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seeds = runs.join(again, "h").groupBy("doc", "rid").agg(F.collect_list(F.struct("word", "h", "n")).alias("x"))
+    seeds = seeds.select("doc", "rid", F.col("x.word").alias("word"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    asked = asked.join(seeds, ["doc", "rid"], "full").join(copies, ["doc", "rid"], "left")  # the texts are joined once for both
 
     def fetch(batches):
         for b in batches:
-            doc, rid, texts, asked, seeds = (b[c].tolist() for c in ("doc", "rid", "text", "asked", "seeds"))
+            texts = unpacked(b["packed"])
             for low, high in _slices(texts):
-                names, found = [], []
-                for t, a in zip(texts[low:high], asked[low:high]):
-                    lines = split_text(t) if a is not None else []
-                    for x in a if a is not None else ():
-                        names.append(x["key"])
-                        found.append(lines[x["at"]].lower().split())
-                if found:
-                    h, first = shingle_hashes(found, words)
-                    yield pd.DataFrame({"key": names, "shingles": [np.unique(s).view(np.int64) for s in np.split(h, first[1:])], "doc": None, "rid": None, "word": None, "h": None, "left": None, "right": None})
-                own, sides = [], []
-                for i in range(low, high):
-                    if seeds[i] is not None:
-                        own += [(doc[i], rid[i], x["word"], x["h"]) for x in seeds[i]]
-                        sides += [(x.tobytes(), y.tobytes()) for x, y in zip(*seed_sides(texts[i], seeds[i]))]
-                for k in range(0, len(own), 1 << 16):
-                    x = pd.DataFrame(own[k : k + (1 << 16)], columns=["doc", "rid", "word", "h"])
-                    left, right = zip(*sides[k : k + (1 << 16)])
-                    yield x.assign(key=None, shingles=None, left=left, right=right)
-
-    kinds = "key string, shingles array<long>, doc long, rid long, word int, h long, left binary, right binary"
-    fetched = rows.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "asked", "seeds").mapInPandas(fetch, kinds)
+                part = b.iloc[low:high]
+                w = Words(texts[low:high])
+                lines = [w.first_line[i] + np.asarray(x, np.int64) for i, x in enumerate(part["asked"]) if x is not None]
+                if lines:
+                    lines = np.concatenate(lines)
+                    h, first = w.shingles(lines, words)
+                    k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c] if x is not None]) for c in ("k1", "k2"))
+                    sets = [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": sets, "doc": None, "rid": None, "word": None, "h": None, "n": None, "run": None, "left": None, "right": None})
+                out = []
+                for i, (doc, rid, word, hs, ns, copies) in enumerate(zip(part["doc"].tolist(), part["rid"].tolist(), part["word"], part["h"], part["n"], part["copies"])):
+                    if word is None:
+                        continue
+                    word, hs, ns = (np.asarray(x, np.int64) for x in (word, hs, ns))
+                    if copies is not None:  # a run inside a line that goes as a copy: the first such line has it too
+                        at = w.first_word[i] + word
+                        own = np.searchsorted(w.start, at, side="right") - 1
+                        inside = (at + SPAN <= w.start[own] + w.size[own]) & np.isin(own - w.first_line[i], copies)
+                        word, hs, ns = word[~inside], hs[~inside], ns[~inside]
+                    if not len(word):
+                        continue
+                    t = texts[low + i].encode("utf-8").lower().split()
+                    for x, y, n in zip(word.tolist(), hs.tolist(), ns.tolist()):
+                        out.append((doc, rid, x, y, n, b" ".join(t[x : x + SPAN]), b" ".join(t[max(0, x - SIDE) : x][::-1]), b" ".join(t[x + SPAN : x + SPAN + SIDE])))
+                        if len(out) >= 1 << 14:
+                            yield pd.DataFrame(out, columns=["doc", "rid", "word", "h", "n", "run", "left", "right"]).assign(k1=None, k2=None, shingles=None)
+                            out = []
+                if out:
+                    yield pd.DataFrame(out, columns=["doc", "rid", "word", "h", "n", "run", "left", "right"]).assign(k1=None, k2=None, shingles=None)
+
+    kinds = "k1 long, k2 long, shingles array<long>, doc long, rid long, word int, h long, n long, run binary, left binary, right binary"
+    sent = rows.select("doc", "rid", packed(F.col("text")).alias("packed"))
+    fetched = sent.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).mapInPandas(fetch, kinds)
     fetched = written(fetched, "paragraph-shingles")
-    shingles = fetched.where("key is not null").select("key", "shingles")
 
     def verify(batches):
         for b in whole_groups(batches, ["bucket"]):
@@ -373,12 +430,15 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
             i, j = near_pairs(bucket, _jaccard_links(b["shingles"].tolist(), similarity))
             yield pd.DataFrame({"src": names[i], "dst": names[j]})
 
-    links = met.join(shingles, "key").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(verify, "src string, dst string")
+    key = F.concat_ws("/", "k1", "k2")
+    shingles = fetched.where("k1 is not null").select("k1", "k2", "shingles")
+    links = met.join(shingles, ["k1", "k2"]).select("bucket", key.alias("key"), "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(verify, "src string, dst string")
     roots = connected_components(links)
-    named = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("class"))
+    named = known.select("k1", "k2", "first", "n", key.alias("key"))
+    named = named.join(roots, named["key"] == roots["node"], "left").select("k1", "k2", "first", "n", F.coalesce("root", "key").alias("class"))
     groups = named.groupBy("class").agg(F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
-    named = named.select("key", "class").join(groups, "class").select("key", "class", "keeper")
-    hits = placed.select("key", "doc", "rid", "at").join(named, "key")
+    named = named.select("k1", "k2", "class").join(groups, "class").select("k1", "k2", "class", "keeper")
+    hits = members.select("k1", "k2", "doc", "rid", "at").join(named, ["k1", "k2"])
     gone = (F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")) | (F.col("at") != F.col("keeper.at"))
     hits = hits.groupBy("doc", "rid").agg(
         F.sort_array(F.collect_set(F.when(gone, F.col("at")))).alias("gone"), F.sort_array(F.collect_set("class")).alias("classes"),
@@ -388,28 +448,35 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     def cut(batches):
         for b in batches:
             out = []
-            for text, gone, passages in zip(b["text"], b["gone"], b["passages"]):
-                lines = split_text(text)
+            for data, gone, low, high in zip(unpacked(b["packed"]), b["gone"], b["low"], b["high"]):
+                raw, spans = data.encode("utf-8"), 0
+                lines = raw.split(b"\n")
                 drop = set() if gone is None else set(gone.tolist())
-                kept, spans = b"\n".join(x for i, x in enumerate(lines) if i not in drop), 0
-                if passages is not None and len(passages):
-                    kept, spans = without_passages(lines, drop, [(p["low"], p["high"]) for p in passages])
-                total = len((text or "").encode("utf-8"))
-                out.append((total, total - len(kept), len(drop) + spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"), len(lines)))
-            x = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs"])
+                kept = b"\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else raw
+                if low is not None and len(low):
+                    kept, spans = without_passages(lines, drop, list(zip(low.tolist(), high.tolist())))
+                row = (len(raw), len(raw) - len(kept), len(drop) + spans, hashlib.sha256(kept).hexdigest(), len(lines))
+                out.append((*row, kept.decode("utf-8")) if texts else row)
+            columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_paragraphs"]
+            x = pd.DataFrame(out, columns=[*columns, "kept_text"] if texts else columns)
             yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
 
-    inner = grown_passages(fetched.where("h is not null").select("doc", "rid", "word", "h", "left", "right"), 16 * most)
-    found = hits.join(inner, ["doc", "rid"], "full")
-    held = F.flatten(F.coalesce("passages.keepers", F.array().cast("array<array<bigint>>")))
-    held = F.transform(held, lambda x: F.nullif(x, F.lit(LAST)))
-    found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
-    full = rows.join(found, ["doc", "rid"], "left").select("doc", "text", "gone", "passages", "classes", "kept_in")
-    kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_paragraphs long"
+    found = hits
+    if passages:
+        inner = grown_passages(fetched.where("h is not null").select("doc", "rid", "word", "h", "n", "run", "left", "right"), 16 * most)
+        found = hits.join(inner, ["doc", "rid"], "full")
+        held = F.flatten(F.coalesce("passages.keepers", F.array().cast("array<array<bigint>>")))
+        held = F.transform(held, lambda x: F.nullif(x, F.lit(LAST)))
+        found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
+    low, high = ("passages.low", "passages.high") if passages else ("gone", "gone")
+    found = found.select("doc", "rid", "gone", "classes", "kept_in", *(F.when(F.lit(passages), F.col(c)).alias(n) for c, n in ((low, "low"), (high, "high"))))
+    full = sent.join(found, ["doc", "rid"], "left").select("doc", "packed", "gone", "low", "high", "classes", "kept_in")
+    kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs long" + (", kept_text string" if texts else "")
     out = full.mapInPandas(cut, kinds)
-    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_paragraphs", "classes", "kept_in")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else []), "n_paragraphs", "classes", "kept_in"]
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), *columns)
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph de-duplication of all documents, of every paragraph that has a word."""
-    return dedup_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1).drop("kept_text")
+    return dedup_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1, texts=False)
