@@ -94,17 +94,17 @@ def chunk_paragraph_tokens(docs: DataFrame, size: int = 512, overlap: int = 50)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string, tokens_count int")
 
 
-def chunk_records(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks with position, total, tokens, vector id and the metadata map of their document."""
+def chunk_records(chunks: DataFrame, docs: DataFrame, source: str = "corpus") -> DataFrame:
+    """Chunks with position (their index), total, tokens, vector id and the metadata map of their document."""
     total = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
     c = chunks.withColumn("total_chunks", total.cast("int")).withColumn("tokens_count", estimate_tokens(F.col("content")))
     c = c.withColumn("vector_id", F.format_string("doc_%d_chunk_%d", "doc_id", "chunk_index"))
     meta = F.create_map(
         F.lit("document_id"), F.col("doc_id").cast("string"), F.lit("chunk_id"), F.col("chunk_index").cast("string"), F.lit("title"), F.col("title"), F.lit("document_type"), F.col("document_type"),
-        F.lit("language"), F.col("language"), F.lit("source_url"), F.col("source_url"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("total_chunks"), F.col("total_chunks").cast("string"),
+        F.lit("language"), F.col("language"), F.lit("source_url"), F.col("source_url"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("total_chunks"), F.col("total_chunks").cast("string"), F.lit("source"), F.lit(source),
     )
     return c.join(docs.select("doc_id", "title", "document_type", "language", "source_url"), "doc_id").select(
-        "vector_id", "doc_id", "chunk_index", (F.col("chunk_index") / F.col("total_chunks")).alias("position"), "total_chunks", "tokens_count", "content", meta.alias("metadata")
+        "vector_id", "doc_id", "chunk_index", F.col("chunk_index").alias("position"), "total_chunks", "tokens_count", "content", meta.alias("metadata")
     )
 
 
@@ -159,16 +159,21 @@ def chunk_paragraph_tokens_documents(spark, sf_dir):
     return chunk_paragraph_tokens(table(spark, sf_dir, "documents"))
 
 
+#: Metadata keys and the columns that show them in the query.
+META = {"title": "title", "language": "language", "document_id": "document_id", "chunk_id": "chunk_id", "document_type": "document_type", "source_url": "source_url", "chunk_index": "meta_index", "total_chunks": "meta_total", "source": "source"}
+
+
 def records(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = docs.select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("source").alias("document_type"), F.col("lang").alias("language"), F.concat(F.lit("doc/"), "doc_id").alias("source_url"))
     return chunk_records(chunk_char_window(docs), named)
 
 
-@query(_window_sql(1024, 128, """SELECT 'doc_' || k.doc_id || '_chunk_' || chunk_index AS vector_id, k.doc_id, chunk_index, chunk_index / count(*) OVER (PARTITION BY k.doc_id) AS position,
-count(*) OVER (PARTITION BY k.doc_id) AS total_chunks, length(content) // 4 AS tokens_count, content, 'Document ' || k.doc_id AS title, d.lang AS language FROM k JOIN documents d ON d.doc_id = k.doc_id"""))
+@query(_window_sql(1024, 128, """SELECT 'doc_' || k.doc_id || '_chunk_' || chunk_index AS vector_id, k.doc_id, chunk_index, chunk_index AS position,
+count(*) OVER (PARTITION BY k.doc_id) AS total_chunks, length(content) // 4 AS tokens_count, content, 'Document ' || k.doc_id AS title, d.lang AS language, CAST(k.doc_id AS VARCHAR) AS document_id, CAST(chunk_index AS VARCHAR) AS chunk_id, d.source AS document_type, 'doc/' || k.doc_id AS source_url,
+CAST(chunk_index AS VARCHAR) AS meta_index, CAST(count(*) OVER (PARTITION BY k.doc_id) AS VARCHAR) AS meta_total, 'corpus' AS source FROM k JOIN documents d ON d.doc_id = k.doc_id"""))
 def chunk_records_documents(spark, sf_dir):
-    return records(spark, sf_dir).select("vector_id", "doc_id", "chunk_index", "position", "total_chunks", "tokens_count", "content", F.col("metadata")["title"].alias("title"), F.col("metadata")["language"].alias("language"))
+    return records(spark, sf_dir).select("vector_id", "doc_id", "chunk_index", "position", "total_chunks", "tokens_count", "content", *(F.col("metadata")[k].alias(n) for k, n in META.items()))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 13 END AS chunk_key FROM embeddings WHERE vec_id % 7 <> 0")

@@ -154,14 +154,17 @@ def resolve_url(base: Column, link: Column) -> Column:
     path = F.regexp_extract(base, r"^([^?#]*)", 1)
     query_free = F.regexp_extract(base, r"^([^#]*)", 1)
     folder = F.when(F.length(path) > F.length(origin), F.regexp_extract(path, r"^(.*/)", 1)).otherwise(F.concat(origin, F.lit("/")))
-    joined = F.concat(folder, link)
-    # one pass for each ../ that the test corpora hold at most; deeper ones stay as they are
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/(?:[^/?#]+/)*?)[^/?#]+/\.\./", "$1")
+    whole = F.when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(folder, link))
+    parts = F.split(F.substring(F.regexp_extract(whole, r"^([^?#]*)", 1), F.length(origin) + 1, F.length(whole)), "/")
+    inner = F.filter(parts, lambda x, i: (x != "") | (i == 0) | (i == F.size(parts) - 1))  # relative references lose empty parts
+    parts = F.when(link.startswith("/"), parts).otherwise(inner)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(x)))
+    path_of = F.aggregate(F.concat(parts, F.when(ends, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), F.array().cast("array<string>"), step)
+    joined = F.concat(origin, F.array_join(path_of, "/"), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1))
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(origin, link))
         .when(link.startswith("?"), F.concat(path, link))
         .when(link.startswith("#"), F.concat(query_free, link))
         .when(link == "", query_free)
@@ -169,9 +172,19 @@ def resolve_url(base: Column, link: Column) -> Column:
     )
 
 
+#: The href of an anchor: quoted either way or not at all.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: Entities of markup in attributes; the ampersand's comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#x27;": "'", "&#38;": "&", "&amp;": "&"}
+
+
 def extract_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Distinct absolute links (key, url, link) of every page's anchors."""
-    found = pages.select(key, "url", F.explode(F.array_distinct(F.expr("regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)"))).alias("href"))
+    """Distinct absolute links (key, url, link) of every page's anchors, whatever their case, white space and quotes."""
+    found = pages.select(key, "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))).alias("href"))
+    href = F.regexp_replace("href", r"""^(["'])(.*)\1$""", "$2")
+    for name, c in ENTITIES.items():
+        href = F.replace(href, F.lit(name), F.lit(c))
+    found = found.withColumn("href", F.trim(href))
     return found.select(key, "url", resolve_url(F.col("url"), F.col("href")).alias("link")).distinct()
 
 

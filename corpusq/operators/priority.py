@@ -66,7 +66,8 @@ def quota_per_type(df: DataFrame, key: str, quotas: dict[str, int] = QUOTAS) ->
     """At most the class's quota of each type, in key order; ``step`` orders the types, highest class first."""
     q = F.when(F.col("priority") == "high", quotas["high"]).when(F.col("priority") == "medium", quotas["medium"]).otherwise(quotas["low"])
     step = F.when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3)
-    return df.withColumn("rank", F.row_number().over(W.partitionBy("document_type").orderBy(key))).where(F.col("rank") <= q).withColumn("step", step)
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy("document_type").orderBy(key))).where(F.col("rank") <= max(quotas.values()))  # a literal, by which Spark cuts each task's part before the shuffle
+    return ranked.where(F.col("rank") <= q).withColumn("step", step)
 
 
 def quota_per_page(df: DataFrame, key: str, max_pages: int, per_page: int = 10) -> DataFrame:

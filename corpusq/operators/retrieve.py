@@ -29,17 +29,21 @@ def assemble_context(retrieved: DataFrame, queries: DataFrame, top: int = 5) ->
     return queries.select("qid").join(joined, "qid", "left").select("qid", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
+def _url(df: DataFrame) -> Column:
+    return F.coalesce("source_url", F.lit("")) if "source_url" in df.columns else F.lit("")
+
+
 def prepare_sources(retrieved: DataFrame, top: int = 5) -> DataFrame:
-    """The best chunk of each document, in rank order, first ``top`` documents; chunks without a document are skipped."""
-    d = retrieved.where("document_id is not null")
+    """The best chunk of each document, in rank order, first ``top`` documents; chunks without a document or with an empty id are skipped."""
+    d = retrieved.where("document_id is not null and cast(document_id as string) <> ''")
     best = d.withColumn("_n", F.row_number().over(W.partitionBy("qid", "document_id").orderBy("rank"))).where("_n = 1")
     best = best.withColumn("source_rank", F.row_number().over(W.partitionBy("qid").orderBy("rank"))).where(F.col("source_rank") <= top)
-    return best.select("qid", "source_rank", "document_id", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("document_type", F.lit("")).alias("document_type"), "similarity")
+    return best.select("qid", "source_rank", "document_id", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("document_type", F.lit("")).alias("document_type"), _url(retrieved).alias("url"), "similarity")
 
 
 def public_sources(sources: DataFrame) -> DataFrame:
-    """Sources as they are shown: the first 200 characters of the title, relevance, and a metadata map."""
-    meta = F.create_map(F.lit("document_id"), F.col("document_id").cast("string"), F.lit("title"), F.col("title"), F.lit("document_type"), F.col("document_type"))
+    """Sources as they are shown: the first 200 characters of the title, relevance, and the metadata."""
+    meta = F.struct(F.col("document_id").cast("string").alias("document_id"), "title", "document_type", F.col("url").alias("source_url"), F.col("similarity").alias("relevance"))
     return sources.select("qid", "source_rank", F.substring("title", 1, 200).alias("text"), F.col("similarity").alias("relevance"), meta.alias("metadata"))
 
 
@@ -85,16 +89,27 @@ def cache_invalidate(entries: DataFrame, pattern: str) -> DataFrame:
     return entries.where(~F.col("key").like(like))
 
 
-def rag_answer_table(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, group: str = "language") -> DataFrame:
-    """(qid, context, sources, retrieved) of a batch of query vectors: filtered neighbours, context, sources, count."""
+def rag_answer_table(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, group: str = "language", top: int = 5) -> DataFrame:
+    """(qid, context, sources, retrieved) of a batch of query vectors: filtered neighbours, context, sources, count.
+
+    The neighbours are ranked once; all three are built from the ``k`` rows of a query in one grouping.
+    """
     got = retrieved_chunks(knn_join(vectors, queries, k, group=group), chunks)
-    listed = prepare_sources(got).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("source_rank", "document_id", "title", F.round("similarity", 6).alias("relevance")))).alias("sources"))
-    out = assemble_context(got, queries).join(retrieved_count(got, queries), "qid").join(listed, "qid", "left")
-    return out.select("qid", "context", F.transform(F.coalesce("sources", F.array().cast(listed.schema["sources"].dataType)), lambda x: x).alias("sources"), "retrieved")
+    row = F.struct("rank", "document_id", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("document_type", F.lit("")).alias("document_type"), _url(got).alias("url"), F.round("similarity", 6).alias("relevance"), "content")
+    rows = got.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # k rows
+    part = lambda x: F.concat(F.lit("[Document "), x["rank"], F.lit(": "), x["title"], F.lit(" ("), x["document_type"], F.lit(")]\n"), x["content"], F.lit("\n"))
+    context = F.array_join(F.transform(F.filter("rows", lambda x: x["rank"] <= top), part), "\n---\n")
+    ids = F.transform("rows", lambda x: x["document_id"].cast("string"))
+    first = F.filter("rows", lambda x, i: (x["document_id"].cast("string") != "") & (F.array_position(ids, x["document_id"].cast("string")) == i + 1))
+    listed = F.transform(F.slice(first, 1, top), lambda x, i: F.struct((i + 1).alias("source_rank"), x["document_id"].alias("document_id"), x["title"].alias("title"), x["document_type"].alias("document_type"), x["url"].alias("url"), x["relevance"].alias("relevance")))
+    done = rows.select("qid", context.alias("context"), listed.alias("sources"), F.size("rows").cast("long").alias("retrieved"))
+    none = F.array().cast(done.schema["sources"].dataType)
+    out = queries.select("qid").join(done, "qid", "left")
+    return out.select("qid", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"), F.coalesce("sources", none).alias("sources"), F.coalesce("retrieved", F.lit(0)).alias("retrieved"))
 
 
 def _corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("source").alias("document_type"), F.col("lang").alias("language"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("source").alias("document_type"), F.col("lang").alias("language"), F.concat(F.lit("doc/"), "doc_id").alias("source_url"))
     vectors = table(spark, sf_dir, "embeddings").join(docs.select("vec_id", "language"), "vec_id")
     chunks = docs.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("document_id")), "vec_id").drop("language")
     queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", "language")
@@ -124,15 +139,15 @@ def assemble_context_embeddings(spark, sf_dir):
     return assemble_context(*_retrieved(spark, sf_dir))
 
 
-@query(_RET + "SELECT qid, source_rank, label AS document_id, 'Document ' || vec_id AS title, source AS document_type, round(1 - d, 6) AS similarity FROM s")
+@query(_RET + "SELECT qid, source_rank, label AS document_id, 'Document ' || vec_id AS title, source AS document_type, 'doc/' || vec_id AS url, round(1 - d, 6) AS similarity FROM s")
 def prepare_sources_embeddings(spark, sf_dir):
     return prepare_sources(_retrieved(spark, sf_dir)[0]).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_RET + "SELECT qid, source_rank, 'Document ' || vec_id AS text, round(1 - d, 6) AS relevance, CAST(label AS VARCHAR) AS document_id FROM s")
+@query(_RET + "SELECT qid, source_rank, 'Document ' || vec_id AS text, round(1 - d, 6) AS relevance, CAST(label AS VARCHAR) AS document_id, 'Document ' || vec_id AS title, source AS document_type, 'doc/' || vec_id AS source_url, round(1 - d, 6) AS meta_relevance FROM s")
 def public_sources_embeddings(spark, sf_dir):
     p = public_sources(prepare_sources(_retrieved(spark, sf_dir)[0]))
-    return p.select("qid", "source_rank", "text", F.round("relevance", 6).alias("relevance"), F.col("metadata")["document_id"].alias("document_id"))
+    return p.select("qid", "source_rank", "text", F.round("relevance", 6).alias("relevance"), "metadata.document_id", "metadata.title", "metadata.document_type", "metadata.source_url", F.round("metadata.relevance", 6).alias("meta_relevance"))
 
 
 @query(_RET + "SELECT qid, count(*) AS retrieved FROM r GROUP BY qid")

@@ -23,17 +23,19 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
-    """New page files -> documents in ``target``; each batch keeps only urls not stored before."""
+    """New page files -> documents in ``target``; each batch keeps only urls not stored before.
+
+    A batch owns the partition of its number and overwrites it, so a batch that is run again stores its rows once.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def put(batch: DataFrame, number: int) -> None:
         docs = ingest_pages(batch)
-        try:
-            seen = batch.sparkSession.read.parquet(target).where(F.col("batch") < number).select("url")
+        if files.exists(folder):  # the first batch finds no table yet
+            seen = batch.sparkSession.read.schema(f"{docs.select('url')._jdf.schema().toDDL()}, batch long").parquet(target).where(F.col("batch") < number).select("url")
             docs = docs.join(seen, "url", "left_anti")
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        docs.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(target)
+        docs.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     page_snapshots(spark, source, stream=True).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -51,61 +53,91 @@ def stream_metrics(stream: DataFrame, width: str = "5 minutes", slide: str = "1
 
 
 class FixedWindowLimiter(StatefulProcessor):
-    """Counts a key's requests in the current window from the epoch on; state lives as long as a window."""
+    """Counts a key's requests in windows from the epoch on, late ones in their own window.
+
+    A window's count goes by a timer once the watermark has passed its end, so state does not grow. The rows of a key
+    come in Arrow batches, each taken in time order by itself.
+    """
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "bucket long, n long")
+        self.handle, self.state = handle, handle.getMapState("windows", "bucket long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        r = pd.concat(rows).sort_values(["ts", "event_id"])
-        bucket, n = self.state.get() if self.state.exists() else (-1, 0)
-        out = []
-        for event, ts in zip(r["event_id"].tolist(), r["ts"].tolist()):
-            b = int(ts.timestamp() // self.seconds)
-            bucket, n = (b, n + 1) if b == bucket else (b, 1)
-            out.append((event, key[0], n, n <= self.limit))
-        self.state.update((bucket, n))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "n", "allowed"])
+        for r in rows:
+            r = r.sort_values(["ts", "event_id"])
+            counts: dict[int, int] = {}
+            out = []
+            for event, ts in zip(r["event_id"].tolist(), r["ts"].tolist()):
+                b = int(ts.timestamp() // self.seconds)
+                if b not in counts:
+                    known = self.state.containsKey((b,))
+                    counts[b] = self.state.getValue((b,))[0] if known else 0
+                    if not known:
+                        self.handle.registerTimer((b + 1) * self.seconds * 1000)
+                counts[b] += 1
+                out.append((event, key[0], counts[b], counts[b] <= self.limit))
+            for b, n in counts.items():
+                self.state.updateValue((b,), (n,))
+            yield pd.DataFrame(out, columns=["event_id", "user_id", "n", "allowed"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // (self.seconds * 1000) - 1
+        if self.state.containsKey((bucket,)):
+            self.state.removeKey((bucket,))
+        yield pd.DataFrame({"event_id": [], "user_id": [], "n": [], "allowed": []}).astype({"event_id": "int64", "user_id": "int64", "n": "int64", "allowed": "bool"})
 
     def close(self) -> None:
         pass
 
 
 class ResponseCache(StatefulProcessor):
-    """A key's last stored answer; a hit is a request less than ``ttl`` seconds after it."""
+    """A key's last stored answer; a hit is a request less than ``ttl`` seconds after it.
+
+    A stored answer goes by a timer once the watermark is ``ttl`` seconds past it; each Arrow batch of a key is taken in
+    time order.
+    """
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stored", "at long")
+        self.handle, self.state = handle, handle.getValueState("stored", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        r = pd.concat(rows).sort_values(["at", "event_id"])
-        stored = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for event, at in zip(r["event_id"].tolist(), r["at"].tolist()):
-            hit = stored is not None and at - stored < self.ttl * 1_000_000
-            stored = stored if hit else at
-            out.append((event, key[0], hit))
-        self.state.update((stored,))
-        yield pd.DataFrame(out, columns=["event_id", "key", "hit"])
+        before = stored = self.state.get()[0] if self.state.exists() else None
+        for r in rows:
+            r = r.sort_values(["at", "event_id"])
+            out = []
+            for event, at in zip(r["event_id"].tolist(), r["at"].tolist()):
+                hit = stored is not None and at - stored < self.ttl * 1_000_000
+                stored = stored if hit else at
+                out.append((event, key[0], hit))
+            yield pd.DataFrame(out, columns=["event_id", "key", "hit"])
+        if stored != before:
+            self.state.update((stored,))
+            self.handle.registerTimer(stored // 1000 + self.ttl * 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0] // 1000 + self.ttl * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({"event_id": [], "key": [], "hit": []}).astype({"event_id": "int64", "key": "str", "hit": "bool"})
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
-    return stream.groupBy("user_id").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "None")
+def stream_rate_limit(stream: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """Decisions for ``stream(event_id, user_id, ts)``; rows later than ``late`` are dropped."""
+    return stream.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "EventTime")
 
 
-def stream_response_cache(stream: DataFrame, ttl: int = 3600) -> DataFrame:
-    """Hits of ``stream(event_id, key, ts)`` on arrival."""
-    s = stream.select("event_id", "key", epoch_micros("ts").alias("at"))
-    return s.groupBy("key").transformWithStateInPandas(ResponseCache(ttl), "event_id long, key string, hit boolean", "Append", "None")
+def stream_response_cache(stream: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Hits of ``stream(event_id, key, ts)`` on arrival; rows later than ``late`` are dropped."""
+    s = stream.withWatermark("ts", late).select("event_id", "key", "ts", epoch_micros("ts").alias("at"))
+    return s.groupBy("key").transformWithStateInPandas(ResponseCache(ttl), "event_id long, key string, hit boolean", "Append", "EventTime")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -166,6 +198,9 @@ def stream_response_cache_events(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
-g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, g""")
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, g
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions_events(spark, sf_dir):
-    return sessions(table(spark, sf_dir, "events", "user_id", "ts"))
+    """Sessions that the stream has closed: those that end before the watermark."""
+    s = events_stream(spark, _folder(spark, sf_dir, "events", 1)).select("user_id", "ts").withWatermark("ts", "10 minutes")
+    return _streamed(spark, sessions(s), "sessions")

@@ -234,3 +234,54 @@ def test_streams_equal_batch(spark):
 
 def test_work_dir_is_shared(spark):
     assert re.match(r"file:/", work_dir(spark, "x")) and work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_links_of_all_spellings(spark):
+    """Every way to write an anchor, and references of any depth, as the standard library's parser and urljoin have them."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Anchors(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            self.found += [v for k, v in attrs if tag == "a" and k == "href" and v]
+
+    page = "https://h.org/a/b/c/d/e/f/page.html?x=1"
+    deep = ["../" * n + "x" for n in range(1, 9)] + ["./y", "/r/../s", "../..", "a/./b/../c?q=../z", "https://o.org/a/../b", "..//t"]
+    html = "".join(f'<a href="{x}">t</a>' for x in deep)
+    html += "<a href='single'>t</a><A HREF=\"upper\">t</A><a\n\tclass=k href = \"spaced\">t</a><a href=bare>t</a><a href=\"?a=1&amp;b=2\">t</a><a data-href='no' href='yes'>t</a><abbr href='no2'>t</abbr><a name='n'>t</a>"
+    want = Anchors()
+    want.feed(html)
+    got = extract.extract_links(spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")).collect()
+    assert sorted(r["link"] for r in got) == sorted({urljoin(page, x) for x in want.found})
+
+
+def test_stream_state_goes_and_batches_are_stored_once(spark, tmp_path):
+    """Counts and answers are gone once the watermark has passed them; a batch that runs again stores its rows once."""
+    from datetime import datetime, timedelta, timezone
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for batch in range(3):
+        rows = [(10 * batch + i, start + timedelta(hours=5 * batch, minutes=i), 1) for i in range(3)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(source)
+        s = stream.stream_rate_limit(spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(source), 2, 3600)
+        stream.run_available(s, target, check)
+    got = {r["event_id"]: r["n"] for r in spark.read.parquet(target).collect()}
+    assert got == {10 * b + i: i + 1 for b in range(3) for i in range(3)}
+    state = spark.read.format("statestore").option("stateVarName", "windows").load(check)
+    assert state.count() == 1  # of the last window only
+
+    pages, docs, seen = (str(tmp_path / x) for x in ("pages", "docs", "seen"))
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    table.coalesce(1).write.parquet(pages)
+    stream.stream_ingest(spark, pages, docs, seen)
+    once = spark.read.parquet(docs).count()
+    for f in (tmp_path / "seen" / "commits").iterdir():
+        f.unlink()  # as if the driver had been lost after the write
+    stream.stream_ingest(spark, pages, docs, seen)
+    assert spark.read.parquet(docs).count() == once > 0
