@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from corpusq.llm.components import connected_components
 from corpusq.llm.shared import near_pairs, whole_groups, written
 
-#: Six bands of two rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.9978.
-BANDS, ROWS = 6, 2
+#: Five bands of two rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.994.
+BANDS, ROWS = 5, 2
 LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
 _DRAWS = np.random.default_rng(20240607)
 _FLIP = _DRAWS.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -43,7 +43,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _POWERS or len(_POWERS[base][0]) < n:
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(max(n, 1 << 20), b, np.uint64)
+            x = np.full(1 << max(16, (n - 1).bit_length()), b, np.uint64)
             x[0] = 1
             out.append(np.multiply.accumulate(x))
         _POWERS[base] = (out[0], out[1])
@@ -75,7 +75,7 @@ class Words:
         self.hashes = np.zeros(len(start), np.uint64)
         low = 0
         while low < len(start):  # some bytes at a time
-            high = max(low + 1, int(np.searchsorted(start, start[low] + (1 << 20))))
+            high = max(low + 1, int(np.searchsorted(start, start[low] + (1 << 18))))
             base = start[low]
             self.hashes[low:high] = stretch_hashes(_BYTE[a[base : end[high - 1]]], start[low:high] - base, end[low:high] - base, 0x9E3779B97F4A7C15)
             low = high
@@ -101,8 +101,8 @@ class Words:
         end = np.minimum(at + words, np.repeat(self.start[lines] + size, count))
         return stretch_hashes(self.hashes, at, end, 0xE7037ED1A0B428DB), first
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The run of SPAN words of least hash among any REACH following ones of a text: text, first word in it, hash."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The run of SPAN words of least hash among any REACH following ones of a text: text, first word in it, hash, and the text's line it stands in (-1: several)."""
         found, step = [np.zeros(0, np.int64)], 1 << 22
         stop = len(self.hashes) - SPAN + 1
         h = stretch_hashes(self.hashes, np.arange(max(0, stop)), np.arange(max(0, stop)) + SPAN, 0x8EBC6AF09C88C6E3) if stop > 0 else np.zeros(0, np.uint64)
@@ -124,7 +124,9 @@ class Words:
             found.append((low[:n][whole] & np.uint64(0xFFFFFF)).astype(np.int64) + base)
         at = np.unique(np.concatenate(found))
         own = np.searchsorted(self.first_word, at, side="right") - 1
-        return own, at - self.first_word[own], h[at]
+        line = np.searchsorted(self.start, at, side="right") - 1
+        line = np.where(at + SPAN <= self.start[line] + self.size[line], line - self.first_line[own], -1)
+        return own, at - self.first_word[own], h[at], line
 
 
 def band_hashes(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -143,7 +145,7 @@ def split_text(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split(b"\n")
 
 
-def _slices(texts: list, most: int = 2 << 20):
+def _slices(texts: list, most: int = 1 << 20):
     at = 0
     while at < len(texts):
         k, used = at, 0
@@ -158,7 +160,8 @@ def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int,
     """Rows for every line of ``least_words`` words or more and for every chosen run of the texts ``docs(doc, rid, text)``.
 
     Lines have their number ``at``, their key (k1, k2), the number of shingles and band values; where so few shingles
-    are linked only to equal sets, one band serves. Runs (``run`` is true) have their first word ``at`` and hash k1.
+    are linked only to equal sets, one band serves. Runs (``run`` is true) have their first word ``at``, hash k1, and the
+    ``line`` they stand in (-1 if in several).
     """
     few = similarity / max(1 - similarity, 1e-9) - 1e-9
 
@@ -175,15 +178,15 @@ def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int,
                     small = count < few
                     of_band = [pa.array(bands[:, i], mask=small if i else None) for i in range(BANDS)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), bool)), pa.array(doc[low + own]), pa.array(rid[low + own]), pa.array((lines - w.first_line[own]).astype(np.int32)),
-                        pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count.astype(np.int32)), *of_band], names=names)
-                own, word, h = w.runs() if passages else (np.zeros(0, np.int64),) * 3
+                        pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count.astype(np.int32)), pa.nulls(len(lines), pa.int32()), *of_band], names=names)
+                own, word, h, line = w.runs() if passages else (np.zeros(0, np.int64),) * 4
                 if len(own):
                     none = pa.nulls(len(own), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.array(doc[low + own]), pa.array(rid[low + own]), pa.array(word.astype(np.int32)),
-                        pa.array(h.view(np.int64)), none, pa.nulls(len(own), pa.int32()), *[none] * BANDS], names=names)
+                        pa.array(h.view(np.int64)), none, pa.nulls(len(own), pa.int32()), pa.array(line.astype(np.int32)), *[none] * BANDS], names=names)
 
-    names = ["run", "doc", "rid", "at", "k1", "k2", "shingles", *(f"b{i}" for i in range(BANDS))]
-    return docs.select("doc", "rid", "text").mapInArrow(run, "run boolean, doc long, rid long, at int, k1 long, k2 long, shingles int, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+    names = ["run", "doc", "rid", "at", "k1", "k2", "shingles", "line", *(f"b{i}" for i in range(BANDS))]
+    return docs.select("doc", "rid", "text").mapInArrow(run, "run boolean, doc long, rid long, at int, k1 long, k2 long, shingles int, line int, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
 def dealt_blocks(df: DataFrame, chunks: Column, draw: Column) -> DataFrame:
@@ -228,11 +231,10 @@ def longest_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray) -> tu
 
 def _numbers(rows: list[bytes], most: int) -> np.ndarray:
     """(rows, most) numbers from 1 on of the words of each row, equal for equal words only; 0 beyond a row's end."""
-    split = [r.split() for r in rows]
-    count = np.fromiter(map(len, split), np.int64, len(split))
-    coded = pa.array([w for x in split for w in x], pa.binary()).dictionary_encode()
+    known: dict[bytes, int] = {}
+    count = np.fromiter((r.count(b" ") + 1 if r else 0 for r in rows), np.int64, len(rows))
     out = np.zeros((len(rows), most), np.uint32)
-    out[np.arange(most) < count[:, None]] = coded.indices.to_numpy(zero_copy_only=False) + 1 if count.sum() else 0
+    out[np.arange(most) < count[:, None]] = np.fromiter((known.setdefault(w, len(known) + 1) for r in rows for w in r.split()), np.uint32, int(count.sum()))
     return out
 
 
@@ -338,7 +340,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     With ``passages``, a passage of 49 words or more that an earlier place of this or another document holds too goes from
     its first to its last word, wherever it stands, inside paragraphs and across line ends (n_spans counts each stretch);
     of shorter ones those of 20 words or more in which a run is chosen go, also from end to end. Words are compared one by
-    one; no other word goes.
+    one; no other word goes. Lines that go as whole paragraphs are no longer looked at for passages.
 
     Equal paragraphs are one class from the start, so copies form no pairs. Band values that only one class has are
     dropped by counts; colliding classes are verified exactly, in blocks of about ``2 * most`` classes and a million
@@ -347,15 +349,19 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     (told apart by a hash of their texts, whose order decides among them; rows equal in both are one); an empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # rows that share an id are told apart by their text
-    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("rid"), "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    twice = written(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("twice")), "paragraph-ids")
+    if twice.limit(1).count():  # rows that share an id are told apart by their text
+        rows = rows.join(twice, "doc", "left").select("doc", F.when(F.col("twice"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("rid"), "text")
+    else:
+        rows = rows.select("doc", F.lit(0).cast("long").alias("rid"), "text")
     units = written(unit_table(rows, words, similarity, least_words, passages), "paragraph-units")
     placed = units.where("not run")
     classes = placed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "rid", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("shingles").alias("shingles"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     classes = written(classes, "paragraph-classes")
 
     bands = classes.select("k1", "k2", "shingles", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("value")).where("value is not null")
-    shared = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight")).where("n > 1")
+    shared = written(bands.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight")).where("n > 1"), "paragraph-bands")
     chunks = F.ceil(F.greatest(F.col("n") / most, F.col("weight") / (1 << 20)))
     colliding = dealt_blocks(bands.join(shared, "value"), chunks, F.xxhash64("k1", "k2")).select("value", "block", "k1", "k2")
 
@@ -374,55 +380,22 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     wanted = met.select("k1", "k2", F.lit(True).alias("met")).distinct()
     known = classes.select("k1", "k2", "first", "n").join(wanted, ["k1", "k2"], "left").where("n > 1 or met")
     known = written(known, "paragraph-known")  # classes of several lines, or that may link to others
-    members = written(placed.select("k1", "k2", "doc", "rid", "at").join(known.select("k1", "k2", "first"), ["k1", "k2"]), "paragraph-members")
-    away = (F.col("doc") != F.col("first.doc")) | (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at"))
-    copies = members.where(away).groupBy("doc", "rid").agg(F.collect_list("at").alias("copies"))  # lines of one document, here and below
-    asked = known.where("met").select("first.doc", "first.rid", F.struct("first.at", "k1", "k2").alias("x")).groupBy("doc", "rid").agg(F.collect_list("x").alias("x"))
+    members = written(placed.select("k1", "k2", "doc", "rid", "at").join(known.select("k1", "k2"), ["k1", "k2"]), "paragraph-members")
+    asked = known.where("met").select("first.doc", "first.rid", F.struct("first.at", "k1", "k2").alias("x")).groupBy("doc", "rid").agg(F.collect_list("x").alias("x"))  # lines of one document, here and below
     asked = asked.select("doc", "rid", F.col("x.at").alias("asked"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
-    runs = units.where("run").select("doc", "rid", F.col("at").alias("word"), F.col("k1").alias("h"))
-    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    seeds = runs.join(again, "h").groupBy("doc", "rid").agg(F.collect_list(F.struct("word", "h", "n")).alias("x"))
-    seeds = seeds.select("doc", "rid", F.col("x.word").alias("word"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    asked = asked.join(seeds, ["doc", "rid"], "full").join(copies, ["doc", "rid"], "left")  # the texts are joined once for both
 
     def fetch(batches):
         for b in batches:
             texts = unpacked(b["packed"])
             for low, high in _slices(texts):
-                part = b.iloc[low:high]
-                w = Words(texts[low:high])
-                lines = [w.first_line[i] + np.asarray(x, np.int64) for i, x in enumerate(part["asked"]) if x is not None]
-                if lines:
-                    lines = np.concatenate(lines)
-                    h, first = w.shingles(lines, words)
-                    k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c] if x is not None]) for c in ("k1", "k2"))
-                    sets = [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": sets, "doc": None, "rid": None, "word": None, "h": None, "n": None, "run": None, "left": None, "right": None})
-                out = []
-                for i, (doc, rid, word, hs, ns, copies) in enumerate(zip(part["doc"].tolist(), part["rid"].tolist(), part["word"], part["h"], part["n"], part["copies"])):
-                    if word is None:
-                        continue
-                    word, hs, ns = (np.asarray(x, np.int64) for x in (word, hs, ns))
-                    if copies is not None:  # a run inside a line that goes as a copy: the first such line has it too
-                        at = w.first_word[i] + word
-                        own = np.searchsorted(w.start, at, side="right") - 1
-                        inside = (at + SPAN <= w.start[own] + w.size[own]) & np.isin(own - w.first_line[i], copies)
-                        word, hs, ns = word[~inside], hs[~inside], ns[~inside]
-                    if not len(word):
-                        continue
-                    t = texts[low + i].encode("utf-8").lower().split()
-                    for x, y, n in zip(word.tolist(), hs.tolist(), ns.tolist()):
-                        out.append((doc, rid, x, y, n, b" ".join(t[x : x + SPAN]), b" ".join(t[max(0, x - SIDE) : x][::-1]), b" ".join(t[x + SPAN : x + SPAN + SIDE])))
-                        if len(out) >= 1 << 14:
-                            yield pd.DataFrame(out, columns=["doc", "rid", "word", "h", "n", "run", "left", "right"]).assign(k1=None, k2=None, shingles=None)
-                            out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["doc", "rid", "word", "h", "n", "run", "left", "right"]).assign(k1=None, k2=None, shingles=None)
-
-    kinds = "k1 long, k2 long, shingles array<long>, doc long, rid long, word int, h long, n long, run binary, left binary, right binary"
+                part, w = b.iloc[low:high], Words(texts[low:high])
+                lines = np.concatenate([w.first_line[i] + np.asarray(x, np.int64) for i, x in enumerate(part["asked"])])
+                h, first = w.shingles(lines, words)
+                k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c]]) for c in ("k1", "k2"))
+                yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]})
+
     sent = rows.select("doc", "rid", packed(F.col("text")).alias("packed"))
-    fetched = sent.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).mapInPandas(fetch, kinds)
-    fetched = written(fetched, "paragraph-shingles")
+    shingles = sent.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).mapInPandas(fetch, "k1 long, k2 long, shingles array<long>")
 
     def verify(batches):
         for b in whole_groups(batches, ["bucket"]):
@@ -431,50 +404,82 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
             yield pd.DataFrame({"src": names[i], "dst": names[j]})
 
     key = F.concat_ws("/", "k1", "k2")
-    shingles = fetched.where("k1 is not null").select("k1", "k2", "shingles")
     links = met.join(shingles, ["k1", "k2"]).select("bucket", key.alias("key"), "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(verify, "src string, dst string")
     roots = connected_components(links)
     named = known.select("k1", "k2", "first", "n", key.alias("key"))
     named = named.join(roots, named["key"] == roots["node"], "left").select("k1", "k2", "first", "n", F.coalesce("root", "key").alias("class"))
     groups = named.groupBy("class").agg(F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
     named = named.select("k1", "k2", "class").join(groups, "class").select("k1", "k2", "class", "keeper")
-    hits = members.select("k1", "k2", "doc", "rid", "at").join(named, ["k1", "k2"])
     gone = (F.col("doc") != F.col("keeper.doc")) | (F.col("rid") != F.col("keeper.rid")) | (F.col("at") != F.col("keeper.at"))
-    hits = hits.groupBy("doc", "rid").agg(
-        F.sort_array(F.collect_set(F.when(gone, F.col("at")))).alias("gone"), F.sort_array(F.collect_set("class")).alias("classes"),
-        F.sort_array(F.collect_set(F.when(gone, F.nullif("keeper.doc", F.lit(LAST))))).alias("kept_in"),
+    lines = members.select("k1", "k2", "doc", "rid", "at").join(named, ["k1", "k2"]).select("doc", "rid", "at", "class", F.col("keeper.doc").alias("kept"), gone.alias("gone"))
+    lines = written(lines, "paragraph-hits")
+    hits = lines.groupBy("doc", "rid").agg(
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("at")))).alias("gone"), F.sort_array(F.collect_set("class")).alias("classes"),
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.nullif("kept", F.lit(LAST))))).alias("kept_in"),
     )
 
+    digests = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs long" + (", kept_text string" if texts else "")
+    columns = [x.split()[0] for x in digests.split(", ")]
+
+    def digest(text: str, drop: set[int], found: list[tuple[int, int]]) -> tuple:
+        raw, spans = text.encode("utf-8"), 0
+        lines = raw.split(b"\n")
+        kept = b"\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else raw
+        if found:
+            kept, spans = without_passages(lines, drop, found)
+        row = (len(raw), len(raw) - len(kept), len(drop) + spans, hashlib.sha256(kept).hexdigest(), len(lines))
+        return (*row, kept.decode("utf-8")) if texts else row
+
     def cut(batches):
+        """Without the lines that go; and, of the seeds, the words around them."""
+        for whole in batches:
+            data = unpacked(whole["packed"])
+            for low, high in _slices(data):
+                b, out, open_rows = whole.iloc[low:high].reset_index(drop=True), [], []
+                for text, pack, gone, word, h, n in zip(data[low:high], b["packed"], b["gone"], b["word"], b["h"], b["n"]):
+                    out.append(digest(text, set() if gone is None else set(gone.tolist()), []))
+                    if word is None:
+                        open_rows.append((None,) * 7)
+                        continue
+                    t, at = text.encode("utf-8").lower().split(), word.tolist()
+                    sides = [b" ".join(t[x : x + SPAN]) for x in at], [b" ".join(t[max(0, x - SIDE) : x][::-1]) for x in at], [b" ".join(t[x + SPAN : x + SPAN + SIDE]) for x in at]
+                    open_rows.append((at, h.tolist(), n.tolist(), *sides, pack))
+                x = pd.DataFrame(out, columns=columns)
+                y = pd.DataFrame(open_rows, columns=["word", "h", "n", "run", "left", "right", "packed"], dtype=object)
+                yield pd.concat([b[["doc", "rid", "gone", "classes", "kept_in"]], x, y], axis=1)
+
+    def cut_passages(batches):
         for b in batches:
-            out = []
-            for data, gone, low, high in zip(unpacked(b["packed"]), b["gone"], b["low"], b["high"]):
-                raw, spans = data.encode("utf-8"), 0
-                lines = raw.split(b"\n")
-                drop = set() if gone is None else set(gone.tolist())
-                kept = b"\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else raw
-                if low is not None and len(low):
-                    kept, spans = without_passages(lines, drop, list(zip(low.tolist(), high.tolist())))
-                row = (len(raw), len(raw) - len(kept), len(drop) + spans, hashlib.sha256(kept).hexdigest(), len(lines))
-                out.append((*row, kept.decode("utf-8")) if texts else row)
-            columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_paragraphs"]
-            x = pd.DataFrame(out, columns=[*columns, "kept_text"] if texts else columns)
-            yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), x], axis=1)
+            out = [digest(text, set() if gone is None else set(gone.tolist()), [] if low is None else list(zip(low.tolist(), high.tolist()))) for text, gone, low, high in zip(unpacked(b["packed"]), b["gone"], b["low"], b["high"])]
+            yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
     found = hits
     if passages:
-        inner = grown_passages(fetched.where("h is not null").select("doc", "rid", "word", "h", "n", "run", "left", "right"), 16 * most)
-        found = hits.join(inner, ["doc", "rid"], "full")
+        runs = units.where("run").select("doc", "rid", "line", F.col("at").alias("word"), F.col("k1").alias("h"))
+        again = written(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "paragraph-runs")
+        away = lines.where("gone").select("doc", "rid", F.col("at").alias("line"))  # a run inside a line that goes finds nothing more
+        seeds = written(runs.join(again, "h").join(away, ["doc", "rid", "line"], "left_anti").select("doc", "rid", "word", "h"), "paragraph-seeds")
+        again = written(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "paragraph-runs")
+        seeds = seeds.join(again, "h").groupBy("doc", "rid").agg(F.collect_list(F.struct("word", "h", "n")).alias("x"))
+        found = hits.join(seeds.select("doc", "rid", F.col("x.word").alias("word"), F.col("x.h").alias("h"), F.col("x.n").alias("n")), ["doc", "rid"], "full")
+    else:
+        found = hits.selectExpr("*", "cast(null as array<int>) word", "cast(null as array<bigint>) h", "cast(null as array<bigint>) n")
+    kinds = "doc long, rid long, gone array<int>, classes array<string>, kept_in array<long>, " + digests
+    full = sent.join(found, ["doc", "rid"], "left").select("doc", "rid", "packed", "gone", "classes", "kept_in", "word", "h", "n")
+    first = full.mapInPandas(cut, kinds + ", word array<int>, h array<long>, n array<long>, run array<binary>, left array<binary>, right array<binary>, packed binary")
+    out = first
+    if passages:
+        first = written(first, "paragraph-lines")
+        sides = first.where("packed is not null").select("doc", "rid", F.inline(F.arrays_zip("word", "h", "n", "run", "left", "right")))
+        inner = grown_passages(sides, 4 * most)
         held = F.flatten(F.coalesce("passages.keepers", F.array().cast("array<array<bigint>>")))
         held = F.transform(held, lambda x: F.nullif(x, F.lit(LAST)))
-        found = found.withColumn("kept_in", F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))))
-    low, high = ("passages.low", "passages.high") if passages else ("gone", "gone")
-    found = found.select("doc", "rid", "gone", "classes", "kept_in", *(F.when(F.lit(passages), F.col(c)).alias(n) for c, n in ((low, "low"), (high, "high"))))
-    full = sent.join(found, ["doc", "rid"], "left").select("doc", "packed", "gone", "low", "high", "classes", "kept_in")
-    kinds = "doc long, classes array<string>, kept_in array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs long" + (", kept_text string" if texts else "")
-    out = full.mapInPandas(cut, kinds)
-    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else []), "n_paragraphs", "classes", "kept_in"]
-    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), *columns)
+        kept_in = F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))).alias("kept_in")
+        rest = first.where("packed is not null").join(inner, ["doc", "rid"], "left").select("doc", "packed", "gone", "classes", kept_in, F.col("passages.low").alias("low"), F.col("passages.high").alias("high"))
+        rest = rest.mapInPandas(cut_passages, "doc long, classes array<string>, kept_in array<long>, " + digests)
+        out = first.where("packed is null").select(*rest.columns).unionByName(rest)
+    columns_out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else []), "n_paragraphs", "classes", "kept_in"]
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), *columns_out)
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
