@@ -16,7 +16,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusq.llm.components import connected_components
 from corpusq.llm.shared import near_pairs, whole_groups, written
@@ -99,13 +98,13 @@ class Words:
         first = np.cumsum(count) - count
         at = np.arange(count.sum()) - np.repeat(first - self.start[lines], count)
         end = np.minimum(at + words, np.repeat(self.start[lines] + size, count))
-        return stretch_hashes(self.hashes, at, end, 0xE7037ED1A0B428DB), first
+        return stretch_hashes(self.hashes, at, end, 0xD6E8FEB86659FD93), first
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The run of SPAN words of least hash among any REACH following ones of a text: text, first word in it, hash, and the text's line it stands in (-1: several)."""
         found, step = [np.zeros(0, np.int64)], 1 << 22
         stop = len(self.hashes) - SPAN + 1
-        h = stretch_hashes(self.hashes, np.arange(max(0, stop)), np.arange(max(0, stop)) + SPAN, 0x8EBC6AF09C88C6E3) if stop > 0 else np.zeros(0, np.uint64)
+        h = stretch_hashes(self.hashes, np.arange(max(0, stop)), np.arange(max(0, stop)) + SPAN, 0xD6E8FEB86659FD93) if stop > 0 else np.zeros(0, np.uint64)
         for base in range(0, len(h), step):
             part = h[base : base + step + REACH]
             low = (part & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(part), dtype=np.uint64)  # ties: the leftmost
@@ -156,6 +155,15 @@ def _slices(texts: list, most: int = 1 << 20):
         at = k
 
 
+def _parts(batches, rows: int = 500):
+    """A few rows of the batches at a time, so that only their texts are Python objects."""
+    for b in batches:
+        if isinstance(b, pd.DataFrame):
+            yield from (b.iloc[at : at + rows].reset_index(drop=True) for at in range(0, len(b), rows))
+        else:
+            yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int, passages: bool) -> DataFrame:
     """Rows for every line of ``least_words`` words or more and for every chosen run of the texts ``docs(doc, rid, text)``.
 
@@ -166,7 +174,7 @@ def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int,
     few = similarity / max(1 - similarity, 1e-9) - 1e-9
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             doc, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rid"))
             texts = batch.column("text").to_pylist()
             for low, high in _slices(texts):
@@ -197,11 +205,16 @@ def dealt_blocks(df: DataFrame, chunks: Column, draw: Column) -> DataFrame:
     return df.withColumn("block", F.explode(blocks)).drop("_c", "_own")
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(texts: pd.Series) -> pd.Series:
-    """Texts compressed, so that a shuffle of them is half as large."""
-    tool = zstandard.ZstdCompressor(level=1)
-    return pd.Series([tool.compress((t or "").encode("utf-8")) for t in texts], dtype=object)
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc, rid, packed): texts compressed, so that a shuffle of them is half as large."""
+
+    def run(batches):
+        tool = zstandard.ZstdCompressor(level=1)
+        for part in _parts(batches):
+            data = [tool.compress((t or "").encode("utf-8")) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("rid"), pa.array(data, pa.binary())], names=["doc", "rid", "packed"])
+
+    return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, packed binary")
 
 
 def unpacked(data: pd.Series) -> list[str]:
@@ -385,7 +398,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     asked = asked.select("doc", "rid", F.col("x.at").alias("asked"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
 
     def fetch(batches):
-        for b in batches:
+        for b in _parts(batches):
             texts = unpacked(b["packed"])
             for low, high in _slices(texts):
                 part, w = b.iloc[low:high], Words(texts[low:high])
@@ -394,7 +407,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
                 k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c]]) for c in ("k1", "k2"))
                 yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]})
 
-    sent = rows.select("doc", "rid", packed(F.col("text")).alias("packed"))
+    sent = packed(rows)
     shingles = sent.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).mapInPandas(fetch, "k1 long, k2 long, shingles array<long>")
 
     def verify(batches):
@@ -432,7 +445,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
 
     def cut(batches):
         """Without the lines that go; and, of the seeds, the words around them."""
-        for whole in batches:
+        for whole in _parts(batches):
             data = unpacked(whole["packed"])
             for low, high in _slices(data):
                 b, out, open_rows = whole.iloc[low:high].reset_index(drop=True), [], []
@@ -449,7 +462,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
                 yield pd.concat([b[["doc", "rid", "gone", "classes", "kept_in"]], x, y], axis=1)
 
     def cut_passages(batches):
-        for b in batches:
+        for b in _parts(batches):
             out = [digest(text, set() if gone is None else set(gone.tolist()), [] if low is None else list(zip(low.tolist(), high.tolist()))) for text, gone, low, high in zip(unpacked(b["packed"]), b["gone"], b["low"], b["high"])]
             yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
