@@ -198,11 +198,15 @@ def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int,
 
 
 def dealt_blocks(df: DataFrame, chunks: Column, draw: Column) -> DataFrame:
-    """Adds ``block``: rows of a group in ``chunks`` chunks are dealt so that any two of them meet in a block of two chunks."""
-    c, own = F.col("_c"), F.col("_own")
-    df = df.withColumn("_c", chunks.cast("long")).withColumn("_own", F.pmod(draw, c))
-    blocks = F.when(c <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda j: F.least(own, j) * c + F.greatest(own, j)))
-    return df.withColumn("block", F.explode(blocks)).drop("_c", "_own")
+    """Adds ``block``: rows of a group in ``chunks`` chunks are dealt so that any two of them meet in a block of two chunks.
+
+    ``chunk`` is the row's own one, ``alone`` tells the block that holds no other.
+    """
+    c, own = F.col("_c"), F.col("chunk")
+    df = df.withColumn("_c", chunks.cast("long")).withColumn("chunk", F.pmod(draw, c))
+    others = F.sequence(F.lit(0).cast("long"), F.greatest(c, F.lit(1)) - 1)
+    blocks = F.transform(others, lambda j: F.struct((F.least(own, j) * c + F.greatest(own, j)).alias("block"), (own == j).alias("alone")))
+    return df.select("*", F.inline(blocks)).drop("_c")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -251,12 +255,13 @@ def _numbers(rows: list[bytes], most: int) -> np.ndarray:
     return out
 
 
-def grown_passages(sides: DataFrame, most: int) -> DataFrame:
-    """(doc, rid, passages) of ``sides(doc, rid, word, h, n, run, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
+def grown_passages(places: DataFrame, most: int) -> DataFrame:
+    """(doc, rid, passages) of ``places(doc, rid, word, h, n, run, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
 
     Seeds of equal hash ``h``, ``n`` at most, are told apart by the words of their runs. To each side a seed grows, word by
     word, to the end of the longest passage through it that some earlier place holds, so it does not matter which of the
-    earlier places that is. Hot seeds are dealt to blocks in which any two places meet.
+    earlier places that is. Hot seeds are dealt to blocks in which any two places meet; a block of two chunks passes on
+    only what reaches further than the place's own chunk does, so copies give about a row a place, however many they are.
     """
 
     def run(batches):
@@ -269,11 +274,16 @@ def grown_passages(sides: DataFrame, most: int) -> DataFrame:
             rank = np.empty(len(b), np.int64)
             rank[order] = np.cumsum(fresh) - 1  # equal rows have one rank
             of_rank = doc[order][fresh]
-            left, right = (longest_earlier(group, rank, _numbers(b[c].tolist(), SIDE)) for c in ("left", "right"))
-            yes = left[0] >= 0
+            sides = [_numbers(b[c].tolist(), SIDE) for c in ("left", "right")]
+            left, right = (longest_earlier(group, rank, x) for x in sides)
+            yes, alone, chunk = left[0] >= 0, b["alone"].to_numpy(bool), b["chunk"].to_numpy(np.int64)
+            if not alone.all():
+                own = group * (chunk.max() + 1) + chunk
+                further = [x[0] > longest_earlier(own, rank, side)[0] for x, side in zip((left, right), sides)]
+                yes &= alone | further[0] | further[1]
             yield pd.DataFrame({"doc": doc, "rid": rid, "low": word - np.maximum(left[0], 0), "high": word + SPAN + np.maximum(right[0], 0), "before": of_rank[left[1]], "after": of_rank[right[1]]})[yes]
 
-    dealt = dealt_blocks(sides, F.ceil(F.col("n") / most), F.xxhash64("doc", "rid", "word")).drop("n")
+    dealt = dealt_blocks(places, F.ceil(F.col("n") / most), F.xxhash64("doc", "rid", "word")).drop("n")
     grown = dealt.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(run, "doc long, rid long, low int, high int, before long, after long")
     keepers = F.array_distinct(F.array("before", "after"))
     return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", keepers.alias("keepers"))).alias("passages"))  # of one document
