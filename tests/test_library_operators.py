@@ -135,6 +135,17 @@ def test_knn_approx_recall(spark):
     for most in (4096, 50):
         found = {(r["qid"], r["vec_id"]) for r in vectors.knn_approx(v, q, 10, most=most).collect()}
         assert len(exact & found) >= 0.9 * len(exact)
+    assert {(r["qid"], r["vec_id"]) for r in vectors.knn_approx(v, q, 10, lists=20, probes=20, most=7).collect()} == exact  # every list
+    rng = np.random.default_rng(8)  # clustered vectors: a tenth of the lists is enough
+    x = np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + rng.normal(size=(2000, 16)) * 0.1
+    near = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    some = near.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    exact = {(r["qid"], r["vec_id"]) for r in vectors.knn_join(near, some, 10).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in vectors.knn_approx(near, some, 10, probes=4).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["distance"]) for r in vectors.knn_approx(odd, odd.withColumnRenamed("vec_id", "qid").limit(1), 10).orderBy("rank").collect()] == [(1, 0.0), (2, 2.0)]
+    assert vectors.knn_approx(v.limit(0), q, 10).count() == 0 == vectors.knn_approx(v, q.limit(0), 10).count()
 
 
 def test_failed_encoder_gives_zeros(spark):
@@ -148,6 +159,23 @@ def test_failed_encoder_gives_zeros(spark):
     assert [list(r["embedding"]) for r in vectors.embed_texts(df, "id", encoder=Broken()).collect()] == [[0.0] * 3] * 2
 
 
+def test_embedded_texts_brute_force(spark):
+    """Hashed terms of whole texts counted word by word, for documents and for the benchmark's questions."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    for got, name, key, own in ((vectors.embed_texts_documents(spark, sf), "documents", "doc_id", "doc_id"), (vectors.embed_queries_benchmark(spark, sf), "benchmark", "item_id", "query_id")):
+        texts = {str(r[key]): r["text"] for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()}
+        rows = {str(r[own]): r["embedding"] for r in got.collect()}
+        assert rows.keys() == texts.keys()
+        for i, t in texts.items():
+            count = [0] * 64
+            for w in (t or "").lower().split():
+                count[zlib.crc32(w.encode()) % 64] += 1
+            length = sum(x * x for x in count) ** 0.5 or 1
+            assert np.allclose(rows[i], [x / length for x in count], atol=1e-6)
+
+
 def test_answers(spark):
     q = spark.createDataFrame([(1,), (2,)], "qid long")
     rows = [(1, i, "d1" if i % 2 else None, None if i == 1 else f"t{i}", None, f"c{i}", 0.1) for i in range(1, 8)]
