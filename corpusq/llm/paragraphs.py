@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,15 +199,11 @@ def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int,
 
 
 def dealt_blocks(df: DataFrame, chunks: Column, draw: Column) -> DataFrame:
-    """Adds ``block``: rows of a group in ``chunks`` chunks are dealt so that any two of them meet in a block of two chunks.
-
-    ``chunk`` is the row's own one, ``alone`` tells the block that holds no other.
-    """
-    c, own = F.col("_c"), F.col("chunk")
-    df = df.withColumn("_c", chunks.cast("long")).withColumn("chunk", F.pmod(draw, c))
+    """Adds ``block``: rows of a group in ``chunks`` chunks are dealt so that any two of them meet in a block of two chunks."""
+    c, own = F.col("_c"), F.col("_own")
+    df = df.withColumn("_c", chunks.cast("long")).withColumn("_own", F.pmod(draw, c))
     others = F.sequence(F.lit(0).cast("long"), F.greatest(c, F.lit(1)) - 1)
-    blocks = F.transform(others, lambda j: F.struct((F.least(own, j) * c + F.greatest(own, j)).alias("block"), (own == j).alias("alone")))
-    return df.select("*", F.inline(blocks)).drop("_c")
+    return df.select("*", F.explode(F.transform(others, lambda j: F.least(own, j) * c + F.greatest(own, j))).alias("block")).drop("_c", "_own")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -255,38 +252,91 @@ def _numbers(rows: list[bytes], most: int) -> np.ndarray:
     return out
 
 
-def grown_passages(places: DataFrame, most: int) -> DataFrame:
-    """(doc, rid, passages) of ``places(doc, rid, word, h, n, run, left, right)``: (low, high, keepers) of every seed that an earlier place holds too.
+def _ranks(doc: np.ndarray, rid: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each place in order of document, row and word, equal places alike; and a row of each rank."""
+    order = np.lexsort((word, rid, doc))
+    fresh = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(rid[order]) != 0) | (np.diff(word[order]) != 0)][: len(doc)]
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, order[fresh]
 
-    Seeds of equal hash ``h``, ``n`` at most, are told apart by the words of their runs. To each side a seed grows, word by
-    word, to the end of the longest passage through it that some earlier place holds, so it does not matter which of the
-    earlier places that is. Hot seeds are dealt to blocks in which any two places meet; a block of two chunks passes on
-    only what reaches further than the place's own chunk does, so copies give about a row a place, however many they are.
+
+def _rare_passages(places: DataFrame) -> DataFrame:
+    """(doc, rid, low, high, keeper) of both sides of seeds whose places fit in one task."""
+
+    def run(batches):
+        for b in whole_groups(batches, ["h"]):
+            doc, rid, word = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word"))
+            known: dict[tuple, int] = {}
+            group = np.array([known.setdefault(x, len(known)) for x in zip(b["h"].tolist(), b["run"])], np.int64)
+            rank, of_rank = _ranks(doc, rid, word)
+            left, right = (longest_earlier(group, rank, _numbers(b[c].tolist(), SIDE)) for c in ("left", "right"))
+            yes = left[0] >= 0
+            for low, high, keeper in ((word - left[0], word + SPAN, left[1]), (word, word + SPAN + right[0], right[1])):
+                yield pd.DataFrame({"doc": doc, "rid": rid, "low": low, "high": high, "keeper": doc[of_rank[keeper]]})[yes]
+
+    ready = places.select("doc", "rid", "word", "h", "run", "left", "right").repartition("h").sortWithinPartitions("h")
+    return ready.mapInPandas(run, "doc long, rid long, low int, high int, keeper long")
+
+
+def _common_passages(places: DataFrame) -> DataFrame:
+    """The same for seeds of any number of places, in work and rows linear in it (times a sort).
+
+    Places are sorted over all partitions by their run and the words to one side, so those that share some words stand
+    together. A batch of the sorted rows settles what lies inside it; of the words shared with its first or last row,
+    which may go on in other batches, it passes on only its least place, once for each number of words.
     """
+    order = ["back", "run", "side", "doc", "rid", "word"]
+    ended = [F.when(F.length(c) > 0, F.concat(c, F.lit(bytearray(b" ")))).otherwise(F.lit(bytearray())) for c in ("left", "right")]  # each word ends in a space
+    both = F.array(*(F.struct(F.lit(i == 0).alias("back"), x.alias("side")) for i, x in enumerate(ended)))
+    ready = places.select("doc", "rid", "word", "run", F.inline(both)).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        for b in whole_groups(batches, ["h", "block"]):
-            doc, rid, word, h, block = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word", "h", "block"))
+        part = TaskContext.get().partitionId()
+        for number, b in enumerate(x for x in batches if len(x)):
+            block, n = part << 32 | number, len(b)
+            doc, rid, word = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word"))
+            texts, back = b["side"].tolist(), b["back"].tolist()
             known: dict[tuple, int] = {}
-            group = np.array([known.setdefault(x, len(known)) for x in zip(block.tolist(), b["run"])], np.int64)
-            order = np.lexsort((word, rid, doc))
-            fresh = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(rid[order]) != 0) | (np.diff(word[order]) != 0)][: len(b)]
-            rank = np.empty(len(b), np.int64)
-            rank[order] = np.cumsum(fresh) - 1  # equal rows have one rank
-            of_rank = doc[order][fresh]
-            sides = [_numbers(b[c].tolist(), SIDE) for c in ("left", "right")]
-            left, right = (longest_earlier(group, rank, x) for x in sides)
-            yes, alone, chunk = left[0] >= 0, b["alone"].to_numpy(bool), b["chunk"].to_numpy(np.int64)
-            if not alone.all():
-                own = group * (chunk.max() + 1) + chunk
-                further = [x[0] > longest_earlier(own, rank, side)[0] for x, side in zip((left, right), sides)]
-                yes &= alone | further[0] | further[1]
-            yield pd.DataFrame({"doc": doc, "rid": rid, "low": word - np.maximum(left[0], 0), "high": word + SPAN + np.maximum(right[0], 0), "before": of_rank[left[1]], "after": of_rank[right[1]]})[yes]
-
-    dealt = dealt_blocks(places, F.ceil(F.col("n") / most), F.xxhash64("doc", "rid", "word")).drop("n")
-    grown = dealt.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(run, "doc long, rid long, low int, high int, before long, after long")
-    keepers = F.array_distinct(F.array("before", "after"))
-    return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", keepers.alias("keepers"))).alias("passages"))  # of one document
+            group = np.array([known.setdefault(x, len(known)) for x in zip(back, b["run"])], np.int64)
+            side = _numbers([x[:-1] for x in texts], SIDE)
+            rank, of_rank = _ranks(doc, rid, word)
+            length, keeper = longest_earlier(group, rank, side)
+            shared, nodes = [], []
+            for last, e in enumerate((0, n - 1)):
+                alike = np.where(group == group[e], np.cumprod((side == side[e]) & (side > 0), axis=1).sum(axis=1), -1)
+                shared.append(alike)
+                words = texts[e].split()
+                for k in range(len(words) + 1):
+                    i = of_rank[rank[alike >= k].min()]
+                    nodes.append((block, bool(last), back[e], k, b["run"].iloc[e] + b" " + b" ".join(words[:k]), doc[i], rid[i], word[i]))
+            last = shared[1] > shared[0]
+            yield pd.DataFrame({"block": block, "last": last, "back": back, "open": np.maximum(*shared), "node": None, "doc": doc, "rid": rid, "word": word, "length": length, "keeper": doc[of_rank[keeper]]})
+            yield pd.DataFrame(nodes, columns=["block", "last", "back", "open", "node", "doc", "rid", "word"]).assign(length=0, keeper=0)
+
+    settled = written(ready.mapInPandas(run, "block long, last boolean, back boolean, open int, node binary, doc long, rid long, word int, length int, keeper long"), "paragraph-places")
+    place = F.struct("doc", "rid", "word")
+    nodes = settled.where("node is not null").select("block", "last", "back", "node", F.col("open").alias("k"), place.alias("least"))
+    least = nodes.groupBy("back", "node").agg(F.min("least").alias("least"))
+    ends = nodes.drop("least").join(least, ["back", "node"]).groupBy("block", "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "least"))), lambda x: x["least"]).alias("least"))  # SIDE + 1 at most
+    rows = settled.where("node is null").drop("node").join(ends, ["block", "last"]).withColumn("place", place)
+    beyond = F.size(F.filter(F.slice("least", 1, F.col("open") + 1), lambda x: x < F.col("place"))) - 1  # longer shares have later least places
+    rows = rows.withColumn("beyond", beyond).withColumn("grown", F.greatest("length", "beyond")).where("grown >= 0")
+    keeper = F.when(F.col("grown") <= F.col("open"), F.expr("least[grown].doc")).otherwise(F.col("keeper"))
+    low = F.when(F.col("back"), F.col("word") - F.col("grown")).otherwise(F.col("word"))
+    high = F.col("word") + SPAN + F.when(F.col("back"), 0).otherwise(F.col("grown"))
+    return rows.select("doc", "rid", low.alias("low"), high.alias("high"), keeper.alias("keeper"))
+
+
+def grown_passages(places: DataFrame, most: int) -> DataFrame:
+    """(doc, rid, passages) of ``places(doc, rid, word, h, n, run, left, right)``: (low, high, keeper) of every seed that an earlier place holds too.
+
+    Seeds of equal hash ``h`` in ``n`` places are told apart by the words of their runs. To each side a seed grows, word by
+    word, to the end of the longest passage through it that some earlier place holds, so it does not matter which of the
+    earlier places that is. Hashes of ``most`` places or fewer meet in one task, those of more are sorted over all of them.
+    """
+    grown = _rare_passages(places.where(F.col("n") <= most)).unionByName(_common_passages(places.where(F.col("n") > most)))
+    return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", "keeper")).alias("passages"))  # of one document
 
 
 def without_passages(lines: list[bytes], drop: set[int], passages: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -495,8 +545,7 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         first = written(first, "paragraph-lines")
         sides = first.where("packed is not null").select("doc", "rid", F.inline(F.arrays_zip("word", "h", "n", "run", "left", "right")))
         inner = grown_passages(sides, 4 * most)
-        held = F.flatten(F.coalesce("passages.keepers", F.array().cast("array<array<bigint>>")))
-        held = F.transform(held, lambda x: F.nullif(x, F.lit(LAST)))
+        held = F.transform(F.coalesce("passages.keeper", F.array().cast("array<bigint>")), lambda x: F.nullif(x, F.lit(LAST)))
         kept_in = F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))).alias("kept_in")
         rest = first.where("packed is not null").join(inner, ["doc", "rid"], "left").select("doc", "packed", "gone", "classes", kept_in, F.col("passages.low").alias("low"), F.col("passages.high").alias("high"))
         rest = rest.mapInPandas(cut_passages, "doc long, classes array<string>, kept_in array<long>, " + digests)

@@ -196,6 +196,46 @@ def test_passages_go_from_end_to_end(spark):
         assert length[i] == max((shared(i, j) for j in range(200) if group[j] == group[i] and rank[j] < rank[i]), default=-1)
 
 
+def test_passages_of_common_seeds(spark):
+    """Places sorted over many batches and partitions give what all pairs of places give, with ties, repeats and odd bytes."""
+    from corpusq.llm.paragraphs import SPAN, grown_passages
+
+    rng = np.random.default_rng(14)
+    pick = lambda n: [[b"a", b"aa", b"a\x01", b"b", "\u00e9".encode()][k] for k in rng.integers(0, 5, n)]
+    runs = [b" ".join([w] * SPAN) for w in (b"r", b"rr", b"r\x02")]
+    rows = []
+    for _ in range(900):
+        run = int(rng.integers(0, 3))
+        left, right = ([b"c"] * int(rng.integers(0, 3)) + pick(int(rng.integers(0, 4))) for _ in range(2))
+        rows.append((int(rng.integers(0, 60)), int(rng.integers(0, 2)), int(rng.integers(30, 40)), min(run, 1), runs[run], left, right))
+    places = {r[:3]: r for r in rows}.values()  # one text beside a place, but rows may repeat
+    rows = [*places, *list(places)[:50]]
+
+    def share(x, y):
+        k = 0
+        while k < min(len(x), len(y)) and x[k] == y[k]:
+            k += 1
+        return k
+
+    want = set()
+    for r in places:
+        earlier = [x for x in places if x[4] == r[4] and x[:3] < r[:3]]
+        for side in (5, 6) if earlier else ():
+            grown = max(share(x[side], r[side]) for x in earlier)
+            keeper = min(x[:3] for x in earlier if share(x[side], r[side]) == grown)[0]
+            want.add((*r[:2], r[2] - (grown if side == 5 else 0), r[2] + SPAN + (grown if side == 6 else 0), keeper))
+    data = [(d, i, w, h, len(rows), bytearray(run), bytearray(b" ".join(x)), bytearray(b" ".join(y))) for d, i, w, h, run, x, y in rows]
+    df = spark.createDataFrame(data, "doc long, rid long, word int, h long, n long, run binary, left binary, right binary")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most, batch in ((10_000, "10000"), (1, "10000"), (1, "7"), (1, "1")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {(r["doc"], r["rid"], x["low"], x["high"], x["keeper"]) for r in grown_passages(df, most).collect() for x in r["passages"]}
+            assert got == want, (most, batch)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_op2_compares_short_paragraphs(spark, tmp_path):
     """The query leaves no paragraph out: short lines go as well, the first copy stays, as all pairs have it."""
     from corpusq.llm.paragraphs import op2_paragraphs
