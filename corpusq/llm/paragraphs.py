@@ -159,10 +159,7 @@ def _slices(texts: list, most: int = 1 << 20):
 def _parts(batches, rows: int = 500):
     """A few rows of the batches at a time, so that only their texts are Python objects."""
     for b in batches:
-        if isinstance(b, pd.DataFrame):
-            yield from (b.iloc[at : at + rows].reset_index(drop=True) for at in range(0, len(b), rows))
-        else:
-            yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
 
 
 def unit_table(docs: DataFrame, words: int, similarity: float, least_words: int, passages: bool) -> DataFrame:
@@ -218,9 +215,13 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, packed binary")
 
 
-def unpacked(data: pd.Series) -> list[str]:
+def _texts(batches):
+    """The rows of the batches and their texts, so many at a time as have some bytes packed."""
     tool = zstandard.ZstdDecompressor()
-    return [tool.decompress(x).decode("utf-8") for x in data]
+    for b in batches:
+        for low, high in _slices(b["packed"].tolist(), 1 << 18):
+            part = b.iloc[low:high].reset_index(drop=True)
+            yield part, [tool.decompress(x).decode("utf-8") for x in part["packed"]]
 
 
 def longest_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -458,14 +459,12 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     asked = asked.select("doc", "rid", F.col("x.at").alias("asked"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
 
     def fetch(batches):
-        for b in _parts(batches):
-            texts = unpacked(b["packed"])
-            for low, high in _slices(texts):
-                part, w = b.iloc[low:high], Words(texts[low:high])
-                lines = np.concatenate([w.first_line[i] + np.asarray(x, np.int64) for i, x in enumerate(part["asked"])])
-                h, first = w.shingles(lines, words)
-                k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c]]) for c in ("k1", "k2"))
-                yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]})
+        for part, texts in _texts(batches):
+            w = Words(texts)
+            lines = np.concatenate([w.first_line[i] + np.asarray(x, np.int64) for i, x in enumerate(part["asked"])])
+            h, first = w.shingles(lines, words)
+            k1, k2 = (np.concatenate([np.asarray(x, np.int64) for x in part[c]]) for c in ("k1", "k2"))
+            yield pd.DataFrame({"k1": k1, "k2": k2, "shingles": [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]})
 
     sent = packed(rows)
     shingles = sent.join(asked, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).mapInPandas(fetch, "k1 long, k2 long, shingles array<long>")
@@ -504,27 +503,33 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         return (*row, kept.decode("utf-8")) if texts else row
 
     def cut(batches):
-        """Without the lines that go; and, of the seeds, the words around them."""
-        for whole in _parts(batches):
-            data = unpacked(whole["packed"])
-            for low, high in _slices(data):
-                b, out, open_rows = whole.iloc[low:high].reset_index(drop=True), [], []
-                for text, pack, gone, word, h, n in zip(data[low:high], b["packed"], b["gone"], b["word"], b["h"], b["n"]):
-                    out.append(digest(text, set() if gone is None else set(gone.tolist()), []))
-                    if word is None:
-                        open_rows.append((None,) * 7)
-                        continue
-                    t, at = text.encode("utf-8").lower().split(), word.tolist()
-                    sides = [b" ".join(t[x : x + SPAN]) for x in at], [b" ".join(t[max(0, x - SIDE) : x][::-1]) for x in at], [b" ".join(t[x + SPAN : x + SPAN + SIDE]) for x in at]
-                    open_rows.append((at, h.tolist(), n.tolist(), *sides, pack))
-                x = pd.DataFrame(out, columns=columns)
-                y = pd.DataFrame(open_rows, columns=["word", "h", "n", "run", "left", "right", "packed"], dtype=object)
-                yield pd.concat([b[["doc", "rid", "gone", "classes", "kept_in"]], x, y], axis=1)
+        """Without the lines that go; and, of the seeds, the words around them, of a long text in several rows (all but the first without digests)."""
+        names = ["doc", "rid", "gone", "classes", "kept_in", *columns, "word", "h", "n", "run", "left", "right", "packed"]
+        for b, texts in _texts(batches):
+            rows, held = [], 0
+            for doc, rid, gone, classes, kept_in, word, h, n, pack, text in zip(*(b[c] for c in ("doc", "rid", "gone", "classes", "kept_in", "word", "h", "n", "packed")), texts):
+                head = (gone, classes, kept_in, *digest(text, set() if gone is None else set(gone.tolist()), []))
+                if word is None:
+                    rows.append((doc, rid, *head, *(None,) * 7))
+                    continue
+                raw = text.encode("utf-8").lower()
+                edge = np.diff((~_SPACE[np.frombuffer(raw, np.uint8)]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+                start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                between = lambda x, y: raw[start[x] : end[y - 1]].split() if x < y else []  # noqa: E731, B023
+                for k in range(0, len(word), 1024):
+                    at = word[k : k + 1024].tolist()
+                    sides = [b" ".join(between(x, x + SPAN)) for x in at], [b" ".join(between(max(0, x - SIDE), x)[::-1]) for x in at], [b" ".join(between(x + SPAN, min(x + SPAN + SIDE, len(start)))) for x in at]
+                    rows.append((doc, rid, *((None,) * len(head) if k else head), at, h[k : k + 1024].tolist(), n[k : k + 1024].tolist(), *sides, None if k else pack))
+                    held += len(at)
+                    if held >= 4096:
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     def cut_passages(batches):
-        for b in _parts(batches):
-            out = [digest(text, set() if gone is None else set(gone.tolist()), [] if low is None else list(zip(low.tolist(), high.tolist()))) for text, gone, low, high in zip(unpacked(b["packed"]), b["gone"], b["low"], b["high"])]
-            yield pd.concat([b[["doc", "classes", "kept_in"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+        for b, texts in _texts(batches):
+            out = [digest(text, set() if gone is None else set(gone.tolist()), [] if low is None else list(zip(low.tolist(), high.tolist()))) for text, gone, low, high in zip(texts, b["gone"], b["low"], b["high"])]
+            yield pd.concat([b[["doc", "classes", "kept_in"]], pd.DataFrame(out, columns=columns)], axis=1)
 
     found = hits
     if passages:
@@ -543,13 +548,13 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     out = first
     if passages:
         first = written(first, "paragraph-lines")
-        sides = first.where("packed is not null").select("doc", "rid", F.inline(F.arrays_zip("word", "h", "n", "run", "left", "right")))
+        sides = first.where("word is not null").select("doc", "rid", F.inline(F.arrays_zip("word", "h", "n", "run", "left", "right")))
         inner = grown_passages(sides, 4 * most)
         held = F.transform(F.coalesce("passages.keeper", F.array().cast("array<bigint>")), lambda x: F.nullif(x, F.lit(LAST)))
         kept_in = F.sort_array(F.array_compact(F.array_union(F.coalesce("kept_in", F.array().cast("array<bigint>")), held))).alias("kept_in")
         rest = first.where("packed is not null").join(inner, ["doc", "rid"], "left").select("doc", "packed", "gone", "classes", kept_in, F.col("passages.low").alias("low"), F.col("passages.high").alias("high"))
         rest = rest.mapInPandas(cut_passages, "doc long, classes array<string>, kept_in array<long>, " + digests)
-        out = first.where("packed is null").select(*rest.columns).unionByName(rest)
+        out = first.where("word is null").select(*rest.columns).unionByName(rest)
     columns_out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else []), "n_paragraphs", "classes", "kept_in"]
     return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), *columns_out)
 
