@@ -159,6 +159,22 @@ def test_passages_over_line_ends(spark):
     assert set(rows[1][1].split()) - set(passage) <= set(got[2]["kept_text"].split())
 
 
+def test_passages_of_a_long_text(spark):
+    """A text with thousands of seeds, which are handed on in several rows, stays one row and loses just the passage."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    rng = np.random.default_rng(15)
+    text = lambda n: ["".join(x) for x in rng.choice(list("abcdefghij"), (n, 6))]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    passage, head, tail = text(90_000), text(7), text(40)
+    rows = [(1, wrap(text(30) + passage, 12)), (2, wrap(head + passage + tail, 11)), (3, None), (4, "")]
+    got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4]
+    late = next(r for r in got if r["doc_id"] == 2)
+    assert late["kept_text"].split() == head + tail and late["n_spans"] == 1 and late["kept_in"] == [1]
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] != 2)
+
+
 def test_passages_go_from_end_to_end(spark):
     """All 51 words and no others go, beside other copies of the seeds, between two quotations and within one document."""
     from corpusq.llm.paragraphs import dedup_paragraphs
