@@ -23,6 +23,7 @@ def test_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
-    """One row a document, where SQL has no form; contents are held against brute force elsewhere."""
+    """Every document, where SQL has no form; contents are held against brute force elsewhere."""
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert QUERIES[name](spark, SF).count() == n
+    rows = QUERIES[name](spark, SF)
+    assert rows.select("doc_id").distinct().count() == n and (name == "op12_packing" or rows.count() == n)
