@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default keyword rules (category, part of the url, exact keywords, keywords of lower-cased text), first true one wins.
@@ -98,3 +98,9 @@ def markdown_title_backfill(c: Column, suffix: str = TITLE_SUFFIX, stop: str = S
     """Title as it is recomputed later: the first candidate that is neither empty nor the stop title."""
     found = F.filter(_candidates(c, suffix, stop), lambda x: x["ends"] & (x["title"] != ""))
     return F.when(F.size(found) > 0, found[0]["title"]).otherwise("Untitled")
+
+
+def prefixes(df: DataFrame, column: str, lengths: str, name: str) -> DataFrame:
+    """A row for each prefix of ``column`` that has one of the row's ``lengths`` (an array), as ``name``."""
+    n = F.filter(lengths, lambda x: x <= F.length(column))
+    return df.withColumn(name, F.explode(F.transform(n, lambda x: F.substring(F.col(column), F.lit(1), x)))).drop(lengths)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,13 +44,25 @@ def related_documents(edges: DataFrame) -> DataFrame:
 
 
 def term_table(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, term, tf) of the asked terms in each text's lower-cased words."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where(F.col("term").isin(terms))
-    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) of the asked terms, which are words, in each text's lower-cased words.
+
+    One pass finds the asked words alone, so only they are exploded; rows of one id are summed.
+    """
+    words = sorted(set(terms), key=lambda t: (-len(t), t))
+    if not words:
+        return docs.select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")).limit(0)
+    pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + r")(?![\p{L}\p{N}])"
+    low = F.lower("text")
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    found = docs.where(held).select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).alias("term"))
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fulltext_search(docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
-    """The ``k`` documents of highest sum of tf * ln((N + 1) / (df + 1)), ties by id."""
+    """The ``k`` documents of highest sum of tf * ln((N + 1) / (df + 1)), ties by id, from one scan of the texts.
+
+    For many searches, or the same table again and again, build the index of ``search_index`` instead.
+    """
     tf = term_table(docs, terms)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))

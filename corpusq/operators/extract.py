@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusq.functions.text import LINK_KEYWORDS, categorize, clean_text, detect_language, detect_language_binary, extract_date, markdown_title_backfill, markdown_title_ingest
+from corpusq.functions.text import categorize, clean_text, detect_language, detect_language_binary, extract_date, markdown_title_backfill, markdown_title_ingest, prefixes
 from corpusq.operators.identity import title_backfill
 from corpusq.registry import query, table
 
@@ -110,15 +110,15 @@ def structured(html: str | None) -> tuple[str, str, str, dict[str, str]]:
     return (text(title) if title else "Untitled"), (text(content) if content else ""), (text(kind) if kind else ""), meta
 
 
-def page_main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, title, text) of every page; a null page has no text."""
+def page_main_text(pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, title, text) and the string columns of ``keep`` of every page; a null page has no text."""
 
     def run(batches):
         for b in batches:
             found = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({key: b[key], "title": [t for t, _ in found], "text": [x for _, x in found]})
+            yield pd.DataFrame({key: b[key], "title": [t for t, _ in found], "text": [x for _, x in found], **{c: b[c] for c in keep}})
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} long, title string, text string")
+    return pages.select(key, "html", *keep).mapInPandas(run, ", ".join([f"{key} long, title string, text string", *(f"{c} string" for c in keep)]))
 
 
 def structured_fields(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -213,14 +213,19 @@ def link_param_values(links: DataFrame, name: str) -> DataFrame:
 
 
 def url_policy_filter(urls: DataFrame, policy: DataFrame, agent: str = "*") -> DataFrame:
-    """Urls with ``allowed``: by the first rule (by seq) of their host whose prefix fits the path; true without one."""
+    """Urls with ``allowed``: by the first rule (by seq) of their host whose prefix fits the path; true without one.
+
+    Each distinct path is cut to prefixes of the lengths that its host's rules have, and these meet the rules by equality,
+    so a host with many rules and many urls is no join of all with all.
+    """
     host, path = netloc(F.col("url")), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     u = urls.withColumn("_host", host).withColumn("_path", path)
-    p = policy.where((F.col("agent") == agent) | (F.col("agent") == "*")).select(F.col("host").alias("_h"), "prefix", "allow", "seq")
-    keys = u.select("_host", "_path").distinct()
-    hit = keys.join(p, (F.col("_host") == F.col("_h")) & F.startswith(F.col("_path"), F.col("prefix")))
-    first = hit.groupBy("_host", "_path").agg(F.min_by("allow", "seq").alias("_allow"))
-    return u.join(first, ["_host", "_path"], "left").select(*urls.columns, F.coalesce("_allow", F.lit(True)).alias("allowed"))
+    p = policy.where(((F.col("agent") == agent) | (F.col("agent") == "*")) & F.col("prefix").isNotNull()).select(F.col("host").alias("_host"), F.col("prefix").alias("_prefix"), "allow", "seq")
+    rules = p.groupBy("_host", "_prefix").agg(F.min(F.struct("seq", "allow")).alias("_rule"))
+    lengths = rules.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # at most the longest prefix
+    cut = prefixes(u.select("_host", "_path").distinct().join(lengths, "_host"), "_path", "_lengths", "_prefix")
+    first = cut.join(rules, ["_host", "_prefix"]).groupBy("_host", "_path").agg(F.min("_rule").alias("_rule"))
+    return u.join(first, ["_host", "_path"], "left").select(*urls.columns, F.coalesce("_rule.allow", F.lit(True)).alias("allowed"))
 
 
 @query()
@@ -343,5 +348,3 @@ def url_policy_filter_pages(spark, sf_dir):
     policy = rule(h.where(F.col("host").startswith("m.")), "/en/1", True, 1).unionByName(rule(h, "/en/", False, 2)).unionByName(rule(h.where(F.col("host").startswith("blog.")), "/de/", False, 3))
     return url_policy_filter(pages, policy)
 
-
-DEFAULT_LINK_KEYWORDS = LINK_KEYWORDS

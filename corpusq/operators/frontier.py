@@ -9,35 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusq.functions.text import LINK_KEYWORDS
-from corpusq.operators.extract import netloc
+from corpusq.operators.extract import netloc, page_title
 from corpusq.registry import query, table
-from corpusq.sources.tables import work_dir
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from corpusq.sources.tables import kept
 
 
 def crawl_frontier(links: DataFrame, start: DataFrame, max_depth: int = 2, max_pages: int = 100, per_page: int = 10, keywords: list[str] | None = None) -> DataFrame:
     """(url, depth) reached breadth-first from ``start(url)`` over ``links(src, dst)``.
 
     From a page the first ``per_page`` links (by url) that stay on its host, hold a keyword and have not been
-    visited are followed; the depth is the shortest. ``max_pages`` keeps the first by depth and url. The usable
-    links and each level are written once, so a level is one join of links and frontier; levels are bounded by
-    ``max_depth``. Null urls are left out.
+    visited are followed; the depth is the shortest. ``max_pages`` keeps the first by depth and url. A level joins the links
+    with its own pages before anything else is done to them, so only links of visited pages are tested and made distinct; the
+    level is written, and levels are bounded by ``max_depth``. Null urls are left out.
     """
     words = LINK_KEYWORDS if keywords is None else keywords
     good = reduce(lambda a, b: a | b, [F.lower("dst").contains(k) for k in words], F.lit(not words))
-    usable = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).where(good & (netloc(F.col("src")) == netloc(F.col("dst")))).select("src", "dst").distinct()
-    usable = _kept(usable, "frontier-links")
     level = start.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0))
     seen = level
     for depth in range(1, max_depth + 1):
-        new = usable.join(level.select(F.col("url").alias("src")), "src").join(seen.select(F.col("url").alias("dst")), "dst", "left_anti")
+        own = links.join(level.select(F.col("url").alias("src")), "src").where(good & (netloc(F.col("src")) == netloc(F.col("dst")))).select("src", "dst").distinct()
+        new = own.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti")
         first = new.withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= per_page)
-        level = _kept(first.select(F.col("dst").alias("url")).distinct().withColumn("depth", F.lit(depth)), "frontier-level")
+        level = kept(first.select(F.col("dst").alias("url")).distinct().withColumn("depth", F.lit(depth)), "frontier-level")
         seen = seen.unionByName(level)
     return seen.orderBy("depth", "url").limit(max_pages)
 
@@ -54,9 +47,9 @@ def run_log(runs: DataFrame, keep: int = 30) -> DataFrame:
 
 
 def crawl_summary(pages: DataFrame) -> DataFrame:
-    """All pages of a crawl (page_id, url), each with the numbers of documents and pages of the whole."""
+    """All pages of a crawl (page_id, title, url) of ``pages(page_id, title, url, text)``, each with the numbers of documents and pages of the whole."""
     total = pages.agg(F.count_if(F.length("text") >= 100).alias("documents_scraped"), F.count(F.lit(1)).alias("pages_visited"))
-    return pages.select("page_id", "url").join(F.broadcast(total))  # one row
+    return pages.select("page_id", "title", "url").join(F.broadcast(total))  # one row
 
 
 def task_status_list(updates: DataFrame) -> DataFrame:
@@ -96,9 +89,10 @@ def run_log_events(spark, sf_dir):
     return run_log(e.groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.count_if(F.col("event_type") == "purchase").alias("documents"), F.count(F.lit(1)).alias("pages")))
 
 
-@query("SELECT page_id, url, count(*) FILTER (length(html) >= 100) OVER () AS documents_scraped, count(*) OVER () AS pages_visited FROM pages")
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)', 1)), ''), nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)', 1)), ''), 'Untitled') AS title, url,
+count(*) FILTER (length(html) >= 100) OVER () AS documents_scraped, count(*) OVER () AS pages_visited FROM pages""")
 def crawl_summary_pages(spark, sf_dir):
-    return crawl_summary(table(spark, sf_dir, "pages").withColumnRenamed("html", "text"))
+    return crawl_summary(table(spark, sf_dir, "pages").select("page_id", "url", page_title(F.col("html")).alias("title"), F.col("html").alias("text")))
 
 
 @query("SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS updates FROM events GROUP BY user_id")

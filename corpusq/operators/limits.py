@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusq.functions.text import prefixes
 from corpusq.functions.time import epoch_seconds
 from corpusq.registry import query, table
 
@@ -37,6 +38,18 @@ def limit_rule_by_path(path: Column, guest: str = "10/minute", user: str = "60/m
     return F.when(F.startswith(path, F.lit(public)), guest).otherwise(user)
 
 
+def limit_rules_by_path(requests: DataFrame, rules: DataFrame, path: str = "path", default: str = "60/minute") -> DataFrame:
+    """Requests with ``rule``: that of the longest of ``rules(prefix, rule)`` their path begins with; of equal prefixes the first rule.
+
+    Distinct paths are cut to the lengths that prefixes have and meet them by equality, however many rules there are.
+    """
+    one = rules.where("prefix is not null").groupBy(F.col("prefix").alias("_prefix")).agg(F.min("rule").alias("_rule"))
+    lengths = one.agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # one row, of at most the longest prefix
+    cut = prefixes(requests.select(F.col(path).alias("_path")).distinct().crossJoin(F.broadcast(lengths)), "_path", "_lengths", "_prefix")
+    best = cut.join(one, "_prefix").groupBy("_path").agg(F.max_by("_rule", F.length("_prefix")).alias("_rule"))
+    return requests.join(best, F.col(path) == F.col("_path"), "left").select(*requests.columns, F.coalesce("_rule", F.lit(default)).alias("rule"))
+
+
 def client_key(forwarded: Column, real_ip: Column, peer: Column) -> Column:
     """First forwarded address, else the real one, else the peer, else ``unknown``."""
     empty = F.lit("")
@@ -84,6 +97,17 @@ def limit_rule_by_path_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", limit_rule_by_path(path, public="/en").alias("rule"))
 
 
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+r AS (SELECT DISTINCT p[1:4] AS prefix, (length(p) % 7 + 1) || '/second' AS rule FROM u WHERE page_id % 2 = 0 UNION SELECT p, '9/hour' FROM u WHERE page_id % 3 = 0), o AS (SELECT prefix, min(rule) AS rule FROM r GROUP BY prefix)
+SELECT page_id, coalesce((SELECT max_by(o.rule, length(o.prefix)) FROM o WHERE starts_with(u.p, o.prefix)), '60/minute') AS rule FROM u""")
+def limit_rules_by_path_pages(spark, sf_dir):
+    """Rules of short prefixes and of whole paths, as many as there are pages."""
+    u = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    short = u.where("page_id % 2 = 0").select(F.substring("path", 1, 4).alias("prefix"), F.concat(F.length("path") % 7 + 1, F.lit("/second")).alias("rule"))
+    rules = short.unionByName(u.where("page_id % 3 = 0").select(F.col("path").alias("prefix"), F.lit("9/hour").alias("rule")))
+    return limit_rules_by_path(u, rules).select("page_id", "rule")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '10.0.0.' || user_id WHEN event_id % 3 = 0 THEN '10.1.0.' || user_id WHEN event_id % 2 = 0 THEN '10.2.0.' || user_id ELSE 'unknown' END AS client FROM events")
 def client_key_events(spark, sf_dir):
     e = table(spark, sf_dir, "events", "event_id", "user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusq.registry import query, table
+from corpusq.sources.tables import kept
 
 #: Upper bounds of the latency buckets, in the unit of ``value``.
 BUCKETS = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -50,19 +51,48 @@ def hit_ratio(events: DataFrame, width: str, hit: Column, miss: Column) -> DataF
     return g.select(F.col("w.start").alias("window_start"), "hits", "misses", F.round(F.when(total > 0, F.col("hits") / total), 6).alias("ratio"))
 
 
-def active_requests(events: DataFrame, width: str = "1 hour") -> DataFrame:
+def active_requests(events: DataFrame, width: str = "1 hour", ranges: int | None = None) -> DataFrame:
     """Most requests at a time, a window: each adds 1 at ``ts`` and takes 1 off ``value`` seconds later.
 
-    The running sum is taken within a day on top of the sum of all days before it, so no window spans the table.
+    Prefix sums of two levels: the steps are dealt to ranges of time of about equal numbers (as many as shuffle
+    partitions, or ``ranges``), each range sums its own on top of the sum of those before it, so neither a busy day nor the table is one task.
     """
     end = F.expr("timestampadd(MICROSECOND, cast(round(value * 1000000) as bigint), ts)")
     steps = events.select(F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("step")), F.struct(end.alias("at"), F.lit(-1).alias("step")))).alias("x")).select("x.*")
-    steps = steps.groupBy("at").agg(F.sum("step").alias("step")).withColumn("day", F.to_date("at"))
-    days = steps.groupBy("day").agg(F.sum("step").alias("net"))
-    before = W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # a row a day
-    days = days.withColumn("carried", F.coalesce(F.sum("net").over(before), F.lit(0))).select("day", "carried")
-    now = F.sum("step").over(W.partitionBy("day").orderBy("at")) + F.col("carried")
-    return steps.join(days, "day").withColumn("now", now).groupBy(F.window("at", width).alias("w")).agg(F.max("now").alias("most")).select(F.col("w.start").alias("window_start"), "most")
+    steps = steps.groupBy("at").agg(F.sum("step").alias("step"))
+    dealt = steps.repartitionByRange(ranges, "at") if ranges else steps.repartitionByRange("at")
+    dealt = kept(dealt.withColumn("part", F.spark_partition_id()), "request-steps")
+    parts = dealt.groupBy("part").agg(F.sum("step").alias("net"))
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    parts = parts.withColumn("carried", F.coalesce(F.sum("net").over(before), F.lit(0))).select("part", "carried")
+    now = F.sum("step").over(W.partitionBy("part").orderBy("at")) + F.col("carried")
+    return dealt.join(F.broadcast(parts), "part").withColumn("now", now).groupBy(F.window("at", width).alias("w")).agg(F.max("now").alias("most")).select(F.col("w.start").alias("window_start"), "most")
+
+
+def metric_sketches(events: DataFrame, width: str = "1 minute", *labels: str, k: int = 200, lg_k: int = 12) -> DataFrame:
+    """Mergeable sketches a window and label combination: (window_start, labels, n, total, latency, users).
+
+    ``latency`` is a KLL sketch of ``value`` (its rank error falls with ``k``: about 1.3 % at 200), ``users`` a HyperLogLog sketch of
+    ``user_id`` (an error of about 1.6 % at ``lg_k`` 12); both are binary columns that can be stored and merged to any wider window.
+    """
+    g = events.groupBy(F.window("ts", width).alias("w"), *labels)
+    made = g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.kll_sketch_agg_double("value", k).alias("latency"), F.hll_sketch_agg("user_id", lg_k).alias("users"))
+    return made.select(F.col("w.start").alias("window_start"), *labels, "n", "total", "latency", "users")
+
+
+def merged_sketches(sketches: DataFrame, width: str | None = None, *labels: str) -> DataFrame:
+    """Stored sketches merged to wider windows (None: to one row for each label combination, the dashboard's totals)."""
+    keys = [F.window("window_start", width).alias("w")] if width else []
+    g = sketches.groupBy(*keys, *labels).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("latency").alias("latency"), F.hll_union_agg("users").alias("users"))
+    start = [F.col("w.start").alias("window_start")] if width else []
+    return g.select(*start, *labels, "n", "total", "latency", "users")
+
+
+def sketch_values(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Quantiles (p50, ...), mean and number of users that sketches stand for, beside their other columns."""
+    own = [F.kll_sketch_get_quantile_double("latency", F.lit(q)).alias(f"p{round(100 * q)}") for q in quantiles]
+    rest = [c for c in sketches.columns if c not in ("latency", "users", "total")]
+    return sketches.select(*rest, *own, (F.col("total") / F.col("n")).alias("avg_value"), F.hll_sketch_estimate("users").alias("users"))
 
 
 def dashboard_totals(events: DataFrame) -> DataFrame:
@@ -73,6 +103,20 @@ def recent_activity(events: DataFrame, n: int = 20) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
+def metadata_project(base: Column, side: Column) -> Column:
+    """``base``, a map of strings, with the fields of a JSON object in ``side`` put over it: of equal keys the JSON's wins.
+
+    Null, empty or malformed JSON, and JSON that is no object, adds nothing; of a key that stands twice in it the last counts;
+    values that are no strings keep their JSON text, a JSON null becomes null. A null base is empty.
+    """
+    none = F.create_map().cast("map<string,string>")
+    found = F.from_json(side, "map<string,string>")
+    keys = F.map_keys(found)
+    last = F.filter(F.map_entries(found), lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+    fields = F.coalesce(F.map_from_entries(last), none)
+    return F.map_concat(F.map_filter(F.coalesce(base, none), lambda k, _: ~F.array_contains(F.map_keys(fields), k)), fields)
+
+
 def access_log_rows(events: DataFrame) -> DataFrame:
     """One JSON line an event: request id, endpoint, method, status, duration in ms."""
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
@@ -106,9 +150,14 @@ def latency_p95_histogram_events(spark, sf_dir):
     return latency_histogram(_events(spark, sf_dir, "ts", "value"), "1 hour")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01') AS window_start, true AS within_bound FROM events GROUP BY 1")
 def latency_p95_approx_events(spark, sf_dir):
-    return latency_approx(_events(spark, sf_dir, "ts", "value"), "1 day")
+    """The approximate p95 of each day, held against its bound: a rank within 1 / 1000 of the one asked for."""
+    e = _events(spark, sf_dir, "ts", "value")
+    about = latency_approx(e, "1 day")
+    j = e.join(F.broadcast(about), F.date_trunc("day", "ts") == F.col("window_start"))  # a row a day
+    n, low, high = F.count(F.lit(1)), F.count_if(F.col("value") < F.col("quantile")), F.count_if(F.col("value") <= F.col("quantile"))
+    return j.groupBy("window_start").agg(((low <= n * 0.951 + 1) & (high >= n * 0.949 - 1)).alias("within_bound"))
 
 
 _STATUS = "CASE WHEN event_type = 'error' THEN '500' ELSE '200' END"
@@ -164,8 +213,40 @@ def access_log_rows_events(spark, sf_dir):
     return access_log_rows(_events(spark, sf_dir)).drop("line")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_type AS source FROM events")
+#: Side columns of all kinds: the event's own, none, broken, a clashing key, no object, a nested value.
+_PROPS = """CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '{"source": "side", "k": "' || user_id || '"}' WHEN 3 THEN '[1, 2]' WHEN 4 THEN '{"o": {"a": [1,2]}, "k": null}' ELSE props END"""
+
+
+@query("""SELECT event_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN json_extract_string(props, '$.k') END AS k, event_type AS source FROM events""")
 def metadata_project_events(spark, sf_dir):
     """JSON side columns merged into a metadata map."""
-    meta = F.map_concat(F.create_map(F.lit("source"), F.col("event_type")), F.from_json("props", "map<string,string>"))
+    meta = metadata_project(F.create_map(F.lit("source"), F.col("event_type")), F.col("props"))
     return _events(spark, sf_dir, "event_id", "event_type", "props").select("event_id", meta.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["source"].alias("source"))
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, {_PROPS} AS p FROM events), j AS (SELECT *, CASE WHEN json_valid(p) THEN CASE WHEN json_type(p) = 'OBJECT' THEN p::JSON END END AS o FROM e)
+SELECT event_id, json_extract_string(o, '$.k') AS k, coalesce(json_extract_string(o, '$.source'), event_type) AS source, json_extract_string(o, '$.o') AS o, CAST(len(list_distinct(list_concat(['source'], coalesce(json_keys(o), []::VARCHAR[])))) AS INT) AS fields FROM j""")
+def metadata_merge_events(spark, sf_dir):
+    """The same over side columns of all kinds, also null, broken, clashing and nested ones."""
+    e = _events(spark, sf_dir, "event_id", "event_type", "user_id", "props").withColumn("p", F.expr(_PROPS))
+    m = metadata_project(F.create_map(F.lit("source"), F.col("event_type")), F.col("p"))
+    return e.select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["source"].alias("source"), F.col("m")["o"].alias("o"), F.size("m").alias("fields"))
+
+
+def _sketched(spark, sf_dir) -> DataFrame:
+    """Sketches a minute, stored and read again."""
+    e = _events(spark, sf_dir, "ts", "event_type", "user_id", "value")
+    return kept(metric_sketches(e, "1 minute", "event_type"), "sketches")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value, true AS quantiles_hold, true AS users_hold FROM events GROUP BY ALL")
+def merged_sketches_events(spark, sf_dir):
+    """Minute sketches merged to days, held against the exact values: the p50 and p95 against ranks, the users against their number."""
+    days = sketch_values(merged_sketches(_sketched(spark, sf_dir), "1 day", "event_type"))
+    e = _events(spark, sf_dir, "ts", "event_type", "user_id", "value")
+    j = e.join(days.select(F.col("window_start").alias("s"), F.col("event_type").alias("t"), "p50", "p95"), (F.date_trunc("day", "ts") == F.col("s")) & (F.col("event_type") == F.col("t")))
+    share = lambda c, low: F.avg(((F.col("value") < F.col(c)) if low else (F.col("value") <= F.col(c))).cast("double"))
+    ranks = j.groupBy("s", "t").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("user_id").alias("u"), *(share(c, low).alias(f"{c}{low:d}") for c in ("p50", "p95") for low in (True, False)))
+    near = lambda c, q: (F.col(f"{c}1") <= q + 0.02) & (F.col(f"{c}0") >= q - 0.02)
+    out = days.join(ranks, (F.col("window_start") == F.col("s")) & (F.col("event_type") == F.col("t")))
+    return out.select("window_start", "event_type", "n", F.round("avg_value", 6).alias("avg_value"), (near("p50", 0.5) & near("p95", 0.95)).alias("quantiles_hold"), (F.abs(F.col("users") - F.col("u")) <= 0.06 * F.col("u") + 1).alias("users_hold"))

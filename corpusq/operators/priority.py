@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusq.operators.many_searches import search_hits
 from corpusq.registry import query, table
 
 #: Names of document types, and the types they stand for.
@@ -76,19 +77,24 @@ def quota_per_page(df: DataFrame, key: str, max_pages: int, per_page: int = 10)
     return d.withColumn("rank", F.row_number().over(W.partitionBy("section", "page").orderBy(key))).where(F.col("rank") <= per_page)
 
 
-def key_document_lookup(docs: DataFrame, searches: list[tuple[str, str]], top: int = 3, least: int = 100) -> DataFrame:
-    """For each (name, words): the first of the first ``top`` documents holding the words whose text is long enough."""
-    hits = docs.select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in searches))).alias("s")).where(F.contains(F.col("text"), F.col("s.q")))
-    first = hits.select(F.col("s.name").alias("name"), "doc_id", F.length("text").alias("n")).withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("doc_id"))).where(F.col("rank") <= top)
+def _searches(docs: DataFrame, searches: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    return searches if isinstance(searches, DataFrame) else docs.sparkSession.createDataFrame(searches, "name string, q string")
+
+
+def key_document_lookup(docs: DataFrame, searches: DataFrame | list[tuple[str, str]], top: int = 3, least: int = 100) -> DataFrame:
+    """For each search (name, q): the first of the first ``top`` documents holding the words whose text is long enough."""
+    hits = search_hits(docs.select("doc_id", "text", F.length("text").alias("n")), _searches(docs, searches), keep=("n",))
+    first = hits.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("doc_id"))).where(F.col("rank") <= top)
     return first.where(F.col("n") >= least).groupBy("name").agg(F.min("doc_id").alias("doc_id"))
 
 
-def key_search_summary(docs: DataFrame, searches: list[tuple[str, str]], top: int = 5) -> DataFrame:
-    """For each search: how many documents hold the words, and the first ``top`` of them."""
-    hits = docs.select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in searches))).alias("s")).where(F.contains(F.col("text"), F.col("s.q"))).select(F.col("s.name").alias("name"), "doc_id")
+def key_search_summary(docs: DataFrame, searches: DataFrame | list[tuple[str, str]], top: int = 5) -> DataFrame:
+    """For each search of ``docs(doc_id, title, url, text)``: how many documents hold the words, and title and url of the first ``top``."""
+    hits = search_hits(docs, _searches(docs, searches), keep=("title", "url"))
     total = hits.groupBy("name").agg(F.count(F.lit(1)).alias("documents_found"))
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("doc_id"))).where(F.col("rank") <= top)
-    return total.join(ranked.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("first_documents")), "name")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url")))
+    return total.join(ranked.groupBy("name").agg(listed.alias("documents")), "name")
 
 
 #: Names for the test tables: part types and document sources stand in for document types.
@@ -145,6 +151,7 @@ def key_document_lookup_documents(spark, sf_dir):
     return key_document_lookup(table(spark, sf_dir, "documents", "doc_id", "text"), SEARCHES)
 
 
-@query(_HITS + "SELECT name, count(*) AS documents_found, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (rank <= 5) AS first_documents FROM h GROUP BY name")
+@query(_HITS + "SELECT name, count(*) AS documents_found, string_agg('Document ' || doc_id || ' doc/' || doc_id, ',' ORDER BY doc_id) FILTER (rank <= 5) AS documents FROM h GROUP BY name")
 def key_search_summary_documents(spark, sf_dir):
-    return key_search_summary(table(spark, sf_dir, "documents", "doc_id", "text"), SEARCHES)
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", F.concat(F.lit("Document "), "doc_id").alias("title"), F.concat(F.lit("doc/"), "doc_id").alias("url"))
+    return key_search_summary(d, SEARCHES).withColumn("documents", F.array_join(F.transform("documents", lambda x: F.concat_ws(" ", x["title"], x["url"])), ","))

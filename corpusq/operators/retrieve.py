@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from corpusq.functions.time import epoch_micros
 from corpusq.operators.vectors import knn_join
 from corpusq.registry import query, table
+from corpusq.sources.tables import kept
 
-NO_CONTEXT, NO_TITLE = "No information is available.", "Unknown document"
+LABEL, NO_CONTEXT, NO_TITLE = "Document", "No information is available.", "Unknown document"
 SYSTEM = "Answer only from the context and name your sources.\n\nContext:\n"
 
 
@@ -21,12 +22,12 @@ def retrieved_chunks(near: DataFrame, chunks: DataFrame, key: str = "vec_id") ->
     return j.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("similarity", F.coalesce(1 - F.col("distance"), F.lit(0.0)))
 
 
-def assemble_context(retrieved: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
+def assemble_context(retrieved: DataFrame, queries: DataFrame, top: int = 5, label: str = LABEL, no_title: str = NO_TITLE, no_context: str = NO_CONTEXT) -> DataFrame:
     """(qid, context): the first ``top`` chunks by rank as numbered parts; a fixed sentence for a query without any."""
-    part = F.concat(F.lit("[Document "), "rank", F.lit(": "), F.coalesce("title", F.lit(NO_TITLE)), F.lit(" ("), F.coalesce("document_type", F.lit("")), F.lit(")]\n"), "content", F.lit("\n"))
+    part = F.concat(F.lit(f"[{label} "), "rank", F.lit(": "), F.coalesce("title", F.lit(no_title)), F.lit(" ("), F.coalesce("document_type", F.lit("")), F.lit(")]\n"), "content", F.lit("\n"))
     parts = retrieved.where(F.col("rank") <= top).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("p"))
     joined = parts.select("qid", F.array_join(F.transform("p", lambda x: x["part"]), "\n---\n").alias("context"))
-    return queries.select("qid").join(joined, "qid", "left").select("qid", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
+    return queries.select("qid").join(joined, "qid", "left").select("qid", F.coalesce("context", F.lit(no_context)).alias("context"))
 
 
 def _url(df: DataFrame) -> Column:
@@ -59,30 +60,84 @@ def build_prompts(questions: DataFrame, system: str = SYSTEM) -> DataFrame:
     return questions.withColumn("messages", F.concat(F.array(message("system", F.concat(F.lit(system), "context"))), history, F.array(message("user", F.col("question")))))
 
 
-def response_cache_hits(requests: DataFrame, ttl: int = 3600) -> DataFrame:
+def response_cache_hits(requests: DataFrame, ttl: int = 3600, most: int = 100_000) -> DataFrame:
     """(event_id, key, hit) of ``requests(event_id, key, ts)``: a hit if the last miss stored the key under ``ttl`` seconds ago.
 
-    A hit does not lengthen the life. The stored answer's age depends on all requests before it, so each key is
-    walked in time order; batches of a key follow each other, so no key has to fit in memory.
+    A hit does not lengthen the life, so the stored answer's age depends on all requests before it. Keys of up to
+    ``most`` requests are walked in time order, batch by batch. The requests of a key with more are not brought together:
+    ``misses_by_doubling`` finds their misses with joins over all tasks. Requests of one time go by event_id, which must be unique
+    within a key; a null key is a key, null times are never stored and always miss.
     """
-
+    r = requests.select("event_id", "key", epoch_micros("ts").alias("at"))
+    sizes = r.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(F.col("key").alias("_key"))
+    hot = kept(sizes, "cache-hot-keys")  # at most a row for each ``most`` requests
+    if not hot.limit(1).count():
+        return _walked(r, ttl)
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    timed = kept(r.join(hot, same, "left_semi"), "cache-hot-requests")
+    misses = misses_by_doubling(timed.where("at is not null"), ttl)
+    m = misses.select(F.col("key").alias("_key"), F.col("event_id").alias("_event"))
+    found = timed.join(m, same & (F.col("event_id") == F.col("_event")), "left").select("event_id", "key", (F.col("_event").isNull() & F.col("at").isNotNull()).alias("hit"))
+    return _walked(r.join(hot, same, "left_anti"), ttl).unionByName(found)
+
+
+def _walked(r: DataFrame, ttl: int) -> DataFrame:
     def run(batches):
-        key, stored = None, None
+        key, stored, begun = None, None, False
         for b in batches:
             hits = []
-            for k, t in zip(b["key"].tolist(), b["at"].tolist()):
-                if k != key:
-                    key, stored = k, None
-                hit = stored is not None and t - stored < ttl * 1_000_000
-                if not hit:
+            for k, t, none in zip(b["key"].tolist(), b["at"].tolist(), b["at"].isna().tolist()):
+                if not begun or k != key:
+                    key, stored, begun = k, None, True
+                hit = not none and stored is not None and t - stored < ttl * 1_000_000
+                if not hit and not none:
                     stored = t
                 hits.append(hit)
             yield pd.DataFrame({"event_id": b["event_id"], "key": b["key"], "hit": hits})
 
-    r = requests.select("event_id", "key", epoch_micros("ts").alias("at"))
     return r.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, "event_id long, key string, hit boolean")
 
 
+def misses_by_doubling(r: DataFrame, ttl: int, buckets: int = 60) -> DataFrame:
+    """(key, event_id) of the misses of ``r(event_id, key, at)``: each key's first request, and of every miss the next one.
+
+    The next miss after a miss is the first request at least ``ttl`` later. That successor is found for every request: in the
+    bucket of time (a share of the ttl) that its earliest time falls in, else as the first request of the next bucket that has any.
+    Then the requests reached from the first ones are doubled: a round joins the reached ones with pointers of twice the
+    length. Rows of a key are spread by bucket and by request all along; only a row a key and bucket meets in a window of the key.
+    """
+    life = ttl * 1_000_000
+    width = max(1, life // buckets)
+    rows = r.select(F.coalesce("key", F.lit("")).alias("k"), F.col("key").isNull().alias("none"), "event_id", "at")
+    me = F.struct("at", "event_id")
+    rows = rows.select("k", "none", me.alias("me"), F.floor(F.col("at") / width).alias("bucket"))
+    firsts = rows.groupBy("k", "none", "bucket").agg(F.min("me").alias("first"))
+    after = W.partitionBy("k", "none").orderBy("bucket").rowsBetween(1, W.unboundedFollowing)
+    starts = rows.groupBy("k", "none").agg(F.min("me").alias("me"))
+    due = rows.select("k", "none", "me", (F.col("me.at") + life).alias("due")).withColumn("bucket", F.floor(F.col("due") / width))
+    # within a bucket: the first request at or after the due time, both sides in one sorted window
+    none = F.lit(None).cast(rows.schema["me"].dataType)
+    both = due.select("k", "none", "bucket", F.col("due").alias("t"), F.lit(0).alias("side"), F.col("me").alias("asks"), none.alias("own"))
+    both = both.unionByName(rows.select("k", "none", "bucket", F.col("me.at").alias("t"), F.lit(1).alias("side"), none.alias("asks"), F.col("me").alias("own")))
+    ahead = W.partitionBy("k", "none", "bucket").orderBy(F.desc("t"), F.desc("side")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = both.withColumn("next", F.min("own").over(ahead)).where("side = 0").select("k", "none", "bucket", F.col("asks").alias("me"), "next")
+    # every asked bucket, whether it has requests or not, points to the first request of a later one
+    marks = firsts.unionByName(inside.where("next is null").select("k", "none", "bucket").distinct().withColumn("first", none))
+    marks = marks.groupBy("k", "none", "bucket").agg(F.min("first").alias("first")).withColumn("later", F.min("first").over(after)).select("k", "none", "bucket", "later")
+    inside = kept(inside, "cache-inside")
+    late = inside.where("next is null").drop("next").join(marks, ["k", "none", "bucket"]).select("k", "none", "me", F.col("later").alias("next"))
+    jump = kept(inside.where("next is not null").select("k", "none", "me", "next").unionByName(late).where("next is not null"), "cache-pointers")
+    reached, known = kept(starts, "cache-reached"), -1
+    while (now := reached.count()) != known:
+        known = now
+        on = ["k", "none", "me"]
+        step = reached.join(jump, on).select("k", "none", F.col("next").alias("me"))
+        reached = kept(reached.unionByName(step).distinct(), "cache-reached")
+        far = jump.select("k", "none", F.col("me").alias("next"), F.col("next").alias("far"))
+        jump = kept(jump.join(far, ["k", "none", "next"]).select("k", "none", "me", F.col("far").alias("next")), "cache-pointers")
+    return reached.select(F.when(~F.col("none"), F.col("k")).alias("key"), "me.event_id")
+
+
 def cache_invalidate(entries: DataFrame, pattern: str) -> DataFrame:
     """Entries whose key does not match the glob (``*`` and ``?``)."""
     like = pattern.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")
@@ -198,8 +253,3 @@ def cache_invalidate_events(spark, sf_dir):
 def rag_answer_table_embeddings(spark, sf_dir):
     out = rag_answer_table(*_corpus(spark, sf_dir))
     return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["source_rank"], x["document_id"], x["title"])), ","))
-
-
-def cache_key(query_text: Column, language: Column) -> Column:
-    """A key that is the same in every process."""
-    return F.sha2(F.concat_ws("\x1f", query_text, language), 256)

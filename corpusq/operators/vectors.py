@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusq.functions.vector import cosine_distance, similarity_band, squared_l2
+from corpusq.operators.vector_index import VectorIndex
 from corpusq.registry import query, table
+from corpusq.sources.tables import work_dir
 
 
 class HashedTerms:
@@ -43,7 +42,9 @@ def embed_texts(df: DataFrame, key: str, text: str = "text", encoder=None, batch
             for at in range(0, len(texts), batch):
                 try:
                     out += list(np.asarray(encoder.encode(texts[at : at + batch]), np.float32))
-                except ValueError:
+                except ImportError:
+                    raise
+                except Exception:  # whatever else the encoder raises
                     out += [np.zeros(encoder.size, np.float32)] * len(texts[at : at + batch])
             yield pd.DataFrame({key: b[key], "embedding": out})
 
@@ -87,23 +88,19 @@ def knn(vectors: DataFrame, vector: list[float], k: int, metric: str = "cosine",
     return v.select(key, d.alias("distance"), (1 - d).alias("similarity")).orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None, block_rows: int = 20_000) -> DataFrame:
-    """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each of the stated ``queries(qid, embedding)``.
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None, broadcast_rows: int = 20_000) -> DataFrame:
+    """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each of ``queries(qid, embedding)``, ranked by distance (9 places) and id.
 
-    The query set goes out in blocks of ``block_rows``, each a broadcast of bounded size; every task takes the
-    products of its vectors with a block and passes on k rows a query, which a window then ranks by distance
-    (9 places) and id. With ``group`` (a column of both) only vectors of the query's group count. Vectors and
-    queries without an embedding have no neighbours; a vector of no length comes last, with a null distance.
+    Up to ``broadcast_rows`` queries, which are counted first, are sent to all tasks, and each passes on k rows a
+    query. More of them stay a table, and meet only those cells of a ``VectorIndex`` that their k-th distance can
+    reach. With ``group`` (a column of both) only vectors of the query's group count. Vectors and queries without an
+    embedding have no neighbours; a vector of no length comes last, with a null distance.
     """
-    columns = ["qid", "embedding", *([group] if group else [])]
-    sent, block = [], []
-    for r in queries.where("embedding is not null").select(*columns).toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == block_rows:
-            sent.append(queries.sparkSession.sparkContext.broadcast(block))
-            block = []
-    if block:
-        sent.append(queries.sparkSession.sparkContext.broadcast(block))
+    asked = queries.where("embedding is not null").select("qid", "embedding", *([group] if group else []))
+    few = asked.limit(broadcast_rows + 1).collect()
+    if len(few) > broadcast_rows:
+        return VectorIndex.build(vectors, work_dir(vectors.sparkSession, "knn-join"), metric, group).nearest(queries, k)
+    sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in few])
 
     def run(batches):
         best: dict[int, list[tuple]] = {}
@@ -112,23 +109,22 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
             ids = b["vec_id"].to_numpy(np.int64)
             if not len(ids):
                 continue
-            for s in sent:
-                for at in range(0, len(s.value), 512):
-                    part = s.value[at : at + 512]
-                    q = np.array([p[1] for p in part], np.float64)
-                    if metric == "cosine":
-                        norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            d = np.where(norm > 0, 1 - q @ x.T / norm, np.inf)
-                    else:
-                        d = np.stack([((x - y) ** 2).sum(1) for y in q])
-                    d = np.round(d, 9) + 0.0  # no negative zero
-                    if group:
-                        d = np.where(np.array([p[2] for p in part], object)[:, None] == b[group].to_numpy(object)[None, :], d, np.nan)
-                    for p, row in zip(part, d):
-                        order = np.lexsort((ids, row))[:k]
-                        order = order[~np.isnan(row[order])]
-                        best[p[0]] = sorted([*best.get(p[0], []), *zip(row[order].tolist(), ids[order].tolist())])[:k]
+            for at in range(0, len(sent.value), 512):
+                part = sent.value[at : at + 512]
+                q = np.array([p[1] for p in part], np.float64)
+                if metric == "cosine":
+                    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = np.where(norm > 0, 1 - q @ x.T / norm, np.inf)
+                else:
+                    d = np.stack([((x - y) ** 2).sum(1) for y in q])
+                d = np.round(d, 9) + 0.0  # no negative zero
+                if group:
+                    d = np.where(np.array([p[2] for p in part], object)[:, None] == b[group].to_numpy(object)[None, :], d, np.nan)
+                for p, row in zip(part, d):
+                    order = np.lexsort((ids, row))[:k]
+                    order = order[~np.isnan(row[order])]
+                    best[p[0]] = sorted([*best.get(p[0], []), *zip(row[order].tolist(), ids[order].tolist())])[:k]
         rows = [(q, i, None if d == np.inf else d) for q, found in best.items() for d, i in found]
         yield pd.DataFrame(rows, columns=["qid", "vec_id", "distance"]).astype({"distance": float})
 
@@ -139,60 +135,13 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "vec_id", "distance", (1 - F.col("distance")).alias("similarity"), "rank")
 
 
-def knn_approx(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, sample: int = 20_000, most: int = 4096, seed: int = 7) -> DataFrame:
-    """Approximate cosine neighbours by an inverted file: every vector is in the list of its nearest centre.
+def knn_approx(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, shortlist: int | None = None, sample: int = 20_000, path: str | None = None) -> DataFrame:
+    """Approximate cosine neighbours: a ``VectorIndex`` built in ``path`` (a new shared folder by default) and searched by codes.
 
-    The centres are fitted on at most ``sample`` vectors; all vectors are indexed. There are as many ``lists`` as the
-    square root of the rows, up to a sixteenth of ``sample``, and a query looks into its ``probes`` nearest ones, six
-    tenths of all unless stated: vectors without clusters need that many for a recall of 0.9, clustered ones far fewer.
-    Lists of over ``most`` vectors are dealt to salts and those of over ``most`` queries to parts, so no task gets an
-    unbounded side. Where no vector has a length nothing is found.
+    The folder stays, so later searches can ``VectorIndex.load`` it.
     """
-    unit = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    long = unit.where(F.exists("e", lambda x: x != 0))
-    rows = long.count()
-    lists = lists or max(2, min(math.isqrt(rows), sample // 16))
-    probes = probes or -(-6 * lists // 10)
-    if not rows:
-        return unit.sparkSession.createDataFrame([], "qid long, vec_id long, distance double, rank int")
-    some = long.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).select(array_to_vector("e").alias("features"))
-    centres = np.array(KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=12).fit(some).clusterCenters())
-    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-
-    def nearest(n):
-        def run(batches):
-            for b in batches:
-                x = np.array(b["e"].tolist(), np.float64).reshape(len(b), -1)
-                if len(x):
-                    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
-                    yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), order.shape[1]), "e": [e for e in b["e"] for _ in range(order.shape[1])], "cell": order.ravel().astype(np.int32)})
-
-        return run
-
-    kinds = "id long, e array<double>, cell int"
-    index = unit.select(F.col("vec_id").alias("id"), "e").mapInPandas(nearest(1), kinds)
-    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("salts"))
-    asked = queries.where("embedding is not null").select(F.col("qid").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).mapInPandas(nearest(probes), kinds)
-    parts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    index = index.join(sizes, "cell").join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), each("parts").alias("part"), "id", "e")
-    asked = asked.join(sizes, "cell").join(parts, "cell").select("cell", each("salts").alias("salt"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "e")
-
-    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(v) and len(q):
-            x = np.array(v["e"].tolist())
-            ids, length = v["id"].to_numpy(), np.linalg.norm(x, axis=1)
-            for qid, e in zip(q["id"].tolist(), q["e"]):
-                y = np.asarray(e)
-                norm = length * np.linalg.norm(y)
-                d = np.round(np.where(norm > 0, 1 - x @ y / np.where(norm > 0, norm, 1), 2.0), 9)
-                rows += [(qid, int(ids[i]), float(d[i])) for i in np.lexsort((ids, d))[:k]]
-        return pd.DataFrame(rows, columns=["qid", "vec_id", "distance"])
-
-    found = index.groupBy("cell", "salt", "part").cogroup(asked.groupBy("cell", "salt", "part")).applyInPandas(search, "qid long, vec_id long, distance double")
-    w = W.partitionBy("qid").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    index = VectorIndex.build(vectors, path or work_dir(vectors.sparkSession, "knn-approx"), cells=cells, sample=sample)
+    return index.approximate(queries, k, probes, shortlist)
 
 
 def _vectors(spark, sf_dir):
@@ -280,6 +229,13 @@ def knn_join_embeddings(spark, sf_dir):
     return knn_join(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10).select("qid", *_rounded(), "rank")
 
 
+@query(_JOIN.replace("WHERE vec_id % 100 = 0", "") + "SELECT qid, vec_id, round(d, 6) + 0.0::DOUBLE AS distance, round(1 - d, 6) AS similarity, rank FROM n WHERE rank <= 10")
+def knn_cells_embeddings(spark, sf_dir):
+    """All rows as queries, through the cells of a stored index."""
+    index = VectorIndex.build(_vectors(spark, sf_dir), work_dir(spark, "cells"))
+    return index.nearest(_vectors(spark, sf_dir).select(F.col("vec_id").alias("qid"), "embedding"), 10).select("qid", *_rounded(), "rank")
+
+
 @query()
 def knn_approx_embeddings(spark, sf_dir):
     return knn_approx(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10)

@@ -1,4 +1,4 @@
-"""Readers and writers: documents, page snapshots (batch and stream), upsert sink, crawl state, JSON export."""
+"""Readers and writers: documents, page snapshots (batch and stream), crawl state, JSON export."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.operators.identity import upsert_table
 from corpusq.registry import query, table
 
 
@@ -27,6 +26,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read again: cuts lineage, survives lost executors."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_documents(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Only the named columns of a stored relation."""
     return spark.read.parquet(path).select(*columns)
@@ -38,12 +44,6 @@ def page_snapshots(spark: SparkSession, path: str, stream: bool = False) -> Data
     return reader.parquet(path).where("html is not null and html <> ''")
 
 
-def upsert_sink(spark: SparkSession, incoming: DataFrame, stored_path: str, new_path: str, key: str = "url", digest: str = "hash") -> DataFrame:
-    """Write the table after the upsert to a new folder, which the caller then puts in the old one's place."""
-    upsert_table(incoming, spark.read.parquet(stored_path), key, digest).write.mode("overwrite").parquet(new_path)
-    return spark.read.parquet(new_path)
-
-
 def save_state(visited: DataFrame, path: str) -> None:
     """Append urls to the visited set."""
     visited.select("url").write.mode("append").parquet(path)
@@ -67,15 +67,6 @@ def page_snapshot_source_pages(spark, sf_dir):
     return page_snapshots(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("n"))
 
 
-@query("""WITH i AS (SELECT 'doc/' || doc_id AS url, md5(text || '!') AS hash FROM documents WHERE doc_id % 5 = 0), s AS (SELECT 'doc/' || doc_id AS url, md5(text) AS hash FROM documents WHERE doc_id % 3 <> 0)
-SELECT coalesce(i.url, s.url) AS url, coalesce(i.hash, s.hash) AS hash FROM s FULL JOIN i ON s.url = i.url""")
-def upsert_sink_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("url", F.concat(F.lit("doc/"), "doc_id"))
-    stored, new = work_dir(spark, "stored"), work_dir(spark, "stored-new")
-    d.where("doc_id % 3 <> 0").select("url", F.md5("text").alias("hash")).write.parquet(stored)
-    return upsert_sink(spark, d.where("doc_id % 5 = 0").select("url", F.md5(F.concat("text", F.lit("!"))).alias("hash")), stored, new)
-
-
 @query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
 def state_sink_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages", "page_id", "url")

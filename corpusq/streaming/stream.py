@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusq.functions.time import epoch_micros
-from corpusq.plans.jobs import ingest_pages
+from corpusq.functions.time import epoch_micros, epoch_seconds
+from corpusq.operators.chunk import chunk_char_window, chunk_records
+from corpusq.plans.jobs import page_documents
 from corpusq.registry import query, table
 from corpusq.sources.tables import page_snapshots, work_dir
 
@@ -22,22 +25,52 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+class FirstOfUrl(StatefulProcessor):
+    """The first document of each url, by doc_id within a micro-batch; urls seen before are known from state, not from the table."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        first = None
+        for r in rows:
+            r = r.nsmallest(1, "doc_id")
+            if first is None or r["doc_id"].iloc[0] < first["doc_id"].iloc[0]:
+                first = r
+        if first is not None and not self.state.exists():
+            self.state.update((True,))
+            yield first[["doc_id", "url", "title", "language", "hash", "text"]]
+
+    def close(self) -> None:
+        pass
+
+
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
-    """New page files -> documents in ``target``; each batch keeps only urls not stored before.
+    """New page files -> ``target/documents`` and ``target/chunks`` (chunk records), each url once.
 
-    A batch owns the partition of its number and overwrites it, so a batch that is run again stores its rows once.
+    Seen urls are state, so no batch reads what is stored. A batch owns the partition of its number in both tables, overwrites it, and
+    is committed by a row in ``target/commits`` that is written last; a batch that runs again therefore stores its rows once,
+    and ``ingested`` shows only batches of which both tables are whole. Pages without a url or an id are left out.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def put(batch: DataFrame, number: int) -> None:
-        docs = ingest_pages(batch)
-        if files.exists(folder):  # the first batch finds no table yet
-            seen = batch.sparkSession.read.schema(f"{docs.select('url')._jdf.schema().toDDL()}, batch long").parquet(target).where(F.col("batch") < number).select("url")
-            docs = docs.join(seen, "url", "left_anti")
-        docs.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        where = f"{target}/documents/batch={number}"
+        batch.write.mode("overwrite").parquet(where)
+        docs = batch.sparkSession.read.schema(batch.schema).parquet(where)
+        named = docs.select("doc_id", "title", F.lit("page").alias("document_type"), "language", F.col("url").alias("source_url"))
+        chunk_records(chunk_char_window(docs), named).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+        docs.agg(F.count(F.lit(1)).alias("documents")).write.mode("overwrite").parquet(f"{target}/commits/batch={number}")
+
+    docs = page_documents(page_snapshots(spark, source, stream=True).where("page_id is not null"))
+    once = docs.groupBy("url").transformWithStateInPandas(FirstOfUrl(), "doc_id long, url string, title string, language string, hash string, text string", "Append", "None")
+    with state_store(spark):
+        once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    page_snapshots(spark, source, stream=True).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def ingested(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """``documents`` or ``chunks`` of the committed batches."""
+    done = spark.read.parquet(f"{target}/commits").select("batch")  # a row a batch
+    return spark.read.parquet(f"{target}/{name}").join(F.broadcast(done), "batch", "left_semi")
 
 
 def stream_dedup(stream: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
@@ -45,48 +78,67 @@ def stream_dedup(stream: DataFrame, key: str, late: str = "10 minutes") -> DataF
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def stream_metrics(stream: DataFrame, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts, errors and hit ratio in sliding windows; rows later than ``late`` are dropped."""
-    g = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"))
+def stream_metrics(stream: DataFrame, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes", labels: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, errors, hit ratio and rate a second in windows of ``width`` every ``slide`` (tumbling if equal), by ``labels``.
+
+    Rows later than ``late`` are dropped; a window comes out once the watermark has passed its end.
+    """
+    g = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), *labels)
     hits, misses = F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "view")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.when(hits + misses > 0, F.round(hits / (hits + misses), 6)).alias("ratio")).select(F.col("w.start").alias("window_start"), "n", "errors", "ratio")
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    made = g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.when(hits + misses > 0, F.round(hits / (hits + misses), 6)).alias("ratio"))
+    return made.select(F.col("w.start").alias("window_start"), *labels, "n", "errors", "ratio", F.round(F.col("n") / seconds, 6).alias("rate"))
+
+
+def _gathered(rows: Iterator[pd.DataFrame], time: str) -> tuple[np.ndarray, np.ndarray]:
+    """Times in microseconds and event ids of a key's rows in a micro-batch, in order of time and id, whatever Arrow batches they come in."""
+    times, events = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in rows:
+        t = r[time]
+        times.append(t.to_numpy("datetime64[us]").astype(np.int64) if str(t.dtype).startswith("datetime") else t.to_numpy(np.int64))
+        events.append(r["event_id"].to_numpy(np.int64))
+    times, events = np.concatenate(times), np.concatenate(events)
+    order = np.lexsort((events, times))
+    return times[order], events[order]
 
 
 class FixedWindowLimiter(StatefulProcessor):
-    """Counts a key's requests in windows from the epoch on, late ones in their own window.
+    """Numbers the requests of a user in windows from the epoch on, late ones too. Keys are (user, run of windows).
 
-    A window's count goes by a timer once the watermark has passed its end, so state does not grow. The rows of a key
-    come in Arrow batches, each taken in time order by itself.
+    The state of a key is the counts of its windows that the watermark has not passed; a timer clears it after the last one, so it
+    does not grow. The rows of a micro-batch are brought in order of time and id first, 16 bytes a request of that key, so
+    results do not depend on Arrow batches.
     """
 
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int, seconds: int, rows: int = 10_000):
+        self.limit, self.seconds, self.rows = limit, seconds, rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getMapState("windows", "bucket long", "n long")
+        self.handle, self.state = handle, handle.getValueState("windows", "bucket array<long>, n array<long>")
+
+    def _open(self, passed: int) -> dict[int, int]:
+        """Counts of the windows that end after the time ``passed`` in milliseconds."""
+        known = self.state.get() if self.state.exists() else None
+        return {b: n for b, n in zip(*known) if (b + 1) * self.seconds * 1000 > passed} if known else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        for r in rows:
-            r = r.sort_values(["ts", "event_id"])
-            counts: dict[int, int] = {}
-            out = []
-            for event, ts in zip(r["event_id"].tolist(), r["ts"].tolist()):
-                b = int(ts.timestamp() // self.seconds)
-                if b not in counts:
-                    known = self.state.containsKey((b,))
-                    counts[b] = self.state.getValue((b,))[0] if known else 0
-                    if not known:
-                        self.handle.registerTimer((b + 1) * self.seconds * 1000)
-                counts[b] += 1
-                out.append((event, key[0], counts[b], counts[b] <= self.limit))
-            for b, n in counts.items():
-                self.state.updateValue((b,), (n,))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "n", "allowed"])
+        times, events = _gathered(rows, "ts")
+        counts = self._open(timers.getCurrentWatermarkInMs())
+        last = max(counts, default=None)
+        bucket, first, size = np.unique(times // (self.seconds * 1_000_000), return_index=True, return_counts=True)
+        before = np.array([counts.get(b, 0) for b in bucket.tolist()], np.int64)
+        n = np.arange(1, len(times) + 1) - np.repeat(first - before, size)
+        counts |= dict(zip(bucket.tolist(), (before + size).tolist()))
+        self.state.update((list(counts), list(counts.values())))
+        if last is None or max(counts) > last:
+            self.handle.registerTimer((max(counts) + 1) * self.seconds * 1000)
+        for at in range(0, len(events), self.rows):
+            some = slice(at, at + self.rows)
+            yield pd.DataFrame({"event_id": events[some], "user_id": key[0], "n": n[some], "allowed": n[some] <= self.limit})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() // (self.seconds * 1000) - 1
-        if self.state.containsKey((bucket,)):
-            self.state.removeKey((bucket,))
+        left = self._open(expiredTimerInfo.getExpiryTimeInMs())
+        self.state.update((list(left), list(left.values()))) if left else self.state.clear()
         yield pd.DataFrame({"event_id": [], "user_id": [], "n": [], "allowed": []}).astype({"event_id": "int64", "user_id": "int64", "n": "int64", "allowed": "bool"})
 
     def close(self) -> None:
@@ -96,29 +148,31 @@ class FixedWindowLimiter(StatefulProcessor):
 class ResponseCache(StatefulProcessor):
     """A key's last stored answer; a hit is a request less than ``ttl`` seconds after it.
 
-    A stored answer goes by a timer once the watermark is ``ttl`` seconds past it; each Arrow batch of a key is taken in
-    time order.
+    A stored answer goes by a timer once the watermark is ``ttl`` seconds past it. The requests of a key in a micro-batch are
+    brought in order of time and id first, 16 bytes each, so results do not depend on Arrow batches.
     """
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    def __init__(self, ttl: int, rows: int = 10_000):
+        self.ttl, self.rows = ttl, rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("stored", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         before = stored = self.state.get()[0] if self.state.exists() else None
-        for r in rows:
-            r = r.sort_values(["at", "event_id"])
-            out = []
-            for event, at in zip(r["event_id"].tolist(), r["at"].tolist()):
-                hit = stored is not None and at - stored < self.ttl * 1_000_000
-                stored = stored if hit else at
-                out.append((event, key[0], hit))
-            yield pd.DataFrame(out, columns=["event_id", "key", "hit"])
+        times, events = _gathered(rows, "at")
+        hits, at = np.ones(len(times), bool), 0
+        while at < len(times):  # from miss to miss
+            if stored is not None and times[at] - stored < self.ttl * 1_000_000:
+                at = int(np.searchsorted(times, stored + self.ttl * 1_000_000))
+                continue
+            hits[at], stored = False, int(times[at])
         if stored != before:
             self.state.update((stored,))
             self.handle.registerTimer(stored // 1000 + self.ttl * 1000 + 1)
+        for low in range(0, len(events), self.rows):
+            some = slice(low, low + self.rows)
+            yield pd.DataFrame({"event_id": events[some], "key": key[0], "hit": hits[some]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists() and self.state.get()[0] // 1000 + self.ttl * 1000 < expiredTimerInfo.getExpiryTimeInMs():
@@ -129,9 +183,15 @@ class ResponseCache(StatefulProcessor):
         pass
 
 
-def stream_rate_limit(stream: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
-    """Decisions for ``stream(event_id, user_id, ts)``; rows later than ``late`` are dropped."""
-    return stream.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "EventTime")
+def stream_rate_limit(stream: DataFrame, limit: int, seconds: int, late: str = "10 minutes", windows: int = 64) -> DataFrame:
+    """Decisions for ``stream(event_id, user_id, ts)``; rows later than ``late`` are dropped.
+
+    Requests are numbered as they arrive, those of a micro-batch by time and id; so a request that comes in a later micro-batch
+    than a younger one counts after it. State is kept by user and run of ``windows`` windows, so a busy user's past is spread.
+    """
+    run = F.floor(epoch_seconds("ts") / (seconds * windows)).cast("long")
+    s = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", run.alias("run"))
+    return s.groupBy("user_id", "run").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "EventTime")
 
 
 def stream_response_cache(stream: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
@@ -150,10 +210,22 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(path)
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that keyed state needs, for the time of a stream; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _streamed(spark, frame: DataFrame, name: str, mode: str = "append", schema=None) -> DataFrame:
     target = work_dir(spark, name)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    run_available(frame, target, work_dir(spark, f"{name}-checkpoint"), mode)
+    with state_store(spark):
+        run_available(frame, target, work_dir(spark, f"{name}-checkpoint"), mode)
     return spark.read.schema(schema or frame.schema).parquet(target)
 
 
@@ -168,7 +240,7 @@ def _folder(spark, sf_dir, name: str, parts: int) -> str:
 def stream_ingest_pages(spark, sf_dir):
     target = work_dir(spark, "ingested")
     stream_ingest(spark, _folder(spark, sf_dir, "pages", 2), target, work_dir(spark, "ingest-checkpoint"))
-    return spark.read.parquet(target).select("doc_id", "url", "title", "language", "hash")
+    return ingested(spark, target, "documents").select("doc_id", "url", "title", "language", "hash")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
@@ -177,21 +249,48 @@ def stream_dedup_events(spark, sf_dir):
     return _streamed(spark, stream_dedup(s, "key", "400 days").select("user_id", "event_type"), "deduped")
 
 
-@query("""WITH w AS (SELECT unnest(range(0, 5)) AS k), e AS (SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INT)) AS window_start, event_type FROM events, w)
-SELECT window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type IN ('click', 'view')), 0), 6) AS ratio
+_RATIO = "round(count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type IN ('click', 'view')), 0), 6) AS ratio"
+
+
+@query(f"""WITH w AS (SELECT unnest(range(0, 5)) AS k), e AS (SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INT)) AS window_start, event_type FROM events, w)
+SELECT window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, {_RATIO}, round(count(*) / 300, 6) AS rate
 FROM e WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1""")
 def stream_metrics_events(spark, sf_dir):
     s = events_stream(spark, _folder(spark, sf_dir, "events", 1))
     return _streamed(spark, stream_metrics(s), "metrics")
 
 
+@query(f"""SELECT date_trunc('minute', ts) AS window_start, event_type AS label, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, {_RATIO}, round(count(*) / 60, 6) AS rate
+FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def stream_request_rate_events(spark, sf_dir):
+    """Request rates by label in tumbling minutes."""
+    s = events_stream(spark, _folder(spark, sf_dir, "events", 1)).withColumn("label", F.col("event_type"))
+    return _streamed(spark, stream_metrics(s, "1 minute", "1 minute", labels=("label",)), "request-rates")
+
+
+@query(f"""WITH w AS (SELECT unnest(range(0, 5)) AS k), e AS (SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INT)) AS window_start, event_type,
+CASE user_id % 3 WHEN 0 THEN 'ka' WHEN 1 THEN 'ru' ELSE 'en' END AS language, CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status FROM events, w)
+SELECT window_start, language, status, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, {_RATIO}, round(count(*) / 300, 6) AS rate
+FROM e WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2, 3""")
+def stream_query_rate_events(spark, sf_dir):
+    """Query rates by language and status in sliding five minutes."""
+    s = events_stream(spark, _folder(spark, sf_dir, "events", 1))
+    s = s.withColumn("language", F.when(F.col("user_id") % 3 == 0, "ka").when(F.col("user_id") % 3 == 1, "ru").otherwise("en")).withColumn("status", F.when(F.col("event_type") == "error", "500").otherwise("200"))
+    return _streamed(spark, stream_metrics(s, labels=("language", "status")), "query-rates")
+
+
 @query("WITH k AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS b, ts FROM events) SELECT event_id, user_id, n, n <= 2 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, b ORDER BY ts, event_id) AS n FROM k)")
 def stream_rate_limit_events(spark, sf_dir):
     s = events_stream(spark, _folder(spark, sf_dir, "events", 1)).select("event_id", "user_id", "ts")
     return _streamed(spark, stream_rate_limit(s, 2, 3600), "limited")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id || '|' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT event_id, key, ts AS stored, n, false AS hit FROM e WHERE n = 1
+UNION ALL SELECT e.event_id, e.key, CASE WHEN e.ts - w.stored < INTERVAL 3600 SECOND THEN w.stored ELSE e.ts END, e.n, e.ts - w.stored < INTERVAL 3600 SECOND FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT event_id, key, hit FROM w
+""")
 def stream_response_cache_events(spark, sf_dir):
     s = events_stream(spark, _folder(spark, sf_dir, "events", 1)).select("event_id", F.concat_ws("|", "user_id", "event_type").alias("key"), "ts")
     return _streamed(spark, stream_response_cache(s), "cached")
