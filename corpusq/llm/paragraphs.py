@@ -340,6 +340,18 @@ def grown_passages(places: DataFrame, most: int) -> DataFrame:
     return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", "keeper")).alias("passages"))  # of one document
 
 
+def _open(raw: bytes, start: np.ndarray, gone: np.ndarray | None, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Around each of ``word`` the stretch of words that no line of ``gone`` stands in: its first word and its end (-1 if the word itself goes)."""
+    if gone is None or not len(gone):
+        return np.zeros(len(word), np.int64), np.full(len(word), len(start), np.int64)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), start)
+    away = np.flatnonzero(np.isin(line, gone))
+    place = np.searchsorted(away, word)
+    bounds = np.r_[-1, away, len(start)]
+    itself = bounds[place + 1] == word
+    return bounds[place] + 1, np.where(itself, -1, bounds[place + 1])
+
+
 def without_passages(lines: list[bytes], drop: set[int], passages: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The lines but those of ``drop``, without the words of the passages (first word, end, counted over all lines); and the stretches cut.
 
@@ -401,7 +413,7 @@ def _jaccard_links(values: list[np.ndarray], similarity: float):
     return linked
 
 
-def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, most: int = 4096, passages: bool = True, texts: bool = True) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 1, most: int = 4096, passages: bool = True, texts: bool = True) -> DataFrame:
     """Remove paragraphs that nearly repeat an earlier one, in the same or another document.
 
     ``docs(doc_id, text)`` -> a row for each row of docs: (doc_id, n_bytes, n_removed bytes, n_spans paragraphs
@@ -414,7 +426,8 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     With ``passages``, a passage of 49 words or more that an earlier place of this or another document holds too goes from
     its first to its last word, wherever it stands, inside paragraphs and across line ends (n_spans counts each stretch);
     of shorter ones those of 20 words or more in which a run is chosen go, also from end to end. Words are compared one by
-    one; no other word goes. Lines that go as whole paragraphs are no longer looked at for passages.
+    one; no other word goes. Lines that go as whole paragraphs neither lose nor keep a passage: a stretch ends where one begins, so
+    every word that goes with a passage has an equal place in a line that stays.
 
     Equal paragraphs are one class from the start, so copies form no pairs. Band values that only one class has are
     dropped by counts; colliding classes are verified exactly, in blocks of about ``2 * most`` classes and a million
@@ -516,10 +529,13 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
                 edge = np.diff((~_SPACE[np.frombuffer(raw, np.uint8)]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 between = lambda x, y: raw[start[x] : end[y - 1]].split() if x < y else []  # noqa: E731, B023
-                for k in range(0, len(word), 1024):
-                    at = word[k : k + 1024].tolist()
-                    sides = [b" ".join(between(x, x + SPAN)) for x in at], [b" ".join(between(max(0, x - SIDE), x)[::-1]) for x in at], [b" ".join(between(x + SPAN, min(x + SPAN + SIDE, len(start)))) for x in at]
-                    rows.append((doc, rid, *((None,) * len(head) if k else head), at, h[k : k + 1024].tolist(), n[k : k + 1024].tolist(), *sides, None if k else pack))
+                low, high = _open(raw, start, gone, word)
+                whole = np.flatnonzero(high >= word + SPAN)
+                for k in range(0, max(1, len(whole)), 1024):
+                    some = whole[k : k + 1024]
+                    at = list(zip(word[some].tolist(), low[some].tolist(), high[some].tolist()))
+                    sides = [b" ".join(between(x, x + SPAN)) for x, _, _ in at], [b" ".join(between(max(a, x - SIDE), x)[::-1]) for x, a, _ in at], [b" ".join(between(x + SPAN, min(x + SPAN + SIDE, z))) for x, _, z in at]
+                    rows.append((doc, rid, *((None,) * len(head) if k else head), [x for x, _, _ in at], h[some].tolist(), n[some].tolist(), *sides, None if k else pack))
                     held += len(at)
                     if held >= 4096:
                         yield pd.DataFrame(rows, columns=names, dtype=object)

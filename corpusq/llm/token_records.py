@@ -170,7 +170,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
     Each range of ids becomes one data file of records (length, its masked checksum, a payload of id width,
     doc_id and token ids, the payload's masked checksum) and one index file of fixed-width entries. Files are
     written under a name of the attempt and then renamed, so a repeated task leaves whole files. Null texts are
-    empty, so they hold the end id alone; null ids come first; equal ids are ordered by text, repeated rows are kept.
+    empty, so they hold the end id alone; null ids come first; equal ids are ordered by a hash of their text and then by
+    text, repeated rows are kept. Rows without an id, and those of one id, are dealt to as many tasks as their number asks for.
     An empty table writes no file and gives an empty manifest; other columns are ignored.
     Returns the manifest (part, docs, tokens, bytes), one row a file.
     """
@@ -217,7 +218,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
             yield pd.DataFrame({"part": [part], "docs": [docs_done], "tokens": [tokens], "bytes": [offset]})
 
     order = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("null_id"), F.col("text").cast("string").alias("text"))
-    order = order.repartitionByRange(F.desc("null_id"), "doc_id").sortWithinPartitions(F.desc("null_id"), "doc_id", "text")
+    # equal rows are told apart by their place in the input, whose order among them does not show
+    keys = [F.desc("null_id"), "doc_id", "h"]
+    order = order.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = order.repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "text").drop("h", "place")
     return written(order.mapInPandas(run, "part int, docs long, tokens long, bytes long"), "token-manifest")
 
 

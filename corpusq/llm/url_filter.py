@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.llm.shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANES = 4  # 64-bit words in a block; a key sets one bit in each
 BITS_PER_KEY = 16
@@ -35,6 +37,12 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return _with_bits(keys.select(key), key, blocks).groupBy("_block").agg(*(F.bit_or(f"_b{i}").alias(f"_w{i}") for i in range(LANES)))
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rules as a table of literals, which no Python worker has to read."""
+    rows = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict")))) for r in rules))
+    return spark.range(1).select(F.inline(rows))
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Verdict for every row of ``urls``, by ``rules(host, path, verdict)`` and exact ``listed(host, path)`` URLs.
 
@@ -43,7 +51,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str
     any other allowed. Returns (id, host, path, rule, verdict), one row for each input row.
 
     Every candidate key of a distinct (host, path) is probed in the Bloom filter of listed keys; only possible
-    hits go on to the hash join that removes false positives. The filter is broadcast up to
+    hits go on to the hash join that removes false positives: shuffled by key, with a table of each partition's
+    listed keys, however many there are. The listed keys are written once. The filter is broadcast up to
     ``broadcast_bytes`` (its size is known), else joined by block. Null urls, and those without ``://``, have
     empty host and path and match nothing; repeated and null ids keep their rows; empty tables, rules and
     lists are fine; other columns are ignored.
@@ -58,7 +67,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str
         F.concat(F.lit("u"), "host", "path").alias("entry"), F.lit(0).alias("labels"), F.lit(0).alias("plen"),
         F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("long"), F.lit(-1).alias("hlen"),
     ).distinct()
-    entries = entries.unionByName(exact)
+    entries = written(entries.unionByName(exact), "url-entries")
     n = entries.count()
     shapes = [(r["labels"], r["plen"]) for r in entries.where("labels > 0").select("labels", "plen").distinct().collect()]  # label counts x path lengths, not rules
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * LANES)))
@@ -78,7 +87,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str
         every = every & (F.col(f"_b{i}").bitwiseAND(F.col(f"_w{i}")) != 0)
     possible = probes.join(bloom, "_block").where(every).select("host", "path", "key")
 
-    hits = possible.join(entries, possible["key"] == entries["entry"]).select("host", "path", "rule", "verdict", "long", "hlen")
+    hits = possible.join(entries.hint("shuffle_hash"), possible["key"] == entries["entry"]).select("host", "path", "rule", "verdict", "long", "hlen")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("long", "hlen", "rule", "verdict")).alias("b"))
     best = best.select("host", "path", "b.rule", "b.verdict")
     return rows.join(best, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
@@ -89,8 +98,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host, path = canonical("url")
     listed = pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").count().where("count > 1").drop("count")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return judge_urls(pages, rules, listed)
+    return judge_urls(pages, rule_table(spark, RULES), listed)
 
 
 ORACLE = """

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,25 @@ def test_url_filter(spark):
     assert judge_urls(df.limit(0), rules, listed).count() == 0
 
 
+def test_url_filter_hash_join_without_broadcasts(spark):
+    """A list over every broadcast limit still meets by a hash join, and no Python worker is started for rules or rows."""
+    from corpusq.llm.url_filter import RULES, judge_urls, op1_url_filter, rule_table
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pages = spark.read.parquet(f"{SF}/pages.parquet")
+        listed = pages.selectExpr("'h' || page_id host", "'/' path")
+        df = judge_urls(pages, rule_table(spark, RULES), listed, broadcast_bytes=0)
+        assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+        for df in (df, op1_url_filter(spark, SF)):
+            assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+            assert df.count() == pages.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, rule_table(spark, RULES).collect())) == sorted(RULES)
+
+
 def test_url_filter_is_native(spark):
     from corpusq.llm.url_filter import op1_url_filter
 
@@ -114,7 +133,7 @@ def test_paragraphs_brute_force(spark, documents):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     removed = _paragraph_brute(rows)
     for most in (4096, 3):  # whole groups; groups split to blocks
-        got = {r["doc_id"]: r for r in dedup_paragraphs(df, most=most, passages=False).collect()}
+        got = {r["doc_id"]: r for r in dedup_paragraphs(df, least_words=20, most=most, passages=False).collect()}
         assert len(got) == len(rows)
         for doc, text in rows:
             lines = text.encode().split(b"\n")
@@ -124,6 +143,76 @@ def test_paragraphs_brute_force(spark, documents):
             assert got[doc]["n_removed"] == len(text.encode()) - len(kept)
 
 
+def test_no_word_goes_that_no_text_keeps(spark):
+    """B's first line is a near copy of A's, so it keeps no passage: C's copy of it, with the other word, stays."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    rng = np.random.default_rng(21)
+    text = lambda n: ["".join(x) for x in rng.choice(list("abcdefghij"), (n, 6))]
+    join = " ".join
+    rows = []
+    for i in range(10):
+        x, y = text(60), text(60)
+        other = [*x[:30], f"changed{i}", *x[31:]]
+        rows += [(10 * i, join(x)), (10 * i + 1, join(other) + "\n" + join(y)), (10 * i + 2, join(text(40) + other + y + text(40)))]
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(10):
+        a, b, c = (got[10 * i + k] for k in range(3))
+        assert a["n_removed"] == 0 and b["kept_text"].count("\n") == 0 and b["kept_in"] == [10 * i]
+        assert f"changed{i}" in c["kept_text"].split()
+        assert set(b["kept_text"].split()).isdisjoint(c["kept_text"].split())  # the line that B keeps goes from C
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_paragraphs_lose_no_word(spark, sf):
+    """With the registered settings every word that the line stage leaves is in some kept text, and what goes stands earlier."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    lines = {r["doc_id"]: r["kept_text"] for r in dedup_paragraphs(docs, passages=False).collect()}
+    both = {r["doc_id"]: r["kept_text"] for r in dedup_paragraphs(docs).collect()}
+    words = lambda texts: {w for t in texts for w in t.lower().split()}
+    assert words(lines.values()) == words(both.values())
+    if sf == "sf0.001":
+        rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        removed = _paragraph_brute(rows, least=1)
+        assert all(lines[d].encode() == b"\n".join(x for i, x in enumerate((t or "").encode().split(b"\n")) if i not in removed[(False, d)]) for d, t in rows)
+    # every five words that go with a passage stand in an earlier text that the line stage left
+    seen: dict[tuple, int] = {}
+    for d in sorted(lines):
+        w = lines[d].lower().split()
+        for i in range(len(w) - 4):
+            seen.setdefault(tuple(w[i : i + 5]), d)
+    lost = 0
+    for d in sorted(lines):
+        before, after = lines[d].lower().split(), both[d].lower().split()
+        if before != after:
+            at = 0
+            for i, w in enumerate(before):
+                at += at < len(after) and after[at] == w
+            lost += at == len(after)  # what stays is a subsequence of what was there
+            grams, held = (Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (before, after))
+            assert any(seen[g] < d or grams[g] > 1 for g in grams - held)
+    assert lost > 0
+
+
+def test_passages_of_20_to_48_words(spark):
+    """Shorter passages are met if a run happens to be chosen in them: half of those of 24 words, nearly all from 40 on."""
+    from corpusq.llm.paragraphs import dedup_paragraphs
+
+    rng = np.random.default_rng(22)
+    text = lambda n: " ".join("".join(x) for x in rng.choice(list("abcdefghij"), (n, 6)))
+    rows, sizes = [], [20, 24, 30, 40, 48, 49]
+    for k, n in enumerate(sizes):
+        for i in range(100):
+            p = text(n)
+            rows += [(1000 * k + 2 * i, f"{text(70)} {p} {text(70)}"), (1000 * k + 2 * i + 1, f"{text(80)} {p} {text(60)}")]
+    found = {r["doc_id"]: r["n_removed"] for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), texts=False).collect()}
+    share = {n: sum(found[1000 * k + 2 * i + 1] > 0 for i in range(100)) / 100 for k, n in enumerate(sizes)}
+    print(share)
+    assert share[49] == 1 and share[48] >= 0.9 and share[40] >= 0.75 and all(found[1000 * k + 2 * i] == 0 for k in range(len(sizes)) for i in range(100))
+
+
 def test_passages_inside_paragraphs(spark):
     """A passage of over 50 words inside otherwise different paragraphs is found wherever it stands."""
     from corpusq.llm.paragraphs import dedup_paragraphs
@@ -153,7 +242,7 @@ def test_passages_over_line_ends(spark):
     wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
     passage = text(150)
     rows = [(1, wrap(text(30) + passage, 12)), (2, wrap(text(7) + passage + text(40), 11)), (3, wrap(text(200), 12))]
-    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), least_words=20).collect()}
     assert got[1]["n_removed"] == got[3]["n_removed"] == 0
     assert got[2]["n_spans"] == 1 and got[2]["kept_in"] == [1] and got[2]["n_removed"] >= 90 * 7
     assert set(rows[1][1].split()) - set(passage) <= set(got[2]["kept_text"].split())
@@ -168,7 +257,7 @@ def test_passages_of_a_long_text(spark):
     wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
     passage, head, tail = text(90_000), text(7), text(40)
     rows = [(1, wrap(text(30) + passage, 12)), (2, wrap(head + passage + tail, 11)), (3, None), (4, "")]
-    got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), least_words=20).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4]
     late = next(r for r in got if r["doc_id"] == 2)
     assert late["kept_text"].split() == head + tail and late["n_spans"] == 1 and late["kept_in"] == [1]
@@ -271,7 +360,7 @@ def test_op2_compares_short_paragraphs(spark, tmp_path):
 def test_paragraphs_hostile(spark, hostile):
     from corpusq.llm.paragraphs import dedup_paragraphs
 
-    got = dedup_paragraphs(hostile)
+    got = dedup_paragraphs(hostile, least_words=20)
     assert got.count() == hostile.count()
     by = defaultdict(list)
     for r in got.collect():
@@ -338,6 +427,27 @@ def test_token_records(spark, hostile, documents):
         assert known == sorted(known)
 
 
+def test_token_records_of_one_id_are_spread(spark):
+    """Rows without an id, or of one id, do not meet in one file, and the order is that of ids, text hashes and texts."""
+    from corpusq.llm.shared import shared_dir
+    from corpusq.llm.token_records import read_records, write_records
+    import public_tokenizers
+
+    rows = [(None, f"text {i}") for i in range(1500)] + [(None, None)] * 1500 + [(7, f"other {i}") for i in range(900)] + [(i, "x") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = shared_dir(spark, "spread")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_records(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+        files = sorted(r["docs"] for r in manifest.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(files) == len(rows) and files[-1] < 0.5 * len(rows)
+    got = [r["doc_id"] for r in read_records(manifest, path).orderBy("start").collect()]
+    assert got == [None] * 3000 + sorted(i for i, _ in rows if i is not None)
+
+
 def test_token_records_shuffled_and_other_tokenizers(spark, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
