@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from corpusq.llm.shared import written
+from corpusq.llm.shared import put_in_place, shared_dir, written
 
 #: Code point ranges of scripts (fixed values); letters outside them are script 0.
 SCRIPTS = [
@@ -53,25 +55,51 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return bucket, script[c[at]], starts, np.searchsorted(ends, at[starts] - 1, side="right")
 
 
-@dataclass
 class LanguageModel:
-    """log P(trigram | language) by bucket, and which languages are written in which script; buckets are halved ``fold`` times."""
+    """log P(trigram | language) by bucket, and which languages are written in which script, in blocks of languages.
 
-    langs: list[str]
-    logp: np.ndarray
-    allowed: np.ndarray
-    fold: int = 0
+    A block is a pair of arrays, or the name of a file in the shared folder that holds them; files are loaded one at a time.
+    A script of no language of any block (``unseen``) says nothing.
+    """
+
+    def __init__(self, langs: list[str], blocks: list, unseen: np.ndarray):
+        self.langs, self.blocks, self.unseen = langs, blocks, unseen
+
+    def parts(self):
+        """(logp, allowed) of one block of languages after the other."""
+        for b in self.blocks:
+            logp, allowed = _loaded(b) if isinstance(b, str) else b
+            yield logp, allowed | self.unseen[:, None]
+
+    @property
+    def logp(self) -> np.ndarray:
+        return np.concatenate([x for x, _ in self.parts()], axis=1)
+
+    @property
+    def allowed(self) -> np.ndarray:
+        return np.concatenate([x for _, x in self.parts()], axis=1)
 
     def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of scores for each word, and the words' text numbers."""
         bucket, script, starts, text = trigrams(texts)
-        if not len(starts):
-            return np.zeros((0, len(self.langs)), np.float32), text
-        scores = np.add.reduceat(self.logp[bucket >> self.fold], starts, axis=0)
-        allowed = self.allowed[script[starts]]
+        if not len(starts) or not self.langs:
+            return np.zeros((len(starts), len(self.langs)), np.float32), text
+        scores, allowed = [], []
+        for logp, fits in self.parts():
+            scores.append(np.add.reduceat(logp[bucket], starts, axis=0))
+            allowed.append(fits[script[starts]])
+        scores, allowed = (x[0] if len(x) == 1 else np.concatenate(x, axis=1) for x in (scores, allowed))
         return np.where(allowed, scores, scores.min(axis=1, keepdims=True) - 50), text
 
 
+def _loaded(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """A block's arrays: BUCKETS rows of float32, then 256 of 0 or 1."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        table = np.frombuffer(f.read(), "<f4").reshape(BUCKETS + 256, -1)
+    return table[:BUCKETS], table[BUCKETS:] > 0
+
+
 def one_language(scores: np.ndarray, penalty: float) -> int | None:
     """The single best language if no path with a switch can beat it, else None.
 
@@ -117,11 +145,12 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def fit_languages(docs: DataFrame, least_share: float = 0.02, model_bytes: int = 128 << 20) -> LanguageModel:
-    """Trigram counts of all given rows with a lang, added up by Spark; the driver gets one number a bucket and language.
+def fit_languages(docs: DataFrame, least_share: float = 0.02, model_bytes: int = 128 << 20, block_bytes: int = 16 << 20) -> LanguageModel:
+    """Trigram counts of all given rows with a lang, added up by Spark and made to blocks of languages by its tasks.
 
-    Every language is learned. With so many that a table of all buckets would have over ``model_bytes`` (1,024 languages),
-    neighbouring buckets are joined until it has not, so that the model stays of bounded size. Null and empty texts and
+    Every language is learned from all its rows, however many there are. A block has as many languages as make ``block_bytes``
+    (128) and is a file in the shared folder. Up to ``model_bytes`` (1,024 languages) the driver reads the blocks, and they are
+    broadcast; beyond that tasks load them in turn for each slice of texts, with the same results. Null and empty texts and
     null langs add nothing; an empty table gives a model without languages; other columns are ignored.
     """
 
@@ -146,20 +175,36 @@ def fit_languages(docs: DataFrame, least_share: float = 0.02, model_bytes: int =
 
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = written(rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
-    many, fold = counts.select("lang").distinct().count(), 0
-    while many * (BUCKETS >> fold) * 4 > model_bytes and fold < BUCKET_BITS:
-        fold += 1
-    size = BUCKETS >> fold
-    place = F.when(F.col("bucket") < BUCKETS, F.shiftright("bucket", fold)).otherwise(F.col("bucket") - BUCKETS + size)
-    table = counts.groupBy("lang", place.alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # a number a language and bucket, bounded by model_bytes
-    langs = sorted(table["lang"].unique())
-    full = np.zeros((size + 256, max(1, len(langs))))
-    full[table["bucket"].to_numpy(np.int64), pd.Index(langs).get_indexer(table["lang"])] = table["n"]
-    grams, scripts = full[:size], full[size:]
-    logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * size)).astype(np.float32)
-    allowed = scripts >= least_share * np.maximum(scripts.sum(axis=0), 1)
-    allowed[~allowed.any(axis=1)] = True  # a script not seen says nothing
-    return LanguageModel(langs, logp, allowed, fold)
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # the names of languages
+    each = max(1, block_bytes // (4 * BUCKETS))
+    path = shared_dir(docs.sparkSession, "language-model")
+
+    def build(key, g: pd.DataFrame) -> pd.DataFrame:
+        """One file of a block: columns of languages in order of their names."""
+        g = g.sort_values("lang")
+        full = np.zeros((BUCKETS + 256, len(g)))
+        for i, (bucket, n) in enumerate(zip(g["bucket"], g["n"])):
+            full[np.asarray(bucket, np.int64), i] = n
+        grams, scripts = full[:BUCKETS], full[BUCKETS:]
+        logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * BUCKETS))
+        allowed = scripts >= least_share * np.maximum(scripts.sum(axis=0), 1)
+        uri = f"{path}/block-{key[0]:06d}.f4"
+        fs, final = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.create_dir(final.rpartition("/")[0])
+        temp = f"{final}.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(temp) as f:
+            f.write(np.concatenate([logp, allowed]).astype("<f4").tobytes())
+        put_in_place(fs, temp, final)
+        return pd.DataFrame({"block": [key[0]], "uri": [uri], "scripts": [allowed.any(axis=1).astype(np.uint8).tobytes()]})
+
+    order = W.partitionBy(F.lit(0)).orderBy("lang")  # a row a language
+    numbered = counts.select("lang").distinct().withColumn("block", F.floor((F.row_number().over(order) - 1) / each).cast("int"))
+    rows = counts.join(numbered, "lang").groupBy("block", "lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x"))  # at most a number a bucket
+    rows = rows.select("block", "lang", F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n"))
+    made = written(rows.groupBy("block").applyInPandas(build, "block int, uri string, scripts binary"), "language-blocks").orderBy("block").collect()  # a row a block
+    unseen = ~np.array([np.frombuffer(r["scripts"], np.uint8) for r in made], bool).reshape(-1, 256).any(axis=0)
+    blocks = [r["uri"] for r in made]
+    return LanguageModel(langs, [_loaded(b) for b in blocks] if len(langs) * BUCKETS * 4 <= model_bytes else blocks, unseen)
 
 
 SPANS = "array<struct<lang:string,first_word:int,last_word:int>>"

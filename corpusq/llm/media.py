@@ -46,7 +46,8 @@ def write_archives(docs: DataFrame, path: str, level: int = 3) -> DataFrame:
     """Store each text of ``docs(doc_id, text)`` as a WAV member of an archive under ``path``, without a shuffle.
 
     Each task writes one archive of compressed members and its directory of fixed-width entries, under a
-    name of the attempt and then renamed. Null texts are empty ones. Returns (part, members), a row an archive.
+    name of the attempt and then renamed. Null texts are empty ones; null ids are kept as such; repeated rows are members of
+    their own; other columns are left out; an empty table gives an empty manifest. Returns (part, members), a row an archive.
     """
 
     def run(batches):
@@ -159,7 +160,11 @@ class MediaArchives(DataSource):
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    """Lengths, checksums and a feature (sum, sum of squares, mid-line crossings of the samples) of each member."""
+    """Lengths, checksums and a feature (sum, sum of squares, mid-line crossings of the samples) of each member.
+
+    ``media_bytes`` and ``media_sha256`` are of the WAV member as read back, not of its compressed form in the archive. One row a
+    member, with null ids and repeats as stored; other columns are left out; no member, no row.
+    """
 
     def run(batches):
         for b in batches:

@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -283,6 +284,57 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     return found.select("doc", "tie", F.col("first").alias("begin"), F.col("last").alias("end"))
 
 
+def refined_buckets(texts: DataFrame, length: int, q: int = 4) -> DataFrame:
+    """The same covered ranges by bucket pointers alone, with a row for each byte: (doc, tie, begin, end).
+
+    Buckets are numbered by sorting: first the q-grams, then, in each pass, the pairs of the identifiers at a start and at the
+    offset that the last pass has refined up to. The new numbers are written back and are what the next pass takes at
+    both offsets, so the refined depth doubles until ``length`` bytes are told apart; buckets hold equal strings then, without
+    fingerprints. Every pass sorts and joins a row a byte, which is beyond what ``repeated_runs`` may cost (README has
+    the figures); it serves as the check of that shorter way.
+    """
+
+    def grams(batches):
+        for b in batches:
+            for doc, tie, text in zip(b["doc"].tolist(), b["tie"].tolist(), b["text"]):
+                raw = np.frombuffer((text or "").encode("utf-8") + bytes(q), np.uint8).astype(np.int64)
+                n = len(raw) - q
+                value = np.zeros(n, np.int64)
+                for k in range(q):
+                    value = value << 8 | raw[k : k + n]
+                for low in range(0, n if n >= length else 0, 1 << 18):
+                    some = slice(low, min(n, low + (1 << 18)))
+                    yield pd.DataFrame({"doc": doc, "tie": tie, "at": np.arange(n)[some], "a": value[some], "b": np.int64(0)})
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """(doc, tie, at, id): equal (a, b) get one number, numbers in their order within a range of it."""
+
+        def run(batches):
+            base, before, number = TaskContext.get().partitionId() << 40, None, -1
+            for x in batches:
+                a, b = x["a"].to_numpy(), x["b"].to_numpy()
+                if len(a):
+                    fresh = np.r_[before != (a[0], b[0]), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                    ids = number + np.cumsum(fresh)
+                    before, number = (a[-1], b[-1]), int(ids[-1])
+                    yield x[["doc", "tie", "at"]].assign(id=base + ids)
+
+        ready = rows.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+        return written(ready.mapInPandas(run, "doc long, tie int, at long, id long"), "suffix-pointers")
+
+    ids, depth = numbered(texts.mapInPandas(grams, "doc long, tie int, at long, a long, b long")), q
+    while depth < length:
+        step = min(depth, length - depth)
+        later = ids.select("doc", "tie", (F.col("at") - step).alias("at"), F.col("id").alias("b"))
+        ids, depth = numbered(ids.withColumnRenamed("id", "a").join(later, ["doc", "tie", "at"])), depth + step
+    # every start of a bucket but the first repeats an earlier one; strings past a text's end have met no later identifier or hold its padding
+    sizes = texts.select("doc", "tie", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    whole = ids.join(sizes, ["doc", "tie"]).where(F.col("at") + length <= F.col("n"))
+    first = whole.groupBy("id").agg(F.min(F.struct("doc", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    again = whole.join(first, "id").where(F.struct("doc", "tie", "at") != F.col("first"))
+    return again.select("doc", "tie", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+
+
 @F.pandas_udf(T.BinaryType())
 def packed(texts: pd.Series) -> pd.Series:
     """Texts compressed, so that a shuffle of them is half as large."""

@@ -401,6 +401,49 @@ def test_suffixes_brute_force(spark, documents, hostile, batch):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffixes_by_written_back_buckets(spark, documents, hostile):
+    """The ranges of the fingerprint steps are those of buckets refined by their own numbers until 100 bytes are told apart."""
+    from corpusq.llm.suffixes import refined_buckets, repeated_runs
+
+    def bytes_of(ranges):
+        out = set()
+        for r in ranges.collect():
+            out.update((r["doc"], r["tie"], i) for i in range(r["begin"], r["end"]))
+        return out
+
+    for docs, length in ((documents.where("length(text) < 4000"), 100), (hostile.where("length(text) < 5000 and doc_id is not null").dropDuplicates(["doc_id"]), 30), (documents.where("length(text) < 900"), 37)):
+        texts = docs.selectExpr("doc_id as doc", "0 as tie", "text")
+        if length >= 64:
+            assert bytes_of(refined_buckets(texts, length)) == bytes_of(repeated_runs(texts, length)) != set()
+        else:
+            seen, want = set(), set()
+            for r in sorted(texts.collect(), key=lambda r: r["doc"]):
+                raw = (r["text"] or "").encode()
+                for i in range(len(raw) - length + 1):
+                    if raw[i : i + length] in seen:
+                        want.update((r["doc"], 0, k) for k in range(i, i + length))
+                    seen.add(raw[i : i + length])
+            assert bytes_of(refined_buckets(texts, length)) == want
+    assert refined_buckets(texts.limit(0), 100).count() == 0
+
+
+@pytest.mark.parametrize("over", [9_000_000])
+def test_suffixes_of_texts_over_a_piece(spark, over):
+    """A repeat over the border of two 8 MB pieces of one text goes as a whole, and nothing else does."""
+    from corpusq.llm.suffixes import remove_repeats
+
+    rng = np.random.default_rng(31)
+    text = rng.choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), over).tobytes()
+    border = 8 << 20
+    passage = rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOP", np.uint8), 700).tobytes()
+    raw = text[:1000] + passage + text[1000 : border - 300 - 700] + passage + text[border - 1000 :]
+    assert raw[border - 300 : border + 400] == passage
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame([(1, raw.decode()), (2, text[5000:5090].decode())], "doc_id long, text string")).collect()}
+    want = raw[: border - 300] + raw[border + 400 :]
+    assert got[1]["n_removed"] == 700 and got[1]["n_spans"] == 1 and got[1]["kept_sha256"] == hashlib.sha256(want).hexdigest()
+    assert got[2]["n_removed"] == 0
+
+
 def test_token_records(spark, hostile, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -707,9 +750,15 @@ def test_language_bound_and_many_languages(spark):
     assert used > 500
     words = {"a": "alpha beta gamma", "b": "uno dos tres", "c": "eins zwei drei", "d": "moja mbili tatu"}
     train = spark.createDataFrame([(k, v) for k, v in words.items()], "lang string, text string")
-    small = fit_languages(train, model_bytes=4 * 4 * 2048)
-    assert small.langs == list(words) and small.logp.shape == (2048, 4) and small.fold == 4
-    got = label_languages(spark.createDataFrame([(i, t) for i, t in enumerate(words.values())], "doc_id long, text string"), small).collect()
+    whole = fit_languages(train)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*words.values(), "alpha uno dos moja", "Ωμέγα", "", None])], "doc_id long, text string")
+    want = sorted(map(str, label_languages(asked, whole).collect()))
+    for block, held in ((1 << 17, 1 << 20), (1 << 18, 0), (1 << 30, 0)):  # a language or two a block; broadcast or loaded by tasks
+        parts = fit_languages(train, model_bytes=held, block_bytes=block)
+        assert parts.langs == list(words) and len(parts.blocks) == max(1, 4 // (block >> 17)) and all(isinstance(b, str) == (held == 0) for b in parts.blocks)
+        assert np.array_equal(parts.logp, whole.logp) and np.array_equal(parts.allowed, whole.allowed)
+        assert sorted(map(str, label_languages(asked, parts).collect())) == want
+    got = label_languages(asked, whole).where("doc_id < 4").collect()
     assert {r["doc_id"]: r["lang_pred"] for r in got} == dict(enumerate(words))
 
 
