@@ -47,7 +47,7 @@ def net(x: np.ndarray, cover: float, most: int | None = None) -> tuple[np.ndarra
     return np.array(centres), of, near
 
 
-def cover_tree(x: np.ndarray, leaf: int = 32, base: float = 1.3):
+def cover_tree(x: np.ndarray, leaf: int = 64, base: float = 1.1):
     """Levels of a cover tree over the rows of ``x``: for each a list of (centre, radius, parent, members or None).
 
     The children of a node form a net of its radius divided by ``base``; ``radius`` is the distance to the farthest row
@@ -124,10 +124,10 @@ def search(x: np.ndarray, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, as
     back = np.arange(n - 1, -1, -1, dtype=np.int64)
     exact = np.float64 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2**53 else np.int64
     xs, qs = x.astype(exact), q.astype(exact)
-    best = [np.zeros((len(q), 0), np.int64)] * lo.shape[1]
+    best: list[tuple] = [()] * lo.shape[1]
     done = 0
     while done < len(leaves):
-        upto = max(done * 4, -(-len(leaves) // 8))
+        upto = max(done * 4, -(-len(leaves) // 4))
         turn = (place >= done) & (place < upto) & (upper >= floor.min(1)[:, None]) & (upper > -np.inf)
         done = upto
         if not turn.any():
@@ -138,19 +138,20 @@ def search(x: np.ndarray, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, as
             seen[np.ix_(who, rows)] = True
         ok = seen & other
         for w in range(lo.shape[1]):
-            fits = ok & (score >= floor[:, w : w + 1]) & (score <= hi[:, w : w + 1])
-            keys = np.where(fits, score * n + back, HIGH * -2)
-            if n > k:
-                keys = np.partition(keys, n - k, axis=1)[:, n - k :]
-            best[w] = keys
-            if n >= k:
-                least = keys.min(1)
-                floor[:, w] = np.where(least > HIGH * -2, least // n, floor[:, w])
-    out = []
-    for w, keys in enumerate(best):
-        who, at = np.nonzero(keys > HIGH * -2)
-        found = keys[who, at]
-        out.append((who, np.full(len(who), w), n - 1 - found % n, found // n))
+            who, at = np.nonzero(ok & (score >= floor[:, w : w + 1]) & (score <= hi[:, w : w + 1]))
+            keys = score[who, at] * n + back[at]
+            order = np.lexsort((-keys, who))
+            who, at = who[order], at[order]
+            begin = np.searchsorted(who, who)  # of each asked row's own
+            first = np.arange(len(who)) - begin < k
+            kth = np.arange(len(who)) - begin == k - 1
+            best[w] = who[first], at[first]
+            floor[who[kth], w] = score[who[kth], at[kth]]
+    out = [(np.zeros(0, np.int64),) * 4]
+    for w, found in enumerate(best):
+        if found:
+            who, at = found
+            out.append((who, np.full(len(who), w), at, score[who, at]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -195,7 +196,8 @@ class Index:
         """(anchor_id, win, vec_id, score): each block's first ``k`` rows of each window of ``asked`` (columns of ``ASKED``).
 
         With ``home`` each anchor goes to one block of its nearest cell, else to all other blocks of the cells that its windows
-        and floors do not rule out. Anchors of a block are dealt to parts of about ``part_rows``.
+        and floors do not rule out. Anchors of a cell are dealt to parts of about ``part_rows``, and its rows go to these parts; cells
+        that no anchor reaches are left out.
         """
         centres, radius, blocks, width, norm = self.centres, self.radius, np.array(self.blocks), self.width, self.norm
 
@@ -215,21 +217,20 @@ class Index:
                 who, cell = np.nonzero(live & (blocks > 0)[None, :])
                 yield b.iloc[who].assign(cell=cell.astype(np.int32), near=cell == first[who])
 
-        # the part does not depend on the home block, so both searches of an anchor leave out the same one
-        sent = asked.mapInPandas(route, ASKED + ", cell int, near boolean").withColumn("of", self._of(F.col("cell")))
+        sent = written(asked.mapInPandas(route, ASKED + ", cell int, near boolean"), "negatives-routed")
+        told = {r[0]: -(-r[1] // part_rows) for r in sent.groupBy("cell").agg(F.count(F.lit(1))).collect()}  # a row a cell
+        parts = F.get(F.array(*(F.lit(told.get(c, 0)) for c in range(len(blocks)))), F.col("cell"))
+        sent = sent.withColumn("of", self._of(F.col("cell")))
         own = F.pmod(F.xxhash64("anchor_id"), F.col("of")).cast("int")
         if home:
             sent = sent.withColumn("block", own)
         else:
             every = F.sequence(F.lit(0), F.col("of") - 1)
             sent = sent.withColumn("block", F.explode(F.when(F.col("near"), F.filter(every, lambda i: i != own)).otherwise(F.filter(every, lambda i: i >= 0))))
-        parts = max(1, -(-asked.count() // part_rows))
-        sent = sent.withColumn("part", F.pmod(F.xxhash64(F.col("anchor_id") + 1), F.lit(parts)).cast("int")).drop("of", "near")
-        rows = self.table.withColumn("block", F.pmod(F.xxhash64("vec_id"), self._of(F.col("cell"))).cast("int"))
-        if parts > 1:
-            rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        else:
-            rows = rows.withColumn("part", F.lit(0))
+        # the part does not depend on the home block, so both searches of an anchor leave out the same one
+        sent = sent.withColumn("part", F.pmod(F.xxhash64(F.col("anchor_id") + 1), parts).cast("int")).drop("of", "near")
+        rows = self.table.where(parts > 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), self._of(F.col("cell"))).cast("int"))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         kept = ["anchor_id", "win", "vec_id", "score"]
 
         def look(x: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
