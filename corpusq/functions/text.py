@@ -49,12 +49,13 @@ def detect_language_binary(c: Column) -> Column:
     return F.when(c.rlike(r"[\x{10A0}-\x{10FF}]"), "ka").otherwise("en")
 
 
+#: Patterns of a date, the first that is found anywhere wins.
+DATE_PATTERNS = [r"(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})", r"(\d{4}[./-]\d{1,2}[./-]\d{1,2})"]
+
+
 def extract_date(c: Column) -> Column:
     """First day-month-year, else first year-month-day, as it is written; null if there is none."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(c, r"(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, r"(\d{4}[./-]\d{1,2}[./-]\d{1,2})", 1), F.lit("")),
-    )
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in DATE_PATTERNS))
 
 
 def categorize(url: Column, text: Column, rules=CATEGORY_RULES) -> Column:

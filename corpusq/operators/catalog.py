@@ -15,7 +15,8 @@ from corpusq.registry import query, table
 def document_page(docs: DataFrame, page: int, page_size: int, key: str = "doc_id") -> DataFrame:
     """One page of the documents in key order, with the number of all.
 
-    Ordered by a top-k of ``page * page_size`` rows, so the table is not sorted; the count is an aggregate beside it.
+    Ordered by a top-k of ``page * page_size`` rows, so the table is not sorted; the count is an aggregate beside it. For deep
+    pages use ``document_page_after``, whose cost does not grow with the page.
     """
     first = docs.orderBy(key).limit(page * page_size)
     n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key))  # over the rows of the pages so far
@@ -24,6 +25,12 @@ def document_page(docs: DataFrame, page: int, page_size: int, key: str = "doc_id
     return rows.crossJoin(F.broadcast(total)).withColumns({"page": F.lit(page), "page_size": F.lit(page_size)})
 
 
+def document_page_after(docs: DataFrame, after, page_size: int, key: str = "doc_id") -> DataFrame:
+    """The ``page_size`` documents that follow the key ``after`` (None: the first ones), in key order: a filter that reaches the scan and a top-k of one page."""
+    rows = docs if after is None else docs.where(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(page_size)
+
+
 def document_facets(docs: DataFrame, facets: list[str]) -> DataFrame:
     """(facet, value, n) for each facet column, from one pass with grouping sets."""
     sets = ", ".join(f"({f})" for f in facets)
@@ -85,6 +92,11 @@ def document_page_documents(spark, sf_dir):
     return document_page(_docs(spark, sf_dir, "doc_id", "lang").where("lang = 'en'"), 3, 20)
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND doc_id > 100 ORDER BY doc_id LIMIT 20")
+def document_page_after_documents(spark, sf_dir):
+    return document_page_after(_docs(spark, sf_dir, "doc_id", "lang").where("lang = 'en'"), 100, 20)
+
+
 @query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
 def document_facets_documents(spark, sf_dir):
     return document_facets(_docs(spark, sf_dir, "lang", "source"), ["lang", "source"])

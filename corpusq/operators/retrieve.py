@@ -144,15 +144,15 @@ def cache_invalidate(entries: DataFrame, pattern: str) -> DataFrame:
     return entries.where(~F.col("key").like(like))
 
 
-def rag_answer_table(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, group: str = "language", top: int = 5) -> DataFrame:
+def rag_answer_table(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, group: str = "language", top: int = 5, label: str = LABEL, no_title: str = NO_TITLE, no_context: str = NO_CONTEXT) -> DataFrame:
     """(qid, context, sources, retrieved) of a batch of query vectors: filtered neighbours, context, sources, count.
 
     The neighbours are ranked once; all three are built from the ``k`` rows of a query in one grouping.
     """
     got = retrieved_chunks(knn_join(vectors, queries, k, group=group), chunks)
-    row = F.struct("rank", "document_id", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("document_type", F.lit("")).alias("document_type"), _url(got).alias("url"), F.round("similarity", 6).alias("relevance"), "content")
+    row = F.struct("rank", "document_id", F.coalesce("title", F.lit(no_title)).alias("title"), F.coalesce("document_type", F.lit("")).alias("document_type"), _url(got).alias("url"), F.round("similarity", 6).alias("relevance"), "content")
     rows = got.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # k rows
-    part = lambda x: F.concat(F.lit("[Document "), x["rank"], F.lit(": "), x["title"], F.lit(" ("), x["document_type"], F.lit(")]\n"), x["content"], F.lit("\n"))
+    part = lambda x: F.concat(F.lit(f"[{label} "), x["rank"], F.lit(": "), x["title"], F.lit(" ("), x["document_type"], F.lit(")]\n"), x["content"], F.lit("\n"))
     context = F.array_join(F.transform(F.filter("rows", lambda x: x["rank"] <= top), part), "\n---\n")
     ids = F.transform("rows", lambda x: x["document_id"].cast("string"))
     first = F.filter("rows", lambda x, i: (x["document_id"].cast("string") != "") & (F.array_position(ids, x["document_id"].cast("string")) == i + 1))
@@ -160,7 +160,7 @@ def rag_answer_table(vectors: DataFrame, queries: DataFrame, chunks: DataFrame,
     done = rows.select("qid", context.alias("context"), listed.alias("sources"), F.size("rows").cast("long").alias("retrieved"))
     none = F.array().cast(done.schema["sources"].dataType)
     out = queries.select("qid").join(done, "qid", "left")
-    return out.select("qid", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"), F.coalesce("sources", none).alias("sources"), F.coalesce("retrieved", F.lit(0)).alias("retrieved"))
+    return out.select("qid", F.coalesce("context", F.lit(no_context)).alias("context"), F.coalesce("sources", none).alias("sources"), F.coalesce("retrieved", F.lit(0)).alias("retrieved"))
 
 
 def _corpus(spark, sf_dir):

@@ -120,15 +120,21 @@ class VectorIndex:
         grp = F.col(self.group).cast("string") if self.group else F.lit(None).cast("string")
         return queries.where("embedding is not null").select(F.col("qid").cast("long").alias("qid"), grp.alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
 
-    def _meet(self, rows: DataFrame, routed: DataFrame, n: int, look, schema: str, home: bool | None = None, part_rows: int = 4096) -> DataFrame:
-        """Blocks of ``rows`` and the queries routed to their cells, block by block; queries are dealt to parts of ``part_rows``."""
-        parts = max(1, -(-n // part_rows))
+    def _meet(self, rows: DataFrame, routed: DataFrame, look, schema: str, home: bool | None = None, part_rows: int = 4096) -> DataFrame:
+        """Blocks of ``rows`` and the queries ``routed`` to their cells, block by block.
+
+        The queries of a cell are dealt to parts of about ``part_rows``, and a cell's rows go to its own parts; cells that no query
+        reaches are left out before the shuffle.
+        """
+        routed = kept(routed, "index-routed")
+        asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
+        dealt = lambda: F.broadcast(self.spark.createDataFrame([(r[0], -(-r[1] // part_rows)) for r in asked], "cell int, parts int"))
         own = F.pmod(F.xxhash64("qid"), F.col("of")).cast("int")
         every = F.sequence(F.lit(0), F.col("of") - 1)
         block = every if home is None else F.array(own) if home else F.when(F.col("first"), F.filter(every, lambda i: i != own)).otherwise(F.filter(every, lambda i: i >= 0))
-        sent = routed.withColumn("block", F.explode(block)).withColumn("part", F.pmod(F.xxhash64(F.col("qid") + 1), F.lit(parts)).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")).cast("int"))
-        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
+        sent = routed.join(dealt(), "cell").withColumn("block", F.explode(block)).withColumn("part", F.pmod(F.xxhash64(F.col("qid") + 1), F.col("parts")).cast("int")).drop("parts")
+        rows = rows.join(dealt(), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")).cast("int"))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         keys = ["cell", "block", "part"]
         return rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(look, schema)
 
@@ -193,13 +199,12 @@ class VectorIndex:
             found = self._without_length(asked, k) if unit else self.spark.createDataFrame([], NEAR)
             return self._ranked(found, k)
         long = kept(asked.where(F.exists("e", lambda x: x != 0)) if unit else asked, "nearest-asked")
-        n = long.count()
         kinds = "qid long, grp string, e array<double>, cell int, first boolean, of int"
         rows = self._table("vec_id", "grp", "e")
         reach = long.withColumn("reach", F.lit(None).cast("double"))
-        begun = kept(self._meet(rows, reach.mapInPandas(route(True), kinds), n, look, NEAR, home=True), "nearest-home")
+        begun = kept(self._meet(rows, reach.mapInPandas(route(True), kinds), look, NEAR, home=True), "nearest-home")
         known = begun.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
-        rest = self._meet(rows, long.join(known, "qid", "left").select("qid", "grp", "e", "reach").mapInPandas(route(False), kinds), n, look, NEAR, home=False)
+        rest = self._meet(rows, long.join(known, "qid", "left").select("qid", "grp", "e", "reach").mapInPandas(route(False), kinds), look, NEAR, home=False)
         found = begun.unionByName(rest)
         if unit:
             found = found.unionByName(self._without_length(asked, k))
@@ -267,7 +272,7 @@ class VectorIndex:
         asked = self._asked(queries)
         asked = kept(asked.where(F.exists("e", lambda x: x != 0)) if unit else asked, "approximate-asked")
         routed = asked.mapInPandas(route, "qid long, u array<double>, cell int, of int")
-        near = self._meet(self._table("vec_id", "code"), routed, asked.count(), look, "qid long, vec_id long, about double, cell int")
+        near = self._meet(self._table("vec_id", "code"), routed, look, "qid long, vec_id long, about double, cell int")
         order = W.partitionBy("qid").orderBy("about", "vec_id")
         short = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= shortlist).select("qid", "vec_id", "cell")
         whole = self.spark.read.schema(VECTORS).parquet(f"{self.path}/vectors").select("cell", "vec_id", "e")
