@@ -283,7 +283,8 @@ def read_shuffled(manifest: DataFrame, path: str, seed: str = "epoch-1", partiti
 
     Only index entries are shuffled: every entry gets a draw of the seed and its place, partitions take ranges of
     draws by hash, and a task reads its records' ranges. Returns (doc_id, n_tokens, ids) in the drawn order within
-    each of ``partitions`` (one for each file by default) partitions; the same seed gives the same order.
+    each of ``partitions`` (one for each file by default) partitions; the same seed gives the same order. Null ids come back as
+    null; an empty manifest gives an empty table.
     """
     n = partitions or max(1, manifest.count())
 

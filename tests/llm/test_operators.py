@@ -197,7 +197,7 @@ def test_registered_paragraphs_lose_no_word(spark, sf):
 
 
 def test_passages_of_20_to_48_words(spark):
-    """Shorter passages are met if a run happens to be chosen in them: half of those of 24 words, nearly all from 40 on."""
+    """Shorter passages are met if a run happens to be chosen in them: some 5 % of those of 20 words, 44 % of 30, 82 % of 40, nearly all of 48."""
     from corpusq.llm.paragraphs import dedup_paragraphs
 
     rng = np.random.default_rng(22)
