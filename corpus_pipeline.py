@@ -2,6 +2,10 @@
 
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In every stage a null text counts as an empty one, null ids and sources are values like others, repeated rows are rows of
+their own but for the near-duplicate stage, columns beyond those of documents pass through whatever their names, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects (score under 0.7) go."""
+    """Documents that the compression classifier rejects (score under 0.7) go.
+
+    The model is learned from the labelled rows of docs that are not held out; without labels of both kinds the score is a
+    constant. An empty text has the score of an even difference of sizes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.where(~held_out()))
     rows, names, back = _apart(docs, "doc_id", "text")
@@ -48,14 +56,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; a document or an item without words holds and asks for none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, names, back = _apart(docs, "doc_id", "text")
     return contamination(rows, benchmark, keep=tuple(n for n in names if n != "doc_id")).where("not contaminated").select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more cut to the words taken beyond that."""
+    """Each document as often as the mix takes it whole, and once more cut to the words taken beyond that.
+
+    A document without words takes nothing and so is left out; ``n_chars`` follows the text that is cut.
+    """
     rows, names, back = _apart(docs, "doc_id", "source", "text", "n_chars")
     mixed = mix(rows, keep=tuple(n for n in names if n != "doc_id"))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0).cast("long"))
@@ -70,7 +81,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of the mix, written and read back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Token records of the mix, written and read back: (doc_id, start, n_tokens, ids_crc32), one for each row, null ids first."""
     import public_tokenizers
 
     path = shared_dir(spark, "pipeline-records")
