@@ -24,7 +24,8 @@ def crawl_frontier(links: DataFrame, start: DataFrame, max_depth: int = 2, max_p
     """
     words = LINK_KEYWORDS if keywords is None else keywords
     good = reduce(lambda a, b: a | b, [F.lower("dst").contains(k) for k in words], F.lit(not words))
-    level = start.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0))
+    # written, so that its size is known and a small level is broadcast instead of shuffling all links
+    level = kept(start.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)), "frontier-level")
     seen = level
     for depth in range(1, max_depth + 1):
         own = links.join(level.select(F.col("url").alias("src")), "src").where(good & (netloc(F.col("src")) == netloc(F.col("dst")))).select("src", "dst").distinct()
