@@ -46,6 +46,26 @@ def centres_of(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray
     return c
 
 
+def _chain(centres: np.ndarray) -> list[int]:
+    """The cells, each followed by the nearest one left, so that neighbours stand together."""
+    left, order = list(range(1, len(centres))), [0] if len(centres) else []
+    while left:
+        order.append(left.pop(int(_apart(centres[order[-1:]], centres[left]).argmin())))
+    return order
+
+
+def _packed(order: list[int], sizes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first group and its number of groups: small cells share one of about ``most`` rows, a large one has several."""
+    first, parts, group, used = np.zeros(len(order), np.int64), np.ones(len(order), np.int64), 0, 0
+    for c in order:
+        n = int(sizes[c])
+        if used and used + n > most:
+            group, used = group + 1, 0
+        first[c], parts[c] = group, max(1, -(-n // most))
+        group, used = (group + int(parts[c]), 0) if parts[c] > 1 else (group, used + n)
+    return first, parts
+
+
 class VectorIndex:
     """Vectors dealt to cells around centres, each with its distance to the centre and a product-quantised code.
 
@@ -120,18 +140,17 @@ class VectorIndex:
         grp = F.col(self.group).cast("string") if self.group else F.lit(None).cast("string")
         return queries.where("embedding is not null").select(F.col("qid").cast("long").alias("qid"), grp.alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
 
-    def _meet(self, rows: DataFrame, routed: DataFrame, look, schema: str, home: bool | None = None, part_rows: int = 4096) -> DataFrame:
+    def _meet(self, rows: DataFrame, routed: DataFrame, look, schema: str, home: bool = False, part_rows: int = 4096) -> DataFrame:
         """Blocks of ``rows`` and the queries ``routed`` to their cells, block by block.
 
         The queries of a cell are dealt to parts of about ``part_rows``, and a cell's rows go to its own parts; cells that no query
-        reaches are left out before the shuffle.
+        reaches are left out before the shuffle. With ``home`` a query meets one block of each of its cells, else all.
         """
         routed = kept(routed, "index-routed")
         asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
         dealt = lambda: F.broadcast(self.spark.createDataFrame([(r[0], -(-r[1] // part_rows)) for r in asked], "cell int, parts int"))
         own = F.pmod(F.xxhash64("qid"), F.col("of")).cast("int")
-        every = F.sequence(F.lit(0), F.col("of") - 1)
-        block = every if home is None else F.array(own) if home else F.when(F.col("first"), F.filter(every, lambda i: i != own)).otherwise(F.filter(every, lambda i: i >= 0))
+        block = F.array(own) if home else F.sequence(F.lit(0), F.col("of") - 1)
         sent = routed.join(dealt(), "cell").withColumn("block", F.explode(block)).withColumn("part", F.pmod(F.xxhash64(F.col("qid") + 1), F.col("parts")).cast("int")).drop("parts")
         rows = rows.join(dealt(), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")).cast("int"))
         rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -142,11 +161,14 @@ class VectorIndex:
         """The exact ``k`` nearest to each of ``queries(qid, embedding)``: (qid, vec_id, distance, similarity, rank).
 
         Each query is compared with one block of its nearest cell; the k-th distance found there is a reach that, by the
-        triangle inequality, leaves out the cells whose ring around the centre lies beyond it. Only the others are
-        compared. Queries stay a table of any size; distances have 9 places, ties go by id. With a group column only
-        vectors of the query's group count. Under cosine, vectors or queries of no length have a null distance, last.
+        triangle inequality, leaves out the cells whose ring around the centre lies beyond it. Then neighbouring cells are
+        packed to shelves of rows, and to books of queries by their nearest cell; a query goes once to each shelf
+        in reach, and a book meets a shelf in one task, cell by cell. So vectors are copied by shelves and books,
+        not by cells, and a task holds one of each. Queries stay a table of any size; distances have 9 places, ties go by
+        id. With a group column only vectors of the query's group count. Under cosine, vectors or queries of no length
+        have a null distance, last.
         """
-        centres, near, far, sizes, width, unit, most = self.centres, self.near, self.far, self.sizes, self.width, self.metric == "cosine", self.most
+        centres, near, far, sizes, width, unit = self.centres, self.near, self.far, self.sizes, self.width, self.metric == "cosine"
         by_group = self.group is not None
 
         def distances(q, x):
@@ -155,28 +177,91 @@ class VectorIndex:
             norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
             return 1 - q @ x.T / norm
 
-        def route(home):
-            def run(batches):
-                for b in batches:
-                    if not len(b):
-                        continue
-                    q = _matrix(b["e"], width)
-                    if unit:
-                        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-                    d = np.sqrt(_apart(q, centres))
-                    first = np.where(sizes > 0, d, np.inf).argmin(1)
-                    of = -(-sizes // most)
-                    if home:
-                        yield b.assign(cell=first.astype(np.int32), first=True, of=of[first].astype(np.int32)).drop(columns="reach")
-                        continue
-                    t = b["reach"].to_numpy(float)
-                    reach = np.sqrt(np.maximum(2 * t if unit else t, 0) + 1e-8) * (1 + 1e-6) + 1e-6
-                    beyond = np.maximum(d - far[None, :], near[None, :] - d)
-                    live = ~(beyond > reach[:, None]) & (sizes > 0)[None, :]  # no reach (nan): every cell
-                    who, cell = np.nonzero(live)
-                    yield b.iloc[who].assign(cell=cell.astype(np.int32), first=cell == first[who], of=of[cell].astype(np.int32)).drop(columns="reach")
-
-            return run
+        scale = 2 if unit else 1  # squared distances of unit vectors are twice those of cosine
+        book_rows = min(max(256, (1 << 20) // width), max(1024, self.rows // 16))
+        shelf_of, shelf_parts = _packed(chain := _chain(centres), sizes, 2 * book_rows)
+        holds = np.zeros((len(centres), int((shelf_of + shelf_parts).max(initial=0))), np.float32)
+        for c, (low, n) in enumerate(zip(shelf_of, shelf_parts)):
+            holds[c, low : low + n] = sizes[c] > 0
+
+        def units(x):
+            return x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+
+        def within(d, cap, cells):
+            """Which of ``cells``, whose centres are ``d`` away, may hold a vector of a squared distance up to ``cap``."""
+            reach = np.sqrt(cap) * (1 + 1e-6) + 1e-6
+            return ~(np.maximum(d - far[None, cells], near[None, cells] - d) > reach[:, None])
+
+        def slack(u, v):
+            return 1e-8 + 1e-11 * ((u * u).sum(1) + (v * v).sum(1).max(initial=0))
+
+        def caps(reach, u, v):
+            t = reach.to_numpy(float)
+            return np.where(np.isnan(t), np.inf, scale * t) + slack(u, v)  # no reach: every cell
+
+        def at_home(batches):
+            for b in batches:
+                if len(b):
+                    d = np.where(sizes > 0, _apart(units(_matrix(b["e"], width)), centres), np.inf)
+                    yield b.assign(cell=d.argmin(1).astype(np.int32))
+
+        def in_reach(batches):
+            for b in batches:
+                for at in range(0, len(b), 1024):
+                    some = b.iloc[at : at + 1024]
+                    u = units(_matrix(some["e"], width))
+                    d = np.sqrt(_apart(u, centres))
+                    live = within(d, caps(some["reach"], u, centres), slice(None)).astype(np.float32) @ holds > 0
+                    yield some.assign(cell=np.where(sizes > 0, d, np.inf).argmin(1).astype(np.int32), shelves=[np.flatnonzero(x).astype(np.int32) for x in live])
+
+        def exact(q, x):
+            if not unit:
+                return ((x - q) ** 2).sum(1)
+            return 1 - (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
+
+        def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            """A book of queries against a shelf of rows; only pairs that can be among the ``k`` best are compared in full."""
+            out, tile = [], 2048
+            if len(x) and len(q):
+                x = x.sort_values(["cell", "vec_id"], kind="stable")
+                v, ids, xg = _matrix(x["e"], width), x["vec_id"].to_numpy(), x["grp"].to_numpy(object)
+                vu = units(v)
+                cells, starts = np.unique(x["cell"].to_numpy(), return_index=True)
+                ends = np.r_[starts[1:], len(x)]
+                for at in range(0, len(q), 512):
+                    some = q.iloc[at : at + 512]
+                    y = _matrix(some["e"], width)
+                    u, yg = units(y), some["grp"].to_numpy(object)
+                    more, cap = slack(u, vu), caps(some["reach"], u, vu)
+                    away = np.sqrt(_apart(u, centres[cells]))
+                    who, d, of = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+                    for j, cell in enumerate(cells.tolist()):
+                        for low in range(starts[j], ends[j], tile):
+                            live = np.flatnonzero(within(away[:, j : j + 1], cap, [cell])[:, 0])
+                            if not len(live):
+                                break
+                            rows = slice(low, min(low + tile, ends[j]))
+                            rough = _apart(u[live], vu[rows])
+                            if by_group:
+                                rough[yg[live][:, None] != xg[rows][None, :]] = np.inf
+                            near_by = rough <= np.minimum(cap[live], 1e300)[:, None]
+                            if rough.shape[1] > k and np.count_nonzero(near_by) > 4 * k * len(live):
+                                near_by &= rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + more[live])[:, None]
+                            a, z = np.nonzero(near_by)
+                            if not len(a):
+                                continue
+                            a, z = live[a], z + low
+                            new = np.concatenate([exact(y[a[i : i + 32_768]], v[z[i : i + 32_768]]) for i in range(0, len(a), 32_768)])
+                            who, d, of = np.r_[who, a], np.r_[d, np.round(new, 9) + 0.0], np.r_[of, ids[z]]  # no negative zero
+                            order = np.lexsort((of, d, who))
+                            who = who[order]
+                            place = np.arange(len(who)) - np.searchsorted(who, who)
+                            best = place < k
+                            who, d, of, place = who[best], d[order][best], of[order][best], place[best]
+                            full = place == k - 1
+                            cap[who[full]] = np.minimum(cap[who[full]], scale * d[full] + more[who[full]])
+                    out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[who], "vec_id": of, "distance": d}))
+            return pd.concat(out) if out else pd.DataFrame({"qid": [], "vec_id": [], "distance": []})
 
         def look(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -199,13 +284,26 @@ class VectorIndex:
             found = self._without_length(asked, k) if unit else self.spark.createDataFrame([], NEAR)
             return self._ranked(found, k)
         long = kept(asked.where(F.exists("e", lambda x: x != 0)) if unit else asked, "nearest-asked")
-        kinds = "qid long, grp string, e array<double>, cell int, first boolean, of int"
         rows = self._table("vec_id", "grp", "e")
-        reach = long.withColumn("reach", F.lit(None).cast("double"))
-        begun = kept(self._meet(rows, reach.mapInPandas(route(True), kinds), look, NEAR, home=True), "nearest-home")
+        blocks = F.broadcast(rows.select("cell", "of").distinct())  # a row a cell
+        routed = long.mapInPandas(at_home, "qid long, grp string, e array<double>, cell int").join(blocks, "cell")
+        begun = self._meet(rows, routed, look, NEAR, home=True)
         known = begun.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
-        rest = self._meet(rows, long.join(known, "qid", "left").select("qid", "grp", "e", "reach").mapInPandas(route(False), kinds), look, NEAR, home=False)
-        found = begun.unionByName(rest)
+        kinds = "qid long, grp string, e array<double>, reach double, cell int, shelves array<int>"
+        reached = kept(long.join(known, "qid", "left").select("qid", "grp", "e", "reach").mapInPandas(in_reach, kinds), "nearest-reach")
+        asking = np.zeros(len(centres), np.int64)
+        for r in reached.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a cell
+            asking[r[0]] = r[1]
+
+        def dealt(first, parts, key: str, name: str):
+            group = F.col("first") + F.pmod(F.xxhash64(key), F.col("parts"))
+            of = F.broadcast(self.spark.createDataFrame([(c, int(a), int(n)) for c, (a, n) in enumerate(zip(first, parts))], "cell int, first int, parts int"))
+            return lambda df: df.join(of, "cell").withColumn(name, group.cast("int")).drop("first", "parts")
+
+        sent = dealt(*_packed(chain, asking, book_rows), "qid", "book")(reached).withColumn("shelf", F.explode("shelves")).drop("shelves", "cell")
+        books = sent.groupBy("shelf").agg(F.collect_set("book").alias("books"))  # a row a shelf
+        held = dealt(shelf_of, shelf_parts, "vec_id", "shelf")(rows.drop("of")).join(F.broadcast(books), "shelf").withColumn("book", F.explode("books")).drop("books")
+        found = held.groupBy("shelf", "book").cogroup(sent.groupBy("shelf", "book")).applyInPandas(search, NEAR)
         if unit:
             found = found.unionByName(self._without_length(asked, k))
         return self._ranked(found, k)
@@ -240,7 +338,7 @@ class VectorIndex:
         """
         probes = min(probes or -(-9 * len(self.centres) // 10), max(1, len(self.centres)))
         shortlist = shortlist or 10 * k
-        centres, books, sizes, width, unit, most = self.centres, self.books, self.sizes, self.width, self.metric == "cosine", self.most
+        centres, books, sizes, width, unit = self.centres, self.books, self.sizes, self.width, self.metric == "cosine"
         starts = np.cumsum([0, *(b.shape[1] for b in books)])
 
         def route(batches):
@@ -250,10 +348,8 @@ class VectorIndex:
                 q = _matrix(b["e"], width)
                 q = q / np.linalg.norm(q, axis=1, keepdims=True) if unit else q
                 d = np.where(sizes > 0, _apart(q, centres), np.inf)
-                cell = np.argsort(d, axis=1, kind="stable")[:, :probes]
-                who, place = np.nonzero(np.take_along_axis(d, cell, 1) < np.inf)
-                cell = cell[who, place]
-                yield pd.DataFrame({"qid": b["qid"].to_numpy()[who], "u": list(q[who]), "cell": cell.astype(np.int32), "of": (-(-sizes[cell] // most)).astype(np.int32)})
+                cell = np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                yield pd.DataFrame({"qid": b["qid"].to_numpy(), "u": list(q), "cells": [c[x[c] < np.inf] for c, x in zip(cell, d)]})
 
         def look(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -271,8 +367,9 @@ class VectorIndex:
             return self.spark.createDataFrame([], NEAR + ", rank int")
         asked = self._asked(queries)
         asked = kept(asked.where(F.exists("e", lambda x: x != 0)) if unit else asked, "approximate-asked")
-        routed = asked.mapInPandas(route, "qid long, u array<double>, cell int, of int")
-        near = self._meet(self._table("vec_id", "code"), routed, look, "qid long, vec_id long, about double, cell int")
+        rows = self._table("vec_id", "code")
+        routed = asked.mapInPandas(route, "qid long, u array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+        near = self._meet(rows, routed.join(F.broadcast(rows.select("cell", "of").distinct()), "cell"), look, "qid long, vec_id long, about double, cell int")
         order = W.partitionBy("qid").orderBy("about", "vec_id")
         short = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= shortlist).select("qid", "vec_id", "cell")
         whole = self.spark.read.schema(VECTORS).parquet(f"{self.path}/vectors").select("cell", "vec_id", "e")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import catalog, chunk, extract, limits, many_searches, metrics, priority, retrieve, search_index, vectors
+from corpusq.operators import catalog, chunk, extract, limits, many_searches, metrics, priority, retrieve, search_index, vector_index, vectors
 from corpusq.operators.vector_index import VectorIndex
 from corpusq.plans import jobs
 from corpusq.sources.versioned import VersionedTable
@@ -150,6 +150,15 @@ def test_many_queries_stay_a_table(spark, gathered, tmp_path):
     assert {(r["qid"], r["vec_id"], r["rank"]) for r in vectors.knn_join(v, q, 10, broadcast_rows=100).collect()} == few
 
 
+def test_queries_are_not_copied_by_cells(spark, tmp_path, monkeypatch):
+    """Without clusters every cell is in reach of every query; what is stored on the way stays a row a query."""
+    stored, real = [], vector_index.kept
+    monkeypatch.setattr(vector_index, "kept", lambda df, name: stored.append(real(df, name)) or stored[-1])
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert VectorIndex.build(v, str(tmp_path / "i"), cells=8).nearest(v.withColumnRenamed("vec_id", "qid"), 10).count() == 10 * v.count()
+    assert max(df.count() for df in stored if "e" in df.columns) == v.count()
+
+
 def test_codes_find_near_neighbours(spark, tmp_path):
     """Recall of 0.9 with a tenth of the full vectors read, on vectors without clusters; the index is stored and loaded."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
