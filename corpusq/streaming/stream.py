@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -90,55 +90,75 @@ def stream_metrics(stream: DataFrame, width: str = "5 minutes", slide: str = "1
     return made.select(F.col("w.start").alias("window_start"), *labels, "n", "errors", "ratio", F.round(F.col("n") / seconds, 6).alias("rate"))
 
 
-def _gathered(rows: Iterator[pd.DataFrame], time: str) -> tuple[np.ndarray, np.ndarray]:
-    """Times in microseconds and event ids of a key's rows in a micro-batch, in order of time and id, whatever Arrow batches they come in."""
-    times, events = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _gathered(rows: Iterator[pd.DataFrame], time: str, of: Callable[[pd.DataFrame], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times in microseconds, event ids and owners (numbers that ``of`` gives) of a share's rows in a micro-batch, by owner, time and id, whatever Arrow batches they come in."""
+    times, events, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in rows:
         t = r[time]
         times.append(t.to_numpy("datetime64[us]").astype(np.int64) if str(t.dtype).startswith("datetime") else t.to_numpy(np.int64))
         events.append(r["event_id"].to_numpy(np.int64))
-    times, events = np.concatenate(times), np.concatenate(events)
-    order = np.lexsort((events, times))
-    return times[order], events[order]
+        owners.append(of(r))
+    times, events, owners = np.concatenate(times), np.concatenate(events), np.concatenate(owners)
+    order = np.lexsort((events, times, owners))
+    return times[order], events[order], owners[order]
+
+
+class _Numbers(dict):
+    """Numbers of names in the order in which they come up."""
+
+    def of(self, names: pd.Series) -> np.ndarray:
+        codes, found = pd.factorize(names, use_na_sentinel=False)
+        return np.array([self.setdefault(None if pd.isna(n) else n, len(self)) for n in found.tolist()], np.int64)[codes]
 
 
 class FixedWindowLimiter(StatefulProcessor):
-    """Numbers the requests of a user in windows from the epoch on, late ones too. Keys are (user, run of windows).
+    """Numbers the requests of each user in windows from the epoch on, late ones too. Keys are (share of the users, run of windows).
 
-    The state of a key is the counts of its windows that the watermark has not passed; a timer clears it after the last one, so it
-    does not grow. The rows of a micro-batch are brought in order of time and id first, 16 bytes a request of that key, so
-    results do not depend on Arrow batches.
+    The state of a key is one value, the counts of its users' windows that the watermark has not passed; a timer clears it after the
+    last one, so it does not grow. So the calls to the state store go by shares, not by users. The rows of a
+    micro-batch are brought in order of user, time and id first, 24 bytes a request of that key, so results do not depend
+    on Arrow batches.
     """
 
     def __init__(self, limit: int, seconds: int, rows: int = 10_000):
         self.limit, self.seconds, self.rows = limit, seconds, rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("windows", "bucket array<long>, n array<long>")
+        self.handle, self.state = handle, handle.getValueState("windows", "user array<long>, bucket array<long>, n array<long>")
+
+    def _open(self, passed: int) -> dict[tuple[int | None, int], int]:
+        """Counts by user and window of the windows that end after the time ``passed`` in milliseconds."""
+        known = zip(*self.state.get()) if self.state.exists() else ()
+        return {(u, b): n for u, b, n in known if (b + 1) * self.seconds * 1000 > passed}
 
-    def _open(self, passed: int) -> dict[int, int]:
-        """Counts of the windows that end after the time ``passed`` in milliseconds."""
-        known = self.state.get() if self.state.exists() else None
-        return {b: n for b, n in zip(*known) if (b + 1) * self.seconds * 1000 > passed} if known else {}
+    def _put(self, counts: dict[tuple[int | None, int], int]) -> None:
+        self.state.update(([u for u, _ in counts], [b for _, b in counts], list(counts.values())))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        times, events = _gathered(rows, "ts")
+        users = _Numbers()
+        times, events, owner = _gathered(rows, "ts", lambda r: users.of(r["user_id"].astype("Int64").where(r["known"])))
+        names = list(users)
         counts = self._open(timers.getCurrentWatermarkInMs())
-        last = max(counts, default=None)
-        bucket, first, size = np.unique(times // (self.seconds * 1_000_000), return_index=True, return_counts=True)
-        before = np.array([counts.get(b, 0) for b in bucket.tolist()], np.int64)
-        n = np.arange(1, len(times) + 1) - np.repeat(first - before, size)
-        counts |= dict(zip(bucket.tolist(), (before + size).tolist()))
-        self.state.update((list(counts), list(counts.values())))
-        if last is None or max(counts) > last:
-            self.handle.registerTimer((max(counts) + 1) * self.seconds * 1000)
+        last = max((b for _, b in counts), default=None)
+        window = times // (self.seconds * 1_000_000)
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (window[1:] != window[:-1])]) if len(owner) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(owner)])
+        groups = [(names[u], w) for u, w in zip(owner[first].tolist(), window[first].tolist())]
+        had = np.array([counts.get(g, 0) for g in groups], np.int64)
+        n = np.arange(1, len(times) + 1) - np.repeat(first - had, size)
+        counts |= dict(zip(groups, (had + size).tolist()))
+        self._put(counts)
+        latest = max(b for _, b in counts)
+        if last is None or latest > last:
+            self.handle.registerTimer((latest + 1) * self.seconds * 1000)
+        named = pd.Series(names, dtype="Int64")
         for at in range(0, len(events), self.rows):
             some = slice(at, at + self.rows)
-            yield pd.DataFrame({"event_id": events[some], "user_id": key[0], "n": n[some], "allowed": n[some] <= self.limit})
+            yield pd.DataFrame({"event_id": events[some], "user_id": named.take(owner[some]).to_numpy(object), "n": n[some], "allowed": n[some] <= self.limit}).astype({"user_id": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         left = self._open(expiredTimerInfo.getExpiryTimeInMs())
-        self.state.update((list(left), list(left.values()))) if left else self.state.clear()
+        self._put(left) if left else self.state.clear()
         yield pd.DataFrame({"event_id": [], "user_id": [], "n": [], "allowed": []}).astype({"event_id": "int64", "user_id": "int64", "n": "int64", "allowed": "bool"})
 
     def close(self) -> None:
@@ -146,58 +166,67 @@ class FixedWindowLimiter(StatefulProcessor):
 
 
 class ResponseCache(StatefulProcessor):
-    """A key's last stored answer; a hit is a request less than ``ttl`` seconds after it.
+    """The last stored answers of a share of the keys; a hit is a request less than ``ttl`` seconds after its key's.
 
-    A stored answer goes by a timer once the watermark is ``ttl`` seconds past it. The requests of a key in a micro-batch are
-    brought in order of time and id first, 16 bytes each, so results do not depend on Arrow batches.
+    A stored answer goes once the watermark is ``ttl`` seconds past it, at the share's next batch or by a timer. The calls to the
+    state store go by shares, not by keys. The requests of a share in a micro-batch are brought in order of key, time and id
+    first, 24 bytes each, so results do not depend on Arrow batches.
     """
 
     def __init__(self, ttl: int, rows: int = 10_000):
         self.ttl, self.rows = ttl, rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("stored", "at long")
+        self.handle, self.state = handle, handle.getValueState("stored", "keys array<string>, at array<long>")
+
+    def _live(self, passed: int) -> dict[str | None, int]:
+        """Stored answers that the time ``passed`` in milliseconds has not outlived."""
+        return {k: t for k, t in zip(*self.state.get()) if t // 1000 + self.ttl * 1000 >= passed} if self.state.exists() else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        before = stored = self.state.get()[0] if self.state.exists() else None
-        times, events = _gathered(rows, "at")
-        hits, at = np.ones(len(times), bool), 0
-        while at < len(times):  # from miss to miss
-            if stored is not None and times[at] - stored < self.ttl * 1_000_000:
-                at = int(np.searchsorted(times, stored + self.ttl * 1_000_000))
-                continue
-            hits[at], stored = False, int(times[at])
-        if stored != before:
-            self.state.update((stored,))
-            self.handle.registerTimer(stored // 1000 + self.ttl * 1000 + 1)
+        keys = _Numbers()
+        times, events, owner = _gathered(rows, "at", lambda r: keys.of(r["key"]))
+        names, live = np.array(list(keys), object), self._live(timers.getCurrentWatermarkInMs())
+        hits, now, stored, ttl, latest = np.ones(len(times), bool), -1, None, self.ttl * 1_000_000, None
+        for low in range(0, len(times), self.rows):
+            for at, (k, t) in enumerate(zip(owner[low : low + self.rows].tolist(), times[low : low + self.rows].tolist()), low):
+                if k != now:
+                    now, stored = k, live.get(names[k])
+                if stored is None or t - stored >= ttl:
+                    hits[at], stored = False, t
+                    live[names[k]], latest = t, t if latest is None else max(latest, t)
+        if latest is not None:
+            self.state.update((list(live), list(live.values())))
+            self.handle.registerTimer(latest // 1000 + self.ttl * 1000 + 1)
         for low in range(0, len(events), self.rows):
             some = slice(low, low + self.rows)
-            yield pd.DataFrame({"event_id": events[some], "key": key[0], "hit": hits[some]})
+            yield pd.DataFrame({"event_id": events[some], "key": names[owner[some]], "hit": hits[some]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[0] // 1000 + self.ttl * 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
+        left = self._live(expiredTimerInfo.getExpiryTimeInMs())
+        self.state.update((list(left), list(left.values()))) if left else self.state.clear()
         yield pd.DataFrame({"event_id": [], "key": [], "hit": []}).astype({"event_id": "int64", "key": "str", "hit": "bool"})
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(stream: DataFrame, limit: int, seconds: int, late: str = "10 minutes", windows: int = 64) -> DataFrame:
+def stream_rate_limit(stream: DataFrame, limit: int, seconds: int, late: str = "10 minutes", windows: int = 64, shares: int = 64) -> DataFrame:
     """Decisions for ``stream(event_id, user_id, ts)``; rows later than ``late`` are dropped.
 
     Requests are numbered as they arrive, those of a micro-batch by time and id; so a request that comes in a later micro-batch
-    than a younger one counts after it. State is kept by user and run of ``windows`` windows, so a busy user's past is spread.
+    than a younger one counts after it. State is kept by share of the users (by hash) and run of ``windows`` windows, so a busy
+    user's past is spread.
     """
     run = F.floor(epoch_seconds("ts") / (seconds * windows)).cast("long")
-    s = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", run.alias("run"))
-    return s.groupBy("user_id", "run").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "EventTime")
+    s = stream.withWatermark("ts", late).select("event_id", F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"), F.col("user_id").isNotNull().alias("known"), "ts", F.pmod(F.xxhash64("user_id"), F.lit(shares)).alias("share"), run.alias("run"))
+    return s.groupBy("share", "run").transformWithStateInPandas(FixedWindowLimiter(limit, seconds), "event_id long, user_id long, n long, allowed boolean", "Append", "EventTime")
 
 
-def stream_response_cache(stream: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """Hits of ``stream(event_id, key, ts)`` on arrival; rows later than ``late`` are dropped."""
-    s = stream.withWatermark("ts", late).select("event_id", "key", "ts", epoch_micros("ts").alias("at"))
-    return s.groupBy("key").transformWithStateInPandas(ResponseCache(ttl), "event_id long, key string, hit boolean", "Append", "EventTime")
+def stream_response_cache(stream: DataFrame, ttl: int = 3600, late: str = "10 minutes", shares: int = 256) -> DataFrame:
+    """Hits of ``stream(event_id, key, ts)`` on arrival; rows later than ``late`` are dropped. State is kept by share of the keys (by hash)."""
+    s = stream.withWatermark("ts", late).select("event_id", "key", "ts", epoch_micros("ts").alias("at"), F.pmod(F.xxhash64("key"), F.lit(shares)).alias("share"))
+    return s.groupBy("share").transformWithStateInPandas(ResponseCache(ttl), "event_id long, key string, hit boolean", "Append", "EventTime")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -397,6 +397,25 @@ def test_streams_do_not_depend_on_arrow_batches(spark, tmp_path):
     assert out.where("allowed").count() == 10 and out.where("not allowed").count() == 5
 
 
+@pytest.mark.parametrize("make, out", [(lambda s: stream.stream_rate_limit(s, 2, 3600), "user_id"), (stream.stream_response_cache, "key")])
+def test_state_goes_by_shares(spark, tmp_path, make, out):
+    """The entries of the state store, timers among them, don't grow with the users or keys; null ones are kept apart from 0 and empty ones."""
+    n = F.when(F.col("id") % 2000 != 7, F.col("id") % 2000)
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id")).alias("ts"), n.alias("user_id"), F.nullif(n.cast("string"), F.lit("0")).alias("key"))
+    rows.withColumn("key", F.when(F.col("user_id") == 0, "").otherwise(F.col("key"))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with stream.state_store(spark):
+        s = make(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 4 * 256
+    got = spark.read.schema(s.schema).parquet(str(tmp_path / "out"))
+    assert got.count() == 4000 and got.groupBy(out).count().where("count = 2").count() == 2000 and got.where(f"{out} is null").count() == 2
+    if out == "key":
+        assert got.where("not hit").count() == 2000
+    else:
+        assert {r[0] for r in got.select("n").distinct().collect()} == {1, 2}
+
+
 def test_ingest_stream_commits_both_tables(spark, tmp_path):
     """A batch whose commit is lost, and one that was killed between its tables, give every row once after the replay."""
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
