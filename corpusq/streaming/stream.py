@@ -20,6 +20,10 @@ from corpusq.sources.tables import page_snapshots, work_dir
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
+#: Rows of a file that a stream reads, so that tasks share a large table and none holds much of it.
+FILE_ROWS = {"events": 250_000, "pages": 5_000}
+
+
 def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Process what there is and stop, to a Parquet folder."""
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
@@ -259,9 +263,10 @@ def _streamed(spark, frame: DataFrame, name: str, mode: str = "append", schema=N
 
 
 def _folder(spark, sf_dir, name: str, parts: int) -> str:
-    """The table as a folder of files, for a file stream."""
-    path = work_dir(spark, f"{name}-files")
-    table(spark, sf_dir, name).repartitionByRange(parts, f"{name[:-1]}_id").write.parquet(path)
+    """The table as a folder of ``parts`` files, or of as many as its rows ask for, for a file stream."""
+    path, df = work_dir(spark, f"{name}-files"), table(spark, sf_dir, name)
+    parts = max(parts, -(-df.count() // FILE_ROWS[name]))
+    df.repartitionByRange(parts, f"{name[:-1]}_id").write.parquet(path)
     return path
 
 

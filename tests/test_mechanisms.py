@@ -416,6 +416,11 @@ def test_state_goes_by_shares(spark, tmp_path, make, out):
         assert {r[0] for r in got.select("n").distinct().collect()} == {1, 2}
 
 
+def test_streams_read_files_by_rows(spark, monkeypatch):
+    monkeypatch.setitem(stream.FILE_ROWS, "events", 300)
+    assert len(spark.read.parquet(stream._folder(spark, "/root/testdata/sf0.001", "events", 1)).inputFiles()) == 4
+
+
 def test_ingest_stream_commits_both_tables(spark, tmp_path):
     """A batch whose commit is lost, and one that was killed between its tables, give every row once after the replay."""
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
