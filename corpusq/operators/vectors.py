@@ -88,6 +88,36 @@ def knn(vectors: DataFrame, vector: list[float], k: int, metric: str = "cosine",
     return v.select(key, d.alias("distance"), (1 - d).alias("similarity")).orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
 
 
+def nearest_of(batches, qids: list, asked: np.ndarray, groups: np.ndarray | None, k: int, metric: str, group: str | None, tile: int = 1024) -> pd.DataFrame:
+    """The ``k`` nearest rows of ``batches`` to each query, (qid, vec_id, distance); distances stand in tiles of 512 queries by ``tile`` rows."""
+    best: dict[int, list[tuple]] = {}
+    worst = np.full(len(qids), np.nan)  # the k-th distance of queries that have as many
+    for b in batches:
+        for low in range(0, len(b), tile):
+            rows = b.iloc[low : low + tile]
+            x = np.array(rows["embedding"].tolist(), np.float64)
+            ids = rows["vec_id"].to_numpy(np.int64)
+            for at in range(0, len(qids), 512):
+                q = asked[at : at + 512]
+                if metric == "cosine":
+                    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = np.where(norm > 0, 1 - q @ x.T / norm, np.inf)
+                else:
+                    d = np.stack([((x - y) ** 2).sum(1) for y in q])
+                d = np.round(d, 9) + 0.0  # no negative zero
+                if group:
+                    d = np.where(groups[at : at + 512, None] == rows[group].to_numpy(object)[None, :], d, np.nan)
+                for i in np.flatnonzero(~(np.fmin.reduce(d, axis=1) > worst[at : at + 512])).tolist():
+                    order = np.lexsort((ids, d[i]))[:k]
+                    order = order[~np.isnan(d[i, order])]
+                    found = sorted([*best.get(at + i, []), *zip(d[i, order].tolist(), ids[order].tolist())])[:k]
+                    best[at + i] = found
+                    worst[at + i] = found[-1][0] if len(found) == k else np.nan
+    rows = [(qids[q], i, None if d == np.inf else d) for q, found in best.items() for d, i in found]
+    return pd.DataFrame(rows, columns=["qid", "vec_id", "distance"]).astype({"distance": float})
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None, broadcast_rows: int = 20_000) -> DataFrame:
     """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each of ``queries(qid, embedding)``, ranked by distance (9 places) and id.
 
@@ -100,33 +130,11 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     few = asked.limit(broadcast_rows + 1).collect()
     if len(few) > broadcast_rows:
         return VectorIndex.build(vectors, work_dir(vectors.sparkSession, "knn-join"), metric, group).nearest(queries, k)
-    sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in few])
+    asking = ([r[0] for r in few], np.array([r[1] for r in few], np.float64), np.array([r[2] for r in few], object) if group else None)
+    sent = queries.sparkSession.sparkContext.broadcast(asking)
 
     def run(batches):
-        best: dict[int, list[tuple]] = {}
-        for b in batches:
-            x = np.array(b["embedding"].tolist(), np.float64)
-            ids = b["vec_id"].to_numpy(np.int64)
-            if not len(ids):
-                continue
-            for at in range(0, len(sent.value), 512):
-                part = sent.value[at : at + 512]
-                q = np.array([p[1] for p in part], np.float64)
-                if metric == "cosine":
-                    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = np.where(norm > 0, 1 - q @ x.T / norm, np.inf)
-                else:
-                    d = np.stack([((x - y) ** 2).sum(1) for y in q])
-                d = np.round(d, 9) + 0.0  # no negative zero
-                if group:
-                    d = np.where(np.array([p[2] for p in part], object)[:, None] == b[group].to_numpy(object)[None, :], d, np.nan)
-                for p, row in zip(part, d):
-                    order = np.lexsort((ids, row))[:k]
-                    order = order[~np.isnan(row[order])]
-                    best[p[0]] = sorted([*best.get(p[0], []), *zip(row[order].tolist(), ids[order].tolist())])[:k]
-        rows = [(q, i, None if d == np.inf else d) for q, found in best.items() for d, i in found]
-        yield pd.DataFrame(rows, columns=["qid", "vec_id", "distance"]).astype({"distance": float})
+        yield nearest_of(batches, *sent.value, k, metric, group)
 
     v = vectors.where("embedding is not null").select("vec_id", "embedding", *([group] if group else []))
     near = v.mapInPandas(run, "qid long, vec_id long, distance double")

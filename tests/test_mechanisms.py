@@ -2,10 +2,12 @@
 
 import json
 import re
+import tracemalloc
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,21 @@ def test_queries_are_not_copied_by_cells(spark, tmp_path, monkeypatch):
     assert max(df.count() for df in stored if "e" in df.columns) == v.count()
 
 
+def test_few_queries_need_little_memory():
+    """10,000 rows in one batch against 1,024 queries: distances stand in tiles, and the result is that of a full sort."""
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(10_000, 8)).round(1), rng.normal(size=(1024, 8))
+    b = pd.DataFrame({"vec_id": rng.permutation(10_000), "embedding": list(x)})
+    tracemalloc.start()
+    got = vectors.nearest_of([b], list(range(1024)), q, None, 5, "cosine", None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    d = np.round(1 - q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :], 9) + 0.0
+    ids = b["vec_id"].to_numpy()
+    assert [tuple(r) for r in got.sort_values(["qid", "distance", "vec_id"])[["qid", "vec_id"]].to_numpy().tolist()] == [(i, int(j)) for i, row in enumerate(d) for j in ids[np.lexsort((ids, row))[:5]]]
+
+
 def test_codes_find_near_neighbours(spark, tmp_path):
     """Recall of 0.9 with a tenth of the full vectors read, on vectors without clusters; the index is stored and loaded."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
