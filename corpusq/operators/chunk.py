@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +16,25 @@ from corpusq.registry import query, table
 CHUNKS = "doc_id long, chunk_index int, begin int, end int, content string"
 
 
+WINDOW = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("content", pa.string())])
+PACKED = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("tokens_count", pa.int32())])
+
+
+def pieces(batches: Iterable[pa.RecordBatch], cut: Callable[[int, str], Iterable[tuple]], schema: pa.Schema, content: int, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows that ``cut`` makes of each id and text, handed on when their column ``content`` has ``chars`` characters; one text at a time leaves Arrow."""
+    out, used = [], 0
+    for b in batches:
+        for d, t in zip(b.column(0), b.column(1)):
+            for row in cut(d.as_py(), t.as_py()):
+                out.append(row)
+                used += len(row[content])
+                if used >= chars:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+                    out, used = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+
+
 def windows(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
     """Character windows (begin, end, content) that end at the last stop mark in reach; contents are stripped, empty ones dropped.
 
@@ -42,12 +62,8 @@ def chunk_char_window(docs: DataFrame, size: int = 1024, overlap: int = 128) ->
     if overlap >= size:
         raise ValueError("overlap must be less than size")
 
-    def run(batches):
-        for b in batches:
-            rows = [(d, i, *w) for d, t in zip(b["doc_id"].tolist(), b["text"]) if t is not None for i, w in enumerate(windows(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "begin", "end", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNKS)
+    cut = lambda d, t: ((d, i, *w) for i, w in enumerate(windows(t, size, overlap)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(lambda batches: pieces(batches, cut, WINDOW, 4), CHUNKS)
 
 
 def pack(text: str | None, size: int, overlap: int) -> list[tuple[str, int]]:
@@ -85,13 +101,8 @@ def pack(text: str | None, size: int, overlap: int) -> list[tuple[str, int]]:
 
 def chunk_paragraph_tokens(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, content, tokens_count) of packed paragraphs; ``overlap`` counts characters."""
-
-    def run(batches):
-        for b in batches:
-            rows = [(d, i, c, n) for d, t in zip(b["doc_id"].tolist(), b["text"]) for i, (c, n) in enumerate(pack(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content", "tokens_count"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string, tokens_count int")
+    cut = lambda d, t: ((d, i, c, n) for i, (c, n) in enumerate(pack(t, size, overlap)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: pieces(batches, cut, PACKED, 2), "doc_id long, chunk_index int, content string, tokens_count int")
 
 
 def chunk_records(chunks: DataFrame, docs: DataFrame, source: str = "corpus") -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,16 @@ def test_few_queries_need_little_memory():
     assert [tuple(r) for r in got.sort_values(["qid", "distance", "vec_id"])[["qid", "vec_id"]].to_numpy().tolist()] == [(i, int(j)) for i, row in enumerate(d) for j in ids[np.lexsort((ids, row))[:5]]]
 
 
+def test_chunks_are_handed_on_in_pieces():
+    texts = ["One two. " * n for n in (0, 3000, 40_000, 1, 3000)]
+    b = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, None, 5], "text": texts})
+    cut = lambda d, t: ((d, i, *w) for i, w in enumerate(chunk.windows(t, 1024, 128)))
+    got = list(chunk.pieces([b], cut, chunk.WINDOW, 4, chars=10_000))
+    assert max(sum(map(len, g.column("content").to_pylist())) for g in got) < 11_024
+    rows = [tuple(r.values()) for g in got for r in g.to_pylist()]
+    assert rows == [(d, i, *w) for d, t in zip([1, 2, 3, None, 5], texts) for i, w in enumerate(chunk.windows(t, 1024, 128))]
+
+
 def test_codes_find_near_neighbours(spark, tmp_path):
     """Recall of 0.9 with a tenth of the full vectors read, on vectors without clusters; the index is stored and loaded."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
