@@ -164,7 +164,7 @@ def _open(uri: str):
     return fs, path
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, batch_bytes: int = 2 << 20) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write records in ascending doc_id order under ``path``.
 
     Each range of ids becomes one data file of records (length, its masked checksum, a payload of id width,
@@ -190,15 +190,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
                 tool = _tool(tokenizer)
                 tail = np.array([end_id], tool.dtype).tobytes()
                 data, index = fs.open_output_stream(temp + ".rec"), fs.open_output_stream(temp + ".idx")
-            ids, texts = b["doc_id"].tolist(), b["text"].tolist()
-            nulls = b["null_id"].tolist()
-            low = used = 0
-            for high, t in enumerate(texts):
-                texts[high] = t or ""
-                used += len(texts[high])
-                if used < batch_bytes and high + 1 < len(texts):
-                    continue
-                for i, seq in zip(range(low, high + 1), tool.encode(texts[low : high + 1])):
+            last = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // batch_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(last)) + 1).tolist(), len(b)]
+            for low, high in itertools.pairwise(cuts):  # only these texts leave Arrow
+                some = b.slice(low, high - low)
+                ids, nulls = some.column("doc_id").to_pylist(), some.column("null_id").to_pylist()
+                for i, seq in enumerate(tool.encode([t or "" for t in some.column("text").to_pylist()])):
                     payload = struct.pack("<BBq", tool.dtype.itemsize, nulls[i], ids[i]) + seq + tail
                     head = struct.pack(HEAD, len(payload))
                     data.write(head + struct.pack(CRC, masked(head)) + payload + struct.pack(CRC, masked(payload)))
@@ -206,7 +203,6 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
                     entries.append((ids[i], nulls[i], offset, len(payload), n))
                     offset += len(payload) + 16
                     tokens += n
-                low, used = high + 1, 0
                 index.write(np.array(entries, INDEX).tobytes())
                 docs_done += len(entries)
                 entries = []
@@ -215,14 +211,15 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
             index.close()
             for kind in ("rec", "idx"):
                 put_in_place(fs, f"{temp}.{kind}", f"{base}/part-{part:06d}.{kind}")
-            yield pd.DataFrame({"part": [part], "docs": [docs_done], "tokens": [tokens], "bytes": [offset]})
+            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [docs_done], "tokens": [tokens], "bytes": [offset]})
 
     order = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("null_id"), F.col("text").cast("string").alias("text"))
     # equal rows are told apart by their place in the input, whose order among them does not show
     keys = [F.desc("null_id"), "doc_id", "h"]
     order = order.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     order = order.repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "text").drop("h", "place")
-    return written(order.mapInPandas(run, "part int, docs long, tokens long, bytes long"), "token-manifest")
+    return written(order.mapInArrow(run, "part int, docs long, tokens long, bytes long"), "token-manifest")
 
 
 def _records(fs, file: str, entries: np.ndarray, most: int = 4 << 20):
