@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,19 +97,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, longest: i
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 2 << 20) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` to the ``keep`` columns of every row.
 
     Whole texts count; null and empty texts get the calibrated score of a zero difference. No shuffle. Repeated rows and
-    null ids are kept, an empty table gives an empty one, and columns that are not in ``keep`` are ignored.
+    null ids are kept, an empty table gives an empty one, and columns that are not in ``keep`` are ignored. A worker
+    scores and hands on ``batch_bytes`` of text at a time.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def run(batches):
         score = sent.value.scorer()
         for b in batches:
-            s = score(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+            last = np.cumsum(pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // batch_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(last)) + 1).tolist(), len(b)]
+            for low, high in itertools.pairwise(cuts):  # only these texts leave Arrow
+                some = b.slice(low, high - low)
+                s = score(some.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema.fields if f.name == c)
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, score double, predicted int")

@@ -602,6 +602,24 @@ def test_quality_score_is_the_calibrated_difference(spark, documents):
     assert len(model.weights) == 2 and model.weights[1] > 0
 
 
+def test_quality_texts_leave_arrow_by_megabytes(spark, monkeypatch):
+    """Of an Arrow batch of long texts, only some megabytes at a time are scored and handed on; rows, order and null texts stay."""
+    import pyarrow as pa
+
+    from corpusq.llm.quality import QualityModel, score_quality
+
+    seen, taken = [], []
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    monkeypatch.setattr(QualityModel, "scorer", lambda self: lambda texts: (seen.append(sum(len(t or "") for t in texts)), np.full(len(texts), 0.5))[1])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, kinds: taken.append(f) or self)
+    score_quality(docs, QualityModel(None, None, (0.5,)))
+    texts = [None, "", *["y" * 300_000] * 40, "z" * 5_000_000, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "_text": pa.array(texts, pa.string())})
+    out = pa.Table.from_batches(taken[0](iter([batch, batch.slice(0, 0)])))
+    assert out.column("doc_id").to_pylist() == list(range(len(texts))) and out.column_names == ["doc_id", "score", "predicted"]
+    assert sum(seen) == 17_000_000 and max(seen) <= 7_100_000 and sorted(seen)[-2] <= 2_400_000
+
+
 def test_quality_does_not_see_held_out_labels(spark):
     from corpusq.llm.quality import fit_quality, held_out
 
