@@ -61,6 +61,8 @@ def stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base:
 SPAN, REACH = 20, 30
 #: It has one in its first and last REACH places and in any REACH between, so this many words on both sides of each reach its ends.
 SIDE = REACH - 1
+#: Places that a batch hands on in one row of arrays, and the names of these.
+PIECE, PLACE = 1024, ("back", "open", "doc", "rid", "word", "length", "keeper")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -285,7 +287,8 @@ def _common_passages(places: DataFrame) -> DataFrame:
 
     Places are sorted over all partitions by their run and the words to one side, so those that share some words stand
     together. A batch of the sorted rows settles what lies inside it; of the words shared with its first or last row,
-    which may go on in other batches, it passes on only its least place, once for each number of words.
+    which may go on in other batches, it passes on only its least place, once for each number of words. What a batch has settled
+    goes on as arrays of ``PIECE`` places, so that the least places of all batches are joined to a row of arrays, not to each place.
     """
     order = ["back", "run", "side", "doc", "rid", "word"]
     ended = [F.when(F.length(c) > 0, F.concat(c, F.lit(bytearray(b" ")))).otherwise(F.lit(bytearray())) for c in ("left", "right")]  # each word ends in a space
@@ -311,16 +314,29 @@ def _common_passages(places: DataFrame) -> DataFrame:
                 for k in range(len(words) + 1):
                     i = of_rank[rank[alike >= k].min()]
                     nodes.append((block, bool(last), back[e], k, b["run"].iloc[e] + b" " + b" ".join(words[:k]), doc[i], rid[i], word[i]))
-            last = shared[1] > shared[0]
-            yield pd.DataFrame({"block": block, "last": last, "back": back, "open": np.maximum(*shared), "node": None, "doc": doc, "rid": rid, "word": word, "length": length, "keeper": doc[of_rank[keeper]]})
-            yield pd.DataFrame(nodes, columns=["block", "last", "back", "open", "node", "doc", "rid", "word"]).assign(length=0, keeper=0)
-
-    settled = written(ready.mapInPandas(run, "block long, last boolean, back boolean, open int, node binary, doc long, rid long, word int, length int, keeper long"), "paragraph-places")
-    place = F.struct("doc", "rid", "word")
-    nodes = settled.where("node is not null").select("block", "last", "back", "node", F.col("open").alias("k"), place.alias("least"))
-    least = nodes.groupBy("back", "node").agg(F.min("least").alias("least"))
-    ends = nodes.drop("least").join(least, ["back", "node"]).groupBy("block", "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "least"))), lambda x: x["least"]).alias("least"))  # SIDE + 1 at most
-    rows = settled.where("node is null").drop("node").join(ends, ["block", "last"]).withColumn("place", place)
+            last, reach = shared[1] > shared[0], np.maximum(*shared)
+            columns = [np.array(back, bool), reach.astype(np.int32), doc, rid, word.astype(np.int32), length.astype(np.int32), doc[of_rank[keeper]]]
+            rows = []
+            for end in (False, True):
+                of_end = np.flatnonzero(last == end)
+                for low in range(0, len(of_end), PIECE):
+                    some = of_end[low : low + PIECE]
+                    rows.append((block, end, *(c[some] for c in columns)))
+            yield pd.DataFrame(rows, columns=["block", "last", *PLACE], dtype=object).assign(**dict.fromkeys(least_of))
+            yield pd.DataFrame(nodes, columns=["block", "last", *least_of]).assign(**dict.fromkeys(PLACE))
+
+    least_of = ("side", "k", "node", "least_doc", "least_rid", "least_word")
+    kinds = "block long, last boolean, back array<boolean>, open array<int>, doc array<long>, rid array<long>, word array<int>, length array<int>, keeper array<long>, side boolean, k int, node binary, least_doc long, least_rid long, least_word int"
+    settled = written(ready.mapInPandas(run, kinds), "paragraph-places")
+    least = F.struct(F.col("least_doc").alias("doc"), F.col("least_rid").alias("rid"), F.col("least_word").alias("word"))
+    nodes = settled.where("node is not null").select("block", "last", "side", "node", "k", least.alias("least"))
+    least = nodes.groupBy("side", "node").agg(F.min("least").alias("least"))
+    ends = nodes.drop("least").join(least, ["side", "node"]).groupBy("block", "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "least"))), lambda x: x["least"]).alias("least"))  # SIDE + 1 at most
+    ends = written(ends, "paragraph-ends")
+    if ends.count() <= 8192:  # two rows a batch, some 2 KB each
+        ends = F.broadcast(ends)
+    rows = settled.where("node is null").select("block", "last", *PLACE).join(ends, ["block", "last"]).select("least", F.inline(F.arrays_zip(*PLACE)))
+    rows = rows.withColumn("place", F.struct("doc", "rid", "word"))
     beyond = F.size(F.filter(F.slice("least", 1, F.col("open") + 1), lambda x: x < F.col("place"))) - 1  # longer shares have later least places
     rows = rows.withColumn("beyond", beyond).withColumn("grown", F.greatest("length", "beyond")).where("grown >= 0")
     keeper = F.when(F.col("grown") <= F.col("open"), F.expr("least[grown].doc")).otherwise(F.col("keeper"))

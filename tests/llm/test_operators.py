@@ -341,6 +341,20 @@ def test_passages_of_common_seeds(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_common_places_are_joined_by_batch(spark, monkeypatch):
+    """The least places of all batches meet a row of arrays of a batch, not every place: few rows are joined, with the same passages."""
+    from corpusq.llm import paragraphs
+
+    stored = {}
+    monkeypatch.setattr(paragraphs, "written", lambda df, name, f=paragraphs.written: stored.setdefault(name, f(df, name)))
+    rows = [(d, 0, 5, 7, 9000, bytearray(b" ".join([b"r"] * paragraphs.SPAN)), bytearray(b"c b a"), bytearray(b"x y")) for d in range(9000)]
+    df = spark.createDataFrame(rows, "doc long, rid long, word int, h long, n long, run binary, left binary, right binary")
+    got = {(r["doc"], x["low"], x["high"], x["keeper"]) for r in paragraphs.grown_passages(df, 1).collect() for x in r["passages"]}
+    assert got == {(d, *x, 0) for d in range(1, 9000) for x in ((2, 5 + paragraphs.SPAN), (5, 7 + paragraphs.SPAN))}
+    joined = stored["paragraph-places"].where("node is null")
+    assert 0 < joined.count() < 100, "one row for each place"
+
+
 def test_op2_compares_short_paragraphs(spark, tmp_path):
     """The query leaves no paragraph out: short lines go as well, the first copy stays, as all pairs have it."""
     from corpusq.llm.paragraphs import op2_paragraphs
