@@ -22,6 +22,8 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 #: Rows of a file that a stream reads, so that tasks share a large table and none holds much of it.
 FILE_ROWS = {"events": 250_000, "pages": 5_000}
+#: Fixed value: shares of the urls whose state is kept together; at 6 GB of pages a share has some megabytes of new texts.
+URL_SHARES = 1024
 
 
 def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
@@ -30,19 +32,25 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
 
 
 class FirstOfUrl(StatefulProcessor):
-    """The first document of each url, by doc_id within a micro-batch; urls seen before are known from state, not from the table."""
+    """The first document of each url of a share of the urls, by doc_id within a micro-batch; urls seen before are known from state, not from the table.
+
+    The state of a share is the list of its urls, to which a batch only appends; so the calls to the state store go by shares, not by
+    urls. The new documents of a share in a micro-batch stand in memory together.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "seen boolean")
+        self.state = handle.getListState("seen", "url string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        first = None
+        seen = {u for (u,) in self.state.get()} if self.state.exists() else set()
+        found = []
         for r in rows:
-            r = r.nsmallest(1, "doc_id")
-            if first is None or r["doc_id"].iloc[0] < first["doc_id"].iloc[0]:
-                first = r
-        if first is not None and not self.state.exists():
-            self.state.update((True,))
+            r = r[~r["url"].isin(seen)]
+            if len(r):
+                found.append(r.sort_values("doc_id", kind="stable").drop_duplicates("url"))
+        if found:
+            first = pd.concat(found, ignore_index=True).sort_values("doc_id", kind="stable").drop_duplicates("url")
+            self.state.appendList([(u,) for u in first["url"].tolist()])
             yield first[["doc_id", "url", "title", "language", "hash", "text"]]
 
     def close(self) -> None:
@@ -66,7 +74,8 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
         docs.agg(F.count(F.lit(1)).alias("documents")).write.mode("overwrite").parquet(f"{target}/commits/batch={number}")
 
     docs = page_documents(page_snapshots(spark, source, stream=True).where("page_id is not null"))
-    once = docs.groupBy("url").transformWithStateInPandas(FirstOfUrl(), "doc_id long, url string, title string, language string, hash string, text string", "Append", "None")
+    shares = docs.withColumn("share", F.pmod(F.xxhash64("url"), F.lit(URL_SHARES)).cast("int"))
+    once = shares.groupBy("share").transformWithStateInPandas(FirstOfUrl(), "doc_id long, url string, title string, language string, hash string, text string", "Append", "None")
     with state_store(spark):
         once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -562,3 +562,37 @@ def test_page_text_brute_force(spark):
         heads = [d.strip() for o, d in kept if "h1" in o and d.strip()]
         assert not heads or heads[0] in got[i]["title"]
 
+
+def test_first_of_urls_takes_a_share_of_urls_at_a_time():
+    """One call settles all urls of a share: one reading and one appending of state, the first of each new url by doc_id, over any batches."""
+    import pandas as pd
+
+    from corpusq.streaming.stream import FirstOfUrl
+
+    class State:
+        urls, calls = [("old",)], 0
+
+        def exists(self):
+            return True
+
+        def get(self):
+            self.calls += 1
+            return iter(self.urls)
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.urls = [*self.urls, *rows]
+
+    class Handle:
+        state = State()
+
+        def getListState(self, name, schema):
+            return self.state
+
+    of = FirstOfUrl()
+    of.init(Handle())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["doc_id", "url"]).assign(title="t", language="l", hash="h", text="x")
+    out = pd.concat(of.handleInputRows((1,), iter([frame((9, "a"), (3, "old"), (5, "b")), frame((4, "a"), (7, "b")), frame((1, "old"))]), None))
+    assert sorted(zip(out["doc_id"], out["url"])) == [(4, "a"), (5, "b")] and Handle.state.calls == 2
+    assert sorted(Handle.state.urls) == [("a",), ("b",), ("old",)]
+    assert list(of.handleInputRows((1,), iter([frame((0, "a"))]), None)) == []
