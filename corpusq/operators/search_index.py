@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +14,9 @@ from corpusq.sources.tables import kept, work_dir
 
 #: What separates words.
 BREAK = r"[^\p{L}\p{N}]+"
-POSTINGS = "doc_id long, term string, tf int, length int, level int, segment int, bucket int"
+#: Bytes of text of some documents whose postings are brought together at a time.
+TEXTS = 1 << 24
+POSTINGS = "term string, segment int, level int, n int, max_tf int, doc_id array<long>, tf array<int>, length array<int>, bucket int"
 BLOCKS = "term string, segment int, level int, n long, max_tf int, bucket int"
 
 
@@ -19,26 +24,74 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _pieces(batches):
+    """Postings of the texts ``(doc_id, segment, words)``, words set apart by spaces: of some documents, a row a (term, segment, level) with arrays.
+
+    The rows are in the order in which they are stored, so that the sort of a shuffled partition has long runs to merge.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, side="right")))
+            doc, segment = (batch.column(c).slice(at, stop - at).to_numpy(zero_copy_only=False) for c in ("doc_id", "segment"))
+            part, at = pc.split_pattern(batch.column("words").slice(at, stop - at), " "), stop
+            coded = part.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            terms, number = coded.dictionary.take(order), np.empty(len(order), np.int64)
+            number[order.to_numpy()] = np.arange(len(order))
+            code = number[coded.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+            if len(terms) and terms[0].as_py() == "":  # beside spaces at the ends
+                code, row = code[code > 0], row[code > 0]
+            if not len(code):
+                continue
+            length = np.bincount(row, minlength=len(part)).astype(np.int32)
+            held, tf = np.unique(code << 32 | row, return_counts=True)
+            code, row, level = held >> 32, held & 0xFFFFFFFF, np.frexp(tf)[1] - 1  # tf of 2 ** level and more, below twice that
+            block = (31 - level.astype(np.int64)) << 58 | code << 24 | segment[row]
+            order = np.argsort(block, kind="stable")
+            block, row, tf = block[order], row[order], tf[order].astype(np.int32)
+            start = np.r_[0, np.flatnonzero(np.diff(block)) + 1]
+            ends_at, block = np.r_[start, len(block)], block[start]
+            columns = [terms.take(pa.array(block >> 24 & (1 << 34) - 1)), block & 0xFFFFFF, 31 - (block >> 58), np.diff(ends_at), np.maximum.reduceat(tf, start)]
+            columns = [columns[0], *(pa.array(c.astype(np.int32)) for c in columns[1:]), *(pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(c)) for c in (doc[row], tf, length[row]))]
+            out = pa.RecordBatch.from_arrays(columns, names=["term", "segment", "level", "n", "max_tf", "doc_id", "tf", "length"])
+            yield from (out.slice(low, 1 << 15) for low in range(0, out.num_rows, 1 << 15))
+
+
 def build_index(docs: DataFrame, path: str, buckets: int = 64, segments: int = 32) -> None:
     """Write the inverted index of ``docs(doc_id, text)`` to a new folder.
 
-    ``postings``: a row a term and document (tf, number of the document's words, level), in a folder for each bucket of term hashes,
+    ``postings``: arrays of a term's documents (id, tf, number of the document's words), in a folder for each bucket of term hashes,
     sorted by falling level and term. A level holds the tf of one power of two, a segment a share of the documents by hash of their id;
     so (term, segment, level) is a block whose largest tf, kept in ``blocks`` with its number of documents, bounds what it can add
     to a score, and what a document of the segment can get from other terms is bounded by their blocks there. ``documents``
     has the count of rows.
-    A term that most documents hold is spread over files, as its bucket is rebalanced by size. Rows that share a doc_id
-    are one document (of the longest one's length); null texts have no words, rows without an id are counted but can't be found.
+    Texts are dealt by segment, and what some 16 MB of texts there have of a block is one row of ``postings``; these rows
+    are shuffled, once, and not one for each word of a text. A term that most documents hold is spread over files, as its bucket is rebalanced by size.
+    Rows that share a doc_id are one document (of the longest one's length), so their words alone are brought together by term and id;
+    null texts have no words, rows without an id are counted but can't be found.
     """
     spark = docs.sparkSession
-    words = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.split(F.lower("text"), BREAK), lambda w: w != "").alias("w"))
-    each = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    # counted before the shuffle, so a word's repeats in a row cost nothing
-    tf = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("length").alias("length"))
-    level = F.floor(F.log2(F.col("tf").cast("double") + 0.5)).cast("int")
-    rows = tf.select("doc_id", "term", "tf", "length", level.alias("level"), F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int").alias("segment"), _bucket(F.col("term"), buckets).alias("bucket"))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", F.desc("level"), "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    blocks = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term", "segment", "level", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    segment = F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int").alias("segment")
+    twice = kept(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "text-index-ids")
+    again = twice.limit(1).count() > 0
+    once = texts.join(twice, "doc_id", "left_anti") if again else texts
+    columns = [x for x in POSTINGS.split(", ") if not x.startswith("bucket")]
+    dealt = once.select("doc_id", segment, "text").hint("rebalance", "segment").sortWithinPartitions("segment")
+    rows = dealt.select("doc_id", "segment", F.regexp_replace(F.lower("text"), BREAK, " ").alias("words")).mapInArrow(_pieces, ", ".join(columns))
+    if again:
+        words = texts.join(twice, "doc_id", "left_semi").select("doc_id", F.filter(F.split(F.lower("text"), BREAK), lambda w: w != "").alias("w"))
+        each = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
+        tf = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("length").alias("length"))
+        level = F.floor(F.log2(F.col("tf").cast("double") + 0.5)).cast("int")
+        alone = tf.select("term", segment, level.alias("level"), F.lit(1).alias("n"), F.col("tf").alias("max_tf"), *(F.array(c).alias(c) for c in ("doc_id", "tf", "length")))
+        rows = rows.unionByName(alone)
+    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", F.desc("level"), "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    blocks = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term", "segment", "level", "bucket").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"))
     blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")
     docs.agg(F.count(F.lit(1)).alias("n_docs"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/documents")
 
@@ -73,7 +126,7 @@ def scores(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
     rows = spark.read.schema(POSTINGS).parquet(f"{path}/postings").select("bucket", "term", "segment", "level", "doc_id", "tf")
     rows = rows.where(F.col("bucket").isin([r[0] for r in read]) & (F.col("level") >= min((r[1] for r in read), default=0)))
     keys = ["bucket", "term", "segment", "level"]
-    hits = rows.join(blocks.select(*keys, "search_id", "idf"), keys)
+    hits = rows.join(blocks.select(*keys, "search_id", "idf"), keys).select("search_id", "idf", F.inline(F.arrays_zip("doc_id", "tf")))
     return hits.groupBy("search_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
 
 

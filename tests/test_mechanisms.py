@@ -85,6 +85,33 @@ def test_inverted_index(spark, tmp_path):
     assert search_index.search_index(spark, empty, q, 10).count() == 0
 
 
+def test_index_keeps_blocks_as_arrays(spark, tmp_path, monkeypatch):
+    """Postings are a row of arrays for what some texts have of a block, not a row a word of a text; repeated ids are one document; cuts between texts change nothing."""
+    rows = [(d, " ".join(["One", "two two,", *["three"] * (d % 5), f"own{d}"])) for d in range(3000)] + [(7, "two -- \u00dcnder... one "), (7, "..."), (8, ""), (9, None), (None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "index")
+    search_index.build_index(docs, path, buckets=4, segments=8)
+    want = Counter((w, d) for d, t in rows if d is not None for w in re.findall(r"\w+", (t or "").lower()))
+    stored = spark.read.parquet(f"{path}/postings").collect()
+    got = [((r["term"], d), tf) for r in stored for d, tf in zip(r["doc_id"], r["tf"], strict=True)]
+    assert len(got) == len(want) and dict(got) == want
+    own = [sum(k for (w, d), k in want.items() if d == i) for i in range(3000)]
+    assert all(n == own[d] for r in stored for d, n in zip(r["doc_id"], r["length"], strict=True) if d != 7)
+    assert all(r["n"] == len(r["tf"]) and r["max_tf"] == max(r["tf"]) and {tf.bit_length() - 1 for tf in r["tf"]} == {r["level"]} for r in stored)
+    assert len({(d, r["segment"]) for r in stored for d in r["doc_id"]}) == 3000
+    assert sum(r["term"] in ("one", "two", "three") for r in stored) < 300, "a row for each word of a text"
+    blocks = {}
+    for r in stored:
+        n, tf = blocks.get(key := (r["term"], r["segment"], r["level"], r["bucket"]), (0, 0))
+        blocks[key] = n + r["n"], max(tf, r["max_tf"])
+    assert {tuple(r[c] for c in ("term", "segment", "level", "bucket")): (r["n"], r["max_tf"]) for r in spark.read.parquet(f"{path}/blocks").collect()} == blocks
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([5, 6, 7, 8]), "segment": pa.array([0, 1, 1, 0], pa.int32()), "words": pa.array([" b a b ", "", " ", "b " * 9])})
+    for most in (1, 20, 1 << 24):
+        monkeypatch.setattr(search_index, "TEXTS", most)
+        found = [r for b in search_index._pieces([texts]) for r in b.to_pylist()]
+        assert sorted((r["term"], r["segment"], r["level"], *x) for r in found for x in zip(r["doc_id"], r["tf"], r["length"], strict=True)) == [("a", 0, 0, 5, 1, 3), ("b", 0, 1, 5, 2, 3), ("b", 0, 3, 8, 9, 9)]
+
+
 def test_scan_search_equals_words(spark):
     rows = [(1, "Big bigger BIG, big-time big_x"), (2, None), (3, "nothing"), (4, "big"), (4, "a big one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
