@@ -63,6 +63,8 @@ SPAN, REACH = 20, 30
 SIDE = REACH - 1
 #: Places that a batch hands on in one row of arrays, and the names of these.
 PIECE, PLACE = 1024, ("back", "open", "doc", "rid", "word", "length", "keeper")
+#: Places with the same words beside them that are sorted as one row, and places that are settled at a time.
+ALIKE, SETTLED = 128, 10_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -286,36 +288,60 @@ def _common_passages(places: DataFrame) -> DataFrame:
     """The same for seeds of any number of places, in work and rows linear in it (times a sort).
 
     Places are sorted over all partitions by their run and the words to one side, so those that share some words stand
-    together. A batch of the sorted rows settles what lies inside it; of the words shared with its first or last row,
+    together; of those that stand in one batch before the sort, up to ``ALIKE`` with all words of run and side alike are one row. A batch of the sorted rows settles what lies inside it; of the words shared with its first or last row,
     which may go on in other batches, it passes on only its least place, once for each number of words. What a batch has settled
     goes on as arrays of ``PIECE`` places, so that the least places of all batches are joined to a row of arrays, not to each place.
     """
-    order = ["back", "run", "side", "doc", "rid", "word"]
-    ended = [F.when(F.length(c) > 0, F.concat(c, F.lit(bytearray(b" ")))).otherwise(F.lit(bytearray())) for c in ("left", "right")]  # each word ends in a space
-    both = F.array(*(F.struct(F.lit(i == 0).alias("back"), x.alias("side")) for i, x in enumerate(ended)))
-    ready = places.select("doc", "rid", "word", "run", F.inline(both)).repartitionByRange(*order).sortWithinPartitions(*order)
+    place, order = ["doc", "rid", "word"], ["back", "run", "side", "first_doc", "first_rid", "first_word"]
+
+    def pack(batches):
+        for b in (x for x in batches if len(x)):
+            b = b.sort_values(place)
+            values = [b[c].to_numpy(np.int64) for c in place]
+            for back, name in ((True, "left"), (False, "right")):
+                rows = []
+                for (run, side), at in b.groupby(["run", name], sort=False).indices.items():
+                    for low in range(0, len(at), ALIKE):
+                        some = [v[at[low : low + ALIKE]] for v in values]
+                        rows.append((back, run, side + b" " if side else side, *(v[0] for v in some), *some))  # each word ends in a space
+                yield pd.DataFrame(rows, columns=[*order, *place], dtype=object)
+
+    kinds = "back boolean, run binary, side binary, first_doc long, first_rid long, first_word int, doc array<long>, rid array<long>, word array<int>"
+    alike = written(places.select(*place, "run", "left", "right").mapInPandas(pack, kinds), "paragraph-alike")
+    ready = alike.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def blocks(batches):
+        """Sorted rows, so many at a time as have some places."""
+        for b in batches:
+            ends = np.cumsum([len(x) for x in b["doc"]])
+            at = 0
+            while at < len(b):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SETTLED, side="right")))
+                yield b.iloc[at:stop]
+                at = stop
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, b in enumerate(x for x in batches if len(x)):
-            block, n = part << 32 | number, len(b)
-            doc, rid, word = (b[c].to_numpy(np.int64) for c in ("doc", "rid", "word"))
-            texts, back = b["side"].tolist(), b["back"].tolist()
+        for number, b in enumerate(blocks(batches)):
+            block, own = part << 32 | number, np.repeat(np.arange(len(b)), [len(x) for x in b["doc"]])
+            n = len(own)
+            doc, rid, word = (np.concatenate(b[c].tolist()).astype(np.int64) for c in place)
+            texts, back, runs = b["side"].tolist(), b["back"].tolist(), b["run"].tolist()
             known: dict[tuple, int] = {}
-            group = np.array([known.setdefault(x, len(known)) for x in zip(back, b["run"])], np.int64)
-            side = _numbers([x[:-1] for x in texts], SIDE)
+            group = np.array([known.setdefault(x, len(known)) for x in zip(back, runs)], np.int64)[own]
+            side = _numbers([x[:-1] for x in texts], SIDE)[own]
             rank, of_rank = _ranks(doc, rid, word)
             length, keeper = longest_earlier(group, rank, side)
             shared, nodes = [], []
             for last, e in enumerate((0, n - 1)):
                 alike = np.where(group == group[e], np.cumprod((side == side[e]) & (side > 0), axis=1).sum(axis=1), -1)
                 shared.append(alike)
-                words = texts[e].split()
+                words = texts[own[e]].split()
                 for k in range(len(words) + 1):
                     i = of_rank[rank[alike >= k].min()]
-                    nodes.append((block, bool(last), back[e], k, b["run"].iloc[e] + b" " + b" ".join(words[:k]), doc[i], rid[i], word[i]))
+                    nodes.append((block, bool(last), back[own[e]], k, runs[own[e]] + b" " + b" ".join(words[:k]), doc[i], rid[i], word[i]))
             last, reach = shared[1] > shared[0], np.maximum(*shared)
-            columns = [np.array(back, bool), reach.astype(np.int32), doc, rid, word.astype(np.int32), length.astype(np.int32), doc[of_rank[keeper]]]
+            columns = [np.array(back, bool)[own], reach.astype(np.int32), doc, rid, word.astype(np.int32), length.astype(np.int32), doc[of_rank[keeper]]]
             rows = []
             for end in (False, True):
                 of_end = np.flatnonzero(last == end)

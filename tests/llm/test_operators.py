@@ -355,6 +355,25 @@ def test_common_places_are_joined_by_batch(spark, monkeypatch):
     assert 0 < joined.count() < 100, "one row for each place"
 
 
+def test_common_places_alike_are_sorted_as_one(spark, monkeypatch):
+    """Places with the same words beside them are not a row each in the sort, whatever their number; every one of them is grown, to the same passages."""
+    from corpusq.llm import paragraphs
+
+    stored = {}
+    monkeypatch.setattr(paragraphs, "written", lambda df, name, f=paragraphs.written: stored.setdefault(name, f(df, name)))
+    monkeypatch.setattr(paragraphs, "SETTLED", 700)
+    rows = [(d, 0, 5, 7, 9000, bytearray(b" ".join([b"r"] * paragraphs.SPAN)), bytearray(b"c b a"), bytearray([b"x y", b"x y z", b"", b"x"][d % 4])) for d in range(9000)]
+    df = spark.createDataFrame(rows, "doc long, rid long, word int, h long, n long, run binary, left binary, right binary")
+    got = {(r["doc"], x["low"], x["high"], x["keeper"]) for r in paragraphs.grown_passages(df, 1).collect() for x in r["passages"]}
+    want = {(d, 2, 5 + paragraphs.SPAN, 0) for d in range(1, 9000)}
+    for d in range(1, 9000):  # to the right: x y, x y z, nothing, x; of the earlier places those of the same words, or the first
+        grown, keeper = {0: (2, 0), 1: (2, 0) if d == 1 else (3, 1), 2: (0, 0), 3: (1, 0)}[d % 4]
+        want.add((d, 5, 5 + paragraphs.SPAN + grown, keeper))
+    assert got == want
+    sorted_rows = stored["paragraph-alike"]
+    assert sorted_rows.count() < 300 and sorted_rows.selectExpr("sum(size(doc))").first()[0] == 18_000, "a row for each place and side"
+
+
 def test_op2_compares_short_paragraphs(spark, tmp_path):
     """The query leaves no paragraph out: short lines go as well, the first copy stays, as all pairs have it."""
     from corpusq.llm.paragraphs import op2_paragraphs
