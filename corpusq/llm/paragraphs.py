@@ -65,6 +65,8 @@ SIDE = REACH - 1
 PIECE, PLACE = 1024, ("back", "open", "doc", "rid", "word", "length", "keeper")
 #: Places with the same words beside them that are sorted as one row, and places that are settled at a time.
 ALIKE, SETTLED = 128, 10_000
+#: Places whose passages are brought together by document before they are shuffled.
+GROWN = 1 << 18
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -285,12 +287,13 @@ def _rare_passages(places: DataFrame) -> DataFrame:
 
 
 def _common_passages(places: DataFrame) -> DataFrame:
-    """The same for seeds of any number of places, in work and rows linear in it (times a sort).
+    """(doc, rid, passages) of seeds of any number of places, in work and rows linear in it (times a sort); a document may have several rows.
 
     Places are sorted over all partitions by their run and the words to one side, so those that share some words stand
     together; of those that stand in one batch before the sort, up to ``ALIKE`` with all words of run and side alike are one row. A batch of the sorted rows settles what lies inside it; of the words shared with its first or last row,
     which may go on in other batches, it passes on only its least place, once for each number of words. What a batch has settled
-    goes on as arrays of ``PIECE`` places, so that the least places of all batches are joined to a row of arrays, not to each place.
+    goes on as arrays of ``PIECE`` places, so that the least places of all batches are joined to a row of arrays, not to each place;
+    and of some ``GROWN`` places a document has one row of all its passages, not one for each place.
     """
     place, order = ["doc", "rid", "word"], ["back", "run", "side", "first_doc", "first_rid", "first_word"]
 
@@ -359,16 +362,42 @@ def _common_passages(places: DataFrame) -> DataFrame:
     least = nodes.groupBy("side", "node").agg(F.min("least").alias("least"))
     ends = nodes.drop("least").join(least, ["side", "node"]).groupBy("block", "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "least"))), lambda x: x["least"]).alias("least"))  # SIDE + 1 at most
     ends = written(ends, "paragraph-ends")
+    ends = ends.select("block", "last", *(F.col(f"least.{c}").alias(f"least_{c}") for c in place))
     if ends.count() <= 8192:  # two rows a batch, some 2 KB each
         ends = F.broadcast(ends)
-    rows = settled.where("node is null").select("block", "last", *PLACE).join(ends, ["block", "last"]).select("least", F.inline(F.arrays_zip(*PLACE)))
-    rows = rows.withColumn("place", F.struct("doc", "rid", "word"))
-    beyond = F.size(F.filter(F.slice("least", 1, F.col("open") + 1), lambda x: x < F.col("place"))) - 1  # longer shares have later least places
-    rows = rows.withColumn("beyond", beyond).withColumn("grown", F.greatest("length", "beyond")).where("grown >= 0")
-    keeper = F.when(F.col("grown") <= F.col("open"), F.expr("least[grown].doc")).otherwise(F.col("keeper"))
-    low = F.when(F.col("back"), F.col("word") - F.col("grown")).otherwise(F.col("word"))
-    high = F.col("word") + SPAN + F.when(F.col("back"), 0).otherwise(F.col("grown"))
-    return rows.select("doc", "rid", low.alias("low"), high.alias("high"), keeper.alias("keeper"))
+    rows = settled.where("node is null").select("block", "last", *PLACE).join(ends, ["block", "last"])
+
+    def by_document(some):
+        doc, rid, low, high, keeper = (np.concatenate(x) for x in zip(*some))
+        order = np.lexsort((rid, doc))
+        doc, rid = doc[order], rid[order]
+        start = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(rid) != 0)][: len(doc)])
+        cut = [np.split(x[order], start[1:]) if len(start) else [] for x in (low, high, keeper)]
+        return pd.DataFrame(dict(zip(("doc", "rid", "low", "high", "keeper"), (doc[start], rid[start], *cut))))
+
+    def grow(batches):
+        """The arrays of places, many at a time, to one row a document."""
+        some, held = [], 0
+        for b in batches:
+            for *columns, first_doc, first_rid, first_word in zip(*(b[c] for c in (*PLACE, "least_doc", "least_rid", "least_word"))):
+                back, reach, doc, rid, word, length, keeper = columns
+                d, r, w = doc[:, None], rid[:, None], word[:, None]
+                before = (first_doc < d) | (first_doc == d) & ((first_rid < r) | (first_rid == r) & (first_word < w))
+                beyond = (before & (np.arange(len(first_doc)) <= reach[:, None])).sum(axis=1) - 1  # longer shares have later least places
+                grown = np.maximum(length, beyond)
+                keeper = np.where(grown <= reach, first_doc[np.clip(grown, 0, len(first_doc) - 1)], keeper)
+                yes = grown >= 0
+                low, high = np.where(back, word - grown, word), word + SPAN + np.where(back, 0, grown)
+                some.append([x[yes] for x in (doc, rid, low.astype(np.int32), high.astype(np.int32), keeper)])
+                held += len(doc)
+                if held >= GROWN:
+                    yield by_document(some)
+                    some, held = [], 0
+        if some:
+            yield by_document(some)
+
+    found = rows.select(*PLACE, "least_doc", "least_rid", "least_word").mapInPandas(grow, "doc long, rid long, low array<int>, high array<int>, keeper array<long>")
+    return found.select("doc", "rid", F.arrays_zip("low", "high", "keeper").alias("passages"))
 
 
 def grown_passages(places: DataFrame, most: int) -> DataFrame:
@@ -378,8 +407,10 @@ def grown_passages(places: DataFrame, most: int) -> DataFrame:
     word, to the end of the longest passage through it that some earlier place holds, so it does not matter which of the
     earlier places that is. Hashes of ``most`` places or fewer meet in one task, those of more are sorted over all of them.
     """
-    grown = _rare_passages(places.where(F.col("n") <= most)).unionByName(_common_passages(places.where(F.col("n") > most)))
-    return grown.groupBy("doc", "rid").agg(F.collect_set(F.struct("low", "high", "keeper")).alias("passages"))  # of one document
+    rare = _rare_passages(places.where(F.col("n") <= most)).select("doc", "rid", F.struct("low", "high", "keeper").alias("passage"))
+    grown = rare.unionByName(_common_passages(places.where(F.col("n") > most)), allowMissingColumns=True)
+    both = F.concat(F.collect_set("passage"), F.flatten(F.collect_list("passages")))  # nulls are left out
+    return grown.groupBy("doc", "rid").agg(both.alias("passages"))  # of one document
 
 
 def _open(raw: bytes, start: np.ndarray, gone: np.ndarray | None, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

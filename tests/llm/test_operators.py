@@ -374,6 +374,29 @@ def test_common_places_alike_are_sorted_as_one(spark, monkeypatch):
     assert sorted_rows.count() < 300 and sorted_rows.selectExpr("sum(size(doc))").first()[0] == 18_000, "a row for each place and side"
 
 
+def test_common_places_of_a_document_go_on_as_one_row(spark):
+    """Texts of one repeated word have a place at every word: their passages are a row a document, not two a place, and all of them are there."""
+    from corpusq.llm import paragraphs
+    from corpusq.llm.paragraphs import SIDE, SPAN
+
+    docs, words = 30, 300  # runs that begin in each document
+    beside = lambda n: bytearray(b" ".join([b"r"] * min(n, SIDE)))
+    rows = [(d, 0, w, 7, docs * words, bytearray(b" ".join([b"r"] * SPAN)), beside(w), beside(words - 1 - w)) for d in range(docs) for w in range(words)]
+    df = spark.createDataFrame(rows, "doc long, rid long, word int, h long, n long, run binary, left binary, right binary")
+    want = set()
+    for d in range(docs):
+        for w in range(words):
+            if d or w:  # the first document has equal words to the left from the same word on, and to the right up to the word with as many after it
+                left = min(w, SIDE) if d else min(w - 1, SIDE)
+                want |= {(d, w - left, w + SPAN, 0), (d, w, w + SPAN + min(words - 1 - w, SIDE), 0)}
+    found = paragraphs._common_passages(df)
+    got = found.collect()
+    assert {(r["doc"], *x) for r in got for x in r["passages"]} == want
+    assert len(got) <= 2 * docs * spark.sparkContext.defaultParallelism, "a row for each place"
+    whole = paragraphs.grown_passages(df, 1).collect()
+    assert len(whole) == docs and {(r["doc"], *x) for r in whole for x in r["passages"]} == want
+
+
 def test_op2_compares_short_paragraphs(spark, tmp_path):
     """The query leaves no paragraph out: short lines go as well, the first copy stays, as all pairs have it."""
     from corpusq.llm.paragraphs import op2_paragraphs
